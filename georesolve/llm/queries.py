@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing
+from . import exact_dedup, packing, simhash, word_bpe
 from .common import table, tokenizer_path
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=4, shingle=4, seed=42)
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_bpe.encoded(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
 
@@ -31,6 +39,8 @@ FROM n WINDOW w AS (PARTITION BY text_sha256)
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_simhash": op5_simhash,
+        "op6_bpe": op6_bpe,
         "op7_packing": op7_packing,
         "op9_exact_dedup": op9_exact_dedup,
     }
