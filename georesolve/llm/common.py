@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,8 @@ from pyspark.sql import functions as F
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
+_SHIPPED: set[str] = set()
+
 #: Rows of one Arrow batch that goes to a Python worker: whole texts travel, so batches stay short.
 BATCH_ROWS = 512
 
@@ -46,8 +50,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the texts that one Arrow batch holds."""
+def ship(spark: SparkSession) -> None:
+    """Give this package to the session's Python workers, once; clusters need not have it installed."""
+    sc, package = spark.sparkContext, Path(__file__).resolve().parent.parent
+    if sc.applicationId not in _SHIPPED:
+        archive = Path(tempfile.mkdtemp(prefix="package-")) / f"{package.name}.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for p in sorted(package.rglob("*.py")):
+                z.write(p, p.relative_to(package.parent))
+        sc.addPyFile(str(archive))
+        _SHIPPED.add(sc.applicationId)
+
+
+def for_python(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Before a Python stage: ship the package, and bound the texts that one Arrow batch holds."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, checkpointed
+from .common import ascii_lower, checkpointed, ship
 
 #: Entries of a lane that the number of rounds aims at: 64 bytes each.
 LANE_ENTRIES = 1_000_000
@@ -47,6 +47,7 @@ def merged_runs(rows: DataFrame, keep: str = "smallest", fan_in: int = FAN_IN, l
 
     rows: as ``digests`` returns it. keep: smallest or largest identifier.
     """
+    ship(rows.sparkSession)
     largest = {"smallest": False, "largest": True}[keep]
     rounds, n = 1, rows.count()
     while fan_in**rounds * lane_entries < n or rounds < 2:

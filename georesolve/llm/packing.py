@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import ByteBPE
-from .common import short_batches
+from .common import for_python
 
 #: Documents of a group; the last bins of a group stay partly empty, so larger groups pad less.
 GROUP_DOCS = 4096
@@ -43,7 +43,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int =
                     out.append((doc_id, start, len(part) // 4, zlib.crc32(part), n))
             yield pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"]).astype({"doc_id": "Int64"})
 
-    short_batches(docs.sparkSession)
+    for_python(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(cut, PIECES)
 
 

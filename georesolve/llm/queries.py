@@ -5,11 +5,25 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, simhash, word_bpe
+from . import exact_dedup, language, packing, simhash, toxicity, word_bpe
 from .common import table, tokenizer_path
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs.where(~language.held_out(F.col("doc_id"), 5, 0)))
+    return language.identify(docs, model).select("doc_id", language.held_out(F.col("doc_id"), 5, 0).alias("held_out"), "lang_pred", "score")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = language.held_out(F.col("doc_id"), 4, 2)
+    index = toxicity.fit(docs, labels.where(~out))
+    return toxicity.scored(docs, index).select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "terms", "evidence")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=4, shingle=4, seed=42)
 
@@ -39,6 +53,8 @@ FROM n WINDOW w AS (PARTITION BY text_sha256)
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_language": op3_language,
+        "op4_toxicity": op4_toxicity,
         "op5_simhash": op5_simhash,
         "op6_bpe": op6_bpe,
         "op7_packing": op7_packing,

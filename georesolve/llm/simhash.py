@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, short_batches
+from .common import checkpointed, for_python
 
 #: Fingerprints of a key that one task compares whole; larger keys are cut into parts of this size.
 TILE = 4096
@@ -50,7 +50,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, id_col: str
             fps = np.fromiter((fingerprint(t, shingle, seed) for t in b["text"]), dtype=np.uint64, count=len(b))
             yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "fp": fps.view(np.int64)})
 
-    short_batches(docs.sparkSession)
+    for_python(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(of, "doc_id long, fp long")
 
 

@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import short_batches
+from .common import for_python
 
 #: Chunks, words and trie nodes that a Python worker keeps.
 STORE, WORDS, NODES = 250_000, 250_000, 500_000
@@ -245,7 +245,7 @@ def encoded(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: s
             rows = [(len(i) // 4, hashlib.sha256(i).hexdigest(), hashlib.sha256(d.encode()).hexdigest()) for i, d in bpe.encode([t or "" for t in b["text"]])]
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"]).assign(doc_id=b["doc_id"].astype("Int64").to_numpy())[["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]]
 
-    short_batches(docs.sparkSession)
+    for_python(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(of, OUT)
 
 
@@ -258,5 +258,5 @@ def token_ids(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
             rows = [(memoryview(i).cast("I").tolist(), d) for i, d in bpe.encode([t or "" for t in b["text"]])]
             yield pd.DataFrame(rows, columns=["ids", "decoded"]).assign(doc_id=b["doc_id"].astype("Int64").to_numpy())[["doc_id", "ids", "decoded"]]
 
-    short_batches(docs.sparkSession)
+    for_python(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(of, "doc_id long, ids array<int>, decoded string")
