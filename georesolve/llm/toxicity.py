@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 from .common import for_python
 
 MAX_EXAMPLES, MAX_TERMS = 30_000, 4096
-#: Least chi-square of a term's association with the label (p < 0.001), and least examples that have it.
-LEAST_CHI2, LEAST_DOCS = 10.83, 2
+#: Least log-likelihood ratio of a term and the label (p < 0.001; with many terms 2 ln(terms), which
+#: chance reaches about once among them), and least examples that have the term.
+LEAST_G2, LEAST_DOCS = 10.83, 2
 NEIGHBOURS, PRIOR_WEIGHT = 16, 0.5
 BLOCK = 64
 #: Distinct queries whose result a Python worker keeps.
@@ -108,12 +109,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, id
         return Index([], np.empty(0), [], pos / n if n else 0.0, pos / n if n else 0.0)
     seen = rows.select("y", F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df"), F.sum("y").alias("df1")).where(F.col("df") >= LEAST_DOCS).persist()
     both = seen.count()
-    # chi-square of the two-by-two table (term in the example or not, label 1 or not)
-    a, b = F.col("df1"), F.col("df") - F.col("df1")
-    c, d = F.lit(pos) - a, F.lit(n - pos) - b
-    chi2 = F.lit(n) * F.pow(a * d - b * c, 2) / F.greatest(F.lit(1.0), (a + b) * (c + d) * F.lit(float(pos)) * F.lit(float(n - pos)))
-    least = max(LEAST_CHI2, 2 * math.log(max(1, both)))
-    chosen = seen.withColumn("chi2", chi2).where(F.col("chi2") >= least).orderBy(F.col("chi2").desc(), "term").limit(MAX_TERMS).collect()
+    # Log-likelihood ratio of the two-by-two table (term in the example or not, label 1 or not).
+    cells = [(F.col("df1"), "df", pos), (F.col("df") - F.col("df1"), "df", n - pos), (F.lit(pos) - F.col("df1"), None, pos), (F.lit(n - pos) - F.col("df") + F.col("df1"), None, n - pos)]
+    g2 = F.lit(0.0)
+    for seen_n, row, column in cells:
+        expected = (F.col("df") if row else F.lit(n) - F.col("df")) * F.lit(column / n)
+        g2 = g2 + F.when(seen_n > 0, 2 * seen_n * F.log(seen_n / expected)).otherwise(0.0)
+    least = max(LEAST_G2, 2 * math.log(max(1, both)))
+    chosen = seen.withColumn("g2", g2).where(F.col("g2") >= least).orderBy(F.col("g2").desc(), "term").limit(MAX_TERMS).collect()
     seen.unpersist()
     terms = sorted(r["term"] for r in chosen)
     df = {r["term"]: r["df"] for r in chosen}
