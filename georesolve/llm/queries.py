@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language, packing, simhash, toxicity, word_bpe
+from . import exact_dedup, fingerprint, language, packing, simhash, toxicity, word_bpe
 from .common import table, tokenizer_path
 
 
@@ -40,6 +40,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(table(spark, sf_dir, "documents"), keep="largest").drop("rows_at_keep")
 
 
+def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.versions(table(spark, sf_dir, "documents"))
+
+
 OP9_SQL = """
 WITH n AS (
   SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
@@ -59,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_bpe": op6_bpe,
         "op7_packing": op7_packing,
         "op9_exact_dedup": op9_exact_dedup,
+        "op10_fingerprint": op10_fingerprint,
     }
 
 
