@@ -7,10 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fingerprint, language, packing, simhash, toxicity, word_bpe
+from . import exact_dedup, fingerprint, language, packing, simhash, toxicity, url_filter, word_bpe
 from .common import table, tokenizer_path
 
 
+#: The rules that op1 is asked to apply.
+URL_RULES = [
+    url_filter.Rule.parse("block", "com/en/"),
+    url_filter.Rule.parse("allow", "example.com/en/7"),
+    url_filter.Rule.parse("block", "net/"),
+    url_filter.Rule.parse("allow", "net/de/"),
+    url_filter.Rule.parse("block", "example.net/de/8"),
+    url_filter.Rule.parse("block", "org/es/"),
+]
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's path has the number of its document, whose label it shares."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("bad"))
+    number = F.regexp_extract(url_filter.path_of(F.col("url")), r"/(\d{1,18})(?:\D|$)", 1).try_cast("long")
+    labelled = pages.select("url", number.alias("doc_id")).join(labels, "doc_id").select("url", "bad")
+    return url_filter.judge(pages, URL_RULES, url_filter.mine(labelled)).select("page_id", "host", "path", "rule", "verdict", "matched")
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.fit(docs.where(~language.held_out(F.col("doc_id"), 5, 0)))
@@ -57,6 +77,7 @@ FROM n WINDOW w AS (PARTITION BY text_sha256)
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_url_filter": op1_url_filter,
         "op3_language": op3_language,
         "op4_toxicity": op4_toxicity,
         "op5_simhash": op5_simhash,
