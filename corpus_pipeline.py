@@ -1,10 +1,66 @@
-"""Corpus pipeline; the stages follow with their operators."""
+"""A corpus pipeline over ``documents``: language, toxicity, exact and near duplicates, packing.
+
+Every stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and returns a
+DataFrame that is written as Parquet and read again as the next stage's docs. All but the last return
+the columns of docs. What the stages learn (languages, toxic terms) comes from the rows they are given
+and the table ``labels``. Results of odd rows are those of the operators; rows without a letter are
+rejected by the first stage.
+"""
+
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES = []
+from georesolve.llm import exact_dedup, language, packing, simhash, toxicity
+from georesolve.llm.common import scratch_path, table, tokenizer_path
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects texts without letters, and those whose language is a toss-up (score under 0.5)."""
+    return language.keep_identified(docs, language.fit(docs), least_score=0.5)
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects texts that score 0.4 or more."""
+    return toxicity.keep_clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), reject_at=0.4)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest identifier stays."""
+    return exact_dedup.deduplicate(docs, keep="largest")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts whose fingerprints link the row with the smallest identifier stays.
+
+    Fingerprints of five-word shingles within 10 of 64 bits: texts whose shingles have a Jaccard
+    likeness of 0.8 differ in about 10 bits, unrelated ones in about 30.
+    """
+    return simhash.keep_one(docs, radius=10, shingle=5, seed=42)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of what is left, in sequences of 1024 tokens."""
+    return packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.tiktoken"))
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("toxicity", reject_toxic),
+    ("exact_dedup", drop_copies),
+    ("simhash_near_dedup", drop_near_copies),
+    ("packing", pack_sequences),
+]
+
+#: The learned stages can't be expressed in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents, each written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        path = scratch_path(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,8 +6,10 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +70,21 @@ def for_python(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def kept_rows(docs: DataFrame, text_col: str, tester: Callable[[], Callable[[str | None], bool]]) -> DataFrame:
+    """The rows whose text passes; every column goes through untouched, and nothing is shuffled.
+
+    tester: called once in each task, gives the test of a text.
+    """
+
+    def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        test = tester()
+        for b in batches:
+            yield b.filter(pa.array([test(t) for t in b.column(text_col).to_pylist()], pa.bool_()))
+
+    for_python(docs.sparkSession)
+    return docs.mapInArrow(of, docs.schema)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z; every other character stays."""
     return F.translate(text, UPPER, LOWER)

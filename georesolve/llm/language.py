@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import for_python
+from .common import for_python, kept_rows
 
 #: Labelled documents that a model is fitted on at most (in expectation), drawn by a hash of the row's id.
 MAX_DOCS = 20_000
@@ -104,6 +104,22 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return rows.mapInPandas(of, "doc_id long, lang_pred string, score double, n_words long")
 
 
+def keep_identified(docs: DataFrame, model: Model, least_score: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose language is determined with at least least_score; columns unchanged."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def tester():
+        scorer = Scorer(sent.value)
+
+        def test(text: str | None) -> bool:
+            language, score, _ = scorer.score(text)
+            return language != UNDETERMINED and score >= least_score
+
+        return test
+
+    return kept_rows(docs, text_col, tester)
+
+
 class Scorer:
     """A model with the scores of unseen words that one task has met."""
 

@@ -22,6 +22,7 @@ has a null component_id.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -38,20 +39,23 @@ TILE = 4096
 SIDE = 512
 #: Fingerprints that a key should hold on average.
 KEY_ROWS = 256
+#: Keys that a fingerprint is filed under at most.
+MAX_CHOICES = 100
 #: Shingle hashes whose bits are counted at once.
 HASHES = 65_536
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed 64-bit integer)."""
+    """doc_id, h (XXH64 of the text), fp (the fingerprint as a signed 64-bit integer)."""
 
     def of(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             fps = np.fromiter((fingerprint(t, shingle, seed) for t in b["text"]), dtype=np.uint64, count=len(b))
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "fp": fps.view(np.int64)})
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "h": b["h"], "fp": fps.view(np.int64)})
 
     for_python(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(of, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), F.col(text_col).alias("text"))
+    return rows.mapInPandas(of, "doc_id long, h long, fp long")
 
 
 def fingerprint(text: str | None, shingle: int, seed: int) -> int:
@@ -70,8 +74,16 @@ def fingerprint(text: str | None, shingle: int, seed: int) -> int:
 
 
 def key_choices(n: int, radius: int, bits: int = 64, key_rows: int = KEY_ROWS) -> list[int]:
-    """Masks of the block choices: for n fingerprints, the fewest blocks that keep keys small."""
-    for blocks in range(radius + 1, radius + 6):
+    """Masks of the block choices: for n fingerprints, the fewest blocks that keep keys small.
+
+    Any two fingerprints within the radius agree on one of the choices, however many blocks there are.
+    """
+    for blocks in range(radius + 1, bits):
+        if blocks > radius + 1 and math.comb(blocks, radius) > MAX_CHOICES:
+            blocks -= 1
+            size = bits * (blocks - radius) // blocks
+            cuts = [round(i * bits / blocks) for i in range(blocks + 1)]
+            break
         cuts = [round(i * bits / blocks) for i in range(blocks + 1)]
         size = bits * (blocks - radius) // blocks
         if n / 2**size <= key_rows:
@@ -217,19 +229,31 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return tied.select(F.col("m").alias("a"), F.col("a").alias("b")).unionByName(least.select(F.col("m").alias("a"), "b")).where("a <> b").distinct()
 
 
-def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of docs: doc_id, fingerprint (16 hex digits), component_id."""
+def _linked_rows(docs: DataFrame, radius: int, shingle: int, seed: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, h (hash of the text), fp and first: the row of the component with the smallest identifier."""
     rows = checkpointed(fingerprints(docs, shingle, seed, id_col, text_col))
-    nodes = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+    nodes = checkpointed(rows.groupBy("fp").agg(F.min(row).alias("first")))
     roots = components(links(nodes.select("fp"), radius))
     of = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = of.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = of.join(ids, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = of.join(of.groupBy("root").agg(F.min("first").alias("least")), "root").select("fp", F.col("least").alias("first"))
+    return rows.join(named, "fp")
+
+
+def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of docs: doc_id, fingerprint (16 hex digits), component_id."""
+    rows = _linked_rows(docs, radius, shingle, seed, id_col, text_col)
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay: of each component, the one with the smallest identifier."""
-    found = near_duplicates(docs, radius, shingle, seed, id_col, text_col)
-    lost = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__lost_id")).distinct()
-    return docs.join(lost, F.col(id_col).cast("long").eqNullSafe(F.col("__lost_id")), "left_anti")
+    """The rows of docs that stay: of each component, the one with the smallest identifier.
+
+    Of rows with one identifier the one whose text has the smaller hash stays; rows alike in both stay
+    together, as exact deduplication comes before.
+    """
+    rows = _linked_rows(docs, radius, shingle, seed, id_col, text_col)
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("h") == F.col("first.h"))
+    lost = rows.where(~stays).select(F.col("doc_id").alias("__lost_id"), F.col("h").alias("__lost_h")).distinct()
+    own_h = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
+    return docs.join(lost, docs[id_col].cast("long").eqNullSafe(F.col("__lost_id")) & (own_h == F.col("__lost_h")), "left_anti")

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import for_python
+from .common import for_python, kept_rows
 
 MAX_EXAMPLES, MAX_TERMS = 30_000, 4096
 #: Least log-likelihood ratio of a term and the label (p < 0.001; with many terms 2 ln(terms), which
@@ -135,21 +135,47 @@ def scored(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str
     sent = docs.sparkSession.sparkContext.broadcast(index)
 
     def of(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found, store = sent.value, {}
-        number = found.terms
-        names = list(number)
+        scorer = Scorer(sent.value)
+        names = list(scorer.index.terms)
         for b in batches:
             out = []
             for text in b["text"]:
-                counts = Counter(i for w in WORD.findall(text.lower()) if (i := number.get(w)) is not None) if text else {}
-                key = tuple(sorted(counts.items()))
-                if key not in store:
-                    if len(store) >= STORE:
-                        store.clear()
-                    store[key] = found.score(list(key))
-                out.append((store[key][0], [names[t] for t, _ in key], *store[key][1:]))
+                key = scorer.terms(text)
+                score, evidence, cosines = scorer.score(key)
+                out.append((score, [names[t] for t, _ in key], evidence, cosines))
             yield pd.DataFrame(out, columns=["score", "terms", "evidence", "cosines"]).assign(doc_id=b["doc_id"].astype("Int64").to_numpy())[["doc_id", "score", "terms", "evidence", "cosines"]]
 
     for_python(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInPandas(of, "doc_id long, score double, terms array<string>, evidence array<long>, cosines array<double>")
+
+
+def keep_clean(docs: DataFrame, index: Index, reject_at: float = 0.4, text_col: str = "text") -> DataFrame:
+    """The rows of docs that score below reject_at; columns unchanged."""
+    sent = docs.sparkSession.sparkContext.broadcast(index)
+
+    def tester():
+        scorer = Scorer(sent.value)
+        return lambda text: scorer.score(scorer.terms(text))[0] < reject_at
+
+    return kept_rows(docs, text_col, tester)
+
+
+class Scorer:
+    """An index with the results of the distinct queries that one task has met."""
+
+    def __init__(self, index: Index):
+        self.index, self.store = index, {}
+
+    def terms(self, text: str | None) -> tuple[tuple[int, int], ...]:
+        number = self.index.terms
+        counts = Counter(i for w in WORD.findall(text.lower()) if (i := number.get(w)) is not None) if text else {}
+        return tuple(sorted(counts.items()))
+
+    def score(self, terms: tuple[tuple[int, int], ...]) -> tuple[float, list[int], list[float]]:
+        found = self.store.get(terms)
+        if found is None:
+            if len(self.store) >= STORE:
+                self.store.clear()
+            found = self.store[terms] = self.index.score(list(terms))
+        return found
