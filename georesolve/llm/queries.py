@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fingerprint, language, packing, simhash, toxicity, url_filter, word_bpe
-from .common import table, tokenizer_path
+from . import chat, exact_dedup, fingerprint, language, packing, simhash, token_counts, toxicity, url_filter, word_bpe
+from .common import checkpointed, scratch_path, table, tokenizer_path
 
 
 #: The rules that op1 is asked to apply.
@@ -31,6 +31,22 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, URL_RULES, url_filter.mine(labelled)).select("page_id", "host", "path", "rule", "verdict", "matched")
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Load all documents, withdraw those labelled as poor, then recount the rest with another tokenizer."""
+    docs = table(spark, sf_dir, "documents")
+    plain = docs.select("doc_id", "source", "lang", "text", token_counts.count_spaces(F.col("text")).alias("n_spaces"))
+    counts = checkpointed(token_counts.with_bpe_counts(plain, tokenizer_path("byte_bpe_50k.tiktoken"), keep=("doc_id", "source", "lang", "n_spaces")))
+    poor = table(spark, sf_dir, "labels").where("quality = 0").select("doc_id").distinct()
+    rollup = token_counts.Rollup(spark, scratch_path(spark, "token-counts"))
+    load = token_counts.inserted(counts, "n_spaces", "spaces-1")
+    rollup.commit("load", load)
+    rollup.commit("withdraw", token_counts.deleted(counts.join(poor, "doc_id", "left_semi"), "n_spaces", "spaces-1"))
+    kept = counts.join(poor, "doc_id", "left_anti")
+    rollup.commit("recount", token_counts.revised(kept, "n_spaces", "spaces-1", "n_bpe", "byte-bpe-50k"))
+    rollup.commit("load", load)  # a replay changes nothing
+    return rollup.totals()
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.fit(docs.where(~language.held_out(F.col("doc_id"), 5, 0)))
@@ -56,6 +72,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return chat.rendered(chat.recover(rows, chat.fit(rows))).select("conv_id", "turn", "role_pred", "rendered")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(table(spark, sf_dir, "documents"), keep="largest").drop("rows_at_keep")
 
@@ -78,11 +99,13 @@ FROM n WINDOW w AS (PARTITION BY text_sha256)
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": op1_url_filter,
+        "op2_token_counts": op2_token_counts,
         "op3_language": op3_language,
         "op4_toxicity": op4_toxicity,
         "op5_simhash": op5_simhash,
         "op6_bpe": op6_bpe,
         "op7_packing": op7_packing,
+        "op8_chat": op8_chat,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_fingerprint": op10_fingerprint,
     }
