@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 # Markers and words that results depend on.
 OTHER_LISTINGS = (
@@ -23,15 +24,20 @@ IMAGE = r"""(?i)(?:src|data-src|data-lazy|content)=["']([^"']+\.(?:jpe?g|png|web
 LISTING_JUNK = ["cookie", "javascript", "navigateur", "mentions légales"]
 
 
-@pandas_udf("string")
-def unescape(s: pd.Series) -> pd.Series:
-    """HTML entities to text; Spark has no function for the full table of names."""
-    return s.fillna("").map(_html.unescape)
+def _python_functions():
+    """Defined inside a function, so that workers get their code and need not have this package."""
 
+    def decode(s: pd.Series) -> pd.Series:
+        return s.fillna("").map(_html.unescape)
 
-@pandas_udf("string")
-def absolutize(base: pd.Series, href: pd.Series) -> pd.Series:
-    return pd.Series([urljoin(b or "", h or "") for b, h in zip(base, href, strict=True)])
+    def join(base: pd.Series, href: pd.Series) -> pd.Series:
+        return pd.Series([urljoin(b or "", h or "") for b, h in zip(base, href, strict=True)])
+
+    return pandas_udf(decode, StringType()), pandas_udf(join, StringType())
+
+
+#: HTML entities to text (Spark has no function for the full table of names), and URLs against their page's.
+unescape, absolutize = _python_functions()
 
 
 def text_of(html: Column, decoded: bool = True) -> Column:
