@@ -122,7 +122,7 @@ RAMP = [(0.0, (165, 0, 38)), (0.17, (215, 48, 39)), (0.34, (253, 174, 97)), (0.5
 
 def ramp_color(v: Column) -> Column:
     """Struct r, g, b of a value from 0 to 1; null stays null."""
-    v = F.least(F.lit(1.0), F.greatest(F.lit(0.0), v))
+    v = F.when(v.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), v)))
 
     def channel(k: int) -> Column:
         out = None
@@ -136,7 +136,7 @@ def ramp_color(v: Column) -> Column:
 
 def quantized(v: Column, low: float, high: float) -> Column:
     """1 to 255 over a range, 0 for no data."""
-    return F.coalesce(F.least(F.lit(255.0), F.greatest(F.lit(0.0), (v - low) / (high - low) * 254 + 1)), F.lit(0.0)).cast("int")
+    return F.when(v.isNull(), 0).otherwise(F.least(F.lit(255.0), F.greatest(F.lit(0.0), (v - low) / (high - low) * 254 + 1)).cast("int"))
 
 
 def dequantized(q: Column, low: float, high: float) -> Column:
@@ -145,4 +145,4 @@ def dequantized(q: Column, low: float, high: float) -> Column:
 
 def quantized_int(v: Column) -> Column:
     """0 to 254 as is, 255 for none; categories are looked up, never blended."""
-    return F.coalesce(F.least(F.lit(254), v.cast("int")), F.lit(255))
+    return F.when(v.isNull(), 255).otherwise(F.least(F.lit(254), v.cast("int")))

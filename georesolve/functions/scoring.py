@@ -86,7 +86,8 @@ def membership(value: Column, direction: str, threshold: float, margin: float) -
     """1 on the good side of the threshold, falling to 0 over the margin beyond; unknown is 0.6."""
     m = max(margin, 1e-9)
     raw = (value - (threshold - m)) / m if direction == "min" else ((threshold + m) - value) / m
-    return F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), raw.cast("double"))), F.lit(UNKNOWN_MEMBERSHIP))
+    # least and greatest pass over nulls, so the unknown is told apart first.
+    return F.when(value.isNull(), UNKNOWN_MEMBERSHIP).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), raw.cast("double"))))
 
 
 def _least(columns: list[Column]) -> Column:
@@ -134,7 +135,7 @@ def rule_stats(scored: DataFrame, scoring: Scoring, inside: str = "inside") -> D
 
 def normalized(value: Column, bad: float, good: float) -> Column:
     """0 at bad to 1 at good, whichever is larger; unknown is 0.35."""
-    return F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (value.cast("double") - bad) / (good - bad))), F.lit(UNKNOWN_ATTRACTION))
+    return F.when(value.isNull(), UNKNOWN_ATTRACTION).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (value.cast("double") - bad) / (good - bad))))
 
 
 def attractiveness(cells: DataFrame, scoring: Scoring) -> Column:

@@ -192,11 +192,11 @@ def bilinear(field: DataFrame, value: str, targets: DataFrame, keys: list[str])
     """keys and value at fractional pixels fr, fc of targets; null unless all four neighbours have a value."""
     fr, fc = F.floor("fr").cast("int"), F.floor("fc").cast("int")
     corner = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)]))
-    t = targets.select(*keys, (F.col("fr") - fr).alias("u"), (F.col("fc") - fc).alias("v"), fr.alias("r0"), fc.alias("c0"), corner.alias("k"))
-    t = t.withColumn("row", F.col("r0") + F.col("k.i")).withColumn("col", F.col("c0") + F.col("k.j"))
-    weight = F.when(F.col("k.i") == 1, F.col("u")).otherwise(1 - F.col("u")) * F.when(F.col("k.j") == 1, F.col("v")).otherwise(1 - F.col("v"))
+    t = targets.select(*keys, (F.col("fr") - fr).alias("__u"), (F.col("fc") - fc).alias("__v"), fr.alias("__r"), fc.alias("__c"), corner.alias("__k"))
+    t = t.withColumn("row", F.col("__r") + F.col("__k.i")).withColumn("col", F.col("__c") + F.col("__k.j"))
+    weight = F.when(F.col("__k.i") == 1, F.col("__u")).otherwise(1 - F.col("__u")) * F.when(F.col("__k.j") == 1, F.col("__v")).otherwise(1 - F.col("__v"))
     got = t.join(field.select("row", "col", value), ["row", "col"]).where(F.col(value).isNotNull())
-    return got.groupBy(*keys).agg(F.sum(weight * F.col(value)).alias(value), F.count("*").alias("n")).where("n = 4").drop("n")
+    return got.groupBy(*keys).agg(F.sum(weight * F.col(value)).alias(value), F.count("*").alias("__n")).where("__n = 4").drop("__n")
 
 
 def to_mercator_pixels(grid: Grid, field: DataFrame, value: str, bounds: tuple[float, float, float, float], width: int, height: int, from_merc: Callable) -> DataFrame:

@@ -1 +1,6 @@
-"""Queries of the analytics engine."""
+"""Registered queries over the driver's tables, and their SQL."""
+
+from . import raster  # noqa: F401  registers its queries
+from .base import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
