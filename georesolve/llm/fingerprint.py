@@ -1,14 +1,15 @@
 """Document fingerprints as invertible Bloom lookup tables, in DataFrame and SQL functions only.
 
-A document is the set of the digests of its paragraphs: its lines, longer ones in passages of
-``PASSAGE`` characters. Each digest is added to one cell of each of three subtables; a cell holds how
+A document is the set of the digests of its paragraphs: its lines, longer ones cut to passages. Passages
+are a power of two long, an eighth to a quarter of the text (``LEAST_PASSAGE`` at least), so versions of
+one text are cut alike; texts of different passage lengths are compared at the longer one. Each digest is added to one cell of each of three subtables; a cell holds how
 many digests it has, their exclusive-or, and the exclusive-or of their checksums. Cells of two versions
 subtract, what both versions share vanishes, and peeling recovers the rest: a cell with one digest
 yields it, which is then taken from its other cells, until all are empty.
 
 A stored fingerprint has ``3 * SLOTS`` cells. If a difference is too large for it, both documents'
 digests are dealt into groups by other bits of the digest, each group with a table of its own, and a
-group that still fails is retried with tables three and nine times as large; should even these fail,
+group that still fails is retried with tables four and sixteen times as large; should even these fail,
 the group's digests are compared themselves. Work therefore follows the number of paragraphs.
 
 Defined results: a null text is empty; an empty text (or one of line breaks only) has no paragraphs,
@@ -18,15 +19,15 @@ last in descending order; rows with one identifier are ordered by their texts' h
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PASSAGE = 64
+PASSAGES, LEAST_PASSAGE = 8, 8
 SLOTS, TABLES = 8, 3
 #: Digests that a group should have on average, of both documents together.
-GROUP_DIGESTS = 8
-RETRIES = (1, 3, 9)
-ROUNDS = 12
+GROUP_DIGESTS = 12
+RETRIES = (1, 4, 16)
+ROUNDS = 16
 #: Documents of a bucket of neighbouring identifiers, and buckets at most.
 BUCKET_DOCS, MAX_BUCKETS = 512, 65_536
 LEAST = -(1 << 63)
@@ -36,26 +37,30 @@ def let(value: str, name: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def digests_sql(text: str) -> str:
+def passage_sql(text: str) -> str:
+    """Length of the passages that long lines are cut to: a power of two, an eighth to a quarter of the text."""
+    return f"cast(greatest({LEAST_PASSAGE}, shiftleft(1, cast(ceil(log2(greatest(1, length({text})) / {PASSAGES}.0D)) as int))) as int)"
+
+
+def digests_sql(text: str, passage: str) -> str:
     """Distinct paragraph digests of a text."""
-    return f"array_distinct(transform(regexp_extract_all({text}, '([^\\\\n]{{1,{PASSAGE}}})', 1), piece -> xxhash64(piece)))"
+    return f"array_distinct(transform(regexp_extract_all({text}, concat('([^\\n]{{1,', {passage}, '}})'), 1), piece -> xxhash64(piece)))"
 
 
 def _check(key: str) -> str:
-    return f"(xxhash64({key}) & 4294967295)"
+    return f"hash({key})"
 
 
-def _slot(key: str, cell: str, slots: int) -> str:
-    """Whether key belongs to a cell; each subtable reads other bits of the digest."""
-    return f"pmod(shiftrightunsigned({key}, cast(10 * ({cell} div {slots}) as int)), {slots}) = {cell} % {slots}"
+def _in_cell(key: str, cell: str, slots: int, table: int) -> str:
+    """Whether key belongs to a cell of a subtable; each subtable reads other bits of the digest."""
+    return f"(shiftrightunsigned({key}, {10 * table}) & {slots - 1}) = {cell}"
 
 
 def cells_sql(digests: str, slots: int = SLOTS) -> str:
-    """The table of an array of digests."""
-    return (
-        f"transform(sequence(0, {TABLES * slots - 1}), cell -> aggregate(filter({digests}, key -> {_slot('key', 'cell', slots)}), "
-        f"named_struct('n', 0, 'k', 0L, 's', 0L), (sum, key) -> named_struct('n', sum.n + 1, 'k', sum.k ^ key, 's', sum.s ^ {_check('key')})))"
-    )
+    """The table of an array of digests: the cells of its subtables, one after another."""
+    empty, added = "named_struct('n', 0, 'k', 0L, 's', 0)", f"named_struct('n', sum.n + 1, 'k', sum.k ^ key, 's', sum.s ^ {_check('key')})"
+    parts = [f"transform(sequence(0, {slots - 1}), cell -> aggregate(filter({digests}, key -> {_in_cell('key', 'cell', slots, t)}), {empty}, (sum, key) -> {added}))" for t in range(TABLES)]
+    return f"concat({', '.join(parts)})"
 
 
 def subtracted_sql(a: str, b: str) -> str:
@@ -65,14 +70,13 @@ def subtracted_sql(a: str, b: str) -> str:
 def peeled_sql(cells: str, slots: int = SLOTS) -> str:
     """Struct: c (cells left), a, b (digests that only the first or only the second has)."""
     pure = f"array_distinct(transform(filter(state.c, x -> abs(x.n) = 1 and x.s = {_check('x.k')}), x -> named_struct('n', x.n, 'k', x.k)))"
-    emptied = (
-        f"transform(state.c, (was, cell) -> aggregate(filter(found, z -> {_slot('z.k', 'cell', slots)}), was, "
-        f"(sum, z) -> named_struct('n', sum.n - z.n, 'k', sum.k ^ z.k, 's', sum.s ^ {_check('z.k')})))"
-    )
+    taken = f"named_struct('n', sum.n - z.n, 'k', sum.k ^ z.k, 's', sum.s ^ {_check('z.k')})"
+    emptied = ", ".join(f"transform(slice(state.c, {t * slots + 1}, {slots}), (was, cell) -> aggregate(filter(found, z -> {_in_cell('z.k', 'cell', slots, t)}), was, (sum, z) -> {taken}))" for t in range(TABLES))
     side = lambda name, sign: f"concat(state.{name}, transform(filter(found, z -> z.n = {sign}), z -> z.k))"
-    step = let(pure, "found", f"if(size(found) = 0, state, named_struct('c', {emptied}, 'a', {side('a', 1)}, 'b', {side('b', -1)}))")
-    start = f"named_struct('c', {cells}, 'a', cast(array() as array<bigint>), 'b', cast(array() as array<bigint>))"
-    return f"aggregate(sequence(1, {ROUNDS}), {start}, (state, round) -> {step})"
+    ended = "named_struct('c', state.c, 'a', state.a, 'b', state.b, 'live', false)"
+    step = let(pure, "found", f"if(size(found) = 0, {ended}, named_struct('c', concat({emptied}), 'a', {side('a', 1)}, 'b', {side('b', -1)}, 'live', true))")
+    start = f"named_struct('c', {cells}, 'a', cast(array() as array<bigint>), 'b', cast(array() as array<bigint>), 'live', true)"
+    return f"aggregate(sequence(1, {ROUNDS}), {start}, (state, round) -> if(state.live, {step}, state))"
 
 
 def _done(peeled: str) -> str:
@@ -110,30 +114,45 @@ def difference_sql(a: str, b: str, cells_a: str, cells_b: str) -> str:
     return let(peeled_sql(subtracted_sql(cells_a, cells_b)), "first_try", f"if({_done('first_try')}, {_sides('first_try')}, {merged})")
 
 
-def likeness_sql(a: str, b: str, difference: str) -> str:
+def compared_sql(text_a: str, text_b: str, a: str, b: str) -> str:
+    """Struct a, b (digests that only one text has) and n (digests of both texts).
+
+    a, b: names of the texts' columns of digests; with suffixes _cells and _passage their tables and lengths.
+    """
+    whole = lambda x, y, cx, cy: let(difference_sql(x, y, cx, cy), "diff", f"named_struct('a', diff.a, 'b', diff.b, 'n', size({x}) + size({y}))")
+    longer = f"greatest({a}_passage, {b}_passage)"
+    again = let(digests_sql(text_a, longer), "da", let(digests_sql(text_b, longer), "db", whole("da", "db", cells_sql("da"), cells_sql("db"))))
+    return f"if({a}_passage = {b}_passage, {whole(a, b, f'{a}_cells', f'{b}_cells')}, {again})"
+
+
+def likeness_sql(compared: str) -> str:
     """Jaccard likeness of two digest sets, from their sizes and the recovered difference."""
-    n, d = f"(size({a}) + size({b}))", f"(size({difference}.a) + size({difference}.b))"
-    return f"if({n} = 0, 1.0D, cast({n} - {d} as double) / ({n} + {d}))"
+    d = f"(size({compared}.a) + size({compared}.b))"
+    return f"if({compared}.n = 0, 1.0D, cast({compared}.n - {d} as double) / ({compared}.n + {d}))"
 
 
-def text_of_cells(digests: str, cells: str) -> str:
-    """A fingerprint as text: number of digests, then count, key and checksum of each cell."""
-    cell = "concat(hex(x.n), '.', lower(hex(x.k)), '.', lower(hex(x.s)))"
-    return f"concat(size({digests}), ':', array_join(transform({cells}, x -> {cell}), ','))"
+def text_of_cells(digests: str, cells: str, passage: str) -> str:
+    """A fingerprint as text: number of digests, passage length, then count, key and checksum of each cell."""
+    cell = "concat(hex(x.n), '.', lower(hex(x.k)), '.', lower(hex(x.s & 4294967295L)))"
+    return f"concat(size({digests}), '/', {passage}, ':', array_join(transform({cells}, x -> {cell}), ','))"
 
 
-def with_fingerprint(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with digests, cells and fingerprint of a text column."""
+def fingerprinted(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs with passage, digests, cells and fingerprint of a text column."""
+    text = f"coalesce(`{text_col}`, '')"
     return (
-        docs.withColumn("digests", F.expr(digests_sql(f"coalesce(`{text_col}`, '')")))
+        docs.withColumn("passage", F.expr(passage_sql(text)))
+        .withColumn("digests", F.expr(digests_sql(text, "passage")))
         .withColumn("cells", F.expr(cells_sql("digests")))
-        .withColumn("fingerprint", F.expr(text_of_cells("digests", "cells")))
+        .withColumn("fingerprint", F.expr(text_of_cells("digests", "cells", "passage")))
     )
 
 
-def with_next(docs: DataFrame, bucket_docs: int = BUCKET_DOCS) -> DataFrame:
+def with_next(docs: DataFrame, derived: dict[str, Column] | None = None, more: list[dict[str, Column]] | None = None, bucket_docs: int = BUCKET_DOCS) -> DataFrame:
     """doc_id, text and next_text: the text of the next row in descending doc_id; after the last, the first's.
 
+    derived: further columns of the text; more: columns of those. Each comes with its next_ column too.
+
     Rows are dealt into buckets of neighbouring identifiers, so no task orders more than a bucket; the
     first row of a bucket is sent to the bucket before it as well.
     """
@@ -147,8 +166,7 @@ def with_next(docs: DataFrame, bucket_docs: int = BUCKET_DOCS) -> DataFrame:
     search = f"aggregate(sequence({top}, 0, -1), 0, (low, p) -> if(low + shiftleft(1, p) <= {len(cuts)} and element_at({lits}, least(low + shiftleft(1, p), {len(cuts)})) <= at, low + shiftleft(1, p), low))"
     rows = rows.withColumn("bucket", F.expr(search) if cuts else F.lit(0))
     tops = {r["bucket"]: r["top"] for r in rows.groupBy("bucket").agg(F.max("at").alias("top")).collect()}
-    if not tops:
-        return rows.select("doc_id", "text", F.lit("").alias("next_text"))
+    tops = tops or {0: LEAST}  # no rows: the same plan over nothing
     filled = sorted(tops)
     above = dict(zip(filled, [*filled[1:], filled[0]], strict=True))
     is_top = F.col("at") == F.element_at(F.array(*[F.lit(tops.get(b)).cast("long") for b in range(filled[-1] + 1)]), F.col("bucket") + 1)
@@ -157,7 +175,12 @@ def with_next(docs: DataFrame, bucket_docs: int = BUCKET_DOCS) -> DataFrame:
     guest = F.struct(to.alias("b"), F.lit(1).alias("guest"))
     sent = rows.withColumn("sent", F.explode(F.when(is_top, F.array(own, guest)).otherwise(F.array(own)))).select("doc_id", "text", "at", F.col("sent.b").alias("bucket"), F.col("sent.guest").alias("guest"))
     order = Window.partitionBy("bucket").orderBy("guest", F.col("at").desc(), F.xxhash64("text"))
-    return sent.withColumn("next_text", F.lead("text").over(order)).where("guest = 0").select("doc_id", "text", "next_text")
+    # What is derived of a text is computed once a row, and read by the row before.
+    own = sent.select("doc_id", "bucket", "guest", "at", "text", *[c.alias(n) for n, c in (derived or {}).items()]) if derived else sent
+    for level in (more or []):
+        own = own.withColumns(level)
+    names = ["text", *(derived or {}), *[n for level in (more or []) for n in level]]
+    return own.withColumns({f"next_{n}": F.lead(n).over(order) for n in names}).where("guest = 0").select("doc_id", *names, *[f"next_{n}" for n in names])
 
 
 def versions(docs: DataFrame) -> DataFrame:
@@ -165,16 +188,17 @@ def versions(docs: DataFrame) -> DataFrame:
 
     The edit replaces the last third of the code points by as many of the next document's first ones.
     """
-    rows = with_next(docs).withColumn("n_chars", F.length("text").cast("long")).withColumn("edited", F.expr("concat(substring(text, 1, int(n_chars - n_chars div 3)), substring(next_text, 1, int(n_chars div 3)))"))
-    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *[F.expr(digests_sql(c)).alias(d) for c, d in (("text", "a"), ("edited", "e"), ("next_text", "x"))])
-    rows = rows.withColumns({f"{c}_cells": F.expr(cells_sql(c)) for c in ("a", "e", "x")})
-    rows = rows.withColumns({"to_edited": F.expr(difference_sql("a", "e", "a_cells", "e_cells")), "to_next": F.expr(difference_sql("a", "x", "a_cells", "x_cells"))})
+    rows = with_next(docs, {"a_passage": F.expr(passage_sql("text"))}, [{"a": F.expr(digests_sql("text", "a_passage"))}, {"a_cells": F.expr(cells_sql("a"))}])
+    rows = rows.withColumnsRenamed({"next_a": "x", "next_a_cells": "x_cells", "next_a_passage": "x_passage"})
+    rows = rows.withColumn("n_chars", F.length("text").cast("long")).withColumn("edited", F.expr("concat(substring(text, 1, int(n_chars - n_chars div 3)), substring(next_text, 1, int(n_chars div 3)))"))
+    rows = rows.withColumn("e_passage", F.expr(passage_sql("edited"))).withColumn("e", F.expr(digests_sql("edited", "e_passage"))).withColumn("e_cells", F.expr(cells_sql("e")))
+    rows = rows.withColumns({"to_edited": F.expr(compared_sql("text", "edited", "a", "e")), "to_next": F.expr(compared_sql("text", "next_text", "a", "x"))})
     return rows.select(
         "doc_id",
         "n_chars",
-        "edited_sha256",
-        F.expr(text_of_cells("a", "a_cells")).alias("fingerprint"),
-        F.expr(text_of_cells("e", "e_cells")).alias("edited_fingerprint"),
-        F.expr(likeness_sql("a", "e", "to_edited")).alias("near_edited"),
-        F.expr(likeness_sql("a", "x", "to_next")).alias("near_next"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        F.expr(text_of_cells("a", "a_cells", "a_passage")).alias("fingerprint"),
+        F.expr(text_of_cells("e", "e_cells", "e_passage")).alias("edited_fingerprint"),
+        F.expr(likeness_sql("to_edited")).alias("near_edited"),
+        F.expr(likeness_sql("to_next")).alias("near_next"),
     )
