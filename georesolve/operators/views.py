@@ -124,7 +124,7 @@ def matched_reviews(reviews: DataFrame, status: DataFrame) -> DataFrame:
 def candidate_pairs(candidates: DataFrame, listings: DataFrame, photos: DataFrame, k: int = 3) -> DataFrame:
     """Open candidates with titles, prices and first photos of both sides, both active; best first."""
     first = photos.groupBy("key").agg(F.slice(F.array_sort(F.collect_list(F.struct("ord", "url"))), 1, k).alias("p")).select("key", F.transform("p", lambda s: s["url"]).alias("photos"))
-    side = listings.where("active").join(first, "key", "left").select("key", "title", "price", "photos")
+    side = listings.where("active").select("key", "title", "price").join(first, "key", "left")
     a = side.select(F.col("key").alias("a"), *[F.col(c).alias(f"a_{c}") for c in ("title", "price", "photos")])
     b = side.select(F.col("key").alias("b"), *[F.col(c).alias(f"b_{c}") for c in ("title", "price", "photos")])
     return candidates.join(a, "a").join(b, "b").orderBy(F.col("score").desc(), "a", "b")
