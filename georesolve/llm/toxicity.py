@@ -32,8 +32,11 @@ MAX_EXAMPLES, MAX_TERMS = 30_000, 4096
 #: Least log-likelihood ratio of a term and the label (p < 0.001; with many terms 2 ln(terms), which
 #: chance reaches about once among them), and least examples that have the term.
 LEAST_G2, LEAST_DOCS = 10.83, 2
+#: How many times as frequent the label must be among examples with a term as among all: words that are
+#: merely somewhat commoner in labelled prose tell nothing and would lengthen every vector.
+LEAST_LIFT = 3.0
 NEIGHBOURS, PRIOR_WEIGHT = 16, 0.5
-BLOCK = 64
+BLOCK = 256
 #: Distinct queries whose result a Python worker keeps.
 STORE = 20_000
 WORD = re.compile(r"[^\W\d_]+")
@@ -116,7 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, id
         expected = (F.col("df") if row else F.lit(n) - F.col("df")) * F.lit(column / n)
         g2 = g2 + F.when(seen_n > 0, 2 * seen_n * F.log(seen_n / expected)).otherwise(0.0)
     least = max(LEAST_G2, 2 * math.log(max(1, both)))
-    chosen = seen.withColumn("g2", g2).where(F.col("g2") >= least).orderBy(F.col("g2").desc(), "term").limit(MAX_TERMS).collect()
+    chosen = seen.withColumn("g2", g2).where((F.col("g2") >= least) & (F.col("df1") >= F.col("df") * min(LEAST_LIFT * pos / n, (1 + pos / n) / 2))).orderBy(F.col("g2").desc(), "term").limit(MAX_TERMS).collect()
     seen.unpersist()
     terms = sorted(r["term"] for r in chosen)
     df = {r["term"]: r["df"] for r in chosen}
