@@ -17,18 +17,18 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import unicodedata
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from .common import for_python
 
 #: Chunks, words and trie nodes that a Python worker keeps.
-STORE, WORDS, NODES = 250_000, 250_000, 500_000
+STORE, WORDS, NODES = 400_000, 400_000, 600_000
 NEVER = 1 << 60
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 SPACES = regex.compile(r"\p{White_Space}+")
@@ -54,7 +54,9 @@ class WordBPE:
         model, self.symbols = spec["model"], byte_symbols()
         self.end = model["end_of_word_suffix"]
         self.vocab: dict[str, int] = model["vocab"]
-        byte_of = {c: b for b, c in enumerate(self.symbols)}
+        byte_of = self.byte_of = {c: b for b, c in enumerate(self.symbols)}
+        #: Used for its normalizer and pre-tokenizer only.
+        self.library = Tokenizer.from_file(path)
         self.text_of: dict[int, str] = {i: t for t, i in self.vocab.items()}
         self.ranks: dict[tuple[int, int], int] = {}
         self.split: dict[int, tuple[int, int]] = {}
@@ -198,9 +200,11 @@ class WordBPE:
     def words(self, chunk: str) -> list[bytes]:
         if LETTERS.fullmatch(chunk):
             return [chunk.lower().encode()]
-        text = SPACES.sub(" ", unicodedata.normalize("NFC", chunk))
-        lowered = text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
-        return [m.encode() for m in WORD.findall(lowered)]
+        if PLAIN.fullmatch(chunk):
+            return [m.encode() for m in WORD.findall(chunk.lower())]
+        # Other scripts: which characters are letters depends on the library's Unicode version.
+        parts = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(chunk))
+        return [bytes(self.byte_of[c] for c in word) for word, _ in parts]
 
     def encode(self, texts: list[str]) -> Iterator[tuple[bytes, str]]:
         """Per text: the ids as little-endian unsigned 32-bit integers, and the decoded text."""
