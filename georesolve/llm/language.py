@@ -45,7 +45,7 @@ class Model:
         self.prior = np.log((np.array(docs, dtype=np.float64) + 1) / (total + max(1, len(docs))))
 
     def _logs(self, counts: dict[str, list[int]]) -> tuple[dict[str, int], np.ndarray]:
-        c = np.array(list(counts.values()), dtype=np.float64).reshape(-1, len(self.languages)) + 0.5
+        c = np.array(list(counts.values()), dtype=np.float64).reshape(len(counts), len(self.languages)) + 0.5
         return {w: i for i, w in enumerate(counts)}, np.log(c / np.maximum(1, c.sum(axis=0)))
 
     def unseen(self, word: str) -> np.ndarray:
@@ -81,14 +81,19 @@ def fit(labelled: DataFrame, max_docs: int = MAX_DOCS, id_col: str = "doc_id", t
     grams = []
     marked = F.concat(F.lit("^"), "w", F.lit("$"))
     for k in range(LONGEST_GRAM, 0, -1):
-        at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(marked) - (k - 1)))
-        cut = words.select(F.explode(F.transform(at, lambda s, k=k: F.substring(marked, s, F.lit(k)))).alias("g"), *names)
+        last = F.length(marked) - (k - 1)
+        grams_of = F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), last)), _gram_at(marked, k)))
+        cut = words.select(F.explode(grams_of).alias("g"), *names)
         summed = cut.groupBy("g").agg(*[F.sum(c).alias(c) for c in names])
         grams.append({r["g"]: [r[c] for c in names] for r in summed.orderBy(total.desc(), "g").limit(MAX_GRAMS).collect()})
     words.unpersist()
     return Model(languages, {r["w"]: [r[c] for c in names] for r in top}, grams, list(docs.values()))
 
 
+def _gram_at(word: Column, k: int):
+    return lambda start: F.substring(word, start, F.lit(k))
+
+
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, lang_pred, score, n_words."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
