@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
-from conftest import prose
+from odd_rows import prose
 from hypothesis import given, settings
 from hypothesis import strategies as st
 

@@ -3,7 +3,7 @@ import re
 
 import numpy as np
 import pytest
-from conftest import ODD, prose
+from odd_rows import ODD, prose
 from pyspark.sql import functions as F
 
 from georesolve.llm import chat, fingerprint, language, toxicity, url_filter

@@ -1,5 +1,5 @@
 import corpus_pipeline
-from conftest import prose
+from odd_rows import prose
 
 from georesolve.llm import queries
 

@@ -2,7 +2,7 @@ import hashlib
 import zlib
 
 import pytest
-from conftest import ODD, prose
+from odd_rows import ODD, prose
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
