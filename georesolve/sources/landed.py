@@ -55,10 +55,10 @@ def sampled(points: DataFrame, tiles: DataFrame, keys: list[str], side: int = TI
     fr, fc = (lat0 + 1 - F.col("lat")) * (side - 1), (F.col("lon") - lon0) * (side - 1)
     r0, c0 = F.least(F.lit(side - 2), F.floor(fr)).cast("int"), F.least(F.lit(side - 2), F.floor(fc)).cast("int")
     corner = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)]))
-    t = points.select(*keys, tile_name(F.col("lat"), F.col("lon")).alias("tile"), (fr - r0).alias("u"), (fc - c0).alias("v"), r0.alias("r0"), c0.alias("c0"), corner.alias("k"))
-    t = t.withColumn("r", F.col("r0") + F.col("k.i")).withColumn("c", F.col("c0") + F.col("k.j"))
-    weight = F.when(F.col("k.i") == 1, F.col("u")).otherwise(1 - F.col("u")) * F.when(F.col("k.j") == 1, F.col("v")).otherwise(1 - F.col("v"))
-    got = t.join(tiles.where("z is not null"), ["tile", "r", "c"]).groupBy(*keys).agg(F.sum(weight * F.col("z")).alias("z"), F.count("*").alias("n")).where("n = 4").drop("n")
+    t = points.select(*keys, tile_name(F.col("lat"), F.col("lon")).alias("tile"), (fr - r0).alias("__u"), (fc - c0).alias("__v"), r0.alias("__r"), c0.alias("__c"), corner.alias("__k"))
+    t = t.withColumn("r", F.col("__r") + F.col("__k.i")).withColumn("c", F.col("__c") + F.col("__k.j"))
+    weight = F.when(F.col("__k.i") == 1, F.col("__u")).otherwise(1 - F.col("__u")) * F.when(F.col("__k.j") == 1, F.col("__v")).otherwise(1 - F.col("__v"))
+    got = t.join(tiles.where("z is not null"), ["tile", "r", "c"]).groupBy(*keys).agg(F.sum(weight * F.col("z")).alias("z"), F.count("*").alias("__n")).where("__n = 4").drop("__n")
     return points.select(*keys).join(got, keys, "left")
 
 
