@@ -125,9 +125,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, id
     df = {r["term"]: r["df"] for r in chosen}
     idf = np.array([math.log((1 + n) / (1 + df[t])) + 1 for t in terms])
     number = {t: i for i, t in enumerate(terms)}
-    wanted = F.array(*map(F.lit, terms)) if terms else F.array().cast("array<string>")
-    own = rows.select("doc_id", "y", F.filter("words", lambda w: F.array_contains(wanted, w)).alias("words")) if len(terms) < 64 else rows.select("doc_id", "y", F.explode("words").alias("term")).join(F.broadcast(docs.sparkSession.createDataFrame([(t,) for t in terms], "term string")), "term").groupBy("doc_id", "y").agg(F.collect_list("term").alias("words"))
-    examples = [(r["doc_id"], r["y"], list(Counter(number[w] for w in r["words"]).items())) for r in own.where(F.size("words") > 0).orderBy("doc_id", "y").collect()]
+    # MAX_TERMS bounds what is broadcast; counts of a text's terms reach the driver, never its words.
+    wanted = F.broadcast(docs.sparkSession.createDataFrame([(t,) for t in terms], "term string"))
+    counts = rows.select("doc_id", "y", F.explode("words").alias("term")).join(wanted, "term").groupBy("doc_id", "y", "term").agg(F.count("*").alias("n"))
+    own = counts.groupBy("doc_id", "y").agg(F.collect_list(F.struct("term", "n")).alias("found"))
+    examples = [(r["doc_id"], r["y"], [(number[f["term"]], f["n"]) for f in r["found"]]) for r in own.orderBy("doc_id", "y").collect()]
     with_terms, with_pos = len(examples), sum(y for _, y, _ in examples)
     rest = (max(0, pos - with_pos) + 0.5 * pos / n) / (max(0, n - with_terms) + 0.5)
     return Index(terms, idf, examples, pos / n, min(1.0, rest))
