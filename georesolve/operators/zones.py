@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geo import from_mercator, to_l93
 from ..functions.scoring import NO_LIMIT
 
 DETAIL = ["elev", "rel_elev_2km", "rel_elev_5km", "tpi_1km", "slope_pct", "southness", "farm_share_800m", "vineyard_share_1km", "forest_share_1km", "dist_motorway", "dist_rail", "dist_school", "dist_bakery", "dist_services", "pop_2km", "income_1km", "mean_house_m2"]
@@ -92,5 +93,14 @@ def named(areas: DataFrame, text: str) -> DataFrame:
     return exact.unionByName(areas.where(F.lower("name").contains(t)).join(exact.select(F.lit(1).alias("__e")).limit(1), F.lit(True), "left_anti"))
 
 
+def cell_at(clicks: DataFrame, grid, cells: DataFrame) -> DataFrame:
+    """clicks (mx, my in Web Mercator metres) with the cell under each; null outside the grid."""
+    lon, lat = from_mercator(F.col("mx"), F.col("my"))
+    at = clicks.withColumn("__lon", lon).withColumn("__lat", lat)
+    x, y = to_l93(F.col("__lon"), F.col("__lat"))
+    row, col = grid.bin(x, y)
+    return at.withColumn("row", row).withColumn("col", col).drop("__lon", "__lat").join(cells, ["row", "col"], "left")
+
+
 def nearest_areas(areas: DataFrame, x: float, y: float, k: int = 15) -> DataFrame:
     return areas.withColumn("dist", F.hypot(F.col("x") - x, F.col("y") - y)).orderBy("dist", "name").limit(k)

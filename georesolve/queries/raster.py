@@ -370,3 +370,36 @@ def flagship(spark, d):
     return rc(focal.smooth(raw, "raw", 2, "field"), F.round("field", 4).alias("field"), "limiting")
 
 
+
+
+@query("area_lookup", f"WITH {SHOPS} SELECT sid FROM sh WHERE 'area ' || CAST(sid AS VARCHAR) LIKE '%rea 1%'")
+def area_lookup(spark, d):
+    """No area has that very name, so those that contain it are found."""
+    a = shops(spark, d).select("sid", F.concat(F.lit("Area "), F.col("sid").cast("string")).alias("name"))
+    return zones.named(a, "rea 1").select("sid")
+
+
+@query("click_lookup")
+def click_lookup(spark, d):
+    """Clicks at cell centres must find their cells again."""
+    grid = geo.Grid(835000.0, 6580000.0, 5000.0, 200.0)
+    cells_ = grid.with_wgs(grid.cells(spark)).select("row", "col", "lon", "lat")
+    mx, my = geo.mercator(F.col("lon"), F.col("lat"))
+    clicks = cells_.select(F.col("row").alias("r0"), F.col("col").alias("c0"), mx.alias("mx"), my.alias("my"))
+    found = zones.cell_at(clicks, grid, cells_.select("row", "col"))
+    return found.select("r0", "c0", ((F.col("row") == F.col("r0")) & (F.col("col") == F.col("c0"))).alias("same"))
+
+
+@query("census_layers")
+def census_layers(spark, d):
+    k = F.col("c_custkey")
+    fields = [((k * (7 + i)) % 50).cast("double").alias(c) for i, c in enumerate(layers.CENSUS)]
+    census = table(spark, d, "customer").select(((k * 71) % 10000).cast("double").alias("x"), ((k * 53) % 10000).cast("double").alias("y"), *fields)
+    out = layers.census_layers(GRID.cells(spark).select("row", "col"), census, GRID)
+    return rc(out, *[F.round(c, 4).alias(c) for c in ("pop_1km", "pop_2km", "income_1km", "social_housing_share_1km", "poor_share_1km", "house_share_1km", "mean_house_m2")])
+
+
+@query("ring_shoelace", f"WITH {LINES}, s AS (SELECT *, coalesce(lead(x) OVER w, first(x) OVER w) AS nx, coalesce(lead(y) OVER w, first(y) OVER w) AS ny FROM ln WINDOW w AS (PARTITION BY fid ORDER BY seq)) SELECT fid, abs(sum(x * ny - nx * y)) / 2 AS area FROM s GROUP BY fid")
+def ring_shoelace(spark, d):
+    rings = lines(spark, d).groupBy("fid").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("ring"))
+    return rings.select("fid", vector.shoelace_array(F.col("ring")).alias("area"))

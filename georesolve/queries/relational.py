@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import Grid
 from ..operators import resolution, store, views
+from ..sources import listings as sources
 from ..sources import sinks
 from .base import GROUPS, LISTINGS, VOTES, groups, listings, people, query, table, votes
 
@@ -405,3 +406,40 @@ def whitelist_json(spark, d):
     c = spark.range(6).select(F.concat(F.lit("c"), i.cast("string")).alias("code"), F.element_at(F.array(*map(F.lit, ["excluded", "green", "amber"])), (i % 3 + 1).cast("int")).alias("status"), (i * 10.0).alias("p90"))
     z = spark.range(2).select((i + 1).alias("rank"), (i * 5.0).alias("score_max"))
     return sinks.whitelist(c, z).select(F.substring("whitelist", 1, 40).alias("head"))
+
+
+@query("hidden_list", f"WITH {MEMBERS} SELECT group_id, count(*) AS n_listings FROM mb GROUP BY group_id HAVING bool_or(ord % 101 = 0)")
+def hidden_list(spark, d):
+    m = _members(spark, d)
+    none = m.select(F.col("group_id").alias("key"), F.lit("x").alias("status")).limit(0)
+    return views.group_list(m, m.where("ord % 101 = 0").select("key"), none, _photos(spark, d), only_hidden=True).select("group_id", "n_listings")
+
+
+@query("photos_to_hash", f"WITH {LISTINGS} SELECT key, CAST(i AS INT) AS ord FROM l, range(2) t(i) WHERE i <= ord % 4 AND NOT (i = 0 AND ord % 3 = 0)")
+def photos_to_hash(spark, d):
+    """The first two photos of each listing, less those hashed before."""
+    p = _photos(spark, d)
+    hashed = listings(spark, d).where("ord % 3 = 0").select("key", F.concat("key", F.lit("/0")).alias("url"))
+    return store.to_hash(p, hashed, 2).select("key", "ord")
+
+
+@query("api_records", "SELECT p_partkey AS id, CAST(100000 + p_size AS INT) AS price FROM part WHERE p_size % 3 <> 0")
+def api_records(spark, d):
+    item = F.to_json(F.struct(F.col("p_partkey").alias("id"), (100000 + F.col("p_size")).cast("int").alias("price"), F.when(F.col("p_size") % 3 == 0, "RENT").otherwise("SALE").alias("deal")))
+    records = table(spark, d, "part").select(F.concat(F.lit('{"items":['), item, F.lit("]}")).alias("body"))
+    return sources.api_listings(records, "items", "struct<id:long,price:int,deal:string>", F.col("r.deal") == "SALE", {"id": F.col("r.id"), "price": F.col("r.price")})
+
+
+@query("photo_matches")
+def photo_matches(spark, d):
+    """Photo hits of embeddings' sign hashes, three photos a listing."""
+    h = _hashes(spark, d).withColumn("key", F.expr("vec_id div 3"))
+    p = h.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "h"))), lambda s: F.struct(s["h"].alias("phash"), s["h"].alias("dhash"))).alias("photos"))
+    a, b = p.select(F.col("key").alias("a"), F.col("photos").alias("pa")), p.select((F.col("key") - 1).alias("a"), F.col("photos").alias("pb"))
+    return a.join(b, "a").select("a", resolution.photo_hits(F.col("pa"), F.col("pb")).alias("hits"), resolution.photo_best(F.col("pa"), F.col("pb")).cast("int").alias("best"))
+
+
+@query("place_notes", "SELECT p_partkey, (['commune', 'exact_zone'])[p_partkey % 2 + 1] AS kind, CASE WHEN p_partkey % 2 = 0 THEN 'green' END AS status, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_size AS INT) END AS ha FROM part")
+def place_notes(spark, d):
+    note = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("commune:green:"), F.col("p_size").cast("string"))).otherwise("exact_zone")
+    return table(spark, d, "part").select("p_partkey", store.place_note_parts(note).alias("n")).select("p_partkey", "n.*")
