@@ -235,8 +235,10 @@ def _linked_rows(docs: DataFrame, radius: int, shingle: int, seed: int, id_col:
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
     nodes = checkpointed(rows.groupBy("fp").agg(F.min(row).alias("first")))
     roots = components(links(nodes.select("fp"), radius))
-    of = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = of.join(of.groupBy("root").agg(F.min("first").alias("least")), "root").select("fp", F.col("least").alias("first"))
+    of = checkpointed(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    # Apart from the sum before it, the join of a large component's rows can be split.
+    least = checkpointed(of.groupBy("root").agg(F.min("first").alias("least")))
+    named = of.join(least, "root").select("fp", F.col("least").alias("first"))
     return rows.join(named, "fp")
 
 
