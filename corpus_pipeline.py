@@ -31,12 +31,12 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts whose fingerprints link the row with the smallest identifier stays.
+    """Of texts whose five-word shingles have a Jaccard likeness of 0.8 the row with the smallest identifier stays.
 
-    Fingerprints of five-word shingles within 10 of 64 bits: texts whose shingles have a Jaccard
-    likeness of 0.8 differ in about 10 bits, unrelated ones in about 30.
+    Fingerprints within 14 of 64 bits propose the pairs: texts of that likeness differ in about 10 bits,
+    unrelated ones in about 30. Each proposed pair is tested on its shingles.
     """
-    return simhash.keep_one(docs, radius=10, shingle=5, seed=42)
+    return simhash.keep_one(docs, radius=14, shingle=5, seed=42, likeness=0.8)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

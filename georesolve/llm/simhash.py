@@ -14,6 +14,11 @@ own. Only a spanning star of each linked set leaves a task, never all its pairs.
 are one row throughout, so copies cost nothing. Components come from alternating large-star and
 small-star rounds over the stars.
 
+``keep_one`` uses fingerprints only to propose pairs: every pair within the radius is emitted (once, under
+the first choice that both agree on), and only pairs whose shingle sets have the asked Jaccard likeness
+are links. Texts with one shingle set are one node. Pairs are tested in rounds, few of each node first;
+pairs that links already join are left out, so dense sets of copies don't have all their pairs tested.
+
 Defined results: a null or blank text has fingerprint zero and links like any other; repeated rows and
 ties share a component; rows with a null identifier are linked, and a component of such rows alone
 has a null component_id.
@@ -28,7 +33,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, for_python
@@ -40,9 +45,13 @@ SIDE = 512
 #: Fingerprints that a key should hold on average.
 KEY_ROWS = 256
 #: Keys that a fingerprint is filed under at most.
-MAX_CHOICES = 100
+MAX_CHOICES = 120
 #: Shingle hashes whose bits are counted at once.
 HASHES = 65_536
+#: Rows of a frame that a comparing task hands on at least, if it has as many.
+PAIRS = 65_536
+#: Untested pairs of a node that are tested in a round; after these rounds all that are left.
+TESTED = (1, 16)
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -58,17 +67,44 @@ def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, id_col: str
     return rows.mapInPandas(of, "doc_id long, h long, fp long")
 
 
+def shingled(docs: DataFrame, shingle: int, seed: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, h, fp as in fingerprints, node (hash of the set of shingle hashes), size (of that set)."""
+
+    def of(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            hashes = [shingle_hashes(t, shingle, seed) for t in b["text"]]
+            fps = np.fromiter(map(majority, hashes), dtype=np.uint64, count=len(b))
+            sets = [np.unique(x) for x in hashes]
+            nodes = np.fromiter((xxhash.xxh64_intdigest(x.tobytes()) for x in sets), dtype=np.uint64, count=len(b))
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "h": b["h"], "fp": fps.view(np.int64), "node": nodes.view(np.int64), "size": [len(x) for x in sets]})
+
+    for_python(docs.sparkSession)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), F.col(text_col).alias("text"))
+    return rows.mapInPandas(of, "doc_id long, h long, fp long, node long, size long")
+
+
 def fingerprint(text: str | None, shingle: int, seed: int) -> int:
+    return majority(shingle_hashes(text, shingle, seed))
+
+
+def shingle_hashes(text: str | None, shingle: int, seed: int) -> np.ndarray:
+    """XXH64 of each run of shingle words; a shorter text is one run."""
     words = (text or "").encode().lower().split()  # bytes: A-Z only, and the six ASCII spaces
     if not words:
-        return 0
+        return np.empty(0, dtype=np.uint64)
     joined, n = b" ".join(words), max(1, len(words) - shingle + 1)
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])[:n].tolist()
     ends = ends[min(shingle, len(words)) - 1 :].tolist()
-    counts, digest = np.zeros(64, dtype=np.int64), xxhash.xxh64_intdigest
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(joined[s:e], seed) for s, e in zip(starts, ends, strict=True)), dtype=np.uint64, count=n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have."""
+    n, counts = len(hashes), np.zeros(64, dtype=np.int64)
     for at in range(0, n, HASHES):
-        h = np.array([digest(joined[s:e], seed) for s, e in zip(starts[at : at + HASHES], ends[at : at + HASHES], strict=True)], dtype=">u8")
+        h = hashes[at : at + HASHES].astype(">u8")
         counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
 
@@ -92,8 +128,8 @@ def key_choices(n: int, radius: int, bits: int = 64, key_rows: int = KEY_ROWS) -
     return [sum(c) for c in itertools.combinations(parts, blocks - radius)]
 
 
-def links(fps: DataFrame, radius: int = 4, tile: int = TILE) -> DataFrame:
-    """a, b (a < b): spanning stars of fingerprints within the radius. fps: distinct fp."""
+def links(fps: DataFrame, radius: int = 4, tile: int = TILE, every: bool = False) -> DataFrame:
+    """a, b (a < b): spanning stars of fingerprints within the radius, or every such pair. fps: distinct fp."""
     spark, n = fps.sparkSession, fps.count()
     masks = key_choices(n, radius)
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
@@ -111,14 +147,29 @@ def links(fps: DataFrame, radius: int = 4, tile: int = TILE) -> DataFrame:
     sorted_rows = dealt.repartition(shuffle, "choice", "key", "p", "q").sortWithinPartitions("choice", "key", "p", "q")
 
     def compared(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for a, b in _stars(batches, radius):
-            yield pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
+        held, n = [], 0
+        for choice, fp, part in _groups(batches):
+            for a, b in near_pairs(fp, part, radius, masks[:choice]) if every else [linked(fp, part, radius)]:
+                if len(a):
+                    held.append((a, b))
+                    n += len(a)
+                if n >= PAIRS:
+                    yield _framed(held)
+                    held, n = [], 0
+        if held:
+            yield _framed(held)
 
-    return sorted_rows.mapInPandas(compared, "a long, b long").distinct()
+    found = sorted_rows.mapInPandas(compared, "a long, b long")
+    return found if every else found.distinct()
 
 
-def _stars(batches: Iterable[pd.DataFrame], radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Stars of each task's groups; a group may run over several batches."""
+def _framed(pairs: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
+    a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
+
+
+def _groups(batches: Iterable[pd.DataFrame]) -> Iterator[tuple[int, np.ndarray, np.ndarray | None]]:
+    """Choice, fingerprints and (if two parts meet) parts of each group; a group may run over several batches."""
     held: list[pd.DataFrame] = []
     for b in itertools.chain(batches, [None]):
         if b is not None and not len(b):
@@ -130,20 +181,39 @@ def _stars(batches: Iterable[pd.DataFrame], radius: int) -> Iterator[tuple[np.nd
         starts = np.concatenate([[0], np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1, [len(ids)]])
         last = len(starts) - 1 if b is None else len(starts) - 2  # the last group may go on
         fp, part = rows["fp"].to_numpy(dtype=np.int64).view(np.uint64), rows["part"].to_numpy()
-        out = []
         for k in range(last):
             s, e = starts[k], starts[k + 1]
             if e - s > 1:
-                x, y = linked(fp[s:e], part[s:e] if ids[s, 2] != ids[s, 3] else None, radius)
-                if len(x):
-                    out.append((x, y))
-        if out:
-            yield np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
+                yield int(ids[s, 0]), fp[s:e], part[s:e] if ids[s, 2] != ids[s, 3] else None
         held = [] if b is None else [rows.iloc[starts[-2] :]]
         if b is None:
             return
 
 
+def near_pairs(fp: np.ndarray, part: np.ndarray | None, radius: int, earlier: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs within the radius, but for those that agree on an earlier choice."""
+    order = np.argsort(np.bitwise_count(fp), kind="stable")
+    fp, ones = fp[order], np.bitwise_count(fp[order]).astype(np.int64)
+    side, n, masks = part[order] if part is not None else None, len(fp), [np.uint64(m) for m in earlier]
+    for i in range(0, n, SIDE):
+        for j in range(i, n, SIDE):
+            if ones[j] - ones[min(i + SIDE, n) - 1] > radius:
+                break
+            near = np.bitwise_count(fp[i : i + SIDE, None] ^ fp[None, j : j + SIDE]) <= radius
+            if i == j:
+                near = np.triu(near, 1)
+            if side is not None:
+                near &= side[i : i + SIDE, None] != side[None, j : j + SIDE]
+            x, y = np.nonzero(near)
+            a, b = fp[x + i], fp[y + j]
+            for m in masks:
+                if not len(a):
+                    break
+                new = ((a ^ b) & m) != 0
+                a, b = a[new], b[new]
+            yield np.minimum(a, b), np.maximum(a, b)
+
+
 def linked(fp: np.ndarray, part: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Star edges (smallest fingerprint of its set, fingerprint) of the sets that links join in fp."""
     order = np.argsort(np.bitwise_count(fp), kind="stable")
@@ -248,13 +318,74 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: in
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay: of each component, the one with the smallest identifier.
+def candidates(nodes: DataFrame, radius: int, likeness: float) -> DataFrame:
+    """a, b (a < b): nodes within the radius whose sizes allow the likeness. nodes: node, fp, size."""
+    of = nodes.select("node", "fp", "size")
+    a, b = (of.select(*[F.col(c).alias(f"{c}_{side}") for c in of.columns]) for side in "ab")
+    near = links(of.select("fp").distinct(), radius, every=True)
+    met = near.join(a, near["a"] == a["fp_a"]).join(b, near["b"] == b["fp_b"]).select("node_a", "node_b", "size_a", "size_b")
+    same = a.join(b, (a["fp_a"] == b["fp_b"]) & (a["node_a"] < b["node_b"])).select("node_a", "node_b", "size_a", "size_b")
+    fits = F.least("size_a", "size_b") >= F.lit(likeness) * F.greatest("size_a", "size_b")
+    return met.unionByName(same).where(fits).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+
 
-    Of rows with one identifier the one whose text has the smaller hash stays; rows alike in both stay
-    together, as exact deduplication comes before.
+def alike(pairs: DataFrame, texts: DataFrame, likeness: float, shingle: int, seed: int) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have the Jaccard likeness. texts: node, text."""
+
+    def of(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, held = None, frozenset()
+        for rows in batches:
+            keep = []
+            for b, ta, tb in zip(rows["b"], rows["ta"], rows["tb"], strict=True):
+                if b != last:  # rows come by b
+                    last, held = b, frozenset(shingle_hashes(tb, shingle, seed).tolist())
+                own = frozenset(shingle_hashes(ta, shingle, seed).tolist())
+                shared = len(own & held)
+                keep.append(shared >= likeness * (len(own) + len(held) - shared))
+            yield rows.loc[keep, ["a", "b"]]
+
+    for_python(pairs.sparkSession)
+    ta, tb = texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
+    return pairs.select("a", "b").join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInPandas(of, "a long, b long")
+
+
+def linked_nodes(docs: DataFrame, nodes: DataFrame, radius: int, likeness: float, shingle: int, seed: int, text_col: str = "text") -> DataFrame:
+    """node, root: components over the candidates that are alike. nodes: node, fp, size, first (with h)."""
+    left, found = checkpointed(candidates(nodes, radius, likeness)), None
+    text = docs.select(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), F.col(text_col).alias("text"))
+    for most in [*TESTED, None]:
+        ranked = checkpointed(left.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy("b")))) if most else left.withColumn("rank", F.lit(0))
+        now = ranked.where(F.col("rank") <= (most or 0))
+        named = now.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", F.col("first.h").alias("h")), "node")
+        texts = checkpointed(text.join(named, "h").dropDuplicates(["node"]).select("node", "text"))
+        new = alike(now, texts, likeness, shingle, seed)
+        found = checkpointed(new if found is None else found.unionByName(new))
+        roots = components(found)
+        if not most:
+            return roots
+        a, b = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+        apart = F.coalesce("ra", "a") != F.coalesce("rb", "b")
+        left = checkpointed(ranked.where(F.col("rank") > most).join(a, "a", "left").join(b, "b", "left").where(apart).select("a", "b"))
+        if left.isEmpty():
+            return roots
+    return roots
+
+
+def keep_one(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", likeness: float = 0.8) -> DataFrame:
+    """The rows of docs that stay: of each component of texts that are alike, the one with the smallest identifier.
+
+    Links are pairs within the radius whose shingle sets have the Jaccard likeness. Of rows with one
+    identifier the one whose text has the smaller hash stays; rows alike in both stay together, as exact
+    deduplication comes before.
     """
-    rows = _linked_rows(docs, radius, shingle, seed, id_col, text_col)
+    rows = checkpointed(shingled(docs, shingle, seed, id_col, text_col))
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+    nodes = checkpointed(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("size").alias("size"), F.min(row).alias("first")))
+    roots = linked_nodes(docs, nodes, radius, likeness, shingle, seed, text_col)
+    of = checkpointed(nodes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    # Apart from the sum before it, the join of a large component's rows can be split.
+    least = checkpointed(of.groupBy("root").agg(F.min("first").alias("least")))
+    rows = rows.join(of.join(least, "root").select("node", F.col("least").alias("first")), "node")
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("h") == F.col("first.h"))
     lost = rows.where(~stays).select(F.col("doc_id").alias("__lost_id"), F.col("h").alias("__lost_h")).distinct()
     own_h = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))

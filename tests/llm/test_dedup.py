@@ -112,3 +112,38 @@ def test_near_copies_leave_one(spark):
     docs = [(1, " ".join(base)), (2, " ".join([*base[:200], "changed", *base[201:]])), (3, prose(9, 400))]
     kept = simhash.keep_one(spark.createDataFrame(docs, "doc_id long, text string"), radius=10, shingle=5)
     assert {r.doc_id for r in kept.collect()} == {1, 3}
+
+
+def test_every_pair_is_emitted_once(spark):
+    rng, f, fps = random.Random(5), 0, set()
+    for _ in range(150):
+        fps.add(f)
+        f ^= sum(1 << b for b in rng.sample(range(64), 3))
+    fps = sorted(fps)
+    signed = np.array(fps, dtype=np.uint64).view(np.int64).tolist()
+    for tile in (4096, 7):
+        rows = simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"), 14, tile, every=True).collect()
+        got = [tuple(sorted((r.a % 2**64, r.b % 2**64))) for r in rows]
+        assert len(got) == len(set(got))
+        assert set(got) == {(a, b) for i, a in enumerate(fps) for b in fps[i + 1 :] if (a ^ b).bit_count() <= 14}
+
+
+def shingles(t):
+    w = t.split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+
+def test_near_fingerprints_of_unlike_texts_stay(spark):
+    """A chain of texts: neighbours' fingerprints are within 14 bits, but only some are 0.8 alike."""
+    base = prose(5, 400).split()
+    docs = [(1, " ".join(base))]
+    for i in range(1, 9):
+        base = [*base[: 40 * i], *prose(50 + i, 6 * i).split(), *base[40 * i + 6 * i :]]
+        docs.append((i + 1, " ".join(base)))
+    fps = [simhash.fingerprint(t, 5, 42) for _, t in docs]
+    ratio = lambda a, b: len(a & b) / len(a | b)
+    linked = {i for i in range(1, 9) for j in range(i) if ratio(shingles(docs[i][1]), shingles(docs[j][1])) >= 0.8}
+    near = {i for i in range(1, 9) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 14}
+    assert linked < near
+    kept = simhash.keep_one(spark.createDataFrame(docs, "doc_id long, text string"), radius=14, shingle=5)
+    assert {r.doc_id for r in kept.collect()} == {i + 1 for i in range(9)} - {i + 1 for i in linked}
