@@ -2,7 +2,10 @@
 
 A document is the set of the digests of its paragraphs: its lines, longer ones cut to passages. Passages
 are a power of two long, an eighth to a quarter of the text (``LEAST_PASSAGE`` at least), so versions of
-one text are cut alike; texts of different passage lengths are compared at the longer one. Each digest is added to one cell of each of three subtables; a cell holds how
+one text are cut alike; texts of different passage lengths are compared at the longer one. By content
+(as op10 asks) lines are instead cut after words whose hash has ``CUT_BITS`` low bits of zero, and into
+pieces of ``LONGEST_PIECE`` at most, alike for every text: stored tables of any two texts subtract. Words
+are runs of Latin letters, digits and signs; any other character is a word. Each digest is added to one cell of each of three subtables; a cell holds how
 many digests it has, their exclusive-or, and the exclusive-or of their checksums. Cells of two versions
 subtract, what both versions share vanishes, and peeling recovers the rest: a cell with one digest
 yields it, which is then taken from its other cells, until all are empty.
@@ -23,6 +26,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PASSAGES, LEAST_PASSAGE = 8, 8
+CUT_BITS, LONGEST_PIECE = 4, 256
+#: A word with the character after it; a longer run of Latin characters is several words.
+WORDS = r"[\x21-\x{24F}]{1,64}[^\x21-\x{24F}]?|[^\x21-\x{24F}]"
 SLOTS, TABLES = 8, 3
 #: Digests that a group should have on average, of both documents together.
 GROUP_DIGESTS = 12
@@ -47,6 +53,12 @@ def digests_sql(text: str, passage: str) -> str:
     return f"array_distinct(transform(regexp_extract_all({text}, concat('([^\\n]{{1,', {passage}, '}})'), 1), piece -> xxhash64(piece)))"
 
 
+def pieces_sql(text: str) -> str:
+    """Distinct digests of a text's pieces, cut by content; the marks are line breaks."""
+    marked = f"array_join(transform(regexp_extract_all({text}, r'({WORDS})', 1), word -> if((xxhash64(word) & {(1 << CUT_BITS) - 1}) = 0, concat(word, '\n'), word)), '')"
+    return f"array_distinct(transform(regexp_extract_all({marked}, '([^\n]{{1,{LONGEST_PIECE}}})', 1), piece -> xxhash64(piece)))"
+
+
 def _check(key: str) -> str:
     return f"hash({key})"
 
@@ -114,12 +126,16 @@ def difference_sql(a: str, b: str, cells_a: str, cells_b: str) -> str:
     return let(peeled_sql(subtracted_sql(cells_a, cells_b)), "first_try", f"if({_done('first_try')}, {_sides('first_try')}, {merged})")
 
 
-def compared_sql(text_a: str, text_b: str, a: str, b: str) -> str:
+def compared_sql(text_a: str, text_b: str, a: str, b: str, by_content: bool = False) -> str:
     """Struct a, b (digests that only one text has) and n (digests of both texts).
 
+    Texts cut by content are compared by their stored tables, whatever their lengths.
+
     a, b: names of the texts' columns of digests; with suffixes _cells and _passage their tables and lengths.
     """
     whole = lambda x, y, cx, cy: let(difference_sql(x, y, cx, cy), "diff", f"named_struct('a', diff.a, 'b', diff.b, 'n', size({x}) + size({y}))")
+    if by_content:
+        return whole(a, b, f"{a}_cells", f"{b}_cells")
     longer = f"greatest({a}_passage, {b}_passage)"
     again = let(digests_sql(text_a, longer), "da", let(digests_sql(text_b, longer), "db", whole("da", "db", cells_sql("da"), cells_sql("db"))))
     return f"if({a}_passage = {b}_passage, {whole(a, b, f'{a}_cells', f'{b}_cells')}, {again})"
@@ -183,16 +199,19 @@ def with_next(docs: DataFrame, derived: dict[str, Column] | None = None, more: l
     return own.withColumns({f"next_{n}": F.lead(n).over(order) for n in names}).where("guest = 0").select("doc_id", *names, *[f"next_{n}" for n in names])
 
 
-def versions(docs: DataFrame) -> DataFrame:
+def versions(docs: DataFrame, by_content: bool = False) -> DataFrame:
     """Fingerprints of each document and of its edited version, and their likeness.
 
     The edit replaces the last third of the code points by as many of the next document's first ones.
+    by_content: cut lines by content; the fingerprint's passage length is then zero.
     """
-    rows = with_next(docs, {"a_passage": F.expr(passage_sql("text"))}, [{"a": F.expr(digests_sql("text", "a_passage"))}, {"a_cells": F.expr(cells_sql("a"))}])
+    passage = lambda text: F.lit(0) if by_content else F.expr(passage_sql(text))
+    digests = lambda text, name: F.expr(pieces_sql(text) if by_content else digests_sql(text, name))
+    rows = with_next(docs, {"a_passage": passage("text")}, [{"a": digests("text", "a_passage")}, {"a_cells": F.expr(cells_sql("a"))}])
     rows = rows.withColumnsRenamed({"next_a": "x", "next_a_cells": "x_cells", "next_a_passage": "x_passage"})
     rows = rows.withColumn("n_chars", F.length("text").cast("long")).withColumn("edited", F.expr("concat(substring(text, 1, int(n_chars - n_chars div 3)), substring(next_text, 1, int(n_chars div 3)))"))
-    rows = rows.withColumn("e_passage", F.expr(passage_sql("edited"))).withColumn("e", F.expr(digests_sql("edited", "e_passage"))).withColumn("e_cells", F.expr(cells_sql("e")))
-    rows = rows.withColumns({"to_edited": F.expr(compared_sql("text", "edited", "a", "e")), "to_next": F.expr(compared_sql("text", "next_text", "a", "x"))})
+    rows = rows.withColumn("e_passage", passage("edited")).withColumn("e", digests("edited", "e_passage")).withColumn("e_cells", F.expr(cells_sql("e")))
+    rows = rows.withColumns({"to_edited": F.expr(compared_sql("text", "edited", "a", "e", by_content)), "to_next": F.expr(compared_sql("text", "next_text", "a", "x", by_content))})
     return rows.select(
         "doc_id",
         "n_chars",

@@ -82,7 +82,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint.versions(table(spark, sf_dir, "documents"))
+    return fingerprint.versions(table(spark, sf_dir, "documents"), by_content=True)
 
 
 OP9_SQL = """

@@ -127,6 +127,31 @@ def test_fingerprints_of_versions(spark, odd, empty, monkeypatch, bucket):
     assert fingerprint.versions(odd).count() == len(ODD)
 
 
+def test_small_changes_keep_texts_alike(spark, odd, empty):
+    """Single-line texts of two sizes whose edited version differs in a few characters; all else is new."""
+    import random
+
+    rng = random.Random(1)
+    made = [" ".join("".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(n)) for n in (1500, 400)] + ["".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(3000))]
+    rows = []
+    for k, t in enumerate(made):
+        changed = list(t)
+        for at in (60, len(t) // 2, len(t) - 40):
+            changed[at : at + 1] = "zz"  # what follows is shifted
+        rows.append((k, t, "".join(changed)))
+    df = spark.createDataFrame(rows, "k int, t string, u string")
+    df = df.withColumns({"a": F.expr(fingerprint.pieces_sql("t")), "b": F.expr(fingerprint.pieces_sql("u"))}).withColumns({"a_cells": F.expr(fingerprint.cells_sql("a")), "b_cells": F.expr(fingerprint.cells_sql("b"))})
+    df = df.withColumn("c", F.expr(fingerprint.compared_sql("t", "u", "a", "b", True)))
+    for r in df.select("a", "b", F.expr(fingerprint.likeness_sql("c")).alias("got")).collect():
+        a, b = set(r.a), set(r.b)
+        assert r.got == pytest.approx(len(a & b) / len(a | b)) and r.got > 0.6 and len(a) > 8
+    two = spark.createDataFrame([(1, made[0]), (2, made[0] * 9)], "doc_id long, text string")
+    got = {r.doc_id: r for r in fingerprint.versions(two, by_content=True).collect()}
+    assert got[1].near_next == got[2].near_next > 0.9  # of different lengths, cut alike
+    assert fingerprint.versions(empty, by_content=True).count() == 0
+    assert fingerprint.versions(odd, by_content=True).count() == len(ODD)
+
+
 def test_difference_is_recovered_at_every_size(spark):
     """Sets that differ in 0 to 3000 digests: first tables, groups and larger retries."""
     rows = [(k, list(range(1, 500)), list(range(1 + k, 500 + 2 * k))) for k in (0, 1, 5, 40, 300, 1500)]
