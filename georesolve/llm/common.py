@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -10,9 +11,12 @@ from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: A word of prose: a run of letters (and other numerals), as the fits and the scorers cut them.
+WORD = re.compile(r"[^\W\d_]+")
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -29,10 +33,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster shares, as spark.checkpoint.dir names it.
 
-    Only where the session has none (tests, a laptop) a temporary folder is set, once.
+    Only a local session may have none (tests, a laptop): a temporary folder is set, once.
     """
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not folder and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not folder:
         folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
         sc.setCheckpointDir(folder)
@@ -46,6 +52,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def dropped(spark: SparkSession, path: str) -> None:
+    """Delete a scratch path that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Materialise df in the shared folder; its lineage ends there."""
     shared_folder(df.sparkSession)
@@ -70,21 +82,32 @@ def for_python(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def kept_rows(docs: DataFrame, text_col: str, tester: Callable[[], Callable[[str | None], bool]]) -> DataFrame:
+def kept_rows(docs: DataFrame, text_col: str, tester: Callable[[], Callable[[list[str | None]], list[bool]]]) -> DataFrame:
     """The rows whose text passes; every column goes through untouched, and nothing is shuffled.
 
-    tester: called once in each task, gives the test of a text.
+    tester: called once in each task, gives the test of a batch's texts.
     """
 
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         test = tester()
         for b in batches:
-            yield b.filter(pa.array([test(t) for t in b.column(text_col).to_pylist()], pa.bool_()))
+            yield b.filter(pa.array(test(b.column(text_col).to_pylist()), pa.bool_()))
 
     for_python(docs.sparkSession)
     return docs.mapInArrow(of, docs.schema)
 
 
+def drawn(key: Column, n: int, most: int) -> Column:
+    """Whether a row of n is drawn by its key's hash so that about ``most`` are; all are if n is no more."""
+    if n <= most:
+        return F.lit(True)
+    return F.xxhash64(key) < F.lit(-(1 << 63) + (most << 64) // n)
+
+
+def word_hash(word: str) -> int:
+    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 42)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z; every other character stays."""
     return F.translate(text, UPPER, LOWER)

@@ -1,11 +1,14 @@
 """Exact deduplication: a tree merge of sorted digest runs.
 
 Every input partition turns its rows into a sorted run of (digest, kept identifier, rows). Runs then
-move through ``rounds`` exchange rounds over ``fan_in ** rounds`` lanes: in round r the ``fan_in``
-lanes that differ only in digit r swap parts, so that afterwards digit r of a lane is digit r of the
-digests it holds. Each lane merges the runs it receives, and equal digests collapse to one entry at
-every level. A text that makes up a third of all rows is thus one entry per partition after the first
-level, and no lane ever holds more than its share of the distinct digests.
+move through ``rounds`` exchange rounds over ``fan_in ** rounds`` lanes. A binomial round pairs the
+lanes that differ in one bit; a round here takes ``log2(fan_in)`` of them at once: the ``fan_in`` lanes
+that differ only in digit r swap parts, so that afterwards digit r of a lane is digit r of the digests
+it holds. The halves that binomial rounds would send on whole are so divided that no lane becomes the
+root of all. Each lane merges the sorted runs it receives, pair by pair up a tree (an entry's place is
+its rank in its own run plus its rank in the other), and equal digests collapse to one entry at every
+level. A text that makes up a third of all rows is thus one entry per partition after the first level,
+and no lane ever holds more than its share of the distinct digests.
 
 A digest is SHA-256 followed by the XXH64 of the same normalised text; two rows count as copies only
 if both agree.
@@ -58,7 +61,7 @@ def merged_runs(rows: DataFrame, keep: str = "smallest", fan_in: int = FAN_IN, l
         held, n_held = [], 0
         for b in batches:
             if len(b):
-                held.append((b["lane"].iloc[0], *_entries(b)))
+                held.append((b["lane"].iloc[0], *_sorted_run(*_entries(b), largest)))
                 n_held += len(b)
             if n_held >= RUN_ROWS:
                 yield _dealt(held[0][0], *_merge([x[1:] for x in held], largest), 0, rounds, fan_in)
@@ -119,19 +122,52 @@ def _entries(b: pd.DataFrame) -> tuple[np.ndarray, ...]:
     return np.hstack([raw, xxh]), ids, one, one
 
 
-def _merge(runs: list[tuple[np.ndarray, ...]], largest: bool) -> tuple[np.ndarray, ...]:
-    """One sorted run of several; equal digests become one entry."""
-    d, ids, sizes, at_id = (np.concatenate(x) for x in zip(*runs, strict=True))
-    rank = ids if largest else np.where(ids == NO_ID, np.iinfo(np.int64).max, ids)
-    order = np.lexsort((rank, d[:, 4], d[:, 3], d[:, 2], d[:, 1], d[:, 0]))
-    d, ids, sizes, at_id = d[order], ids[order], sizes[order], at_id[order]
+Run = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _sorted_run(d: np.ndarray, ids: np.ndarray, sizes: np.ndarray, at_id: np.ndarray, largest: bool) -> Run:
+    order = np.lexsort((d[:, 4], d[:, 3], d[:, 2], d[:, 1], d[:, 0]))
+    return _collapsed(d[order], ids[order], sizes[order], at_id[order], largest)
+
+
+def _merge(runs: list[Run], largest: bool) -> Run:
+    """One sorted run of several sorted ones: neighbours are merged in pairs until one is left."""
+    while len(runs) > 1:
+        runs = [_merge_two(*runs[i : i + 2], largest) if i + 1 < len(runs) else runs[i] for i in range(0, len(runs), 2)]
+    return runs[0]
+
+
+def _merge_two(a: Run, b: Run, largest: bool) -> Run:
+    """An entry's place is its rank in its own run plus its rank in the other, by the digests' first words."""
+    x, y = np.ascontiguousarray(a[0][:, 0]).astype(np.uint64), np.ascontiguousarray(b[0][:, 0]).astype(np.uint64)
+    at_a = np.arange(len(x)) + np.searchsorted(y, x, "left")
+    at_b = np.arange(len(y)) + np.searchsorted(x, y, "right")
+    both = []
+    for u, v in zip(a, b, strict=True):
+        out = np.empty((len(x) + len(y), *u.shape[1:]), dtype=u.dtype.newbyteorder("="))
+        out[at_a], out[at_b] = u, v
+        both.append(out)
+    d = both[0]
+    tied = d[1:, 0] == d[:-1, 0]
+    if (tied & (d[1:] != d[:-1]).any(axis=1)).any():  # different digests with one first word: order by all words
+        return _sorted_run(*both, largest)
+    return _collapsed(*both, largest)
+
+
+def _collapsed(d: np.ndarray, ids: np.ndarray, sizes: np.ndarray, at_id: np.ndarray, largest: bool) -> Run:
+    """Equal digests of a sorted run become one entry, with the identifier that stays and the rows that have it."""
+    if not len(d):
+        return d, ids, sizes, at_id
     new = np.ones(len(d), dtype=bool)
     new[1:] = (d[1:] != d[:-1]).any(axis=1)
     starts = np.flatnonzero(new)
-    ends = np.append(starts[1:], len(d)) - 1
-    best = ids[ends] if largest else ids[starts]
-    of = np.cumsum(new) - 1
-    same = np.where(ids == best[of], at_id, 0)
+    if largest:
+        best = np.maximum.reduceat(ids, starts)
+    else:  # any other identifier wins over none
+        rank = np.minimum.reduceat(np.where(ids == NO_ID, np.iinfo(np.int64).max, ids), starts)
+        some = np.maximum.reduceat((ids != NO_ID).astype(np.int8), starts) > 0
+        best = np.where(some, rank, NO_ID)
+    same = np.where(ids == best[np.cumsum(new) - 1], at_id, 0)
     return d[starts], best, np.add.reduceat(sizes, starts), np.add.reduceat(same, starts)
 
 

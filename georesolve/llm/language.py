@@ -2,8 +2,12 @@
 
 A known word adds its log frequency in each language. An unseen word is scored by its character
 n-grams: the longest length at which any of its n-grams is known decides, and their log frequencies
-are averaged. Counts come from Spark aggregations over the labelled rows; the model that tasks receive
-is bounded by ``MAX_DOCS`` labelled documents, ``MAX_WORDS`` words and ``MAX_GRAMS`` n-grams a length.
+are averaged. The score is the posterior probability of the best language.
+
+All words and n-grams of the labelled sample are kept: workers receive their 64-bit hashes in order and
+the languages that have them, in a few bytes each. The sample is bounded: ``MAX_DOCS`` labelled documents
+in expectation, drawn by a hash of the row's id. Counts are summed by Spark, n-grams of all lengths
+in one pass over the distinct words.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; so is every text if
 nothing was learned. Rows with a null language teach nothing. Ties go to the language that sorts first.
@@ -12,50 +16,87 @@ Any length of text is scored whole; repeated rows score alike.
 
 from __future__ import annotations
 
-import re
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import for_python, kept_rows
+from .common import WORD, drawn, for_python, kept_rows, word_hash
 
-#: Labelled documents that a model is fitted on at most (in expectation), drawn by a hash of the row's id.
+#: Labelled documents that a model is fitted on at most (in expectation).
 MAX_DOCS = 20_000
-MAX_WORDS, MAX_GRAMS, LONGEST_GRAM = 60_000, 30_000, 5
-#: Words of evidence that a score counts at most: longer texts are not more than this much surer.
-EVIDENCE_WORDS = 40
-#: Unseen words whose scores a Python worker keeps.
-STORE = 200_000
+LONGEST_GRAM = 5
+#: What a word or n-gram that a language doesn't have counts there.
+UNSEEN = 0.5
+#: Numbers that a Python worker keeps of the words it met: one a word and language.
+STORE = 4_000_000
+#: Words whose n-grams a Python worker sums before it hands them on.
+WORDS_TOGETHER = 50_000
+#: Stands for a document among the words that are counted; no word has a space.
+DOCUMENT = " "
 UNDETERMINED = "und"
-WORD = re.compile(r"[^\W\d_]+")
 
 
-class Model:
-    """Log frequencies by language of words and, per length, of n-grams."""
+def grams(word: str, n: int) -> list[str]:
+    marked = f"^{word}$"
+    return [marked[i : i + n] for i in range(len(marked) - n + 1)]
+
 
-    def __init__(self, languages: list[str], words: dict[str, list[int]], grams: list[dict[str, list[int]]], docs: list[int]):
-        self.languages = languages
-        self.index, self.rows = self._logs(words)
-        self.grams = [self._logs(g) for g in grams]  # by length, longest first
-        total = max(1, sum(docs))
-        self.prior = np.log((np.array(docs, dtype=np.float64) + 1) / (total + max(1, len(docs))))
+def letters(text: str | None) -> list[str]:
+    """The words of a text, lower-cased; none if it has no letter."""
+    words = WORD.findall(text.lower()) if text else []
+    return words if any(c.isalpha() for w in words for c in w) else []
 
-    def _logs(self, counts: dict[str, list[int]]) -> tuple[dict[str, int], np.ndarray]:
-        c = np.array(list(counts.values()), dtype=np.float64).reshape(len(counts), len(self.languages)) + 0.5
-        return {w: i for i, w in enumerate(counts)}, np.log(c / np.maximum(1, c.sum(axis=0)))
 
-    def unseen(self, word: str) -> np.ndarray:
-        marked = f"^{word}$"
-        for k, (index, rows) in enumerate(self.grams):
-            n = LONGEST_GRAM - k
-            found = [i for s in range(len(marked) - n + 1) if (i := index.get(marked[s : s + n])) is not None]
-            if found:
-                return rows[found].mean(axis=0)
-        return np.zeros(len(self.languages))
+class Model:
+    """Log frequencies by language of words (length 0) and of n-grams of each length."""
+
+    def __init__(self, languages: list[str], docs: list[int], rows: dict[str, np.ndarray]):
+        """docs: documents of each language. rows: columns kind (0 or a length), h, lang (position), n."""
+        self.languages, k = languages, len(languages)
+        self.prior = np.log((np.array(docs, dtype=np.float64) + 1) / (sum(docs) + max(1, k)))
+        self.tables = {}
+        for kind in range(LONGEST_GRAM + 1):
+            own = rows["kind"] == kind
+            h, lang, n = rows["h"][own].view(np.uint64), rows["lang"][own], rows["n"][own].astype(np.float64)
+            order = np.lexsort((lang, h))
+            keys, start = np.unique(h[order], return_index=True)
+            total = np.log(np.maximum(1, np.bincount(lang, weights=n, minlength=k) + UNSEEN * len(keys)))
+            self.tables[kind] = keys, np.append(start, len(order)), lang[order], np.log(n[order] + UNSEEN).astype(np.float32), np.log(UNSEEN) - total, total
+
+    def logs(self, kind: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes are known, and the log frequencies by language of each that is."""
+        keys, start, lang, log, unseen, total = self.tables[kind]
+        if not len(keys) or not len(hashes):
+            return np.zeros(len(hashes), dtype=bool), np.empty((0, len(self.languages)))
+        at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+        known = keys[at] == hashes
+        at = at[known]
+        n = start[at + 1] - start[at]
+        own = np.arange(n.sum()) + np.repeat(start[at] - (np.cumsum(n) - n), n)
+        out = np.tile(unseen, (len(at), 1))
+        out[np.repeat(np.arange(len(at)), n), lang[own]] = log[own] - total[lang[own]]
+        return known, out
+
+    def of_words(self, words: list[str]) -> np.ndarray:
+        """Log frequencies by language of each word, by n-grams where it is unseen."""
+        out = np.zeros((len(words), len(self.languages)))
+        known, logs = self.logs(0, np.fromiter(map(word_hash, words), dtype=np.uint64, count=len(words)))
+        out[known] = logs
+        left = np.flatnonzero(~known)
+        for n in range(LONGEST_GRAM, 0, -1):
+            cut = [grams(words[i], n) for i in left]
+            of = np.repeat(np.arange(len(left)), [len(c) for c in cut])
+            known, logs = self.logs(n, np.fromiter((word_hash(g) for c in cut for g in c), dtype=np.uint64, count=len(of)))
+            found = np.bincount(of[known], minlength=len(left))
+            sums = np.zeros((len(left), len(self.languages)))
+            np.add.at(sums, of[known], logs)
+            out[left[found > 0]] = sums[found > 0] / found[found > 0, None]
+            left = left[found == 0]
+        return out
 
 
 def held_out(doc_id: Column, of: int = 5, at: int = 0) -> Column:
@@ -63,35 +104,57 @@ def held_out(doc_id: Column, of: int = 5, at: int = 0) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % of == at, F.lit(True))
 
 
+def counted(rows: DataFrame) -> DataFrame:
+    """lang, kind, h, n: how often words and n-grams occur in each language, and (kind -1) its documents. rows: lang, text."""
+
+    def words(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            own: dict[str, Counter] = defaultdict(Counter)
+            for lang, text in zip(b["lang"], b["text"], strict=True):
+                own[lang].update(letters(text))
+                own[lang][DOCUMENT] += 1
+            for lang, n in own.items():
+                yield pd.DataFrame({"lang": lang, "w": list(n), "n": list(n.values())})
+
+    def cut(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own: dict[str, list[Counter]] = defaultdict(lambda: [Counter() for _ in range(LONGEST_GRAM + 1)])
+        for b in batches:
+            for lang, w, n in zip(b["lang"], b["w"], b["n"], strict=True):
+                counts = own[lang]
+                if w == DOCUMENT:
+                    yield pd.DataFrame({"lang": [lang], "kind": [-1], "h": [0], "n": [n]})
+                    continue
+                counts[0][w] = n
+                for k in range(1, LONGEST_GRAM + 1):
+                    many = counts[k]
+                    for g in grams(w, k):
+                        many[g] += n
+            if sum(len(c[0]) for c in own.values()) >= WORDS_TOGETHER:
+                yield from emptied(own)
+        yield from emptied(own)
+
+    def emptied(own: dict[str, list[Counter]]) -> Iterator[pd.DataFrame]:
+        for lang, counts in own.items():
+            kinds = np.repeat(np.arange(LONGEST_GRAM + 1), [len(c) for c in counts])
+            h = np.fromiter((word_hash(x) for c in counts for x in c), dtype=np.uint64, count=len(kinds)).view(np.int64)
+            yield pd.DataFrame({"lang": lang, "kind": kinds, "h": h, "n": [n for c in counts for n in c.values()]})
+        own.clear()
+
+    for_python(rows.sparkSession)
+    summed = rows.mapInPandas(words, "lang string, w string, n long").groupBy("lang", "w").agg(F.sum("n").alias("n"))
+    return summed.mapInPandas(cut, "lang string, kind int, h long, n long").groupBy("lang", "kind", "h").agg(F.sum("n").alias("n"))
+
+
 def fit(labelled: DataFrame, max_docs: int = MAX_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model from rows with text and language."""
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.xxhash64(F.col(id_col)).alias("h"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    n = rows.count()
-    if n > max_docs:
-        rows = rows.where(F.pmod("h", F.lit(1_000_000)) < int(1_000_000 * max_docs / n))
-    docs = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy("lang").collect()}
-    languages = list(docs)
-    words = rows.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))).alias("w")).groupBy("w").agg(*[F.count(F.when(F.col("lang") == v, 1)).alias(f"n{i}") for i, v in enumerate(languages)]) if languages else None
-    if words is None:
-        return Model([], {}, [], [])
-    names = [f"n{i}" for i in range(len(languages))]
-    total = reduce(lambda a, b: a + b, map(F.col, names))
-    words = words.persist()
-    top = words.orderBy(total.desc(), "w").limit(MAX_WORDS).collect()
-    grams = []
-    marked = F.concat(F.lit("^"), "w", F.lit("$"))
-    for k in range(LONGEST_GRAM, 0, -1):
-        last = F.length(marked) - (k - 1)
-        grams_of = F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), last)), _gram_at(marked, k)))
-        cut = words.select(F.explode(grams_of).alias("g"), *names)
-        summed = cut.groupBy("g").agg(*[F.sum(c).alias(c) for c in names])
-        grams.append({r["g"]: [r[c] for c in names] for r in summed.orderBy(total.desc(), "g").limit(MAX_GRAMS).collect()})
-    words.unpersist()
-    return Model(languages, {r["w"]: [r[c] for c in names] for r in top}, grams, list(docs.values()))
-
-
-def _gram_at(word: Column, k: int):
-    return lambda start: F.substring(word, start, F.lit(k))
+    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    got = counted(rows.where(drawn(F.col("doc_id"), rows.count(), max_docs)).select("lang", "text")).toArrow()
+    got = {name: got.column(name).to_numpy() for name in got.column_names}
+    docs = got["kind"] == -1
+    languages, at = np.unique(got["lang"].astype(str), return_inverse=True) if len(docs) else (np.empty(0, dtype=str), np.empty(0, dtype=np.int64))
+    count = np.zeros(len(languages), dtype=np.int64)
+    count[at[docs]] = got["n"][docs]
+    return Model(languages.tolist(), count.tolist(), {"kind": got["kind"][~docs], "h": got["h"][~docs].astype(np.int64), "lang": at[~docs], "n": got["n"][~docs]})
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -101,8 +164,9 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     def of(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(sent.value)
         for b in batches:
-            out = [scorer.score(t) for t in b["text"]]
-            yield pd.DataFrame(out, columns=["lang_pred", "score", "n_words"]).assign(doc_id=b["doc_id"].astype("Int64").to_numpy())[["doc_id", "lang_pred", "score", "n_words"]]
+            out = pd.DataFrame(scorer.score(b["text"].tolist()), columns=["lang_pred", "score", "n_words"])
+            out.insert(0, "doc_id", b["doc_id"].astype("Int64").to_numpy())
+            yield out
 
     for_python(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -115,44 +179,35 @@ def keep_identified(docs: DataFrame, model: Model, least_score: float = 0.5, tex
 
     def tester():
         scorer = Scorer(sent.value)
-
-        def test(text: str | None) -> bool:
-            language, score, _ = scorer.score(text)
-            return language != UNDETERMINED and score >= least_score
-
-        return test
+        return lambda texts: [language != UNDETERMINED and score >= least_score for language, score, _ in scorer.score(texts)]
 
     return kept_rows(docs, text_col, tester)
 
 
 class Scorer:
-    """A model with the scores of unseen words that one task has met."""
+    """A model with the log frequencies of the words that one task has met."""
 
     def __init__(self, model: Model):
-        self.model, self.extra, self.extra_rows = model, {}, []
+        self.model, self.met, self.logs = model, {}, np.empty((0, len(model.languages)))
 
-    def score(self, text: str | None) -> tuple[str, float, int]:
+    def score(self, texts: list[str | None]) -> list[tuple[str, float, int]]:
+        """Per text the language, its probability and the number of words."""
         m = self.model
-        words = WORD.findall(text.lower()) if text else []
-        if not m.languages or not any(c.isalpha() for w in words for c in w):
-            return UNDETERMINED, 0.0, 0
-        index, extra, known, unseen = m.index, self.extra, [], []
-        for w in words:
-            i = index.get(w)
-            if i is not None:
-                known.append(i)
-            else:
-                j = extra.get(w)
-                unseen.append(self._new(w) if j is None else j)
-        logs = m.rows[known].sum(axis=0) + (np.array([self.extra_rows[j] for j in unseen]).sum(axis=0) if unseen else 0)
-        if len(extra) > STORE:
-            self.extra, self.extra_rows = {}, []
-        logs = m.prior + logs * (min(len(words), EVIDENCE_WORDS) / len(words))
-        p = np.exp(logs - logs.max())
-        best = int(p.argmax())
-        return m.languages[best], float(p[best] / p.sum()), len(words)
-
-    def _new(self, word: str) -> int:
-        j = self.extra[word] = len(self.extra_rows)
-        self.extra_rows.append(self.model.unseen(word))
-        return j
+        if not m.languages:
+            return [(UNDETERMINED, 0.0, 0)] * len(texts)
+        found = [letters(t) for t in texts]
+        if len(self.met) * len(m.languages) > STORE:
+            self.met, self.logs = {}, self.logs[:0]
+        new = list({w for words in found for w in words} - self.met.keys())
+        self.met.update(zip(new, range(len(self.met), len(self.met) + len(new)), strict=True))
+        self.logs = np.vstack([self.logs, m.of_words(new)])
+        met, out = self.met, []
+        for words in found:
+            if not words:
+                out.append((UNDETERMINED, 0.0, 0))
+                continue
+            logs = m.prior + self.logs[[met[w] for w in words]].sum(axis=0)
+            p = np.exp(logs - logs.max())
+            best = int(p.argmax())
+            out.append((m.languages[best], float(p[best] / p.sum()), len(words)))
+        return out

@@ -56,8 +56,8 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     out = language.held_out(F.col("doc_id"), 4, 2)
-    index = toxicity.fit(docs, labels.where(~out))
-    return toxicity.scored(docs, index).select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "terms", "evidence")
+    model = toxicity.fit(docs, labels.where(~out))
+    return toxicity.scored(docs, model).select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "terms", "evidence")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,8 +73,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations")
-    return chat.rendered(chat.recover(rows, chat.fit(rows))).select("conv_id", "turn", "role_pred", "rendered")
+    """Turns are marked as raw transcripts do, cut at the markers and recovered; a fifth of the conversations teaches nothing."""
+    rows = chat.with_markers(table(spark, sf_dir, "conversations"))
+    out = language.held_out(F.col("conv_id"), 5, 0)
+    turns = chat.recover(chat.utterances(rows, turn_col="turn", blank_lines=False), chat.fit(rows.where(~out)))
+    return chat.rendered(turns).select("conv_id", "turn", "part", out.alias("held_out"), "role_pred", "marker", "rendered")
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

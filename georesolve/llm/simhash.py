@@ -14,10 +14,13 @@ own. Only a spanning star of each linked set leaves a task, never all its pairs.
 are one row throughout, so copies cost nothing. Components come from alternating large-star and
 small-star rounds over the stars.
 
-``keep_one`` uses fingerprints only to propose pairs: every pair within the radius is emitted (once, under
-the first choice that both agree on), and only pairs whose shingle sets have the asked Jaccard likeness
-are links. Texts with one shingle set are one node. Pairs are tested in rounds, few of each node first;
-pairs that links already join are left out, so dense sets of copies don't have all their pairs tested.
+``keep_one`` uses fingerprints only to propose pairs, and only pairs whose shingle sets have the asked
+Jaccard likeness are links. Its keys are MinHash bands: ``BANDS`` keys of ``BAND_ROWS`` least hashes each,
+so that a pair of likeness 0.8 meets under one with probability 0.9994, and a key holds texts that share
+shingles, however many others there are. Texts with one shingle set are one node. Within a key tiles are
+compared as above, and pairs are tested in passes: first each node with the key's most central one, then
+with its nearest few, at last with every one within the radius; pairs that links already join are left
+out, so dense sets of copies don't have all their pairs emitted.
 
 Defined results: a null or blank text has fingerprint zero and links like any other; repeated rows and
 ties share a component; rows with a null identifier are linked, and a component of such rows alone
@@ -50,8 +53,17 @@ MAX_CHOICES = 120
 HASHES = 65_536
 #: Rows of a frame that a comparing task hands on at least, if it has as many.
 PAIRS = 65_536
-#: Untested pairs of a node that are tested in a round; after these rounds all that are left.
-TESTED = (1, 16)
+#: MinHash keys of a text, and least hashes in each.
+BANDS, BAND_ROWS = 14, 4
+#: Of the 56 least hashes two sets of likeness 0.8 agree on 45 (deviation 3); a pair that agrees on fewer
+#: than this, or share of it for another likeness, is not proposed.
+LEAST_AGREE = 36
+#: Shingle hashes that are multiplied at once.
+MULTIPLIED = 8_192
+#: Partners that a node is tested with in the passes of keep_one: the central node of its key, its nearest
+#: few in its part of the key, all that are left.
+CENTRAL, EVERY = 0, None
+PASSES = (CENTRAL, 4, 16, EVERY)
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -68,19 +80,37 @@ def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, id_col: str
 
 
 def shingled(docs: DataFrame, shingle: int, seed: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, h, fp as in fingerprints, node (hash of the set of shingle hashes), size (of that set)."""
+    """doc_id, h, fp as in fingerprints, node (hash of the set of shingle hashes), size, MinHash bands and bytes of its least hashes."""
 
     def of(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             hashes = [shingle_hashes(t, shingle, seed) for t in b["text"]]
             fps = np.fromiter(map(majority, hashes), dtype=np.uint64, count=len(b))
             sets = [np.unique(x) for x in hashes]
+            keys = [bands(x) for x in sets]
             nodes = np.fromiter((xxhash.xxh64_intdigest(x.tobytes()) for x in sets), dtype=np.uint64, count=len(b))
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "h": b["h"], "fp": fps.view(np.int64), "node": nodes.view(np.int64), "size": [len(x) for x in sets]})
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "h": b["h"], "fp": fps.view(np.int64), "node": nodes.view(np.int64), "size": [len(x) for x in sets], "bands": [b for b, _ in keys], "mins": [m for _, m in keys]})
 
     for_python(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(of, "doc_id long, h long, fp long, node long, size long")
+    return rows.mapInPandas(of, "doc_id long, h long, fp long, node long, size long, bands array<long>, mins binary")
+
+
+#: Odd factors and addends of the MinHash functions: the digests of their numbers.
+FACTORS, ADDENDS = (np.array([xxhash.xxh64_intdigest(f"{name}{i}") for i in range(BANDS * BAND_ROWS)], dtype=np.uint64)[:, None] | np.uint64(low) for name, low in (("factor", 1), ("addend", 0)))
+
+
+def bands(hashes: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """A key for each band of the set's least hashes (none of an empty set), and a byte of each least hash."""
+    if not len(hashes):
+        return np.empty(0, dtype=np.int64), bytes(BANDS * BAND_ROWS)
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(hashes), MULTIPLIED):
+        mixed = hashes[None, at : at + MULTIPLIED] * FACTORS + ADDENDS
+        least = np.minimum(least, (mixed ^ (mixed >> np.uint64(32))).min(axis=1))
+    rows = least.reshape(BANDS, BAND_ROWS)
+    keys = np.array([xxhash.xxh64_intdigest(r.tobytes(), i) for i, r in enumerate(rows)], dtype=np.uint64).view(np.int64)
+    return keys, (least >> np.uint64(8)).astype(np.uint8).tobytes()
 
 
 def fingerprint(text: str | None, shingle: int, seed: int) -> int:
@@ -318,70 +348,156 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: in
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
 
 
-def candidates(nodes: DataFrame, radius: int, likeness: float) -> DataFrame:
-    """a, b (a < b): nodes within the radius whose sizes allow the likeness. nodes: node, fp, size."""
-    of = nodes.select("node", "fp", "size")
-    a, b = (of.select(*[F.col(c).alias(f"{c}_{side}") for c in of.columns]) for side in "ab")
-    near = links(of.select("fp").distinct(), radius, every=True)
-    met = near.join(a, near["a"] == a["fp_a"]).join(b, near["b"] == b["fp_b"]).select("node_a", "node_b", "size_a", "size_b")
-    same = a.join(b, (a["fp_a"] == b["fp_b"]) & (a["node_a"] < b["node_b"])).select("node_a", "node_b", "size_a", "size_b")
-    fits = F.least("size_a", "size_b") >= F.lit(likeness) * F.greatest("size_a", "size_b")
-    return met.unionByName(same).where(fits).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+def proposed(rows: DataFrame, radius: int, likeness: float, most: int | None, seed: int, tile: int = TILE) -> DataFrame:
+    """a, b (a < b): pairs of one key within the radius, with different roots, whose sizes and least hashes allow the likeness.
 
+    rows: key, node, fp, size, mins, root. most: CENTRAL, a number of nearest partners, or EVERY.
+    """
+    large = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("key", F.ceil(F.col("n") / tile).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64(F.lit(seed), "node"), F.col("parts")).cast("int")
+    dealt = rows.join(large, "key").withColumn("part", part)
+    if most is EVERY:  # every part of a large key meets every other
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        dealt = dealt.select("key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "node", "fp", "size", "mins", "root")
+    else:
+        dealt = dealt.select("key", F.col("part").alias("p"), F.col("part").alias("q"), "part", "node", "fp", "size", "mins", "root")
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def compared(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in _whole_groups(batches):
+            mins = np.frombuffer(b"".join(g["mins"]), dtype=np.uint8).reshape(len(g), -1)
+            part = g["part"].to_numpy() if g["p"].iloc[0] != g["q"].iloc[0] else None
+            for a, b in _partners(*(g[c].to_numpy() for c in ("node", "fp", "size", "root")), mins, part, radius, likeness, most):
+                if len(a):
+                    yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-def alike(pairs: DataFrame, texts: DataFrame, likeness: float, shingle: int, seed: int) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have the Jaccard likeness. texts: node, text."""
+    for_python(rows.sparkSession, TILE)
+    return dealt.repartition(parts, "key", "p", "q").sortWithinPartitions("key", "p", "q").mapInPandas(compared, "a long, b long").distinct()
+
+
+def _whole_groups(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of each (key, p, q) with more than one row; a group may run over several batches."""
+    held = None
+    for b in itertools.chain(batches, [None]):
+        if b is not None and not len(b):
+            continue
+        rows = b if held is None else held if b is None else pd.concat([held, b], ignore_index=True)
+        if rows is None:
+            return
+        ids = rows[["key", "p", "q"]].to_numpy(dtype=np.int64)
+        starts = np.concatenate([[0], np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1, [len(ids)]])
+        for s, e in itertools.pairwise(starts if b is None else starts[:-1]):
+            if e - s > 1:
+                yield rows.iloc[s:e]
+        held = None if b is None else rows.iloc[starts[-2] :]
+
+
+def _partners(node, fp, size, root, mins, part, radius: int, likeness: float, most: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    fp = fp.view(np.uint64)
+    order = np.argsort(np.bitwise_count(fp), kind="stable")
+    node, fp, size, root, mins = node[order], fp[order], size[order], root[order], mins[order]
+    side, ones, n = part[order] if part is not None else None, np.bitwise_count(fp).astype(np.int64), len(fp)
+    agree = LEAST_AGREE * likeness / 0.8
+
+    def fit(i: int, end: int, j: int, to: int, upper: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places and distances of the pairs of two tiles that qualify."""
+        d = np.bitwise_count(fp[i:end, None] ^ fp[None, j:to])
+        ok = (d <= radius) & (root[i:end, None] != root[None, j:to])
+        ok &= np.minimum(size[i:end, None], size[None, j:to]) >= likeness * np.maximum(size[i:end, None], size[None, j:to])
+        if side is not None:
+            ok &= side[i:end, None] != side[None, j:to]
+        x, y = np.nonzero(np.triu(ok, 1) if upper else ok)
+        d, x, y = d[x, y], x + i, y + j
+        enough = (mins[x] == mins[y]).sum(axis=1) >= agree
+        return x[enough], y[enough], d[enough]
+
+    if most == CENTRAL:
+        bits = np.unpackbits(fp.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0)
+        centre = np.uint64(int.from_bytes(np.packbits(2 * bits > n).tobytes(), "big"))
+        c = int(np.argmin(np.bitwise_count(fp ^ centre)))
+        x, y, _ = fit(c, c + 1, 0, n, False)
+        yield node[x], node[y]
+        return
+    for i in range(0, n, SIDE):
+        end, near = min(i + SIDE, n), []
+        # Tiles whose population counts differ beyond the radius are skipped: they are at the two ends.
+        low = np.searchsorted(ones, ones[i] - radius) // SIDE * SIDE if most else i
+        for j in range(low, int(np.searchsorted(ones, ones[end - 1] + radius, "right")), SIDE):
+            to = min(j + SIDE, n)
+            if (root[i:end] == root[i]).all() and (root[j:to] == root[i]).all():
+                continue
+            near.append(fit(i, end, j, to, i == j and not most))
+            if not most:
+                yield node[near[0][0]], node[near.pop()[1]]
+        if most and near:
+            x, y, d = (np.concatenate(v) for v in zip(*near, strict=True))
+            rank = np.lexsort((y, d, x))
+            x, y = x[rank], y[rank]
+            first = np.arange(len(x)) - np.searchsorted(x, x) < most
+            yield node[x[first]], node[y[first]]
+
+
+def alike(pairs: DataFrame, sets: DataFrame, likeness: float) -> DataFrame:
+    """The pairs (a, b) with ok: whether their shingle sets have the Jaccard likeness. sets: node, s (sorted hashes as bytes)."""
 
     def of(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, held = None, frozenset()
         for rows in batches:
-            keep = []
-            for b, ta, tb in zip(rows["b"], rows["ta"], rows["tb"], strict=True):
-                if b != last:  # rows come by b
-                    last, held = b, frozenset(shingle_hashes(tb, shingle, seed).tolist())
-                own = frozenset(shingle_hashes(ta, shingle, seed).tolist())
-                shared = len(own & held)
-                keep.append(shared >= likeness * (len(own) + len(held) - shared))
-            yield rows.loc[keep, ["a", "b"]]
+            ok = []
+            for sa, sb in zip(rows.pop("sa"), rows.pop("sb"), strict=True):
+                a, b = np.frombuffer(sa, dtype=np.uint64), np.frombuffer(sb, dtype=np.uint64)
+                shared = len(np.intersect1d(a, b, assume_unique=True))
+                ok.append(shared >= likeness * (len(a) + len(b) - shared))
+            yield rows.assign(ok=ok)
 
     for_python(pairs.sparkSession)
-    ta, tb = texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    return pairs.select("a", "b").join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInPandas(of, "a long, b long")
-
-
-def linked_nodes(docs: DataFrame, nodes: DataFrame, radius: int, likeness: float, shingle: int, seed: int, text_col: str = "text") -> DataFrame:
-    """node, root: components over the candidates that are alike. nodes: node, fp, size, first (with h)."""
-    left, found = checkpointed(candidates(nodes, radius, likeness)), None
-    text = docs.select(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), F.col(text_col).alias("text"))
-    for most in [*TESTED, None]:
-        ranked = checkpointed(left.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy("b")))) if most else left.withColumn("rank", F.lit(0))
-        now = ranked.where(F.col("rank") <= (most or 0))
-        named = now.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", F.col("first.h").alias("h")), "node")
-        texts = checkpointed(text.join(named, "h").dropDuplicates(["node"]).select("node", "text"))
-        new = alike(now, texts, likeness, shingle, seed)
-        found = checkpointed(new if found is None else found.unionByName(new))
-        roots = components(found)
-        if not most:
-            return roots
-        a, b = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        apart = F.coalesce("ra", "a") != F.coalesce("rb", "b")
-        left = checkpointed(ranked.where(F.col("rank") > most).join(a, "a", "left").join(b, "b", "left").where(apart).select("a", "b"))
-        if left.isEmpty():
-            return roots
+    sa, sb = (sets.select(F.col("node").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
+    return pairs.join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb").mapInPandas(of, "a long, b long, ok boolean")
+
+
+def shingle_sets(docs: DataFrame, firsts: DataFrame, shingle: int, seed: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """node, s of the rows that stand for nodes. firsts: node, doc_id, h."""
+
+    def of(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"node": b["node"], "s": [np.unique(shingle_hashes(t, shingle, seed)).tobytes() for t in b["text"]]})
+
+    for_python(docs.sparkSession)
+    text = docs.select(F.col(id_col).cast("long").alias("own"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("own_h"), F.col(text_col).alias("text"))
+    named = text.join(firsts, (F.col("own_h") == F.col("h")) & F.col("own").eqNullSafe(F.col("doc_id")))
+    return named.select("node", "text").mapInPandas(of, "node long, s binary").groupBy("node").agg(F.min("s").alias("s"))
+
+
+def linked_nodes(docs: DataFrame, nodes: DataFrame, radius: int, likeness: float, shingle: int, seed: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """node, root: components over the proposed pairs that are alike. nodes: node, fp, size, bands, mins, first (with doc_id and h)."""
+    filed = nodes.select("node", F.explode("bands").alias("key"))
+    shared = filed.groupBy("key").count().where("count > 1").select("key")
+    met = checkpointed(filed.join(shared, "key").join(nodes.select("node", "fp", "size", "mins"), "node").select("key", "node", "fp", "size", "mins"))
+    named = met.select("node").distinct().join(nodes.select("node", "first.doc_id", "first.h"), "node")
+    sets = checkpointed(shingle_sets(docs, named, shingle, seed, id_col, text_col))
+    spark = docs.sparkSession
+    tested, roots = spark.createDataFrame([], "a long, b long, ok boolean"), spark.createDataFrame([], "node long, root long")
+    for k, most in enumerate(PASSES):
+        now = met.join(roots, "node", "left").select("key", "node", "fp", "size", "mins", F.coalesce("root", "node").alias("root"))
+        new = checkpointed(proposed(now, radius, likeness, most, k).join(tested, ["a", "b"], "left_anti"))
+        if new.isEmpty():
+            continue
+        result = alike(new, sets, likeness)
+        tested = checkpointed(tested.unionByName(result))
+        roots = checkpointed(components(tested.where("ok").select("a", "b")))
     return roots
 
 
 def keep_one(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", likeness: float = 0.8) -> DataFrame:
     """The rows of docs that stay: of each component of texts that are alike, the one with the smallest identifier.
 
-    Links are pairs within the radius whose shingle sets have the Jaccard likeness. Of rows with one
+    Links are pairs that share a MinHash key, within the radius, whose shingle sets have the Jaccard likeness. Of rows with one
     identifier the one whose text has the smaller hash stays; rows alike in both stay together, as exact
     deduplication comes before.
     """
     rows = checkpointed(shingled(docs, shingle, seed, id_col, text_col))
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
-    nodes = checkpointed(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("size").alias("size"), F.min(row).alias("first")))
-    roots = linked_nodes(docs, nodes, radius, likeness, shingle, seed, text_col)
+    nodes = checkpointed(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("bands").alias("bands"), F.min("mins").alias("mins"), F.min(row).alias("first")))
+    roots = linked_nodes(docs, nodes, radius, likeness, shingle, seed, id_col, text_col)
     of = checkpointed(nodes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     # Apart from the sum before it, the join of a large component's rows can be split.
     least = checkpointed(of.groupBy("root").agg(F.min("first").alias("least")))
