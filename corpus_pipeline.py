@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from georesolve.llm import exact_dedup, language, packing, simhash, toxicity
-from georesolve.llm.common import scratch_path, table, tokenizer_path
+from georesolve.llm.common import dropped, scratch_path, table, tokenizer_path
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +33,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts whose five-word shingles have a Jaccard likeness of 0.8 the row with the smallest identifier stays.
 
-    Fingerprints within 14 of 64 bits propose the pairs: texts of that likeness differ in about 10 bits,
-    unrelated ones in about 30. Each proposed pair is tested on its shingles.
+    Texts that share a MinHash key and have fingerprints within 14 of 64 bits are tested on their shingles:
+    texts of that likeness differ in about 10 bits, unrelated ones in about 30.
     """
     return simhash.keep_one(docs, radius=14, shingle=5, seed=42, likeness=0.8)
 
@@ -57,10 +57,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents, each written to the shared folder and read again; what no later stage reads is deleted."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = scratch_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if last:
+            dropped(spark, last)
+        docs, last = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
