@@ -1,4 +1,4 @@
-"""Byte-level BPE ids of whole texts, with a bounded store of the ids of chunks seen before.
+"""Byte-level BPE ids of whole texts, with a bounded store of the ids of short chunks seen before.
 
 The pre-tokenizer always cuts before a space that follows a non-space character. A text whose only
 white space before a space is none can thus be cut at its spaces, and every chunk encoded on its own;
@@ -16,8 +16,8 @@ import tiktoken
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 END_OF_TEXT = "<|endoftext|>"
-#: Chunks that a Python worker keeps: about 150 bytes each.
-STORE = 400_000
+#: Chunks that a Python worker keeps, and their longest: with its ids one takes some 150 to 400 bytes.
+STORE, LONGEST = 400_000, 64
 SPACE_RUN = re.compile(r"\s ")
 
 
@@ -62,9 +62,9 @@ class ByteBPE:
         if len(store) + len(new) > STORE:
             store.clear()
             new = list(set(rest))
-        for c in new:
-            store[c] = self._ids(" " + c)
-        return self._ids(first) + b"".join([store[c] for c in rest])
+        own = {c: self._ids(" " + c) for c in new}
+        store.update((c, ids) for c, ids in own.items() if len(c) <= LONGEST)
+        return self._ids(first) + b"".join([own[c] if c in own else store[c] for c in rest])
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.encoding.encode_ordinary(text), dtype="<u4").tobytes()

@@ -17,7 +17,7 @@ import zlib
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .byte_bpe import ByteBPE
@@ -57,7 +57,9 @@ def pack(parts: DataFrame, n_docs: int, capacity: int = 1024, group_docs: int =
         first = int(group["pack_group"].iloc[0]) << 32
         return group.drop(columns="pack_group").assign(sequence_id=[first + b for b in bins], offset=offsets)
 
-    dealt = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start", "ids_crc32", F.spark_partition_id()), F.lit(n_groups))
+    # Repeated rows are numbered, so that they spread over groups, the same way however the input is split.
+    same = F.row_number().over(Window.partitionBy("doc_id", "start", "ids_crc32", "doc_tokens").orderBy("length"))
+    dealt = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start", "ids_crc32", same), F.lit(n_groups))
     return parts.withColumn("pack_group", dealt).groupBy("pack_group").applyInPandas(ffd, f"{PIECES}, sequence_id long, offset long")
 
 

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, checkpointed, drawn, for_python, kept_rows, word_hash
 
-MAX_EXAMPLES, CALIBRATED = 10_000, 1_500
+MAX_EXAMPLES, CALIBRATED = 8_000, 1_500
 #: Letters of a stem.
 STEM = 6
 #: Least share of a word's TF-IDF weight that it keeps, however little it says about the label.
@@ -72,39 +72,39 @@ class Index:
         """Of each example its identifier, label and number of words; hashes and counts of all its words, one after another."""
         n = len(ids)
         self.keys, term = np.unique(hashes, return_inverse=True)
-        doc = np.repeat(np.arange(n), lengths)
-        df = np.bincount(term, minlength=len(self.keys))
-        df1 = np.bincount(term, weights=labels[doc], minlength=len(self.keys)) if n else df
+        term, doc, size = term.astype(np.int32), np.repeat(np.arange(n, dtype=np.int32), lengths), len(self.keys)
+        df = np.bincount(term, minlength=size)
+        df1 = np.bincount(term[labels[doc] > 0], minlength=size)
         g = label_weights(df, df1, n, int(labels.sum()))
         self.rate = float(labels.mean()) if n else 0.0
         self.weight = ((np.log((1 + n) / (1 + df)) + 1) * g).astype(np.float32)
         self.telling = g > FLOOR * (1 + 1e-9)
-        w = (1 + np.log(counts)) * self.weight[term]
-        norm = np.sqrt(np.bincount(doc, weights=w * w, minlength=n))
-        w = (w / np.maximum(norm, 1e-30)[doc]).astype(np.float32)
-        # Examples whose most frequent common word is the same share blocks, which makes the bounds tight.
+        w = (1 + np.log(counts, dtype=np.float32)) * self.weight[term]
+        norm = np.sqrt(np.bincount(doc, weights=w * w, minlength=n)).astype(np.float32)
+        w /= np.maximum(norm, np.float32(1e-30))[doc]
         top = np.argsort(-df, kind="stable")[:common]
-        self.column = np.full(len(self.keys), -1, dtype=np.int32)
+        self.column = np.full(size, -1, dtype=np.int32)
         self.column[top] = np.arange(len(top))
+        # Examples whose most frequent common word is the same share blocks, which makes the bounds tight.
         is_common = self.column[term] >= 0
+        d, c, col = doc[is_common], counts[is_common], self.column[term[is_common]]
         kind = np.full(n, len(top))
-        order = np.lexsort((-counts[is_common], doc[is_common]))
-        first = np.unique(doc[is_common][order], return_index=True)
-        kind[first[0]] = self.column[term[is_common][order][first[1]]]
+        order = np.lexsort((col, -c, d))
+        first = np.unique(d[order], return_index=True)
+        kind[first[0]] = col[order][first[1]]
         moved = np.lexsort((ids, kind))
-        place = np.empty(n, dtype=np.int64)
+        place = np.empty(n, dtype=np.int32)
         place[moved] = np.arange(n)
         self.ids, self.labels = ids[moved], labels[moved].astype(np.float64)
         self.place = dict(zip(ids.tolist(), place.tolist(), strict=True))
         self.blocks = max(1, -(-n // BLOCK))
-        at = place[doc]
         self.dense = np.zeros((self.blocks, max(1, len(top)), BLOCK), dtype=np.float32)
-        self.dense[at[is_common] // BLOCK, self.column[term[is_common]], at[is_common] % BLOCK] = w[is_common]
+        self.dense[place[d] // BLOCK, col, place[d] % BLOCK] = w[is_common]
         self.largest = np.ascontiguousarray(self.dense.max(axis=2))
-        rare = ~is_common
-        order = np.lexsort((at[rare], term[rare]))
-        self.at, self.w = at[rare][order].astype(np.int32), w[rare][order]
-        self.start = np.searchsorted(term[rare][order], np.arange(len(self.keys) + 1))
+        at, term, w = place[doc][~is_common], term[~is_common], w[~is_common]
+        order = np.lexsort((at, term))
+        self.at, self.w = at[order], w[order]
+        self.start = np.searchsorted(term[order], np.arange(size + 1)).astype(np.int64)
 
     def unit(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
         w = (1 + np.log(counts)) * self.weight[terms]
@@ -227,11 +227,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, id
     some = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
     some = some.where(drawn(F.col("doc_id"), some.count(), max_examples))
     rows = checkpointed(packed(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), some))
-    got = rows.orderBy("doc_id").collect()
-    words = lambda name, kind: np.concatenate([np.empty(0, dtype=kind), *[np.frombuffer(r[name], dtype=kind) for r in got]])
-    index = Index(np.array([r["doc_id"] for r in got], dtype=np.int64), np.array([r["y"] for r in got], dtype=np.float64), np.array([len(r["counts"]) // 4 for r in got], dtype=np.int64), words("hashes", np.uint64), words("counts", np.int32).astype(np.float64))
+    got = rows.toArrow().combine_chunks().sort_by("doc_id")
+    bytes_of = lambda name, kind: np.frombuffer(b"".join(got.column(name).to_pylist()), dtype=kind)
+    lengths = np.array([len(c) // 4 for c in got.column("counts").to_pylist()], dtype=np.int64)
+    index = Index(got.column("doc_id").to_numpy(), got.column("y").to_numpy().astype(np.float64), lengths, bytes_of("hashes", np.uint64), bytes_of("counts", np.int32).astype(np.float32))
+    n = got.num_rows
+    del got
     sent = docs.sparkSession.sparkContext.broadcast(index)
-    if not 0 < index.labels.sum() < len(got):
+    if not 0 < index.labels.sum() < n:
         return Model(sent, Curve())
 
     def without_itself(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -241,7 +244,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, id
             places = [index.place[i] for i in b["doc_id"]]
             yield pd.DataFrame({"raw": [index.raw(*x) for x in index.nearest(queries, leave_out=places)], "y": b["y"]})
 
-    of = rows.where(drawn(F.concat(F.lit("curve"), F.col("doc_id").cast("string")), len(got), CALIBRATED))
+    of = rows.where(drawn(F.concat(F.lit("curve"), F.col("doc_id").cast("string")), n, CALIBRATED))
     points = of.mapInPandas(without_itself, "raw double, y int").collect()
     return Model(sent, curve_of(np.array([p["raw"] for p in points]), np.array([p["y"] for p in points]), index.rate))
 

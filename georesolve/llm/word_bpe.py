@@ -10,6 +10,10 @@ The last symbol of a word carries the word-end mark and is settled per word from
 White space never lies inside a word, so a text is cut at its white space and each distinct chunk is
 normalised, split into words and looked up once; texts then only join stored bytes. The store and the
 trie of a worker are emptied when they reach their bounds, which changes time, not results.
+
+Defined results: null and empty texts, and texts of white space only, have no ids and decode to nothing;
+the file's special tokens are recognised in a text; texts of any length are encoded whole; repeated rows
+and rows with a null identifier each give a row; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,8 +31,10 @@ from tokenizers import Tokenizer
 
 from .common import for_python
 
-#: Chunks, words and trie nodes that a Python worker keeps.
+#: Chunks, words and trie nodes that a Python worker keeps, and the longest chunk or word that stays:
+#: unspaced scripts make a chunk of a line or a text.
 STORE, WORDS, NODES = 400_000, 400_000, 600_000
+LONGEST = 64
 NEVER = 1 << 60
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 SPACES = regex.compile(r"\p{White_Space}+")
@@ -238,6 +244,9 @@ class WordBPE:
                     out.append(self.special[parts[2 * k + 1]].to_bytes(4, "little"))
                     decoded.append(parts[2 * k + 1])
             yield b"".join(out), " ".join(decoded)
+        for kept, seen in ((self.chunks, new), (self.known, unseen)):
+            for c in [c for c in seen if len(c) > LONGEST]:
+                kept.pop(c, None)
 
 
 def encoded(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
