@@ -35,7 +35,7 @@ GROUP_DIGESTS = 12
 RETRIES = (1, 4, 16)
 ROUNDS = 16
 #: Documents of a bucket of neighbouring identifiers, and buckets at most.
-BUCKET_DOCS, MAX_BUCKETS = 512, 65_536
+BUCKET_DOCS, MAX_BUCKETS = 2048, 65_536
 LEAST = -(1 << 63)
 
 
@@ -169,30 +169,28 @@ def with_next(docs: DataFrame, derived: dict[str, Column] | None = None, more: l
 
     derived: further columns of the text; more: columns of those. Each comes with its next_ column too.
 
-    Rows are dealt into buckets of neighbouring identifiers, so no task orders more than a bucket; the
-    first row of a bucket is sent to the bucket before it as well.
+    Rows are dealt into buckets of neighbouring (identifier, text hash), so no task orders more than a
+    bucket, even of rows with one identifier or none; the first row of a bucket is sent to the bucket
+    before it as well. The buckets' ends, at most MAX_BUCKETS pairs of numbers, come from a range
+    partitioning and reach the tasks as a scalar subquery.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("at", F.coalesce("doc_id", F.lit(LEAST)))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumns({"at": F.coalesce("doc_id", F.lit(LEAST)), "nh": F.bitwise_not(F.xxhash64("text"))})
     n = max(1, min(MAX_BUCKETS, -(-rows.count() // bucket_docs)))
-    shares = [i / n for i in range(1, n)]
-    cuts = rows.agg(F.percentile_approx("at", shares, max(10_000, 20 * n)).alias("cuts")).first()["cuts"] if shares else []
-    cuts = sorted(set(cuts or []))
-    top = max(0, len(cuts)).bit_length()
-    lits = "array(" + ",".join(f"{c}L" if c != LEAST else "cast('-9223372036854775808' as bigint)" for c in cuts) + ")"
-    search = f"aggregate(sequence({top}, 0, -1), 0, (low, p) -> if(low + shiftleft(1, p) <= {len(cuts)} and element_at({lits}, least(low + shiftleft(1, p), {len(cuts)})) <= at, low + shiftleft(1, p), low))"
-    rows = rows.withColumn("bucket", F.expr(search) if cuts else F.lit(0))
-    tops = {r["bucket"]: r["top"] for r in rows.groupBy("bucket").agg(F.max("at").alias("top")).collect()}
-    tops = tops or {0: LEAST}  # no rows: the same plan over nothing
-    filled = sorted(tops)
-    above = dict(zip(filled, [*filled[1:], filled[0]], strict=True))
-    is_top = F.col("at") == F.element_at(F.array(*[F.lit(tops.get(b)).cast("long") for b in range(filled[-1] + 1)]), F.col("bucket") + 1)
-    to = F.element_at(F.array(*[F.lit(above.get(b)).cast("int") for b in range(filled[-1] + 1)]), F.col("bucket") + 1)
+    key = F.struct("at", "nh")
+    ends = rows.select("at", "nh").repartitionByRange(n, "at", "nh").groupBy(F.spark_partition_id()).agg(F.min(key).alias("low"), F.max(key).alias("high")).orderBy("low").collect()
+    bounds = docs.sparkSession.createDataFrame([([tuple(r["low"]) for r in ends[1:]], [tuple(r["high"]) for r in ends])], "lows array<struct<at:bigint,nh:bigint>>, highs array<struct<at:bigint,nh:bigint>>")
+    lows, highs = bounds.select("lows").scalar(), bounds.select("highs").scalar()
+    rows = rows.withColumn("bucket", F.lit(0))
+    for p in range(len(ends).bit_length() - 1, -1, -1):  # binary search, a projection a step
+        up = F.col("bucket") + (1 << p)
+        rows = rows.withColumn("bucket", F.when((up < len(ends)) & (F.get(lows, up - 1) <= key), up).otherwise(F.col("bucket")))
     own = F.struct(F.col("bucket").alias("b"), F.lit(0).alias("guest"))
-    guest = F.struct(to.alias("b"), F.lit(1).alias("guest"))
-    sent = rows.withColumn("sent", F.explode(F.when(is_top, F.array(own, guest)).otherwise(F.array(own)))).select("doc_id", "text", "at", F.col("sent.b").alias("bucket"), F.col("sent.guest").alias("guest"))
-    order = Window.partitionBy("bucket").orderBy("guest", F.col("at").desc(), F.xxhash64("text"))
+    guest = F.struct(F.pmod(F.col("bucket") + 1, F.lit(max(1, len(ends)))).alias("b"), F.lit(1).alias("guest"))
+    sent = rows.withColumn("sent", F.explode(F.when(F.get(highs, "bucket") == key, F.array(own, guest)).otherwise(F.array(own)))).select("doc_id", "text", "at", "nh", F.col("sent.b").alias("bucket"), F.col("sent.guest").alias("guest"))
+    order = Window.partitionBy("bucket").orderBy("guest", F.col("at").desc(), F.col("nh").desc())
     # What is derived of a text is computed once a row, and read by the row before.
-    own = sent.select("doc_id", "bucket", "guest", "at", "text", *[c.alias(n) for n, c in (derived or {}).items()]) if derived else sent
+    own = sent.select("doc_id", "bucket", "guest", "at", "nh", "text", *[c.alias(n) for n, c in (derived or {}).items()]) if derived else sent
     for level in (more or []):
         own = own.withColumns(level)
     names = ["text", *(derived or {}), *[n for level in (more or []) for n in level]]

@@ -63,7 +63,7 @@ MULTIPLIED = 8_192
 #: Partners that a node is tested with in the passes of keep_one: the central node of its key, its nearest
 #: few in its part of the key, all that are left.
 CENTRAL, EVERY = 0, None
-PASSES = (CENTRAL, 4, 16, EVERY)
+PASSES = (CENTRAL, 4, EVERY)
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -5,9 +5,12 @@ an insert, the same negated for a delete, and for a revised count the old row ne
 one. A batch is summed by (source, lang, tokenizer) before it is stored, so storage and readers see a
 few rows a batch whatever its size. Totals are the sum over batches.
 
-A batch is committed under its identifier, by overwriting that identifier's folder: committing it again,
-whole or after a failure, replaces it and never adds twice. ``compact`` folds committed batches into a
-base that remembers their identifiers; batches in the base are not read or added again.
+Every commit writes one file into a fresh folder, which becomes visible when it is whole: a replay, or a
+run that dies half-way, never takes away what was committed before. Of several commits under one
+identifier the newest counts. ``compact`` sums the committed batches into a base that remembers their
+identifiers and starts a new generation: readers read the newest base and the batches of its generation
+only, and a batch that the base covers is final, so that committing it again changes nothing. One
+program writes to a rollup at a time; older generations may be deleted.
 
 Defined results: a null text has no tokens; null sources, languages and versions are groups of their
 own; groups whose documents and tokens are both zero are left out; an empty batch changes nothing.
@@ -15,9 +18,12 @@ own; groups whose documents and tokens are both zero are left out; an empty batc
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +32,9 @@ from .common import for_python
 
 KEYS = ["source", "lang", "tokenizer"]
 BATCH_SCHEMA = "source string, lang string, tokenizer string, docs long, tokens long"
-NO_BATCH = "~"
+BASE_SCHEMA = f"{BATCH_SCHEMA}, batch string, generation long"
+#: Keys and counts of a row that only names a batch.
+MARK = [*[f"cast(null as string) as {k}" for k in KEYS], "0L as docs", "0L as tokens"]
 
 
 def count_spaces(text: Column) -> Column:
@@ -77,42 +85,42 @@ class Rollup:
         self.spark, self.path = spark, path.rstrip("/")
 
     def commit(self, batch_id: str, rows: DataFrame) -> None:
-        """Store a batch of signed rows; a second commit under the same identifier replaces the first."""
-        marked = summed(rows).withColumn("batch", F.lit(batch_id))
-        # The marker row makes an empty batch a committed one.
-        mark = self.spark.range(1).select(*[F.lit(None).cast("string").alias(k) for k in KEYS], F.lit(0).cast("long").alias("docs"), F.lit(0).cast("long").alias("tokens"), F.lit(batch_id).alias("batch"))
-        marked.unionByName(mark).write.mode("overwrite").parquet(f"{self.path}/batches/id={_safe(batch_id)}")
+        """Store a batch of signed rows; a later commit under the same identifier replaces it."""
+        at = F.lit(time.time_ns())
+        marked = summed(rows).select(*KEYS, "docs", "tokens", F.lit(batch_id).alias("batch"), at.alias("at"))
+        mark = self.spark.range(1).select(*map(F.expr, MARK), F.lit(batch_id).alias("batch"), at.alias("at"))  # an empty batch is a committed one
+        marked.unionByName(mark).coalesce(1).write.parquet(f"{self.path}/batches/g{self._generation()}/{uuid.uuid4().hex}")
 
-    def _batches(self) -> DataFrame:
-        return self.spark.read.schema(f"{BATCH_SCHEMA}, batch string").parquet(f"{self.path}/batches/*")
-
-    def _base(self) -> DataFrame | None:
+    def _stored(self, folder: str, schema: str) -> DataFrame:
         try:
-            return self.spark.read.schema(f"{BATCH_SCHEMA}, covers array<string>").parquet(f"{self.path}/base")
-        except Exception as e:  # there is no base yet
-            if "PATH_NOT_FOUND" not in str(e):
+            return self.spark.read.schema(schema).parquet(f"{self.path}/{folder}/*")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return None
+            return self.spark.createDataFrame([], schema)  # nothing was stored yet
+
+    def _generation(self) -> int:
+        return self._stored("bases", BASE_SCHEMA).agg(F.max("generation")).first()[0] or 0
+
+    def _base(self, generation: int) -> DataFrame:
+        return self._stored("bases", BASE_SCHEMA).where(F.col("generation") == generation)
+
+    def _batches(self, generation: int) -> DataFrame:
+        """Rows of the newest commit of each batch that the base doesn't cover."""
+        rows = self._stored(f"batches/g{generation}", f"{BATCH_SCHEMA}, batch string, at long")
+        newest = rows.groupBy("batch").agg(F.max("at").alias("at"))
+        covered = self._base(generation).where("batch is not null").select("batch")
+        return rows.join(newest, ["batch", "at"]).join(covered, "batch", "left_anti")
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, docs, tokens over all committed batches."""
-        rows, base = self._batches(), self._base()
-        if base is not None:
-            covered = base.where(F.col("covers").isNotNull()).select(F.explode("covers").alias("batch")).distinct()
-            rows = rows.join(covered, "batch", "left_anti").select(*KEYS, "docs", "tokens").unionByName(base.where(F.col("covers").isNull()).drop("covers"))
+        g = self._generation()
+        rows = self._batches(g).select(*KEYS, "docs", "tokens").unionByName(self._base(g).select(*KEYS, "docs", "tokens"))
         return summed(rows).where("docs <> 0 or tokens <> 0")
 
-    def compact(self, scratch: str) -> None:
-        """Fold the committed batches into the base; scratch: a fresh path beside the rollup."""
-        base = self._base()
-        covers = self._batches().select("batch").distinct()
-        if base is not None:
-            covers = covers.union(base.where(F.col("covers").isNotNull()).select(F.explode("covers").alias("batch"))).distinct()
-        folded = self.totals().withColumn("covers", F.lit(None).cast("array<string>"))
-        names = covers.select(*[F.lit(None).cast("string").alias(k) for k in KEYS], F.lit(0).cast("long").alias("docs"), F.lit(0).cast("long").alias("tokens"), F.array("batch").alias("covers"))
-        folded.unionByName(names).write.parquet(scratch)
-        self.spark.read.parquet(scratch).write.mode("overwrite").parquet(f"{self.path}/base")
-
-
-def _safe(batch_id: str) -> str:
-    return "".join(c if c.isalnum() or c in "-_." else f"%{ord(c):x}" for c in batch_id)
+    def compact(self, scratch: str | None = None) -> None:
+        """Fold the committed batches into the base of a new generation (scratch is no longer needed)."""
+        g = self._generation()
+        covers = self._batches(g).select("batch").union(self._base(g).where("batch is not null").select("batch")).distinct()
+        folded = self.totals().withColumn("batch", F.lit(None).cast("string")).unionByName(covers.select(*map(F.expr, MARK), "batch"))
+        folded.withColumn("generation", F.lit(g + 1).cast("long")).coalesce(1).write.parquet(f"{self.path}/bases/{uuid.uuid4().hex}")

@@ -147,3 +147,53 @@ def test_near_fingerprints_of_unlike_texts_stay(spark):
     assert linked < near
     kept = simhash.keep_one(spark.createDataFrame(docs, "doc_id long, text string"), radius=14, shingle=5)
     assert {r.doc_id for r in kept.collect()} == {i + 1 for i in range(9)} - {i + 1 for i in linked}
+
+
+def test_runs_merge_by_rank_even_if_first_words_agree():
+    rng = np.random.default_rng(2)
+    pool = rng.integers(0, 3, (40, 5)).astype(np.uint64)  # many digests with one first word
+    pool[20:, 0] = rng.integers(0, 2**63, 20)
+    for largest in (False, True):
+        runs, want = [], {}
+        for _ in range(5):
+            d = pool[rng.integers(0, 40, 60)]
+            ids = np.where(rng.random(60) < 0.2, exact_dedup.NO_ID, rng.integers(0, 9, 60))
+            one = np.ones(60, dtype=np.int64)
+            runs.append(exact_dedup._sorted_run(d, ids, one, one, largest))
+            for x, i in zip(map(tuple, d.tolist()), ids.tolist(), strict=True):
+                want.setdefault(x, []).append(i)
+        d, ids, sizes, at_id = exact_dedup._merge(runs, largest)
+        got = {tuple(x): (i, n, m) for x, i, n, m in zip(d.tolist(), ids.tolist(), sizes.tolist(), at_id.tolist(), strict=True)}
+        assert d.tolist() == sorted(map(list, got)) and got.keys() == want.keys()
+        for x, all_ids in want.items():
+            known = [i for i in all_ids if i != exact_dedup.NO_ID] or [exact_dedup.NO_ID]
+            best = max(known) if largest else min(known)
+            assert got[x] == (best, len(all_ids), all_ids.count(best))
+
+
+def test_near_copies_are_found_among_many(spark):
+    """Pairs and one large group of edited copies: nearly all pairs of likeness 0.8 end in one component, no other texts."""
+    rng, docs = random.Random(3), []
+    for g in range(60):
+        base = prose(1000 + g, 150).split()
+        for k in range(60 if g == 0 else 3):
+            w = list(base)
+            for _ in range(rng.randint(0, 4)):
+                w[rng.randrange(len(w))] = f"new{rng.randrange(10**6)}"
+            docs.append((len(docs), " ".join(w)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    kept = {r.doc_id for r in simhash.keep_one(df, radius=14, shingle=5).collect()}
+    sets = [shingles(t) for _, t in docs]
+    root = list(range(len(docs)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(docs)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    want = {i for i in range(len(docs)) if find(i) == i}
+    assert want <= kept and len(kept - want) <= 0.05 * (len(docs) - len(want))

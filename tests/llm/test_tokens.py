@@ -111,3 +111,35 @@ def test_rollup_counts_once(spark, odd, empty):
     roll.commit("c", token_counts.revised(rows.where("lang = 'de'").withColumn("m", rows["n"] + 1), "n", "v1", "m", "v2"))
     roll.compact(scratch_path(spark, "fold"))
     assert ("s", "de", "v1") not in got() and got()["s", "de", "v2"][1] == want["s", "de", "v1"][1] + 1
+
+
+def test_sequences_do_not_depend_on_the_split(spark, odd):
+    rows = odd.select("doc_id", "text")
+    path = tokenizer_path("byte_bpe_50k.tiktoken")
+    a, b = (sorted(map(str, packing.pack_documents(rows.repartition(n), path).collect())) for n in (1, 5))
+    assert a == b
+
+
+def test_rollup_survives_replays_and_shrinks(spark):
+    rows = lambda n: spark.createDataFrame([("s", "en", "t", 1, n)], token_counts.BATCH_SCHEMA)
+    r = token_counts.Rollup(spark, scratch_path(spark, "rollup"))
+    total = lambda: [(x.docs, x.tokens) for x in r.totals().collect()]
+    assert total() == []
+    r.commit("a", rows(5))
+    r.commit("b", rows(7))
+    r.commit("a", rows(6))  # replaces
+    assert total() == [(2, 13)]
+
+    def dies(batches):
+        raise RuntimeError("lost")
+
+    with pytest.raises(Exception, match="lost"):
+        r.commit("a", rows(99).mapInPandas(dies, token_counts.BATCH_SCHEMA))
+    assert total() == [(2, 13)]  # a commit that died took nothing away
+    r.compact()
+    assert total() == [(2, 13)] and r._batches(r._generation()).count() == 0
+    r.commit("a", rows(50))  # the base covers it
+    r.commit("c", rows(1))
+    assert total() == [(3, 14)]
+    r.compact()
+    assert total() == [(3, 14)]
