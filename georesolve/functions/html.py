@@ -12,6 +12,8 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
 # Markers and words that results depend on.
+UNSEEN = r"(?is)<(script|style|noscript)[^>]*>.*?</\1>"
+BLOCK_ENDS = r"(?i)<br\s*/?>|</p>|</div>|</li>"
 OTHER_LISTINGS = (
     r"(?iuU)annonces?\s+similaires|biens?\s+similaires|nos\s+autres\s+biens|vous\s+pourriez\s+aussi\s+aimer"
     r"|autres\s+annonces|derni[èe]rement\s+consult[ée]|recherches\s+similaires|ces\s+biens\s+pourraient"
@@ -42,9 +44,9 @@ unescape, absolutize = _python_functions()
 
 def text_of(html: Column, decoded: bool = True) -> Column:
     """Visible text: scripts and styles out, block ends as spaces, entities decoded before tags go."""
-    body = F.regexp_replace(html, r"(?is)<(script|style|noscript)[^>]*>.*?</\1>", " ")
-    body = F.regexp_replace(body, r"(?i)<br\s*/?>|</p>|</div>|</li>", "\n")
-    body = unescape(body) if decoded else body
+    body = F.regexp_replace(html, UNSEEN, " ")
+    body = F.regexp_replace(body, BLOCK_ENDS, "\n")
+    body = F.coalesce(unescape(F.when(body.contains("&"), body)), body) if decoded else body  # Python sees only texts with entities
     return F.trim(F.regexp_replace(F.regexp_replace(body, "<[^>]+>", " "), r"(?U)\s+", " "))
 
 

@@ -169,6 +169,7 @@ def land_plausible(land: Column, area: Column) -> Column:
 
 
 #: Phrases that name the commune a listing lies in; matched over the text's head only.
+# The phrases and the leading capitals that name a commune.
 COMMUNE_PHRASES = [
     r"(?:sur\s+la\s+)?commune\s+d[eu']\s*([A-ZÀ-Ÿ][\wÀ-ÿ' \-]{2,32})",
     r"village\s+d[eu']\s*([A-ZÀ-Ÿ][\wÀ-ÿ' \-]{2,32})",

@@ -34,6 +34,18 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """rows numbered from 1 in the given order (of distinct values): by range partitions, whose sizes are added up before them."""
+    cut = checkpointed(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    before, offsets = 0, []
+    for r in cut.groupBy("__part").count().orderBy("__part").collect():  # a row for each partition
+        offsets.append((r["__part"], before))
+        before += r["count"]
+    at = rows.sparkSession.createDataFrame(offsets, "__part int, __before long")
+    own = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return cut.join(F.broadcast(at), "__part").withColumn(name, (own + F.col("__before")).cast("int")).drop("__part", "__before")
+
+
 def labelled_cells(mask: DataFrame) -> DataFrame:
     """row, col, label: 8-connected components of the given cells, numbered from 1 by their first cell."""
     cells = mask.select("row", "col", F.struct(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col")).alias("node"))
@@ -41,7 +53,7 @@ def labelled_cells(mask: DataFrame) -> DataFrame:
     moved = cells.select("node", F.explode(half).alias("o")).select(F.col("node").alias("a"), (F.col("node.row") + F.col("o.dr")).alias("row"), (F.col("node.col") + F.col("o.dc")).alias("col"))
     edges = moved.join(cells, ["row", "col"]).select("a", F.col("node").alias("b"))
     found = components(cells.select("node"), edges)
-    roots = found.select("root").distinct().withColumn("label", F.row_number().over(Window.orderBy("root")))
+    roots = numbered(found.select("root").distinct(), ["root"], "label")
     return found.join(roots, "root").select("node.row", "node.col", "label")
 
 
@@ -99,7 +111,7 @@ def split_by_peaks(labels: DataFrame, peaks: DataFrame, value: str, bucket: floa
     d2 = F.pow(F.col("row") - F.col("r2"), 2) + F.pow(F.col("col") - F.col("c2"), 2)
     near = pairs.groupBy("label", "row", "col").agg(F.min(F.struct(d2.alias("d2"), "peak")).alias("b")).select("label", "row", "col", F.col("b.peak").alias("peak"))
     both = cells.where("peaks <= 1").select("label", "row", "col", F.lit(0).alias("peak")).unionByName(near)
-    parts = both.select("label", "peak").distinct().withColumn("part", F.row_number().over(Window.orderBy("label", "peak")))
+    parts = numbered(both.select("label", "peak").distinct(), ["label", "peak"], "part")
     return both.join(parts, ["label", "peak"]).select("row", "col", "label", "part")
 
 

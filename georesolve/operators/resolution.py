@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import jaccard, shingles, slug
+from ..session import checkpointed
 from .graph import group_edges
 
 # Thresholds of the pair rules.
@@ -34,6 +35,24 @@ def hamming(a: Column, b: Column) -> Column:
     return F.when(known(a).isNull() | known(b).isNull(), NO_HASH).otherwise(bits)
 
 
+def near_hashes(hashes: DataFrame, key: str, h: str, radius: int = PHOTO_BITS) -> DataFrame:
+    """a, b (a < b), bits: pairs of 16-digit hashes within the radius.
+
+    The 64 bits are cut into radius + 1 blocks; two hashes within the radius agree on one of them, so
+    pairs meet by an equi-join on (block, its bits) and none is lost. A pair is taken where it first meets.
+    """
+    cuts = [round(i * 64 / (radius + 1)) for i in range(radius + 2)]
+    half = lambda at: F.conv(F.substring(h, at, 8), 16, 10).cast("bigint")
+    value = F.shiftleft(half(1), 32).bitwiseOR(half(9))
+    blocks = F.array(*[F.shiftrightunsigned(value, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+    rows = hashes.where(known(F.col(h)).isNotNull()).select(F.col(key).alias("k"), F.col(h).alias("h"), blocks.alias("all"))
+    filed = rows.select("k", "h", "all", F.posexplode("all").alias("block", "bits"))
+    a, b = (filed.select(F.col("k").alias(x), F.col("h").alias(f"h{x}"), F.col("all").alias(f"all{x}"), "block", "bits") for x in "ab")
+    met = a.join(b, ["block", "bits"]).where("a < b")
+    first = F.array_position(F.zip_with("alla", "allb", lambda p, q: p == q), True) == F.col("block") + 1
+    return met.where(first).select("a", "b", hamming(F.col("ha"), F.col("hb")).alias("bits")).where(F.col("bits") <= radius)
+
+
 def photo_distance(p: Column, q: Column) -> Column:
     return F.least(hamming(p["phash"], q["phash"]), hamming(p["dhash"], q["dhash"]))
 
@@ -71,9 +90,10 @@ def blocked_pairs(listings: DataFrame, key: str = "key") -> DataFrame:
     """a, b (a < b): pairs of one commune whose 10 m² buckets differ by at most 2; null areas meet null areas.
 
     One side goes to its own bucket, the other to the five around it, so each pair meets exactly once.
+    Listings with neither a commune nor an area have no block: any two of them would be a pair.
     """
     place = F.coalesce(known(F.col("commune_code")), F.nullif(slug(F.col("commune_name")), F.lit("")), F.lit("?"))
-    base = listings.select(F.col(key).alias("k"), place.alias("place"), F.floor(known(F.col("area_m2")) / AREA_BLOCK).alias("bucket"))
+    base = listings.select(F.col(key).alias("k"), place.alias("place"), F.floor(known(F.col("area_m2")) / AREA_BLOCK).alias("bucket")).where("place <> '?' or bucket is not null")
     left = base.select(F.col("k").alias("a"), "place", "bucket")
     right = base.select(F.col("k").alias("b"), "place", F.explode(F.when(F.col("bucket").isNull(), F.array(F.lit(None).cast("bigint"))).otherwise(F.sequence(F.col("bucket") - 2, F.col("bucket") + 2))).alias("to"))
     return left.join(right, (left["place"] == right["place"]) & left["bucket"].eqNullSafe(right["to"]) & (left["a"] < right["b"])).select("a", "b")
@@ -125,7 +145,7 @@ def grouped(listings: DataFrame, decisions: DataFrame | None = None, key: str =
     A decision of 1 links a pair even across blocks; of 0 it takes out that pair's own link only; decided
     pairs are no candidates. A group's id is the key of its first member. Candidates are distinct.
     """
-    c = compared(blocked_pairs(listings, key), listings, key)
+    c = checkpointed(compared(blocked_pairs(listings, key), listings, key))  # read for links and for candidates
     pairs = decided(c)
     links = pairs.where("method is not null").select("a", "b", "method", "confidence", "text_sim")
     candidates = near_misses(c.join(pairs.where("method is not null").select("a", "b"), ["a", "b"], "left_anti"))

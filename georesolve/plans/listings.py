@@ -38,5 +38,6 @@ def collected(pages: DataFrame, tables: Tables, grid: Grid, least_score: float =
 
 def regrouped(listings: DataFrame, decisions: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(dup_link, dup_candidate) tables over all active listings."""
-    groups, links, candidates = resolution.grouped(listings, decisions)
+    active = listings.where("active") if "active" in listings.columns else listings
+    groups, links, candidates = resolution.grouped(active, decisions)
     return resolution.dup_links(groups, links), candidates

@@ -59,9 +59,9 @@ def rule_stats(spark, d):
     return scoring.rule_stats(scored(spark, d), SCORING)
 
 
-@query("explain_point", f"WITH {SCORED} " + " UNION ALL ".join(f"SELECT key, '{r.key}' AS rule, {r.metric} AS value, {float(r.threshold)}::DOUBLE AS threshold, round(p_{r.key}, 6) AS membership FROM sc WHERE key % 100 = 7" for r in _RULES))
+@query("explain_point", f"WITH {SCORED} " + " UNION ALL ".join(f"SELECT key, '{r.key}' AS rule, {r.metric} AS value, {float(r.threshold)}::DOUBLE AS threshold, round(p_{r.key}, 6) AS membership FROM sc" for r in _RULES))
 def explain_point(spark, d):
-    return scoring.explained(scored(spark, d).where("key % 100 = 7"), SCORING, ["key"]).select("key", "rule", "value", "threshold", F.round("membership", 6).alias("membership"))
+    return scoring.explained(scored(spark, d), SCORING, ["key"]).select("key", "rule", "value", "threshold", F.round("membership", 6).alias("membership"))
 
 
 @query("explain_area", f"WITH {SCORED} " + " UNION ALL ".join(f"SELECT '{r.key}' AS rule, median({r.metric}) AS median, {'max' if r.direction == 'min' else 'min'}({r.metric}) AS best, round(avg(p_{r.key}), 6) AS membership FROM sc" for r in _RULES))

@@ -26,11 +26,15 @@ def hash_pack(spark, d):
     return _hashes(spark, d).select("vec_id", "h")
 
 
-@query("hamming_pairs", f"WITH {_HEX} SELECT a.vec_id AS a, b.vec_id AS b, CAST(bit_count(xor(('0x' || a.hash)::UBIGINT, ('0x' || b.hash)::UBIGINT)) AS INT) AS bits FROM h a JOIN h b ON a.label = b.label AND b.vec_id > a.vec_id AND b.vec_id <= a.vec_id + 40")
+_TWICE = "e2 AS (SELECT vec_id * 2 + v AS vec_id, label, list_transform(range(64), lambda i: CASE WHEN v = 1 AND i < vec_id % 12 THEN (CASE WHEN embedding[i + 1] > 0 THEN -1.0 ELSE 1.0 END) ELSE embedding[i + 1] END) AS embedding FROM embeddings, range(2) t(v))"
+
+
+@query("hamming_pairs", f"WITH {_TWICE}, {_HEX.replace('FROM embeddings', 'FROM e2')}, p AS (SELECT a.vec_id AS a, b.vec_id AS b, CAST(bit_count(xor(('0x' || a.hash)::UBIGINT, ('0x' || b.hash)::UBIGINT)) AS INT) AS bits FROM h a JOIN h b ON b.vec_id > a.vec_id) SELECT a, b, bits FROM p WHERE bits <= 8")
 def hamming_pairs(spark, d):
-    a = _hashes(spark, d).select(F.col("vec_id").alias("a"), "label", F.col("h").alias("ha"))
-    b = _hashes(spark, d).select(F.col("vec_id").alias("b"), "label", F.col("h").alias("hb"))
-    return a.join(b, "label").where("b > a and b <= a + 40").select("a", "b", resolution.hamming(F.col("ha"), F.col("hb")).alias("bits"))
+    """All pairs within the photo limit among the hashes and copies of them with 0 to 11 bits turned."""
+    turned = F.transform("embedding", lambda v, i: F.when((v > 0) != ((F.col("v") == 1) & (i < F.col("vec_id") % 12)), 1).otherwise(0))
+    twice = table(spark, d, "embeddings").withColumn("v", F.explode(F.array(F.lit(0), F.lit(1))))
+    return resolution.near_hashes(twice.select((F.col("vec_id") * 2 + F.col("v")).alias("k"), resolution.packed(turned).alias("h")), "k", "h")
 
 
 _PAIRS = f"""{LISTINGS}, bk AS (SELECT key, commune_code, floor(nullif(area_m2, 0) / 10) AS bucket FROM l),
@@ -400,12 +404,12 @@ def geojson_cells(spark, d):
     return sinks.geojson_features(c, 100.0)
 
 
-@query("whitelist_json", """SELECT '{"green":["c1","c4"],"amber":["c2","c5"]' AS head""")
+@query("whitelist_json", """SELECT '{"green":["c1","c4"],"amber":["c2","c5"],"communes":{"c1":{"status":"green","p90":10.0},"c2":{"status":"amber","p90":20.0},"c4":{"status":"green","p90":40.0},"c5":{"status":"amber","p90":50.0}},"zones":[{"rank":1,"score_max":0.0},{"rank":2,"score_max":5.0}]}' AS whitelist""")
 def whitelist_json(spark, d):
     i = F.col("id")
     c = spark.range(6).select(F.concat(F.lit("c"), i.cast("string")).alias("code"), F.element_at(F.array(*map(F.lit, ["excluded", "green", "amber"])), (i % 3 + 1).cast("int")).alias("status"), (i * 10.0).alias("p90"))
     z = spark.range(2).select((i + 1).alias("rank"), (i * 5.0).alias("score_max"))
-    return sinks.whitelist(c, z).select(F.substring("whitelist", 1, 40).alias("head"))
+    return sinks.whitelist(c, z)
 
 
 @query("hidden_list", f"WITH {MEMBERS} SELECT group_id, count(*) AS n_listings FROM mb GROUP BY group_id HAVING bool_or(ord % 101 = 0)")

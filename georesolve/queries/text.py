@@ -86,9 +86,13 @@ def dpe(spark, d):
 _SLUG = "trim(regexp_replace(regexp_replace(strip_accents(lower({0})), '[^a-z0-9]+', ' ', 'g'), '^ +| +$', '', 'g'))"
 
 
-@query("slug", f"SELECT doc_id, {_SLUG.format('substr(text, 1, 200)')} AS slug FROM documents WHERE NOT regexp_matches(text, 'ß|œ|æ|ø|ł')")
+#: Letters without a base form are separators, whatever strip_accents makes of them.
+_NO_BASE = "regexp_replace(coalesce(text, ''), '[ßẞœŒæÆøØłŁ]', ' ', 'g')"
+
+
+@query("slug", f"SELECT doc_id, {_SLUG.format(_NO_BASE)} AS slug FROM documents")
 def slug(spark, d):
-    return table(spark, d, "documents").where("not (text rlike 'ß|œ|æ|ø|ł')").select("doc_id", T.slug(F.substring("text", 1, 200)).alias("slug"))
+    return table(spark, d, "documents").select("doc_id", T.slug(F.col("text")).alias("slug"))
 
 
 @query("shingles", f"""WITH w AS (SELECT p_partkey, list_filter(string_split({_SLUG.format("p_name || ' ' || p_type || ' ' || p_brand")}, ' '), lambda x: x <> '') AS w FROM part)

@@ -17,9 +17,12 @@ def session(app: str = "georesolve", **conf: str) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where the session names none."""
+    """The folder of spark.checkpoint.dir; a temporary one only where a local session names none."""
     sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-checkpoint-")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not folder and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    folder = folder or tempfile.mkdtemp(prefix="spark-checkpoint-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(folder)
     return folder

@@ -7,13 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 SCHEMA = "key string, ord int, source string, title string, description string, price int, area_m2 double, land_m2 double, rooms int, bedrooms int, commune_name string, commune_code string, photo_seeds array<int>"
 #: Rows 1 and 2 are one house; row 3 resembles it and is another; row 6 lies in a poor place.
 ROWS = [
-    ("d1", 1, "a", "Maison de pierre", "Maison de 148 m², 5 pièces, 4 chambres, piscine, terrain de 1400 m²", 349000, 148.0, 1400.0, 5, 4, "Fuissé", "71210", [11, 12, 13]),
-    ("d2", 2, "b", "Demeure ancienne", "Ancienne demeure de 149 m² avec piscine, parcelle de 1400 m²", 332000, 149.0, 1400.0, 5, 4, "Fuissé", "71210", [11, 12, 14]),
-    ("d3", 3, "a", "Villa récente", "Villa de 147 m², garage, sans piscine, jardin de 1350 m²", 352000, 147.0, 1350.0, 5, 4, "Fuissé", "71210", [40, 41]),
-    ("d4", 4, "c", "Maison familiale", "132 m², travaux à prévoir, terrasse", 239000, 132.0, 900.0, 6, 4, "Hurigny", "71235", [21, 22]),
-    ("d5", 5, "b", "Maison de bourg", "118 m² rénovée, bon état", 268000, 118.0, 320.0, 4, 3, "La Roche-Vineuse", "71371", [31, 32, 33]),
-    ("d6", 6, "c", "Pavillon", "105 m² proche gare, jardin de 600 m²", 198000, 105.0, 600.0, 4, 3, "Mâcon", "71270", [51, 52]),
-    ("d7", 7, "a", "Ferme", "210 m² et 1,2 ha de terrain", 338000, 210.0, 12000.0, 6, 4, "Igé", "71236", [61, 62, 63]),
+    ("d1", 1, "n", "Longère au calme", "Longère de 176 m², 7 pièces, 5 chambres, verger, terrain de 2600 m²", 287000, 176.0, 2600.0, 7, 5, "Arlay", "39017", [301, 302, 303]),
+    ("d2", 2, "p", "Grande longère", "Longère rénovée de 175 m² avec verger, terrain de 2600 m²", 279500, 175.0, 2600.0, 7, 5, "Arlay", "39017", [301, 302, 309]),
+    ("d3", 3, "n", "Maison contemporaine", "Maison de 177 m², toit plat, carport, terrain de 2500 m²", 291000, 177.0, 2500.0, 7, 5, "Arlay", "39017", [320, 321]),
+    ("d4", 4, "q", "Chalet", "Chalet de 94 m², poêle à bois, balcon", 186500, 94.0, 1150.0, 4, 3, "Poligny", "39434", [330]),
+    ("d5", 5, "p", "Maison de ville", "Maison de ville de 88 m², cour, à rafraîchir", 129000, 88.0, 60.0, 3, 2, "Salins", "39500", [340, 341]),
+    ("d6", 6, "q", "Plain-pied", "Plain-pied de 81 m², voie rapide à 90 m, 480 m² clos", 114000, 81.0, 480.0, 4, 2, "Dole", "39198", [350, 351]),
+    ("d7", 7, "n", "Corps de ferme", "Corps de ferme de 260 m², dépendances, 2,3 ha de prés", 412000, 260.0, 23000.0, 9, 6, "Bletterans", "39056", [360]),
 ]
 
 
