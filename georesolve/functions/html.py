@@ -46,7 +46,8 @@ def text_of(html: Column, decoded: bool = True) -> Column:
     """Visible text: scripts and styles out, block ends as spaces, entities decoded before tags go."""
     body = F.regexp_replace(html, UNSEEN, " ")
     body = F.regexp_replace(body, BLOCK_ENDS, "\n")
-    body = F.coalesce(unescape(F.when(body.contains("&"), body)), body) if decoded else body  # Python sees only texts with entities
+    coded = body.contains("&")
+    body = F.when(coded, unescape(F.when(coded, body))).otherwise(body) if decoded else body  # what Python decodes has entities
     return F.trim(F.regexp_replace(F.regexp_replace(body, "<[^>]+>", " "), r"(?U)\s+", " "))
 
 
