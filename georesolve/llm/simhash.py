@@ -18,9 +18,11 @@ small-star rounds over the stars.
 Jaccard likeness are links. Its keys are MinHash bands: ``BANDS`` keys of ``BAND_ROWS`` least hashes each,
 so that a pair of likeness 0.8 meets under one with probability 0.9994, and a key holds texts that share
 shingles, however many others there are. Texts with one shingle set are one node. Within a key tiles are
-compared as above, and pairs are tested in passes: first each node with the key's most central one, then
-with its nearest few, at last with every one within the radius; pairs that links already join are left
-out, so dense sets of copies don't have all their pairs emitted.
+compared as above; pairs within the radius are then counted on the ``LOWEST`` least shingle hashes of both
+sets by a matrix product, which is the whole set of most texts. A task hands on a spanning forest of what
+that count makes sure, and every pair that it leaves open, so dense groups of texts below the likeness hand
+on nothing. Pairs handed on are tested on the whole sets. This is done twice: first each node with the key's
+most central one, then everything that the first links left apart.
 
 Defined results: a null or blank text has fingerprint zero and links like any other; repeated rows and
 ties share a component; rows with a null identifier are linked, and a component of such rows alone
@@ -36,7 +38,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, for_python
@@ -60,10 +62,13 @@ BANDS, BAND_ROWS = 14, 4
 LEAST_AGREE = 36
 #: Shingle hashes that are multiplied at once.
 MULTIPLIED = 8_192
-#: Partners that a node is tested with in the passes of keep_one: the central node of its key, its nearest
-#: few in its part of the key, all that are left.
+#: Least shingle hashes of a set (their upper halves) that a comparing task has, and columns of a matrix product.
+LOWEST, COLUMNS = 256, 4096
+#: Four deviations of a likeness that is counted on LOWEST hashes of longer sets: beyond it a pair is sure.
+SLACK = 0.1
+#: Partners that a node is tested with in the passes of keep_one: the central node of its key, all that are left.
 CENTRAL, EVERY = 0, None
-PASSES = (CENTRAL, 4, EVERY)
+PASSES = (CENTRAL, EVERY)
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -80,7 +85,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, id_col: str
 
 
 def shingled(docs: DataFrame, shingle: int, seed: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, h, fp as in fingerprints, node (hash of the set of shingle hashes), size, MinHash bands and bytes of its least hashes."""
+    """doc_id, h, fp as in fingerprints, node (hash of the set of shingle hashes), size, MinHash bands, bytes of its least hashes and its lowest."""
 
     def of(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -89,11 +94,11 @@ def shingled(docs: DataFrame, shingle: int, seed: int, id_col: str = "doc_id", t
             sets = [np.unique(x) for x in hashes]
             keys = [bands(x) for x in sets]
             nodes = np.fromiter((xxhash.xxh64_intdigest(x.tobytes()) for x in sets), dtype=np.uint64, count=len(b))
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "h": b["h"], "fp": fps.view(np.int64), "node": nodes.view(np.int64), "size": [len(x) for x in sets], "bands": [b for b, _ in keys], "mins": [m for _, m in keys]})
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "h": b["h"], "fp": fps.view(np.int64), "node": nodes.view(np.int64), "size": [len(x) for x in sets], "bands": [b for b, _ in keys], "mins": [m for _, m in keys], "low": [lowest(x) for x in sets]})
 
     for_python(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(of, "doc_id long, h long, fp long, node long, size long, bands array<long>, mins binary")
+    return rows.mapInPandas(of, "doc_id long, h long, fp long, node long, size long, bands array<long>, mins binary, low binary")
 
 
 #: Odd factors and addends of the MinHash functions: the digests of their numbers.
@@ -113,6 +118,11 @@ def bands(hashes: np.ndarray) -> tuple[np.ndarray, bytes]:
     return keys, (least >> np.uint64(8)).astype(np.uint8).tobytes()
 
 
+def lowest(hashes: np.ndarray) -> bytes:
+    """Upper halves of the LOWEST least of sorted hashes."""
+    return (hashes[:LOWEST] >> np.uint64(32)).astype(np.uint32).tobytes()
+
+
 def fingerprint(text: str | None, shingle: int, seed: int) -> int:
     return majority(shingle_hashes(text, shingle, seed))
 
@@ -348,26 +358,26 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: in
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
 
 
-def proposed(rows: DataFrame, radius: int, likeness: float, most: int | None, seed: int, tile: int = TILE) -> DataFrame:
-    """a, b (a < b): pairs of one key within the radius, with different roots, whose sizes and least hashes allow the likeness.
+def proposed(met: DataFrame, nodes: DataFrame, roots: DataFrame, radius: int, likeness: float, most: int | None, seed: int, tile: int = TILE) -> DataFrame:
+    """a, b (a < b): pairs of one key within the radius, with different roots, that are likely alike.
 
-    rows: key, node, fp, size, mins, root. most: CENTRAL, a number of nearest partners, or EVERY.
+    met: key, band, node of keys with several nodes; nodes: node, fp, size, mins, low; roots: node, root. most: CENTRAL or EVERY.
     """
+    rows = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     large = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("key", F.ceil(F.col("n") / tile).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64(F.lit(seed), "node"), F.col("parts")).cast("int")
-    dealt = rows.join(large, "key").withColumn("part", part)
+    # What is compared of a node travels only where its key is still open.
+    dealt = rows.join(large, "key").join(nodes.select("node", "fp", "size", "mins", "low"), "node").withColumn("part", part)
+    p = q = F.col("part")
     if most is EVERY:  # every part of a large key meets every other
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        dealt = dealt.select("key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "node", "fp", "size", "mins", "root")
-    else:
-        dealt = dealt.select("key", F.col("part").alias("p"), F.col("part").alias("q"), "part", "node", "fp", "size", "mins", "root")
+        p, q = F.least("part", "other"), F.greatest("part", "other")
+    dealt = dealt.select("key", p.alias("p"), q.alias("q"), "part", "band", "node", "fp", "size", "mins", "low", "root")
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def compared(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in _whole_groups(batches):
-            mins = np.frombuffer(b"".join(g["mins"]), dtype=np.uint8).reshape(len(g), -1)
-            part = g["part"].to_numpy() if g["p"].iloc[0] != g["q"].iloc[0] else None
-            for a, b in _partners(*(g[c].to_numpy() for c in ("node", "fp", "size", "root")), mins, part, radius, likeness, most):
+            for a, b in _Key(g, radius, likeness).links(most):
                 if len(a):
                     yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
@@ -392,49 +402,97 @@ def _whole_groups(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None if b is None else rows.iloc[starts[-2] :]
 
 
-def _partners(node, fp, size, root, mins, part, radius: int, likeness: float, most: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    fp = fp.view(np.uint64)
-    order = np.argsort(np.bitwise_count(fp), kind="stable")
-    node, fp, size, root, mins = node[order], fp[order], size[order], root[order], mins[order]
-    side, ones, n = part[order] if part is not None else None, np.bitwise_count(fp).astype(np.int64), len(fp)
-    agree = LEAST_AGREE * likeness / 0.8
-
-    def fit(i: int, end: int, j: int, to: int, upper: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places and distances of the pairs of two tiles that qualify."""
-        d = np.bitwise_count(fp[i:end, None] ^ fp[None, j:to])
-        ok = (d <= radius) & (root[i:end, None] != root[None, j:to])
-        ok &= np.minimum(size[i:end, None], size[None, j:to]) >= likeness * np.maximum(size[i:end, None], size[None, j:to])
-        if side is not None:
-            ok &= side[i:end, None] != side[None, j:to]
-        x, y = np.nonzero(np.triu(ok, 1) if upper else ok)
-        d, x, y = d[x, y], x + i, y + j
-        enough = (mins[x] == mins[y]).sum(axis=1) >= agree
-        return x[enough], y[enough], d[enough]
-
-    if most == CENTRAL:
-        bits = np.unpackbits(fp.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0)
-        centre = np.uint64(int.from_bytes(np.packbits(2 * bits > n).tobytes(), "big"))
-        c = int(np.argmin(np.bitwise_count(fp ^ centre)))
-        x, y, _ = fit(c, c + 1, 0, n, False)
-        yield node[x], node[y]
-        return
-    for i in range(0, n, SIDE):
-        end, near = min(i + SIDE, n), []
-        # Tiles whose population counts differ beyond the radius are skipped: they are at the two ends.
-        low = np.searchsorted(ones, ones[i] - radius) // SIDE * SIDE if most else i
-        for j in range(low, int(np.searchsorted(ones, ones[end - 1] + radius, "right")), SIDE):
-            to = min(j + SIDE, n)
-            if (root[i:end] == root[i]).all() and (root[j:to] == root[i]).all():
-                continue
-            near.append(fit(i, end, j, to, i == j and not most))
-            if not most:
-                yield node[near[0][0]], node[near.pop()[1]]
-        if most and near:
-            x, y, d = (np.concatenate(v) for v in zip(*near, strict=True))
-            rank = np.lexsort((y, d, x))
-            x, y = x[rank], y[rank]
-            first = np.arange(len(x)) - np.searchsorted(x, x) < most
-            yield node[x[first]], node[y[first]]
+class _Key:
+    """The nodes of a key, or of two of its parts, by their number of set bits."""
+
+    def __init__(self, g: pd.DataFrame, radius: int, likeness: float):
+        order = np.argsort(np.bitwise_count(g["fp"].to_numpy().view(np.uint64)), kind="stable")
+        g = g.iloc[order]
+        self.radius, self.likeness, self.n, self.band = radius, likeness, len(g), int(g["band"].iloc[0])
+        self.node, self.fp, self.size = g["node"].to_numpy(), g["fp"].to_numpy().view(np.uint64), g["size"].to_numpy()
+        self.ones = np.bitwise_count(self.fp).astype(np.int64)
+        self.root = np.unique(g["root"].to_numpy(), return_inverse=True)[1]
+        self.side = g["part"].to_numpy() if g["p"].iloc[0] != g["q"].iloc[0] else None
+        self.mins = np.frombuffer(b"".join(g["mins"]), dtype=np.uint8).reshape(self.n, -1)
+        self.low = [np.frombuffer(x, dtype=np.uint32) for x in g["low"]]
+
+    def links(self, most: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if most == CENTRAL:
+            bits = np.unpackbits(self.fp.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0)
+            centre = np.uint64(int.from_bytes(np.packbits(2 * bits > self.n).tobytes(), "big"))
+            c = int(np.argmin(np.bitwise_count(self.fp ^ centre)))
+            yield from self.between(c, c + 1, 0, self.n, most)
+            return
+        for i in range(0, self.n, SIDE):
+            end = min(i + SIDE, self.n)
+            # Tiles whose population counts differ beyond the radius are skipped: they are at the end.
+            for j in range(i, int(np.searchsorted(self.ones, self.ones[end - 1] + self.radius, "right")), SIDE):
+                yield from self.between(i, end, j, min(j + SIDE, self.n), most)
+
+    def between(self, i: int, end: int, j: int, to: int, most: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Links of two tiles: a forest of the sure ones, and the open ones that it leaves apart."""
+        if (self.root[i:end] == self.root[i]).all() and (self.root[j:to] == self.root[i]).all():
+            return
+        small, great = (f(self.size[i:end, None], self.size[None, j:to]) for f in (np.minimum, np.maximum))
+        ok = (np.bitwise_count(self.fp[i:end, None] ^ self.fp[None, j:to]) <= self.radius) & (small >= self.likeness * great)
+        ok &= self.root[i:end, None] != self.root[None, j:to]
+        if self.side is not None:
+            ok &= self.side[i:end, None] != self.side[None, j:to]
+        x, y = np.nonzero(np.triu(ok, 1) if i == j and most is EVERY else ok)
+        x, y = x + i, y + j
+        equal = self.mins[x] == self.mins[y]
+        keep = equal.sum(axis=1) >= LEAST_AGREE * self.likeness / 0.8
+        if most is EVERY:  # a pair is compared under the first key it shares
+            keep &= ~equal.reshape(len(x), BANDS, BAND_ROWS)[:, : self.band].all(axis=2).any(axis=1)
+        x, y = x[keep], y[keep]
+        if not len(x):
+            return
+        likely, sure = self.counted(x, y)
+        a, b = x[likely & sure], y[likely & sure]
+        forest = list(self.joined(a, b))
+        if forest:
+            yield tuple(self.node[np.concatenate(v)] for v in zip(*forest, strict=True))
+        a, b = x[likely & ~sure], y[likely & ~sure]
+        apart = self.root[a] != self.root[b]
+        yield self.node[a[apart]], self.node[b[apart]]
+
+    def joined(self, x: np.ndarray, y: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of the pairs (sorted by x) those that join sets which are apart."""
+        starts = np.flatnonzero(np.diff(x, prepend=-1))
+        for s, e in itertools.pairwise([*starts, len(x)]):
+            ys, own = y[s:e], self.root[x[s]]
+            ys = ys[self.root[ys] != own]
+            if len(ys):
+                sets, first = np.unique(self.root[ys], return_index=True)
+                self.root[np.isin(self.root, sets)] = own
+                yield np.full(len(first), x[s]), ys[first]
+
+    def counted(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether pairs may have the likeness by their lowest hashes, and whether that is sure."""
+        (ux, xi), (uy, yi) = (np.unique(v, return_inverse=True) for v in (x, y))
+        common = np.intersect1d(*(np.concatenate([self.low[k] for k in u]) for u in (ux, uy)))
+        shared = np.zeros((len(ux), len(uy)), dtype=np.float32)
+        for at in range(0, len(common), COLUMNS):
+            columns = common[at : at + COLUMNS]
+            shared += self._marks(ux, columns) @ self._marks(uy, columns).T
+        both, whole = shared[xi, yi].astype(np.float64), (self.size[x] <= LOWEST) & (self.size[y] <= LOWEST)
+        either = (self.size[x] + self.size[y]).astype(np.float64)
+        for k in np.flatnonzero(~whole).tolist():  # both sketches are whole up to the lesser of their ends
+            a, b = self.low[x[k]], self.low[y[k]]
+            end = min(v[-1] for v, n in ((a, self.size[x[k]]), (b, self.size[y[k]])) if n > LOWEST)
+            either[k] = np.searchsorted(a, end, "right") + np.searchsorted(b, end, "right")
+        share = both / np.maximum(either - both, 1)
+        return share >= np.where(whole, self.likeness - 1e-9, self.likeness - SLACK), whole | (share >= self.likeness + SLACK)
+
+    def _marks(self, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+        """Which of the sorted columns each row's lowest hashes have."""
+        held = [self.low[k] for k in rows]
+        values, of = np.concatenate(held), np.repeat(np.arange(len(rows)), [len(v) for v in held])
+        at = np.minimum(np.searchsorted(columns, values), len(columns) - 1)
+        hit = columns[at] == values
+        marks = np.zeros((len(rows), len(columns)), dtype=np.float32)
+        marks[of[hit], at[hit]] = 1
+        return marks
 
 
 def alike(pairs: DataFrame, sets: DataFrame, likeness: float) -> DataFrame:
@@ -468,22 +526,26 @@ def shingle_sets(docs: DataFrame, firsts: DataFrame, shingle: int, seed: int, id
 
 
 def linked_nodes(docs: DataFrame, nodes: DataFrame, radius: int, likeness: float, shingle: int, seed: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """node, root: components over the proposed pairs that are alike. nodes: node, fp, size, bands, mins, first (with doc_id and h)."""
-    filed = nodes.select("node", F.explode("bands").alias("key"))
+    """node, root: components over the proposed pairs that are alike. nodes: node, fp, size, bands, mins, low, first (with doc_id and h)."""
+    filed = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     shared = filed.groupBy("key").count().where("count > 1").select("key")
-    met = checkpointed(filed.join(shared, "key").join(nodes.select("node", "fp", "size", "mins"), "node").select("key", "node", "fp", "size", "mins"))
-    named = met.select("node").distinct().join(nodes.select("node", "first.doc_id", "first.h"), "node")
-    sets = checkpointed(shingle_sets(docs, named, shingle, seed, id_col, text_col))
-    spark = docs.sparkSession
-    tested, roots = spark.createDataFrame([], "a long, b long, ok boolean"), spark.createDataFrame([], "node long, root long")
+    met = checkpointed(filed.join(shared, "key"))
+    roots = docs.sparkSession.createDataFrame([], "node long, root long")
     for k, most in enumerate(PASSES):
-        now = met.join(roots, "node", "left").select("key", "node", "fp", "size", "mins", F.coalesce("root", "node").alias("root"))
-        new = checkpointed(proposed(now, radius, likeness, most, k).join(tested, ["a", "b"], "left_anti"))
-        if new.isEmpty():
+        pairs = checkpointed(proposed(met, nodes, roots, radius, likeness, most, k))
+        named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "first.doc_id", "first.h"), "node")
+        sets = checkpointed(shingle_sets(docs, named, shingle, seed, id_col, text_col))
+        links = alike(pairs, sets, likeness).where("ok").select("a", "b")
+        # Sets that earlier links joined are one node each.
+        for end in "ab":
+            own = roots.select(F.col("node").alias(end), F.col("root").alias(f"r{end}"))
+            links = links.join(own, end, "left").withColumn(f"r{end}", F.coalesce(f"r{end}", end))
+        new = components(links.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+        if k == 0:
+            roots = checkpointed(new)
             continue
-        result = alike(new, sets, likeness)
-        tested = checkpointed(tested.unionByName(result))
-        roots = checkpointed(components(tested.where("ok").select("a", "b")))
+        moved = roots.join(new.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+        roots = checkpointed(moved.unionByName(new.join(roots.select("node"), "node", "left_anti")))
     return roots
 
 
@@ -496,7 +558,7 @@ def keep_one(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: int = 42,
     """
     rows = checkpointed(shingled(docs, shingle, seed, id_col, text_col))
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
-    nodes = checkpointed(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("bands").alias("bands"), F.min("mins").alias("mins"), F.min(row).alias("first")))
+    nodes = checkpointed(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("bands").alias("bands"), F.min("mins").alias("mins"), F.min("low").alias("low"), F.min(row).alias("first")))
     roots = linked_nodes(docs, nodes, radius, likeness, shingle, seed, id_col, text_col)
     of = checkpointed(nodes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     # Apart from the sum before it, the join of a large component's rows can be split.
