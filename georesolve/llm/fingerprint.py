@@ -68,10 +68,17 @@ def _in_cell(key: str, cell: str, slots: int, table: int) -> str:
     return f"(shiftrightunsigned({key}, {10 * table}) & {slots - 1}) = {cell}"
 
 
-def cells_sql(digests: str, slots: int = SLOTS) -> str:
-    """The table of an array of digests: the cells of its subtables, one after another."""
-    empty, added = "named_struct('n', 0, 'k', 0L, 's', 0)", f"named_struct('n', sum.n + 1, 'k', sum.k ^ key, 's', sum.s ^ {_check('key')})"
-    parts = [f"transform(sequence(0, {slots - 1}), cell -> aggregate(filter({digests}, key -> {_in_cell('key', 'cell', slots, t)}), {empty}, (sum, key) -> {added}))" for t in range(TABLES)]
+def _changed(digests: str, cell: str, slots: int, table: int, by: int, start: str) -> str:
+    """A cell after digests that belong to it are added (by 1) or taken (by -1)."""
+    changed = f"named_struct('n', sum.n + {by}, 'k', sum.k ^ key, 's', sum.s ^ {_check('key')})"
+    return f"aggregate(filter({digests}, key -> {_in_cell('key', cell, slots, table)}), {start}, (sum, key) -> {changed})"
+
+
+def cells_sql(digests: str, slots: int = SLOTS, less: str | None = None) -> str:
+    """The table of an array of digests: the cells of its subtables, one after another. less: digests to subtract."""
+    empty = "named_struct('n', 0, 'k', 0L, 's', 0)"
+    start = lambda t: _changed(less, "cell", slots, t, -1, empty) if less else empty
+    parts = [f"transform(sequence(0L, {slots - 1}L), cell -> {_changed(digests, 'cell', slots, t, 1, start(t))})" for t in range(TABLES)]
     return f"concat({', '.join(parts)})"
 
 
@@ -81,12 +88,12 @@ def subtracted_sql(a: str, b: str) -> str:
 
 def peeled_sql(cells: str, slots: int = SLOTS) -> str:
     """Struct: c (cells left), a, b (digests that only the first or only the second has)."""
-    pure = f"array_distinct(transform(filter(state.c, x -> abs(x.n) = 1 and x.s = {_check('x.k')}), x -> named_struct('n', x.n, 'k', x.k)))"
-    taken = f"named_struct('n', sum.n - z.n, 'k', sum.k ^ z.k, 's', sum.s ^ {_check('z.k')})"
-    emptied = ", ".join(f"transform(slice(state.c, {t * slots + 1}, {slots}), (was, cell) -> aggregate(filter(found, z -> {_in_cell('z.k', 'cell', slots, t)}), was, (sum, z) -> {taken}))" for t in range(TABLES))
-    side = lambda name, sign: f"concat(state.{name}, transform(filter(found, z -> z.n = {sign}), z -> z.k))"
+    pure = lambda n: f"array_distinct(transform(filter(state.c, x -> x.n = {n} and x.s = {_check('x.k')}), x -> x.k))"
+    found = f"named_struct('a', {pure(1)}, 'b', {pure(-1)})"
+    after = lambda t: _changed("found.b", "cell", slots, t, 1, _changed("found.a", "cell", slots, t, -1, "was"))
+    emptied = ", ".join(f"transform(slice(state.c, {t * slots + 1}, {slots}), (was, cell) -> {after(t)})" for t in range(TABLES))
     ended = "named_struct('c', state.c, 'a', state.a, 'b', state.b, 'live', false)"
-    step = let(pure, "found", f"if(size(found) = 0, {ended}, named_struct('c', concat({emptied}), 'a', {side('a', 1)}, 'b', {side('b', -1)}, 'live', true))")
+    step = let(found, "found", f"if(size(found.a) + size(found.b) = 0, {ended}, named_struct('c', concat({emptied}), 'a', concat(state.a, found.a), 'b', concat(state.b, found.b), 'live', true))")
     start = f"named_struct('c', {cells}, 'a', cast(array() as array<bigint>), 'b', cast(array() as array<bigint>), 'live', true)"
     return f"aggregate(sequence(1, {ROUNDS}), {start}, (state, round) -> if(state.live, {step}, state))"
 
@@ -104,7 +111,7 @@ def _group_difference(a: str, b: str) -> str:
     body = f"named_struct('a', array_except({a}, {b}), 'b', array_except({b}, {a}))"
     for times in reversed(RETRIES):
         slots = SLOTS * times
-        table = peeled_sql(subtracted_sql(cells_sql(a, slots), cells_sql(b, slots)), slots)
+        table = peeled_sql(cells_sql(a, slots, less=b), slots)
         body = let(table, f"try{times}", f"if({_done(f'try{times}')}, {_sides(f'try{times}')}, {body})")
     return f"if(size({a}) + size({b}) = 0, named_struct('a', {a}, 'b', {b}), {body})"
 
