@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from odd_rows import prose
@@ -197,3 +198,33 @@ def test_near_copies_are_found_among_many(spark):
                 root[max(find(i), find(j))] = min(find(i), find(j))
     want = {i for i in range(len(docs)) if find(i) == i}
     assert want <= kept and len(kept - want) <= 0.05 * (len(docs) - len(want))
+
+
+@pytest.mark.parametrize("size", [60, 400])
+def test_forest_of_a_key_joins_what_brute_force_joins(size):
+    """Groups of sets around a few centres: in whole sketches a forest comes out, in longer ones open pairs too."""
+    rng = np.random.default_rng(size)
+    sets = []
+    for _ in range(4):
+        centre = rng.integers(0, 1 << 63, size=size, dtype=np.uint64)
+        for _ in range(12):
+            own = centre.copy()
+            own[rng.choice(size, int(size * rng.choice([0.02, 0.05, 0.25])), replace=False)] += np.uint64(1 << 40)
+            sets.append(np.unique(own))
+    like = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+    want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if like(sets[i], sets[j]) >= 0.8}
+    rows = [{"key": 0, "p": 0, "q": 0, "part": 0, "band": 0, "node": i, "root": i, "fp": simhash.majority(s), "size": len(s), "mins": simhash.bands(s)[1], "low": simhash.lowest(s)} for i, s in enumerate(sets)]
+    frame = pd.DataFrame(rows).astype({"fp": "uint64"})
+    frame["fp"] = frame["fp"].to_numpy().view(np.int64)
+    got = [(min(a, b), max(a, b)) for x, y in simhash._Key(frame, 64, 0.8).links(simhash.EVERY) for a, b in zip(x, y, strict=True)]
+
+    def roots(pairs):
+        root = list(range(len(sets)))
+        for a, b in pairs:
+            ra, rb = root[a], root[b]
+            root = [min(ra, rb) if r in (ra, rb) else r for r in root]
+        return root
+
+    assert roots(p for p in got if p in want) == roots(want)
+    if size <= simhash.LOWEST:
+        assert set(got) <= want and len(got) < len(sets)
