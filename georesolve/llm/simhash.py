@@ -19,7 +19,7 @@ Jaccard likeness are links. Its keys are MinHash bands: ``BANDS`` keys of ``BAND
 so that a pair of likeness 0.8 meets under one with probability 0.9994, and a key holds texts that share
 shingles, however many others there are. Texts with one shingle set are one node. Within a key tiles are
 compared as above; pairs within the radius are then counted on the ``LOWEST`` least shingle hashes of both
-sets by a matrix product, which is the whole set of most texts. A task hands on a spanning forest of what
+sets by a matrix product; a set of no more is counted whole. A task hands on a spanning forest of what
 that count makes sure, and every pair that it leaves open, so dense groups of texts below the likeness hand
 on nothing. Pairs handed on are tested on the whole sets. This is done twice: first each node with the key's
 most central one, then everything that the first links left apart.
