@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, fingerprint, language, packing, simhash, token_counts, toxicity, url_filter, word_bpe
+from . import alignment, chat, exact_dedup, fingerprint, language, packing, repair, secrets, simhash, token_counts, toxicity, url_filter, word_bpe
 from .common import checkpointed, scratch_path, table, tokenizer_path
+from .sql import OP9_SQL, OP11_SQL, OP12_SQL
 
 
 #: The rules that op1 is asked to apply.
@@ -88,15 +89,23 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.versions(table(spark, sf_dir, "documents"), by_content=True)
 
 
-OP9_SQL = """
-WITH n AS (
-  SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
-  FROM documents
-)
-SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
-       doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, text_sha256
-FROM n WINDOW w AS (PARTITION BY text_sha256)
-"""
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.reported(table(spark, sf_dir, "conversations"))
+
+
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents are one batch of a new ledger; the base rules are the only ones, so all spans are base ones."""
+    ledger = secrets.Ledger(spark, scratch_path(spark, "secrets"), path_type="bigint")
+    ledger.commit("documents", table(spark, sf_dir, "documents"), path_col="doc_id")
+    ledger.scan(secrets.BASE)
+    spans = F.col("spans")
+    base = F.filter(spans, lambda s: s["kind"].isin([r.kind for r in secrets.BASE.rules]))
+    numbers = [secrets.number_of(spans, r.kind).alias(f"n_{r.kind}") for r in secrets.BASE.rules]
+    return ledger.findings(secrets.BASE).select(F.col("path").alias("doc_id"), *numbers, F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(spans).alias("spans"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), tokenizer_path("piece_bpe_32k.model"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -111,8 +120,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat": op8_chat,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_fingerprint": op10_fingerprint,
+        "op11_repair": op11_repair,
+        "op12_secrets": op12_secrets,
+        "op13_alignment": op13_alignment,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": OP9_SQL}
+    return {"op9_exact_dedup": OP9_SQL, "op11_repair": OP11_SQL, "op12_secrets": OP12_SQL}
