@@ -95,9 +95,10 @@ def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents are one batch of a new ledger; the base rules are the only ones, so all spans are base ones."""
+    docs = table(spark, sf_dir, "documents")
     ledger = secrets.Ledger(spark, scratch_path(spark, "secrets"), path_type="bigint")
-    ledger.commit("documents", table(spark, sf_dir, "documents"), path_col="doc_id")
-    ledger.scan(secrets.BASE)
+    ledger.scan(secrets.BASE, docs)
+    ledger.commit("documents", docs, path_col="doc_id")
     spans = F.col("spans")
     base = F.filter(spans, lambda s: s["kind"].isin([r.kind for r in secrets.BASE.rules]))
     numbers = [secrets.number_of(spans, r.kind).alias(f"n_{r.kind}") for r in secrets.BASE.rules]

@@ -1,11 +1,11 @@
 """Secret scans over a ledger of content-addressed blobs.
 
-Every version of every path is recorded under the SHA-256 of its text; a text is stored once, however
-many paths and versions have it. A scan takes the blobs that a version of the rules has not seen yet and
-stores their findings; findings of paths are joined from there. So a replayed batch, a copied file or a
-reverted edit is never scanned again, a new version of the rules scans what is stored, and history stays
-searchable. Batches are idempotent: each is written whole into a folder of its own name, blobs before
-paths, so that a run that dies in between leaves no path without its blob.
+Every version of every path is recorded under the SHA-256 of its text. A scan takes the texts whose pair
+of digest and rule version the ledger has not seen yet, each once however many paths and versions have
+it, and stores their findings; findings of paths are joined from there. So a replayed batch, a copied
+file or a reverted edit is never scanned again, and a new version of the rules scans the history that it
+is given once. The ledger keeps digests and spans and no texts: secrets stay where they were found.
+Batches are idempotent: each is written whole into a folder of its own name and seen once it is marked.
 
 Rules are patterns with a least length of one of their groups. Of a pattern the leftmost matches that
 don't overlap are taken first and those too short dropped afterwards: a match that fails still uses up
@@ -83,7 +83,7 @@ def blob_of(text: Column) -> Column:
 
 
 class Ledger:
-    """Paths, blobs and scans below a folder of shared storage."""
+    """Paths and scans below a folder of shared storage; one program writes at a time."""
 
     def __init__(self, spark: SparkSession, folder: str, path_type: str = "string"):
         self.spark, self.folder, self.path_type = spark, folder.rstrip("/"), path_type
@@ -106,9 +106,6 @@ class Ledger:
         """path, blob, batch of every version of every path."""
         return self._stored("paths", f"path {self.path_type}, blob string, batch string").join(self._committed(), "batch", "left_semi")
 
-    def blobs(self) -> DataFrame:
-        return self._stored("blobs", "blob string, text string")
-
     def scans(self) -> DataFrame:
         """blob, rules, spans of every pair that was scanned."""
         return self._stored("scans", SCANS)
@@ -117,18 +114,16 @@ class Ledger:
         """Record a batch of versions; the same batch again changes nothing."""
         if not self._committed().where(F.col("batch") == batch).isEmpty():
             return
-        versions = rows.select(F.col(path_col).cast(self.path_type).alias("path"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("blob", blob_of(F.col("text")))
-        # Copies meet in the task that reads them before any of them is shuffled.
-        new, old = versions.groupBy("blob").agg(F.first("text").alias("text")), self.blobs().select("blob")
-        if not old.isEmpty():
-            new = new.join(old, "blob", "left_anti")
-        new.write.parquet(self._folder("blobs", uuid.uuid4().hex))
-        versions.select("path", "blob", F.lit(batch).alias("batch")).write.mode("overwrite").parquet(self._folder("paths", batch))
+        versions = rows.select(F.col(path_col).cast(self.path_type).alias("path"), blob_of(F.col(text_col)).alias("blob"), F.lit(batch).alias("batch"))
+        versions.write.mode("overwrite").parquet(self._folder("paths", batch))
         self.spark.range(1).select(F.lit(batch).alias("batch")).write.mode("overwrite").parquet(self._folder("batches", batch))
 
-    def scan(self, rules: Rules) -> int:
-        """Scan the blobs that this version of the rules has not seen; how many there were."""
-        unseen, seen = self.blobs(), self.scans().where(F.col("rules") == rules.version).select("blob")
+    def scan(self, rules: Rules, rows: DataFrame, text_col: str = "text") -> int:
+        """Scan the texts of rows (a batch, or all history) that this version of the rules has not seen; how many there were."""
+        texts = rows.select(F.coalesce(text_col, F.lit("")).alias("text")).withColumn("blob", blob_of(F.col("text")))
+        # Copies meet in the task that reads them before any of them is shuffled.
+        unseen = texts.groupBy("blob").agg(F.first("text").alias("text"))
+        seen = self.scans().where(F.col("rules") == rules.version).select("blob")
         if not seen.isEmpty():
             unseen = unseen.join(seen, "blob", "left_anti")
         span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
