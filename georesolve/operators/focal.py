@@ -22,19 +22,20 @@ def disk_size(r: int) -> int:
     return sum((2 * w + 1) * (1 if dy == 0 else 2) for dy, w in enumerate(disk_spans(r)))
 
 
-def padded(cells: DataFrame, value: str, r: int) -> DataFrame:
-    """row, col, value with the border repeated r cells outwards."""
+def padded(cells: DataFrame, value: str | list[str], r: int) -> DataFrame:
+    """row, col and the values with the border repeated r cells outwards."""
+    values = [value] if isinstance(value, str) else value
     e = cells.agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1")).first()
     if e["r0"] is None:
-        return cells.select("row", "col", value)
+        return cells.select("row", "col", *values)
 
     def copies(at: Column, low: int, high: int) -> Column:
         out = F.when((at == low) & (at == high), F.sequence(F.lit(low - r), F.lit(high + r)))
         return F.explode(out.when(at == low, F.sequence(F.lit(low - r), F.lit(low))).when(at == high, F.sequence(F.lit(high), F.lit(high + r))).otherwise(F.array(at)))
 
-    rows = cells.select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), value)
-    rows = rows.select(copies(F.col("row"), e["r0"], e["r1"]).alias("row"), "col", value)
-    return rows.select("row", copies(F.col("col"), e["c0"], e["c1"]).alias("col"), value)
+    rows = cells.select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), *values)
+    rows = rows.select(copies(F.col("row"), e["r0"], e["r1"]).alias("row"), "col", *values)
+    return rows.select("row", copies(F.col("col"), e["c0"], e["c1"]).alias("col"), *values)
 
 
 def _row(a: int, b: int):
@@ -66,25 +67,38 @@ def box_mean(cells: DataFrame, value: str, r: int, out: str) -> DataFrame:
     return cells.join(mean.select("row", "col", F.col("__m").alias(out)), ["row", "col"])
 
 
-def _disk(cells: DataFrame, value: str, r: int) -> DataFrame:
-    spans = disk_spans(r)
-    rows = cells.select("row", "col", *[F.sum(value).over(_row(-w, w)).alias(f"__s{w}") for w in sorted(set(spans))])
-    total = F.coalesce(F.sum(f"__s{spans[0]}").over(_col(0, 0)), F.lit(0.0))
-    for dy in range(1, r + 1):
-        for side in (-dy, dy):
-            total = total + F.coalesce(F.sum(f"__s{spans[dy]}").over(_col(side, side)), F.lit(0.0))
-    return rows.select("row", "col", total.alias("__d"))
+def _disks(cells: DataFrame, of: dict[str, tuple[str, int]]) -> DataFrame:
+    """row, col and for each name the sum of its value over the disk of its radius; all in one window over rows and one over columns."""
+    spans = {name: (value, disk_spans(r)) for name, (value, r) in of.items()}
+    widths = sorted({(value, w) for value, s in spans.values() for w in s})
+    rows = cells.select("row", "col", *[F.sum(value).over(_row(-w, w)).alias(f"__{value}_{w}") for value, w in widths])
+
+    def total(value: str, s: list[int]) -> Column:
+        at = lambda dy: F.coalesce(F.sum(f"__{value}_{s[abs(dy)]}").over(_col(dy, dy)), F.lit(0.0))
+        return sum((at(dy) + at(-dy) for dy in range(1, len(s))), at(0))
+
+    return rows.select("row", "col", *[total(value, s).alias(name) for name, (value, s) in spans.items()])
+
+
+def disk_sums(cells: DataFrame, of: dict[str, tuple[str, int]]) -> DataFrame:
+    """cells with, for each name: (value, radius) of ``of``, the sum over the disk; nothing lies beyond the border."""
+    return cells.join(_disks(cells, of), ["row", "col"])
+
+
+def disk_means(cells: DataFrame, of: dict[str, tuple[str, int]]) -> DataFrame:
+    """cells with, for each name: (value, radius) of ``of``, the mean over the disk; beyond the border the nearest cell counts."""
+    values = list(dict.fromkeys(value for value, _ in of.values()))
+    wide = padded(cells.select("row", "col", *values), values, max(r for _, r in of.values()))
+    mean = _disks(wide, of).select("row", "col", *[(F.col(name) / disk_size(r)).alias(name) for name, (_, r) in of.items()])
+    return cells.join(mean, ["row", "col"])
 
 
 def disk_sum(cells: DataFrame, value: str, r: int, out: str) -> DataFrame:
-    """cells with the sum over the disk; nothing lies beyond the border."""
-    return cells.join(_disk(cells, value, r).withColumnRenamed("__d", out), ["row", "col"])
+    return disk_sums(cells, {out: (value, r)})
 
 
 def disk_mean(cells: DataFrame, value: str, r: int, out: str) -> DataFrame:
-    """cells with the mean over the disk; beyond the border the nearest cell counts."""
-    mean = _disk(padded(cells, value, r), value, r).select("row", "col", (F.col("__d") / disk_size(r)).alias(out))
-    return cells.join(mean, ["row", "col"])
+    return disk_means(cells, {out: (value, r)})
 
 
 def smooth(cells: DataFrame, value: str, r: int, out: str) -> DataFrame:

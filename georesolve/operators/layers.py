@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import Grid
+from ..session import checkpointed
 from . import focal, vector
 
 # Tag values that classes are made of.
 FARM, FARM_NATURAL = ["farmland", "meadow"], ["grassland"]
 WOOD, WOOD_NATURAL = ["forest"], ["wood", "scrub", "heath"]
 RAIL, RAIL_GONE, RAIL_SERVICE, RAIL_USAGE = ["rail", "light_rail", "narrow_gauge"], ["yes", "rail"], ["yard", "spur", "siding", "crossover"], ["industrial", "military", "tourism"]
-LARGE_INDUSTRY_M2 = 30_000
+INDUSTRY, LARGE_INDUSTRY_M2 = ["industrial", "military", "construction"], 30_000
 CENSUS = ["pop_carr", "ind_snv", "men", "men_pauv", "men_surf", "men_mais", "men_coll", "log_soc", "log_av45", "log_45_70", "log_70_90", "log_ap_90", "log_inc"]
 DWELLINGS = ["log_av45", "log_45_70", "log_70_90", "log_ap_90", "log_inc"]
 
@@ -29,13 +30,13 @@ def active_rail() -> Column:
 
 
 def highspeed_rail() -> Column:
-    return active_rail() & (tag("highspeed") == "yes")
+    return active_rail() & ((tag("highspeed") == "yes") | (tag("usage") == "highspeed"))
 
 
 #: Feature classes by name; each a predicate over the column tags.
 CLASSES = {
-    "motorway": lambda: tag("highway") == "motorway",
-    "trunk_primary": lambda: tag("highway").isin("trunk", "primary"),
+    "motorway": lambda: tag("highway").isin("motorway", "motorway_link"),
+    "trunk_primary": lambda: tag("highway").isin("trunk", "trunk_link", "primary", "primary_link"),
     "junction": lambda: tag("highway") == "motorway_junction",
     "rail": active_rail,
     "rail_highspeed": highspeed_rail,
@@ -47,7 +48,8 @@ CLASSES = {
     "residential": lambda: tag("landuse") == "residential",
     "farmyard": lambda: tag("landuse") == "farmyard",
     "heavy": lambda: tag("landuse").isin("quarry", "landfill") | (tag("man_made") == "wastewater_plant") | tag("amenity").isin("waste_transfer_station", "waste_disposal") | (tag("aeroway") == "aerodrome") | (tag("power") == "plant"),
-    "industrial": lambda: tag("landuse") == "industrial",
+    "industrial": lambda: tag("landuse").isin(INDUSTRY),
+    "plant": lambda: (tag("power") == "plant") | (tag("generator:source") == "wind"),
     "school": lambda: tag("amenity").isin("school", "kindergarten"),
     "bakery": lambda: tag("shop") == "bakery",
     "market": lambda: tag("shop").isin("supermarket", "convenience"),
@@ -60,31 +62,46 @@ def of_class(features: DataFrame, name: str) -> DataFrame:
     return features.where(CLASSES[name]())
 
 
-def industry(features: DataFrame, areas: DataFrame) -> DataFrame:
-    """fid, large: industrial areas by size. areas: fid, area."""
-    return of_class(features, "industrial").join(areas, "fid").select("fid", (F.col("area") >= LARGE_INDUSTRY_M2).alias("large"))
+#: What is measured to lines, to points and to contours of polygons; and shares of polygons with their radii in metres.
+LINE_CLASSES = ["motorway", "trunk_primary", "rail", "rail_highspeed"]
+POINT_CLASSES = ["junction", "plant", "school", "bakery", "market", "pharmacy", "village"]
+AREA_CLASSES = ["farmyard", "heavy", "large_industry", "light_industry"]
+SHARES = {"farm_share_800m": ("farm", 800), "vineyard_share_1km": ("vineyard", 1000), "orchard_share_1km": ("orchard", 1000), "forest_share_1km": ("forest", 1000), "water_share_500m": ("water", 500), "resid_share_1km": ("residential", 1000)}
 
 
-def distance_layer(cells: DataFrame, vertices: DataFrame, name: str, bucket: float) -> DataFrame:
-    """cells with the distance to the nearest vertex of densified lines."""
-    points = vector.densified(vertices).select("x", "y")
-    return cells.join(vector.nearest(cells, points, ["row", "col"], bucket).withColumnRenamed("dist", name), ["row", "col"])
+def classed(features: DataFrame, names: list[str]) -> DataFrame:
+    """features (tags, others) once for each class that they are of, with its name in cls."""
+    return features.withColumn("cls", F.explode(F.array_compact(F.array(*[F.when(CLASSES[n](), n) for n in names]))))
 
 
-def share_layer(cells: DataFrame, rings: DataFrame, grid: Grid, radius: float, name: str) -> DataFrame:
-    """cells with the share of a polygon class within a radius."""
-    share = cells.join(vector.rasterized(rings, grid), ["row", "col"], "left").fillna(0.0, ["share"])
-    return cells.join(focal.disk_mean(share.select("row", "col", "share"), "share", grid.px(radius), name).select("row", "col", name), ["row", "col"])
+def industry(rings: DataFrame) -> DataFrame:
+    """Rings (cls, fid, seq, x, y) with industrial areas told apart by the area of each ring."""
+    area = vector.shoelace(rings.where("cls = 'industrial'").select("fid", "seq", "x", "y"))
+    size = F.when(F.col("area") >= LARGE_INDUSTRY_M2, "large_industry").otherwise("light_industry")
+    return rings.join(area, "fid", "left").withColumn("cls", F.when(F.col("cls") == "industrial", size).otherwise(F.col("cls"))).drop("area")
 
 
-def combined_distances(cells: DataFrame) -> DataFrame:
-    """dist_nuisance is the least of its kinds, dist_services the largest of what a household needs."""
-    out = cells
-    if {"dist_heavy", "dist_large_industry", "dist_power"} <= set(cells.columns):
-        out = out.withColumn("dist_nuisance", F.least("dist_heavy", "dist_large_industry", "dist_power"))
-    if {"dist_school", "dist_bakery", "dist_market"} <= set(cells.columns):
-        out = out.withColumn("dist_services", F.greatest("dist_school", "dist_bakery", "dist_market"))
-    return out
+def distance_and_share_layers(cells: DataFrame, grid: Grid, points: DataFrame, lines: DataFrame, rings: DataFrame, bucket: float = 600.0) -> DataFrame:
+    """cells (row, col, x, y, others) with every layer that map features give.
+
+    points: tags, x, y; lines: fid, tags, seq, x, y; rings: the same, one fid a closed ring. All distances
+    are one search keyed by class, all shares one scan-line pass keyed by class and one pair of windows.
+    A class without features is NO_FEATURE away and has no share.
+    """
+    wanted = [c for c, _ in SHARES.values()]
+    polygons = checkpointed(industry(classed(rings, [*wanted, "farmyard", "heavy", "industrial"]).select("cls", F.concat_ws("/", "cls", "fid").alias("fid"), "seq", "x", "y")))
+    ways = classed(lines, LINE_CLASSES).select("cls", F.concat_ws("/", "cls", "fid").alias("fid"), "seq", "x", "y").unionByName(polygons.where(F.col("cls").isin(AREA_CLASSES)))
+    lone = F.count("*").over(Window.partitionBy("fid")) < 2  # no line
+    dense = vector.densified(ways.withColumn("__lone", lone).where("not __lone"), keep=["cls"]).select("cls", "x", "y")
+    all_points = dense.unionByName(classed(points, POINT_CLASSES).select("cls", "x", "y"))
+    out = vector.nearest_of_classes(cells, all_points, ["row", "col"], [*LINE_CLASSES, *POINT_CLASSES, *AREA_CLASSES], bucket)
+    covered = vector.rasterized(polygons, grid, keys=["cls"]).groupBy("row", "col").agg(*[F.max(F.when(F.col("cls") == c, F.col("share"))).alias(f"__{c}") for c in [*wanted, *AREA_CLASSES]])
+    out = out.join(covered, ["row", "col"], "left").fillna(0.0, [f"__{c}" for c in [*wanted, *AREA_CLASSES]])
+    for c in AREA_CLASSES:
+        out = out.withColumn(f"dist_{c}", vector.polygon_distance(out, f"__{c}", f"dist_{c}"))
+    means = focal.disk_means(out.select("row", "col", *[f"__{c}" for c in wanted]), {name: (f"__{c}", grid.px(r)) for name, (c, r) in SHARES.items()})
+    out = out.drop(*[c for c in out.columns if c.startswith("__")]).join(means.select("row", "col", *SHARES), ["row", "col"])
+    return out.withColumn("dist_nuisance", F.least("dist_heavy", "dist_large_industry", "dist_plant")).withColumn("dist_services", F.greatest("dist_school", "dist_bakery", "dist_market"))
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -100,11 +117,9 @@ def census_layers(cells: DataFrame, census: DataFrame, grid: Grid) -> DataFrame:
     """cells with populations, income and housing shares around. census: x, y and the fields of CENSUS."""
     per_cell = vector.scattered(census, grid, cells.select("row", "col"), CENSUS)
     per_cell = per_cell.withColumn("dwellings", sum((F.col(c) for c in DWELLINGS), F.lit(0.0)))
-    out = cells
     near = {"pop_carr": (1000, 2000, 3000), "ind_snv": (1000, 3000), "men": (1000,), "men_pauv": (1000,), "men_surf": (1000,), "men_mais": (1000,), "log_soc": (1000,), "dwellings": (1000,)}
-    for name, radii in near.items():
-        for r in radii:
-            out = out.join(focal.disk_sum(per_cell.select("row", "col", name), name, grid.px(r), f"__{name}_{r}").select("row", "col", f"__{name}_{r}"), ["row", "col"])
+    sums = focal.disk_sums(per_cell.select("row", "col", *near), {f"__{name}_{r}": (name, grid.px(r)) for name, radii in near.items() for r in radii})
+    out = cells.join(sums.drop(*near), ["row", "col"])
     s = lambda n, r=1000: F.col(f"__{n}_{r}")
     out = (
         out.withColumn("pop_1km", s("pop_carr"))

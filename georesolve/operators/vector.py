@@ -23,8 +23,8 @@ def projected(vertices: DataFrame) -> DataFrame:
     return vertices.select("fid", "seq", x.alias("x"), y.alias("y"))
 
 
-def densified(vertices: DataFrame, step: float = DENSIFY_STEP) -> DataFrame:
-    """fid, seq, part, x, y: segments longer than step get floor(length / step) inner points."""
+def densified(vertices: DataFrame, step: float = DENSIFY_STEP, keep: list[str] | None = None) -> DataFrame:
+    """keep, fid, seq, part, x, y: segments longer than step get floor(length / step) inner points."""
     w = Window.partitionBy("fid").orderBy("seq")
     seg = vertices.withColumn("nx", F.lead("x").over(w)).withColumn("ny", F.lead("y").over(w))
     d = F.hypot(F.col("nx") - F.col("x"), F.col("ny") - F.col("y"))
@@ -32,7 +32,7 @@ def densified(vertices: DataFrame, step: float = DENSIFY_STEP) -> DataFrame:
     seg = seg.withColumn("k", F.coalesce(k, F.lit(0))).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("k"))))
     at = F.col("part") / (F.col("k") + 1)
     between = lambda a, b: F.when(F.col("part") == 0, F.col(a)).otherwise(F.col(a) + (F.col(b) - F.col(a)) * at)
-    return seg.select("fid", "seq", "part", between("x", "nx").alias("x"), between("y", "ny").alias("y"))
+    return seg.select(*(keep or []), "fid", "seq", "part", between("x", "nx").alias("x"), between("y", "ny").alias("y"))
 
 
 def shoelace(vertices: DataFrame) -> DataFrame:
@@ -110,6 +110,69 @@ def nearest(targets: DataFrame, points: DataFrame, keys: list[str], bucket: floa
     return out
 
 
+#: Boxes along a bucket's side, when far targets look for their nearest points.
+BOXES = 8
+
+
+def nearest_of_classes(targets: DataFrame, points: DataFrame, keys: list[str], classes: list[str], bucket: float, levels: int = 10) -> DataFrame:
+    """targets with, for each class, the distance to its nearest point (cls, x, y); NO_FEATURE where the class has none. Exact.
+
+    One search for all classes. Near points are found in one join on buckets, for every class at once:
+    points go to their bucket and the eight around it, targets only to their own. What a target has not found
+    within a bucket's width it looks for in buckets four times as wide, under (class, bucket), but there
+    it first meets boxes of an eighth of the width, each with one of its points: the nearest of those bounds
+    the distance, and only boxes that come nearer than the bound hand out their points. So far targets
+    meet a bounded number of boxes and few points, however many points a wide bucket holds.
+    """
+    pts = checkpointed(points.where(F.col("cls").isin(classes)).select("cls", F.col("x").alias("px"), F.col("y").alias("py")).distinct())
+    known = {r["cls"] for r in pts.select("cls").distinct().collect()}  # at most one row a class
+    here = lambda name, width: F.floor(F.col(name) / width).cast("long")
+    around = lambda name, width: F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda o: here(name, width) + o))
+    width = float(bucket)
+    near = pts.withColumn("bx", around("px", width)).withColumn("by", around("py", width))
+    own = targets.select(*keys, "x", "y").withColumn("bx", here("x", width)).withColumn("by", here("y", width))
+    d = F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py"))
+    found = own.join(near, ["bx", "by"]).withColumn("d", d).where(F.col("d") <= width).groupBy(*keys).agg(*[F.min(F.when(F.col("cls") == c, F.col("d"))).alias(f"dist_{c}") for c in classes])
+    first = checkpointed(targets.select(*keys, "x", "y").join(found, keys, "left"))
+    missing = F.array_compact(F.array(*[F.when(F.col(f"dist_{c}").isNull(), c) for c in classes if c in known])) if known else F.array().cast("array<string>")
+    rest, far = checkpointed(first.select(*keys, "x", "y", F.explode(missing).alias("cls"))), []
+    for _ in range(levels):
+        if rest.isEmpty():
+            break
+        width *= 4
+        rest, got = _nearest_by_boxes(rest, pts, keys, width, here, around, d)
+        far.append(got)
+    else:
+        if not rest.isEmpty():
+            raise ValueError(f"some target lies further than {width} from every point of a class")
+    out = first.select(*keys, *[f"dist_{c}" for c in classes])
+    if far:
+        later = far[0]
+        for f in far[1:]:
+            later = later.unionByName(f)
+        wide = later.groupBy(*keys).agg(*[F.min(F.when(F.col("cls") == c, F.col("d"))).alias(f"__{c}") for c in classes])
+        out = out.join(wide, keys, "left").select(*keys, *[F.coalesce(f"dist_{c}", f"__{c}").alias(f"dist_{c}") for c in classes])
+    return targets.join(out.fillna(NO_FEATURE, [f"dist_{c}" for c in classes]), keys)
+
+
+def _nearest_by_boxes(rest: DataFrame, pts: DataFrame, keys: list[str], width: float, here: Callable, around: Callable, d: Column) -> tuple[DataFrame, DataFrame]:
+    """(what is left, keys with cls and d found within width) of targets (keys, x, y, cls)."""
+    side = width / BOXES
+    boxes = pts.withColumn("sx", here("px", side)).withColumn("sy", here("py", side)).groupBy("cls", "sx", "sy").agg(F.min(F.struct("px", "py")).alias("p"))
+    boxes = boxes.withColumn("px", (F.col("sx") + 0.5) * side).withColumn("py", (F.col("sy") + 0.5) * side)
+    # A bucket's list: the boxes in it and around it, at most 9 * BOXES * BOXES.
+    lists = boxes.withColumn("bx", around("px", width)).withColumn("by", around("py", width)).groupBy("cls", "bx", "by").agg(F.collect_list(F.struct("sx", "sy", "p")).alias("boxes"))
+    met = rest.withColumn("bx", here("x", width)).withColumn("by", here("y", width)).join(lists, ["cls", "bx", "by"])
+    gap = lambda v, low: F.greatest(F.lit(0.0), low - v, v - (low + side))
+    bound = F.array_min(F.transform("boxes", lambda b: F.hypot(F.col("x") - b["p"]["px"], F.col("y") - b["p"]["py"])))
+    # The least representable step more than the bound: a box whose edge holds the point must not be lost to rounding.
+    close = F.filter("boxes", lambda b: F.hypot(gap(F.col("x"), b["sx"] * side), gap(F.col("y"), b["sy"] * side)) <= F.col("bound") * (1 + 1e-12) + 1e-9)
+    asked = met.withColumn("bound", bound).select(*keys, "x", "y", "cls", F.explode(close).alias("b")).select(*keys, "x", "y", "cls", F.col("b.sx").alias("sx"), F.col("b.sy").alias("sy"))
+    inside = pts.withColumn("sx", here("px", side)).withColumn("sy", here("py", side))
+    got = checkpointed(asked.join(inside, ["cls", "sx", "sy"]).groupBy(*keys, "cls").agg(F.min(d).alias("d")).where(F.col("d") <= width))
+    return checkpointed(rest.join(got.select(*keys, "cls"), [*keys, "cls"], "left_anti")), got
+
+
 def polygon_distance(cells: DataFrame, share: str, dist: str) -> Column:
     """0 inside a polygon (share over a half), else the distance to its contour."""
     return F.when(F.col(share) > 0.5, 0.0).otherwise(F.col(dist))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +10,12 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import Grid, to_l93
 from ..functions.scoring import Scoring, attractiveness, feasibility
-from ..operators import focal, graph, zones
+from ..operators import focal, graph, layers, vector, zones
 from ..session import checkpointed
+from ..sources import landed
+
+#: Communes whose centre lies so far beyond the circle still count, in metres.
+COMMUNE_REACH = 15_000
 
 
 @dataclass(frozen=True)
@@ -48,6 +53,55 @@ class Config:
         return cls(**raw, scoring=Scoring(rules=rules, tolerance=tolerance))
 
 
+#: Cells around the grid that terrain windows look at, in metres.
+TERRAIN_PAD = 5200
+
+
+@dataclass(frozen=True)
+class Inputs:
+    """What stage 1 starts from, as DataFrames."""
+
+    elevation: DataFrame  # row, col, z on the grid padded by terrain_pad cells; null where unknown
+    points: DataFrame  # tags, x, y of any feature
+    lines: DataFrame  # fid, tags, seq, x, y
+    rings: DataFrame  # fid, tags, seq, x, y: closed outer rings
+    census: DataFrame  # x, y and the census fields
+    communes: DataFrame  # idx, name, x, y of centres
+    commune_rings: DataFrame  # idx, fid, seq, x, y
+
+
+def terrain_pad(grid: Grid) -> int:
+    return math.ceil(TERRAIN_PAD / grid.cell)
+
+
+def metric_cells(spark: SparkSession, grid: Grid, inputs: Inputs) -> DataFrame:
+    """The grid's cells with every metric layer and the commune: terrain, distances, shares, census."""
+    ground = vector.filled(inputs.elevation, "z") if not inputs.elevation.where("z is null").isEmpty() else inputs.elevation
+    terrain = focal.terrain(ground.select("row", "col", "z"), "z", grid.cell, grid.px).drop("z")
+    terrain = terrain.where(F.col("row").between(0, grid.n - 1) & F.col("col").between(0, grid.n - 1))
+    cells = layers.distance_and_share_layers(grid.cells(spark), grid, inputs.points, inputs.lines, inputs.rings)
+    cells = layers.census_layers(cells, inputs.census, grid).join(terrain, ["row", "col"])
+    cells = vector.assigned(cells, inputs.commune_rings, inputs.communes, grid)
+    return cells.join(inputs.communes.select("idx", F.col("name").alias("commune")), "idx", "left")
+
+
+def landed_inputs(spark: SparkSession, folder: str, grid: Grid, side: int = landed.TILE) -> Inputs:
+    """Inputs from the landed files: elevation/ tiles of side samples, features/, census/ and communes/ as JSON."""
+    padded = grid.with_wgs(grid.cells(spark, terrain_pad(grid))).select("row", "col", "lon", "lat")
+    elevation = landed.sampled(padded, landed.elevation_tiles(spark, f"{folder}/elevation"), ["row", "col"], side)
+    features = landed.map_features(spark, f"{folder}/features")
+    ways = landed.feature_lines(features)
+    relations = features.where("type = 'relation'").select(F.col("fid").alias("relation"), "tags")
+    pieces = vector.assembled_rings(landed.relation_pieces(features)).withColumn("relation", F.concat(F.lit("relation/"), F.col("relation").cast("string")))
+    rings = ways.join(features.where("type = 'way' and size(geometry) >= 3").select("fid"), "fid", "left_semi")
+    rings = rings.unionByName(pieces.join(relations, "relation").select("fid", "tags", "seq", "x", "y"))
+    communes = landed.communes(spark, f"{folder}/communes", grid.cx, grid.cy, grid.radius + COMMUNE_REACH)
+    ranked = graph.numbered(communes.select("code", "name", "x", "y"), ["code"], "idx")
+    outer = landed.outer_rings(communes).join(ranked.select("code", "idx"), "code").select("idx", "fid", "seq", "x", "y")
+    bounds = grid.bounds()
+    return Inputs(elevation, landed.feature_points(features), ways, rings, landed.census(spark, f"{folder}/census", bounds), ranked.select("idx", "name", "x", "y"), outer)
+
+
 def scored(cells: DataFrame, config: Config, grid: Grid) -> DataFrame:
     """cells (row, col, x, y, inside, metrics) with feasibility, limiting, attract and the smoothed field."""
     out = feasibility(cells, config.scoring)

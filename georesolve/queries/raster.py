@@ -399,6 +399,80 @@ def census_layers(spark, d):
     return rc(out, *[F.round(c, 4).alias(c) for c in ("pop_1km", "pop_2km", "income_1km", "social_housing_share_1km", "poor_share_1km", "house_share_1km", "mean_house_m2")])
 
 
+# -- stage 1 from features to layers -----------------------------------------------------------------
+
+_POINT_TAGS = [("highway", "motorway_junction"), ("amenity", "school"), ("shop", "bakery"), ("shop", "convenience"), ("amenity", "pharmacy"), ("place", "village"), ("generator:source", "wind"), ("amenity", "bench")]
+_POINT_CLASS = ["junction", "school", "bakery", "market", "pharmacy", "village", "plant", None]
+_LINE_TAGS = [("highway", "motorway_link"), ("highway", "primary"), ("railway", "rail"), ("highway", "footway")]
+_RING_TAGS = [("landuse", "farmland"), ("landuse", "vineyard"), ("landuse", "orchard"), ("natural", "wood"), ("natural", "water"), ("landuse", "residential"), ("landuse", "farmyard"), ("man_made", "wastewater_plant"), ("landuse", "industrial"), ("landuse", "grass")]
+_RING_CLASS = ["farm", "vineyard", "orchard", "forest", "water", "residential", "farmyard", "heavy", "industry", None]
+
+
+def _tags(key, pairs):
+    return F.element_at(F.array(*[F.create_map(F.lit(k), F.lit(v)) for k, v in pairs]), (key % len(pairs) + 1).cast("int"))
+
+
+def map_points(spark, d):
+    k = F.col("c_custkey")
+    return table(spark, d, "customer").select(_tags(k, _POINT_TAGS).alias("tags"), ((k * 71) % 10400 - 200).cast("double").alias("x"), ((k * 53) % 10400 - 200).cast("double").alias("y"))
+
+
+def map_lines(spark, d):
+    """Three vertices from each supplier on; every other railway is a fast one."""
+    k, s = F.col("s_suppkey"), F.col("seq")
+    tags = F.when(k % 8 == 2, F.map_concat(_tags(k, _LINE_TAGS), F.create_map(F.lit("highspeed"), F.lit("yes")))).otherwise(_tags(k, _LINE_TAGS))
+    v = table(spark, d, "supplier").select("s_suppkey", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("seq"))
+    return v.select(k.cast("string").alias("fid"), tags.alias("tags"), "seq", ((k * 977) % 10000 + s * 311).cast("double").alias("x"), ((k * 613) % 10000 + s * s * 97).cast("double").alias("y"))
+
+
+def map_rings(spark, d):
+    """Closed quadrilaterals that grow with the supplier's number."""
+    k = F.col("s_suppkey")
+    corner = F.posexplode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 0), (90, 13), (77, 101), (-11, 83), (0, 0))]))
+    v = table(spark, d, "supplier").select("s_suppkey", corner.alias("seq", "p"))
+    at = lambda m, c: (k * m) % 9000 + F.col(f"p.{c}") * (1 + k % 9) + 0.37
+    return v.select(k.cast("string").alias("fid"), _tags(k, _RING_TAGS).alias("tags"), "seq", at(1237, "a").alias("x"), at(2311, "b").alias("y"))
+
+
+def _case(key, names):
+    return f"CASE {key} % {len(names)} " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(names) if n) + " END"
+
+
+_STAGE1 = f"""pt AS (SELECT {_case("c_custkey", _POINT_CLASS)} AS cls, CAST((c_custkey * 71) % 10400 - 200 AS DOUBLE) AS x, CAST((c_custkey * 53) % 10400 - 200 AS DOUBLE) AS y FROM customer),
+  lv AS (SELECT unnest(CASE WHEN s_suppkey % 4 = 0 THEN ['motorway'] WHEN s_suppkey % 4 = 1 THEN ['trunk_primary'] WHEN s_suppkey % 8 = 2 THEN ['rail', 'rail_highspeed'] WHEN s_suppkey % 4 = 2 THEN ['rail'] ELSE [] END) AS cls,
+    s_suppkey AS fid, s, CAST((s_suppkey * 977) % 10000 + s * 311 AS DOUBLE) AS x, CAST((s_suppkey * 613) % 10000 + s * s * 97 AS DOUBLE) AS y FROM supplier, range(3) t(s)),
+  rv AS (SELECT {_case("s_suppkey", _RING_CLASS)} AS c0, s_suppkey AS fid, s, CAST((s_suppkey * 1237) % 9000 + ([0, 90, 77, -11, 0])[s + 1] * (1 + s_suppkey % 9) AS DOUBLE) + 0.37::DOUBLE AS x,
+    CAST((s_suppkey * 2311) % 9000 + ([0, 13, 101, 83, 0])[s + 1] * (1 + s_suppkey % 9) AS DOUBLE) + 0.37::DOUBLE AS y FROM supplier, range(5) t(s)),
+  re AS (SELECT *, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM rv WHERE c0 IS NOT NULL WINDOW w AS (PARTITION BY fid ORDER BY s)),
+  ar AS (SELECT fid, abs(sum(x * y2 - x2 * y)) / 2 AS area FROM re WHERE x2 IS NOT NULL GROUP BY fid),
+  rc AS (SELECT re.*, CASE WHEN c0 <> 'industry' THEN c0 WHEN area >= 30000 THEN 'large_industry' ELSE 'light_industry' END AS cls FROM re JOIN ar USING (fid)),
+  sg AS (SELECT cls, x, y, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM (SELECT cls, 'l' || fid AS fid, s, x, y FROM lv UNION ALL SELECT cls, 'r' || fid, s, x, y FROM rc WHERE cls IN ('farmyard', 'heavy', 'large_industry', 'light_industry')) WINDOW w AS (PARTITION BY cls, fid ORDER BY s)),
+  sk AS (SELECT *, CASE WHEN nx IS NOT NULL AND sqrt((nx - x) ** 2 + (ny - y) ** 2) > 60 THEN CAST(floor(sqrt((nx - x) ** 2 + (ny - y) ** 2) / 60) AS INT) ELSE 0 END AS k FROM sg),
+  ap AS (SELECT DISTINCT * FROM (SELECT cls, x, y FROM pt WHERE cls IS NOT NULL UNION ALL SELECT cls, CASE WHEN i = 0 THEN x ELSE x + (nx - x) * (CAST(i AS DOUBLE) / (k + 1)) END, CASE WHEN i = 0 THEN y ELSE y + (ny - y) * (CAST(i AS DOUBLE) / (k + 1)) END FROM sk, range(40) t(i) WHERE i <= k)),
+  ce AS (SELECT CAST(r AS INT) AS r, CAST(c AS INT) AS c, {GRID.x0}::DOUBLE + (c + 0.5::DOUBLE) * 200 AS x, {GRID.y0}::DOUBLE + (r + 0.5::DOUBLE) * 200 AS y FROM range({GRID.n}) a(r), range({GRID.n}) b(c)),
+  di AS (SELECT r, c, cls, min(sqrt((ce.x - ap.x) ** 2 + (ce.y - ap.y) ** 2)) AS dist FROM ce, ap GROUP BY r, c, cls),
+  sb AS (SELECT CAST(sr AS INT) AS sr, CAST(sc AS INT) AS sc, {GRID.y0}::DOUBLE + (sr + 0.5::DOUBLE) * 50 AS py, {GRID.x0}::DOUBLE + (sc + 0.5::DOUBLE) * 50 AS px FROM range({GRID.n * 4}) a(sr), range({GRID.n * 4}) b(sc)),
+  hi AS (SELECT DISTINCT cls, sr, sc FROM (SELECT cls, fid, sr, sc FROM sb JOIN rc ON (y > py) <> (y2 > py) AND x + (py - y) / (y2 - y) * (x2 - x) > px GROUP BY cls, fid, sr, sc HAVING count(*) % 2 = 1)),
+  ss AS (SELECT cls, sr // 4 AS r, sc // 4 AS c, count(*) / 16.0::DOUBLE AS share FROM hi GROUP BY cls, sr // 4, sc // 4),
+  sf AS (SELECT ce.r, ce.c, k.cls, coalesce(share, 0) AS share FROM ce CROSS JOIN (SELECT unnest(['farm', 'vineyard', 'orchard', 'forest', 'water', 'residential', 'farmyard', 'heavy', 'large_industry', 'light_industry']) AS cls) k LEFT JOIN ss ON ss.r = ce.r AND ss.c = ce.c AND ss.cls = k.cls),
+  rad AS (SELECT * FROM (VALUES ('farm', 4), ('vineyard', 5), ('orchard', 5), ('forest', 5), ('water', 2), ('residential', 5)) t(cls, rad)),
+  oo AS (SELECT CAST(a AS INT) AS dr, CAST(b AS INT) AS dc FROM range(-5, 6) x(a), range(-5, 6) y(b)),
+  fm AS (SELECT ce.r, ce.c, rad.cls, avg(sf.share) AS m FROM ce, rad JOIN oo ON dr * dr + dc * dc <= rad * rad JOIN sf ON sf.cls = rad.cls AND sf.r = least(greatest(ce.r + dr, 0), {GRID.n - 1}) AND sf.c = least(greatest(ce.c + dc, 0), {GRID.n - 1}) GROUP BY ce.r, ce.c, rad.cls),
+  dd AS (SELECT ce.r, ce.c, k.cls, CASE WHEN coalesce(sf.share, 0) > 0.5 AND k.cls IN ('farmyard', 'heavy', 'large_industry', 'light_industry') THEN 0 ELSE coalesce(dist, 1e9) END AS dist FROM ce CROSS JOIN (SELECT unnest({layers.LINE_CLASSES + layers.POINT_CLASSES + layers.AREA_CLASSES}) AS cls) k LEFT JOIN di ON di.r = ce.r AND di.c = ce.c AND di.cls = k.cls LEFT JOIN sf ON sf.r = ce.r AND sf.c = ce.c AND sf.cls = k.cls)"""
+_DISTS = [*layers.LINE_CLASSES, *layers.POINT_CLASSES, *layers.AREA_CLASSES]
+_D = {c: f"max(CASE WHEN cls = '{c}' THEN dist END)" for c in _DISTS}
+
+
+@query("stage1_layers", f"""WITH {_STAGE1}, dw AS (SELECT r, c, {", ".join(f"{e} AS dist_{c}" for c, e in _D.items())} FROM dd GROUP BY r, c),
+  fw AS (SELECT r, c, {", ".join(f"max(CASE WHEN cls = '{cls}' THEN m END) AS {name}" for name, (cls, _) in layers.SHARES.items())} FROM fm GROUP BY r, c)
+  SELECT r, c, {", ".join(f"round(dist_{c}, 4) AS dist_{c}" for c in _DISTS)}, round(least(dist_heavy, dist_large_industry, dist_plant), 4) AS dist_nuisance, round(greatest(dist_school, dist_bakery, dist_market), 4) AS dist_services,
+  {", ".join(f"round({name}, 6) AS {name}" for name in layers.SHARES)} FROM dw JOIN fw USING (r, c)""")
+def stage1_layers(spark, d):
+    """Every layer that map features give, in one search of distances and one pass of shares."""
+    out = layers.distance_and_share_layers(GRID.cells(spark).select("row", "col", "x", "y"), GRID, map_points(spark, d), map_lines(spark, d), map_rings(spark, d))
+    return rc(out, *[F.round(f"dist_{c}", 4).alias(f"dist_{c}") for c in [*_DISTS, "nuisance", "services"]], *[F.round(c, 6).alias(c) for c in layers.SHARES])
+
+
 @query("ring_shoelace", f"WITH {LINES}, s AS (SELECT *, coalesce(lead(x) OVER w, first(x) OVER w) AS nx, coalesce(lead(y) OVER w, first(y) OVER w) AS ny FROM ln WINDOW w AS (PARTITION BY fid ORDER BY seq)) SELECT fid, abs(sum(x * ny - nx * y)) / 2 AS area FROM s GROUP BY fid")
 def ring_shoelace(spark, d):
     rings = lines(spark, d).groupBy("fid").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("ring"))
