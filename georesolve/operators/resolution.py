@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,10 @@ AREA_M2, LAND_SHARE, PRICE_SHARE = 2.0, 0.10, 0.08
 TEXT_LEAST, TEXT_STRICT, SHINGLE = 0.30, 0.45, 3
 NO_HASH = 999
 AREA_BLOCK = 10
+#: Pieces of a hash in the index of near photos: two within 14 bits differ by at most 2 in one of five, as 1.1 % of strangers do a piece.
+PHOTO_PIECES = 5
+#: Hashes of a place that are compared with their blocks; more are met through the index.
+DIRECT = 4096
 
 
 def known(c: Column) -> Column:
@@ -35,22 +41,41 @@ def hamming(a: Column, b: Column) -> Column:
     return F.when(known(a).isNull() | known(b).isNull(), NO_HASH).otherwise(bits)
 
 
-def near_hashes(hashes: DataFrame, key: str, h: str, radius: int = PHOTO_BITS) -> DataFrame:
-    """a, b (a < b), bits: pairs of 16-digit hashes within the radius.
+def hash_value(h: Column) -> Column:
+    """The 64 bits of a 16-digit hash as a number."""
+    half = lambda at: F.conv(F.substring(h, at, 8), 16, 10).cast("bigint")
+    return F.shiftleft(half(1), 32).bitwiseOR(half(9))
+
 
-    The 64 bits are cut into radius + 1 blocks; two hashes within the radius agree on one of them, so
-    pairs meet by an equi-join on (block, its bits) and none is lost. A pair is taken where it first meets.
+def near_hashes(hashes: DataFrame, key: str, h: str, radius: int = PHOTO_BITS, pieces: int | None = None, within: tuple[str, ...] = (), where: Column | None = None) -> DataFrame:
+    """a, b (a < b), bits: pairs of 16-digit hashes within the radius; of rows that agree in ``within`` only.
+
+    The 64 bits are cut into pieces; two hashes within the radius differ in one of them by at most
+    radius div pieces bits. One side is filed under its pieces, the other under all pieces so near, and
+    they meet by an equi-join; none is lost, and a pair is taken at the first piece where it meets. By default the
+    pieces must be equal (radius + 1 of them); fewer and longer pieces have more keys a hash and meet far fewer strangers.
+    ``where`` is a condition on the further columns of both rows, named with _a and _b behind.
     """
-    cuts = [round(i * 64 / (radius + 1)) for i in range(radius + 2)]
-    half = lambda at: F.conv(F.substring(h, at, 8), 16, 10).cast("bigint")
-    value = F.shiftleft(half(1), 32).bitwiseOR(half(9))
-    blocks = F.array(*[F.shiftrightunsigned(value, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
-    rows = hashes.where(known(F.col(h)).isNotNull()).select(F.col(key).alias("k"), F.col(h).alias("h"), blocks.alias("all"))
-    filed = rows.select("k", "h", "all", F.posexplode("all").alias("block", "bits"))
-    a, b = (filed.select(F.col("k").alias(x), F.col("h").alias(f"h{x}"), F.col("all").alias(f"all{x}"), "block", "bits") for x in "ab")
-    met = a.join(b, ["block", "bits"]).where("a < b")
-    first = F.array_position(F.zip_with("alla", "allb", lambda p, q: p == q), True) == F.col("block") + 1
-    return met.where(first).select("a", "b", hamming(F.col("ha"), F.col("hb")).alias("bits")).where(F.col("bits") <= radius)
+    pieces = pieces or radius + 1
+    slack, cuts = radius // pieces, [round(i * 64 / pieces) for i in range(pieces + 1)]
+    spans = list(zip(cuts[:-1], cuts[1:], strict=True))
+    piece = lambda v, i: F.shiftrightunsigned(v, spans[i][0]).bitwiseAND(F.lit((1 << (spans[i][1] - spans[i][0])) - 1))
+    further = [c for c in hashes.columns if c not in (key, h, *within)]
+    rows = hashes.where(known(F.col(h)).isNotNull()).select(F.col(key).alias("k"), hash_value(F.col(h)).alias("v"), *within, *further)
+    # Each row becomes many: an explicit number of partitions is not coalesced for the few bytes there are before.
+    rows = rows.repartition(int(hashes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "k")
+    turned = [[sum(1 << i for i in on) for n in range(slack + 1) for on in itertools.combinations(range(b - a), n)] for a, b in spans]
+    probes = [F.struct(F.lit(i).alias("piece"), piece(F.col("v"), i).bitwiseXOR(F.lit(m).cast("bigint")).alias("bits")) for i, ms in enumerate(turned) for m in ms]
+    named = lambda x: [F.col("k").alias(x), F.col("v").alias(f"v{x}"), *within, *[F.col(c).alias(f"{c}_{x}") for c in further]]
+    left = rows.select(*named("a"), F.posexplode(F.array(*[piece(F.col("v"), i) for i in range(pieces)])).alias("piece", "bits"))
+    right = rows.select(*named("b"), F.inline(F.array(*probes)))
+    met = left.join(right, [*within, "piece", "bits"]).where("a < b")
+    met = met if where is None else met.where(where)
+    differ = lambda i: F.bit_count(piece(F.col("va"), i).bitwiseXOR(piece(F.col("vb"), i))) > slack
+    first = F.lit(True)
+    for i in range(pieces - 1):
+        first = first & ((F.col("piece") <= i) | differ(i))
+    return met.withColumn("bits", F.bit_count(F.col("va").bitwiseXOR(F.col("vb")))).where((F.col("bits") <= radius) & first).select("a", "b", "bits")
 
 
 def photo_distance(p: Column, q: Column) -> Column:
@@ -86,19 +111,69 @@ def with_shingles(listings: DataFrame) -> DataFrame:
     return listings.withColumn("shingles", shingles(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("description", F.lit(""))), SHINGLE))
 
 
+def block(listings: DataFrame) -> tuple[Column, Column]:
+    """Place (commune, else its name, else ?) and 10 m² bucket of a listing; only listings of near blocks can be one house."""
+    place = F.coalesce(known(F.col("commune_code")), F.nullif(slug(F.col("commune_name")), F.lit("")), F.lit("?"))
+    return place, F.floor(known(F.col("area_m2")) / AREA_BLOCK)
+
+
 def blocked_pairs(listings: DataFrame, key: str = "key") -> DataFrame:
-    """a, b (a < b): pairs of one commune whose 10 m² buckets differ by at most 2; null areas meet null areas.
+    """a, b (a < b): all pairs of one commune whose 10 m² buckets differ by at most 2; null areas meet null areas.
 
     One side goes to its own bucket, the other to the five around it, so each pair meets exactly once.
-    Listings with neither a commune nor an area have no block: any two of them would be a pair.
+    Listings with neither a commune nor an area are left out: any two of them would be a pair. Groups
+    are made from ``candidate_pairs``, which has their links too.
     """
-    place = F.coalesce(known(F.col("commune_code")), F.nullif(slug(F.col("commune_name")), F.lit("")), F.lit("?"))
-    base = listings.select(F.col(key).alias("k"), place.alias("place"), F.floor(known(F.col("area_m2")) / AREA_BLOCK).alias("bucket")).where("place <> '?' or bucket is not null")
+    place, bucket = block(listings)
+    base = listings.select(F.col(key).alias("k"), place.alias("place"), bucket.alias("bucket")).where("place <> '?' or bucket is not null")
     left = base.select(F.col("k").alias("a"), "place", "bucket")
     right = base.select(F.col("k").alias("b"), "place", F.explode(F.when(F.col("bucket").isNull(), F.array(F.lit(None).cast("bigint"))).otherwise(F.sequence(F.col("bucket") - 2, F.col("bucket") + 2))).alias("to"))
     return left.join(right, (left["place"] == right["place"]) & left["bucket"].eqNullSafe(right["to"]) & (left["a"] < right["b"])).select("a", "b")
 
 
+def photo_pairs(listings: DataFrame, key: str = "key") -> DataFrame:
+    """a, b: pairs of near blocks with a photo hash within the near-miss limit. Exact.
+
+    The hashes of a place of up to DIRECT are compared with those of the buckets around; places with more
+    go through an index of hash pieces, where a hash meets a fifteenth of its block and not all of it.
+    """
+    place, bucket = block(listings)
+    photos = listings.select(F.col(key).alias("k"), place.alias("place"), bucket.alias("bucket"), F.explode("photos").alias("p"))
+    kinds = F.explode(F.array(*[F.struct(F.lit(n).alias("kind"), known(F.col(f"p.{n}")).alias("h")) for n in ("phash", "dhash")])).alias("f")
+    hashes = photos.select("k", "place", "bucket", kinds).select("k", "place", "bucket", "f.kind", "f.h").where("h is not null").distinct()
+    sizes = hashes.groupBy("kind", "place").agg((F.count("*") > DIRECT).alias("hot"))
+    sized = hashes.join(sizes, ["kind", "place"])
+    near = (F.abs(F.col("bucket_a") - F.col("bucket_b")) <= 2) | (F.col("bucket_a").isNull() & F.col("bucket_b").isNull())
+    hot = near_hashes(sized.where("hot").drop("hot"), "k", "h", PHOTO_NEAR_BITS, pieces=PHOTO_PIECES, within=("kind", "place"), where=near)
+    nowhere = F.lit(-9).cast("bigint")  # of no area: near itself only
+    few = sized.where("not hot").select("k", "kind", "place", F.coalesce("bucket", nowhere).alias("bucket"), hash_value(F.col("h")).alias("v"))
+    left = few.withColumnsRenamed({"k": "a", "v": "va"})
+    around = F.when(F.col("bucket") == nowhere, F.array(nowhere)).otherwise(F.sequence(F.col("bucket") - 2, F.col("bucket") + 2))
+    right = few.select("kind", "place", F.col("k").alias("b"), F.col("v").alias("vb"), F.explode(around).alias("bucket"))
+    met = left.join(right, ["kind", "place", "bucket"]).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("va").bitwiseXOR(F.col("vb"))) <= PHOTO_NEAR_BITS))
+    return met.select("a", "b").unionByName(hot.select("a", "b")).distinct()
+
+
+def attribute_pairs(listings: DataFrame, key: str = "key") -> DataFrame:
+    """a, b (a < b): pairs whose attributes match; areas meet in cells as wide as they may differ."""
+    place, _ = block(listings)
+    names = ["commune_code", "commune_name", "area_m2", "rooms", "land_m2"]
+    base = listings.select(F.col(key).alias("k"), place.alias("place"), *names, F.floor(known(F.col("area_m2")) / AREA_M2).alias("at")).where("at is not null")
+    side = lambda x: [F.col("k").alias(x), "place", *[F.col(c).alias(f"{c}_{x}") for c in names]]
+    left = base.select(*side("a"), "at")
+    right = base.select(*side("b"), F.explode(F.sequence(F.col("at") - 1, F.col("at") + 1)).alias("at"))
+    return left.join(right, ["place", "at"]).where("a < b").where(attributes_match(lambda c: F.col(f"{c}_a"), lambda c: F.col(f"{c}_b"))).select("a", "b")
+
+
+def candidate_pairs(listings: DataFrame, key: str = "key") -> DataFrame:
+    """a, b: every pair of near blocks that the rules could link or nearly link.
+
+    All rules need near photos or matching attributes, so each of the two has a path of its own and no
+    block is compared pair by pair. Texts and photos are fetched for these pairs only.
+    """
+    return photo_pairs(listings, key).unionByName(attribute_pairs(listings, key)).distinct()
+
+
 def compared(pairs: DataFrame, listings: DataFrame, key: str = "key") -> DataFrame:
     """pairs (a, b) with hits, best_bits, attrs, price, text_sim and both_photos of the two listings."""
     s = listings if "shingles" in listings.columns else with_shingles(listings)
@@ -139,13 +214,13 @@ def near_misses(c: DataFrame) -> DataFrame:
     return c.where(hits == 0).select("a", "b", reason.alias("reason"), score.alias("score")).where("reason is not null")
 
 
-def grouped(listings: DataFrame, decisions: DataFrame | None = None, key: str = "key", ord_col: str = "ord") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(groups, links, candidates). listings: key, ord (unique order), attributes, photos; decisions: a, b, same (0, 1).
+def linked(listings: DataFrame, decisions: DataFrame | None = None, key: str = "key") -> tuple[DataFrame, DataFrame]:
+    """(links, candidates): pairs that are one house, with method, confidence and text_sim, and pairs that nearly are.
 
-    A decision of 1 links a pair even across blocks; of 0 it takes out that pair's own link only; decided
-    pairs are no candidates. A group's id is the key of its first member. Candidates are distinct.
+    A decision (a, b, same: 0 or 1) of 1 links a pair even across blocks; of 0 it takes out that pair's own link only; decided
+    pairs are no candidates. Candidates are distinct.
     """
-    c = checkpointed(compared(blocked_pairs(listings, key), listings, key))  # read for links and for candidates
+    c = checkpointed(compared(candidate_pairs(listings, key), listings, key))  # read for links and for candidates
     pairs = decided(c)
     links = pairs.where("method is not null").select("a", "b", "method", "confidence", "text_sim")
     candidates = near_misses(c.join(pairs.where("method is not null").select("a", "b"), ["a", "b"], "left_anti"))
@@ -154,6 +229,15 @@ def grouped(listings: DataFrame, decisions: DataFrame | None = None, key: str =
         by_hand = d.where("same = 1").select("a", "b", F.lit("manual").alias("method"), F.lit(1.0).alias("confidence"), F.lit(None).cast("double").alias("text_sim"))
         links = links.join(d.select("a", "b"), ["a", "b"], "left_anti").unionByName(by_hand)
         candidates = candidates.join(d.select("a", "b"), ["a", "b"], "left_anti")
+    return links, candidates
+
+
+def grouped(listings: DataFrame, decisions: DataFrame | None = None, key: str = "key", ord_col: str = "ord") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(groups, links, candidates). listings: key, ord (unique order), attributes, photos; decisions as ``linked`` takes them.
+
+    A group's id is the key of its first member.
+    """
+    links, candidates = linked(listings, decisions, key)
     nodes = listings.select(F.col(key).alias("key"), F.col(ord_col).alias("ord"))
     return group_edges(nodes, links), links, candidates
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,22 +77,42 @@ METRICS = """m AS (SELECT p_partkey AS key,
   p_partkey % 3 <> 0 AS inside FROM part)"""
 
 
+def _photos(k: Column) -> Column:
+    """No, one or two photos: the first shared with one other listing, but for some bits; the second a listing's own.
+
+    Listings 180 apart have one commune and area; those without either share photos with their neighbour of that kind.
+    """
+    own = F.when(k % 41 == 0, F.concat(F.lit("q"), F.expr("cast(p_partkey div 82 as string)"))).otherwise(F.concat((k % 180).cast("string"), F.lit("/"), F.expr("cast(p_partkey div 360 as string)")))
+    tail = lambda h, turned: F.lpad(F.lower(F.hex(F.conv(F.substring(h, 9, 8), 16, 10).cast("bigint").bitwiseXOR(F.expr(f"shiftleft(1L, cast({turned} as int)) - 1")))), 8, "0")
+    hashed = lambda h, turned: F.concat(F.substring(h, 1, 8), tail(h, turned))
+    shared = F.struct(F.lit(0).alias("ord"), hashed(F.md5(own), "(p_partkey * 7) % 20").alias("phash"), F.when(k % 5 != 0, hashed(F.md5(F.concat(F.lit("d"), own)), "(p_partkey * 11) % 23")).alias("dhash"))
+    alone = F.md5(F.concat(F.lit("x"), k.cast("string")))
+    second = F.struct(F.lit(1).alias("ord"), F.substring(alone, 1, 16).alias("phash"), F.substring(alone, 17, 16).alias("dhash"))
+    return F.when(k % 7 == 0, F.array().cast("array<struct<ord:int,phash:string,dhash:string>>")).when(k % 7 < 3, F.array(shared, second)).otherwise(F.array(shared))
+
+
+PHOTOS = """po AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 41 = 0 THEN 'q' || CAST(p_partkey // 82 AS VARCHAR) ELSE CAST(p_partkey % 180 AS VARCHAR) || '/' || CAST(p_partkey // 360 AS VARCHAR) END AS own FROM part),
+  pv AS (SELECT k, ('0x' || md5(own)[1:16])::UBIGINT AS p0, ('0x' || md5('d' || own)[1:16])::UBIGINT AS d0, ('0x' || md5('x' || CAST(k AS VARCHAR))[1:16])::UBIGINT AS p1, ('0x' || md5('x' || CAST(k AS VARCHAR))[17:32])::UBIGINT AS d1 FROM po),
+  ph AS (SELECT 'L' || lpad(CAST(k AS VARCHAR), 7, '0') AS key, CASE WHEN k % 7 = 0 THEN [] WHEN k % 7 < 3 THEN [shared, {'p': p1, 'd': d1}] ELSE [shared] END AS photos
+    FROM (SELECT *, {'p': xor(p0, (1::UBIGINT << ((k * 7) % 20)::UBIGINT) - 1::UBIGINT), 'd': CASE WHEN k % 5 <> 0 THEN xor(d0, (1::UBIGINT << ((k * 11) % 23)::UBIGINT) - 1::UBIGINT) END} AS shared FROM pv))"""
+
+
 def listings(spark: SparkSession, d: str) -> DataFrame:
-    """Listings from part, with nulls and zeros for what is missing."""
+    """Listings from part, with nulls and zeros for what is missing; every 41st has neither commune nor area."""
     k, s = F.col("p_partkey"), F.col("p_size")
     return table(spark, d, "part").select(
         F.concat(F.lit("L"), F.lpad(k.cast("string"), 7, "0")).alias("key"),
         k.alias("ord"),
         F.concat(F.lit("src"), (k % 4).cast("string")).alias("source"),
-        (k % 60).cast("string").alias("commune_code"),
-        F.concat(F.lit("Commune "), (k % 60).cast("string")).alias("commune_name"),
-        F.when(k % 19 != 0, (60 + (k * 17) % 90).cast("double")).alias("area_m2"),
+        F.when(k % 41 != 0, (k % 60).cast("string")).alias("commune_code"),
+        F.when(k % 41 != 0, F.concat(F.lit("Commune "), (k % 60).cast("string"))).alias("commune_name"),
+        F.when((k % 19 != 0) & (k % 41 != 0), (60 + (k * 17) % 90).cast("double")).alias("area_m2"),
         F.when(k % 23 == 0, 0).otherwise(2 + s % 5).cast("int").alias("rooms"),
         F.when(k % 3 == 0, None).otherwise((k * 31) % 1500).cast("double").alias("land_m2"),
         F.when(k % 29 != 0, 150000 + ((k * 7919) % 60) * 2000).cast("int").alias("price"),
-        F.col("p_name").alias("title"),
+        F.when(k % 3 == 0, F.concat(F.lit("belle maison au calme avec jardin numero "), (k % 20).cast("string"))).otherwise(F.col("p_name")).alias("title"),
         F.concat_ws(" ", "p_type", "p_brand").alias("description"),
-        F.array().cast("array<struct<ord:int,phash:string,dhash:string>>").alias("photos"),
+        _photos(k).alias("photos"),
         F.when(k % 31 != 0, ((k * 13) % 100).cast("double")).alias("place_score"),
         (k % 10 != 0).alias("active"),
         (160000 + ((k * 7919) % 50) * 2000).cast("int").alias("price_first"),
@@ -103,12 +123,12 @@ def listings(spark: SparkSession, d: str) -> DataFrame:
 
 
 LISTINGS = """l AS (SELECT 'L' || lpad(CAST(p_partkey AS VARCHAR), 7, '0') AS key, p_partkey AS ord,
-  'src' || CAST(p_partkey % 4 AS VARCHAR) AS source, CAST(p_partkey % 60 AS VARCHAR) AS commune_code,
-  CASE WHEN p_partkey % 19 <> 0 THEN CAST(60 + (p_partkey * 17) % 90 AS DOUBLE) END AS area_m2,
+  'src' || CAST(p_partkey % 4 AS VARCHAR) AS source, CASE WHEN p_partkey % 41 <> 0 THEN CAST(p_partkey % 60 AS VARCHAR) END AS commune_code,
+  CASE WHEN p_partkey % 19 <> 0 AND p_partkey % 41 <> 0 THEN CAST(60 + (p_partkey * 17) % 90 AS DOUBLE) END AS area_m2,
   CASE WHEN p_partkey % 23 = 0 THEN 0 ELSE 2 + p_size % 5 END AS rooms,
   CASE WHEN p_partkey % 3 <> 0 THEN CAST((p_partkey * 31) % 1500 AS DOUBLE) END AS land_m2,
   CASE WHEN p_partkey % 29 <> 0 THEN CAST(150000 + ((p_partkey * 7919) % 60) * 2000 AS INT) END AS price,
-  p_name AS title, p_type || ' ' || p_brand AS description,
+  CASE WHEN p_partkey % 3 = 0 THEN 'belle maison au calme avec jardin numero ' || CAST(p_partkey % 20 AS VARCHAR) ELSE p_name END AS title, p_type || ' ' || p_brand AS description,
   CASE WHEN p_partkey % 31 <> 0 THEN CAST((p_partkey * 13) % 100 AS DOUBLE) END AS place_score,
   p_partkey % 10 <> 0 AS active, CAST(160000 + ((p_partkey * 7919) % 50) * 2000 AS INT) AS price_first,
   p_partkey * 86400 AS first_seen, CAST(p_size % 6 AS INT) AS bedrooms,

@@ -8,7 +8,7 @@ from ..functions.geo import Grid
 from ..operators import resolution, store, views
 from ..sources import listings as sources
 from ..sources import sinks
-from .base import GROUPS, LISTINGS, VOTES, groups, listings, people, query, table, votes
+from .base import GROUPS, LISTINGS, PHOTOS, VOTES, groups, listings, people, query, table, votes
 
 # -- entity resolution -----------------------------------------------------------------------------
 
@@ -37,29 +37,33 @@ def hamming_pairs(spark, d):
     return resolution.near_hashes(twice.select((F.col("vec_id") * 2 + F.col("v")).alias("k"), resolution.packed(turned).alias("h")), "k", "h")
 
 
-_PAIRS = f"""{LISTINGS}, bk AS (SELECT key, commune_code, floor(nullif(area_m2, 0) / 10) AS bucket FROM l),
-  pr AS (SELECT a.key AS a, b.key AS b FROM bk a JOIN bk b ON a.commune_code = b.commune_code AND a.key < b.key AND (abs(a.bucket - b.bucket) <= 2 OR (a.bucket IS NULL AND b.bucket IS NULL)))"""
+_PAIRS = f"""{LISTINGS}, bk AS (SELECT key, coalesce(commune_code, '?') AS place, floor(nullif(area_m2, 0) / 10) AS bucket FROM l),
+  pr AS (SELECT a.key AS a, b.key AS b, a.place = '?' AND a.bucket IS NULL AS nowhere FROM bk a JOIN bk b ON a.place = b.place AND a.key < b.key AND (abs(a.bucket - b.bucket) <= 2 OR (a.bucket IS NULL AND b.bucket IS NULL)))"""
 _WORDS = "list_filter(string_split(trim(regexp_replace(lower(title || ' ' || description), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '')"
-_DECIDED = f"""{_PAIRS}, w AS (SELECT *, {_WORDS} AS w FROM l), sh AS (SELECT *, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' ')) ELSE w END) AS s FROM w),
-  cm AS (SELECT pr.a, pr.b, coalesce(abs(x.area_m2 - y.area_m2) <= 2, false) AND coalesce(nullif(x.rooms, 0) = nullif(y.rooms, 0), true) AND coalesce(abs(nullif(x.land_m2, 0) - nullif(y.land_m2, 0)) <= 0.1::DOUBLE * greatest(x.land_m2, y.land_m2), true) AS attrs,
-    coalesce(abs(x.price - y.price) <= 0.08::DOUBLE * greatest(x.price, y.price), false) AS price, len(list_intersect(x.s, y.s))::DOUBLE / len(list_distinct(x.s || y.s)) AS tx FROM pr JOIN sh x ON x.key = pr.a JOIN sh y ON y.key = pr.b),
-  dc AS (SELECT a, b, attrs, price, tx, CASE WHEN NOT attrs THEN NULL WHEN price AND tx >= 0.3 THEN 'attributes+price+text' WHEN tx >= 0.45 THEN 'attributes+text' END AS method FROM cm)"""
+_APART = "coalesce(least(bit_count(xor(p.p, q.p)), bit_count(xor(p.d, q.d))), 999)"
+_DECIDED = f"""{_PAIRS}, {PHOTOS}, w AS (SELECT *, {_WORDS} AS w FROM l), sh AS (SELECT w.*, photos, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' ')) ELSE w END) AS s FROM w JOIN ph USING (key)),
+  cm AS (SELECT pr.a, pr.b, x.area_m2 IS NOT NULL AND coalesce(abs(x.area_m2 - y.area_m2) <= 2, false) AND coalesce(nullif(x.rooms, 0) = nullif(y.rooms, 0), true) AND coalesce(abs(nullif(x.land_m2, 0) - nullif(y.land_m2, 0)) <= 0.1::DOUBLE * greatest(x.land_m2, y.land_m2), true) AS attrs,
+    coalesce(abs(x.price - y.price) <= 0.08::DOUBLE * greatest(x.price, y.price), false) AS price, len(list_intersect(x.s, y.s))::DOUBLE / len(list_distinct(x.s || y.s)) AS tx,
+    len(x.photos) > 0 AND len(y.photos) > 0 AS pictured, len(list_filter(x.photos, lambda p: len(list_filter(y.photos, lambda q: {_APART} <= 8)) > 0)) AS hits,
+    coalesce(list_min(flatten(list_transform(x.photos, lambda p: list_transform(y.photos, lambda q: {_APART})))), 999) AS best FROM pr JOIN sh x ON x.key = pr.a JOIN sh y ON y.key = pr.b),
+  dc AS (SELECT *, CASE WHEN hits > 0 THEN 'photo' WHEN NOT attrs THEN NULL WHEN pictured AND price AND tx >= 0.45 THEN 'price+text' WHEN pictured THEN NULL WHEN price AND tx >= 0.3 THEN 'attributes+price+text' WHEN tx >= 0.45 THEN 'attributes+text' END AS method FROM cm)"""
+_CONFIDENCE = "CASE method WHEN 'photo' THEN least(0.99::DOUBLE, 0.80::DOUBLE + 0.05::DOUBLE * hits + CASE WHEN attrs THEN 0.05::DOUBLE ELSE 0 END) WHEN 'price+text' THEN 0.6::DOUBLE WHEN 'attributes+price+text' THEN 0.75::DOUBLE WHEN 'attributes+text' THEN 0.65::DOUBLE END"
 
 
-@query("blocking", f"WITH {_PAIRS} SELECT a, b FROM pr")
+@query("blocking", f"WITH {_PAIRS} SELECT a, b FROM pr WHERE NOT nowhere")
 def blocking(spark, d):
     return resolution.blocked_pairs(listings(spark, d))
 
 
-@query("pair_decision", f"WITH {_DECIDED} SELECT a, b, method, CASE method WHEN 'attributes+price+text' THEN 0.75::DOUBLE WHEN 'attributes+text' THEN 0.65::DOUBLE END AS confidence, round(tx, 2) AS text_sim FROM dc WHERE method IS NOT NULL")
+@query("pair_decision", f"WITH {_DECIDED} SELECT a, b, method, round({_CONFIDENCE}, 2) AS confidence, round(tx, 2) AS text_sim FROM dc WHERE method IS NOT NULL")
 def pair_decision(spark, d):
-    ls = listings(spark, d)
-    return resolution.decided(resolution.compared(resolution.blocked_pairs(ls), ls)).where("method is not null").select("a", "b", "method", "confidence", "text_sim")
+    """Links by photos, by price and text against photos, and by attributes; listings with no place and area by photos alone."""
+    return resolution.linked(listings(spark, d))[0]
 
 
-@query("near_miss", f"WITH {_DECIDED} SELECT a, b, CASE WHEN price THEN 0.45::DOUBLE ELSE 0.4::DOUBLE END AS score FROM dc WHERE method IS NULL AND attrs AND (price OR tx >= 0.3)")
+@query("near_miss", f"WITH {_DECIDED} SELECT a, b, CASE WHEN best <= 14 THEN 'similar photos' WHEN price THEN 'area, rooms and price agree, photos differ' ELSE 'attributes and text are alike' END AS reason, CASE WHEN best <= 14 THEN 0.5::DOUBLE WHEN price THEN 0.45::DOUBLE ELSE 0.4::DOUBLE END AS score FROM dc WHERE method IS NULL AND (best <= 14 OR attrs AND (price OR tx >= 0.3))")
 def near_miss(spark, d):
-    return resolution.grouped(listings(spark, d))[2].select("a", "b", "score")
+    return resolution.linked(listings(spark, d))[1]
 
 
 _GROUPED = f"""{_DECIDED}, lk AS (SELECT a, b FROM dc WHERE method IS NOT NULL), ed AS (SELECT a, b FROM lk UNION ALL SELECT b, a FROM lk),
@@ -90,7 +94,7 @@ def _members(spark, d):
 MEMBERS = f"{LISTINGS}, mb AS (SELECT *, 'G' || CAST(ord // 7 AS VARCHAR) AS group_id FROM l)"
 
 
-@query("canonical", f"WITH {MEMBERS} SELECT group_id, key AS canonical FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY length(description) DESC, coalesce(price, 1000000000), key) AS i FROM mb) WHERE i = 1")
+@query("canonical", f"WITH {MEMBERS}, {PHOTOS} SELECT group_id, key AS canonical FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY len(photos) DESC, length(description) DESC, coalesce(price, 1000000000), key) AS i FROM mb JOIN ph USING (key)) WHERE i = 1")
 def canonical(spark, d):
     return resolution.canonical(_members(spark, d))
 

@@ -64,3 +64,39 @@ def test_jsonld_page_becomes_a_listing(spark):
     html = '<script type="application/ld+json">{"@graph":[{"@type":"House","name":"Maison","offers":{"price":"250 000"},"floorSize":{"value":"120,5"},"geo":{"latitude":"46.3","longitude":"4.8"}}]}</script><p>5 pièces, 260 000&nbsp;€ hors honoraires</p>'
     r = sources.from_jsonld(spark.createDataFrame([("http://e.org/1", html)], "url string, html string")).first()
     assert (r.price, r.area_m2, r.rooms, r.fees_included, r.geo_precision) == (250000, 120.5, 5, False, "address")
+
+
+def _nowhere(key, ord_, seeds, turned=0):
+    """A listing without commune and area; its first photo differs from the seed's by some bits."""
+    own = photos(*seeds)
+    if own and turned:
+        own[0] = (0, f"{int(own[0][1], 16) ^ ((1 << turned) - 1):016x}", None)
+    return (key, ord_, 200000, None, None, None, None, None, f"texte {key}", "", own)
+
+
+def test_listings_without_place_and_area_link_by_photos(spark):
+    rows = [_nowhere("a", 1, [5]), _nowhere("b", 2, [5], 8), _nowhere("c", 3, [6]), _nowhere("d", 4, [6], 14), _nowhere("e", 5, [7]), _nowhere("f", 6, [7], 15), _nowhere("g", 7, []), listing("h", 8, 200000, None, [5])]
+    g, links, cand = run(spark, rows)
+    assert [(x.a, x.b, x.method) for x in links] == [("a", "b", "photo")] and g["b"] == "a"
+    assert [(x.a, x.b, x.reason) for x in cand] == [("c", "d", "similar photos")]  # h has a place: another block
+
+
+def test_photo_index_and_direct_comparison_agree_with_brute_force(spark, monkeypatch):
+    import itertools
+    import random
+
+    rng = random.Random(9)
+    base = [rng.getrandbits(64) for _ in range(12)]
+    turned = lambda h, n: h ^ sum(1 << i for i in rng.sample(range(64), n))
+    rows = []
+    for i in range(120):
+        own = [(0, f"{turned(base[i % 12], rng.randint(0, 18)):016x}", None if i % 3 else f"{turned(base[i // 12], rng.randint(0, 12)):016x}")]
+        rows.append((f"k{i:03d}", i, None, rng.choice([None, 100.0, 118.0, 131.0, 152.0]), None, None, rng.choice(["1", None]), "", "", "", own))
+    block = {r[0]: (r[6] or "?", None if r[3] is None else int(r[3] // 10)) for r in rows}
+    near = lambda x, y: block[x][0] == block[y][0] and (block[x][1] is None) == (block[y][1] is None) and abs((block[x][1] or 0) - (block[y][1] or 0)) <= 2
+    apart = lambda p, q: min([(int(a, 16) ^ int(b, 16)).bit_count() for a, b in ((p[1], q[1]), (p[2], q[2])) if a and b], default=999)
+    want = {(x[0], y[0]) for x, y in itertools.combinations(rows, 2) if near(x[0], y[0]) and apart(x[10][0], y[10][0]) <= 14}
+    df = spark.createDataFrame(rows, SCHEMA)
+    for direct in (4096, 0):
+        monkeypatch.setattr(resolution, "DIRECT", direct)
+        assert {tuple(r) for r in resolution.photo_pairs(df).collect()} == want
