@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import math
+from collections import defaultdict
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
-from . import focal
+from . import focal, vector
 
 
 def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -43,7 +45,7 @@ def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
         before += r["count"]
     at = rows.sparkSession.createDataFrame(offsets, "__part int, __before long")
     own = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
-    return cut.join(F.broadcast(at), "__part").withColumn(name, (own + F.col("__before")).cast("int")).drop("__part", "__before")
+    return cut.join(F.broadcast(at), "__part").withColumn(name, (own + F.col("__before")).cast("long")).drop("__part", "__before")
 
 
 def labelled_cells(mask: DataFrame) -> DataFrame:
@@ -69,50 +71,75 @@ def local_peaks(field: DataFrame, value: str, distance_px: int, mask: str | None
     return (top.where(mask) if mask else top).drop("__top")
 
 
-def suppressed(peaks: DataFrame, value: str, least_distance: float, group: str = "label") -> DataFrame:
-    """Greedy non-maximum suppression within each group: peaks by falling value, kept unless near a kept one.
+#: A tile's side in the first round of suppression, in least distances.
+TILE = 64
+UNSURE, KEPT, OUT = 0, 1, 2
 
-    Exact and distributed: peaks compete with stronger ones nearby; in each round those without a
-    stronger live neighbour are kept and take their neighbours out.
+
+def suppressed(peaks: DataFrame, value: str, least_distance: float, group: str = "label", tile: int = TILE) -> DataFrame:
+    """Greedy non-maximum suppression within each group: peaks by falling value, kept unless near a kept one. Exact.
+
+    Peaks are settled tile by tile. A tile sees its surroundings as far as two least distances and goes through
+    its peaks by falling value: a peak near one that is surely kept is out, a peak whose stronger neighbours
+    are all seen and all out is kept, others are unsure, because what decides them may lie further out. Unsure peaks go on
+    to a next round in tiles twice as wide, together with the kept ones of those tiles. So a round settles whole
+    tiles, not single peaks, and a chain of falling peaks takes rounds by the logarithm of its length.
     """
-    p = peaks.select(group, "row", "col", value).withColumn("id", F.struct((-F.col(value)).alias("v"), "row", "col"))
-    width = max(1, math.ceil(least_distance))
-    near3 = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    own = p.withColumn("br", F.floor(F.col("row") / width)).withColumn("bc", F.floor(F.col("col") / width))
-    wide = own.withColumn("br", F.explode(F.transform(near3, lambda o: F.col("br") + o))).withColumn("bc", F.explode(F.transform(near3, lambda o: F.col("bc") + o)))
-    other = own.select(group, "br", "bc", F.col("id").alias("strong"), F.col("row").alias("r2"), F.col("col").alias("c2"))
-    rivals = checkpointed(wide.join(other, [group, "br", "bc"]).where((F.col("strong") < F.col("id")) & (F.hypot(F.col("row") - F.col("r2"), F.col("col") - F.col("c2")) < least_distance)).select(group, "id", "strong"))
-    live, kept = checkpointed(p), []
-    while not live.isEmpty():
-        blocked = rivals.select(group, "id").distinct()
-        winners = checkpointed(live.join(blocked, [group, "id"], "left_anti"))
-        kept.append(winners)
-        out = rivals.join(winners.select(group, F.col("id").alias("strong")), [group, "strong"], "left_semi").select(group, "id").distinct()
-        gone = checkpointed(winners.select(group, "id").unionByName(out).distinct())
-        live = checkpointed(live.join(gone, [group, "id"], "left_anti"))
-        rivals = checkpointed(rivals.join(gone, [group, "id"], "left_anti").join(gone.withColumnRenamed("id", "strong"), [group, "strong"], "left_anti"))
-    if not kept:
-        return p.drop("id")
-    result = kept[0]
-    for k in kept[1:]:
-        result = result.unionByName(k)
-    return result.drop("id")
+    rest = checkpointed(peaks.select(group, "row", "col", F.col(value).cast("double").alias(value)).withColumn("state", F.lit(UNSURE)))
+    kept, side = rest.limit(0), tile * max(1.0, float(least_distance))
+    while not rest.isEmpty():
+        settled = checkpointed(_settled(rest, kept, value, float(least_distance), group, side))
+        kept = checkpointed(kept.unionByName(settled.where(F.col("state") == KEPT)))
+        rest, side = settled.where(F.col("state") == UNSURE), side * 2
+    return kept.drop("state")
+
+
+def _settled(rest: DataFrame, kept: DataFrame, value: str, d: float, group: str, side: float) -> DataFrame:
+    """rest with the state that its tiles find."""
+    reach = 2 * d
+    here = lambda c, by: F.floor((F.col(c) + by) / side).cast("long")
+    seen = lambda c: F.explode(F.sequence(here(c, -reach), here(c, reach)))
+    tiles = rest.select(group, here("row", 0).alias("tr"), here("col", 0).alias("tc")).distinct()
+    every = rest.unionByName(kept).withColumn("tr", seen("row")).withColumn("tc", seen("col")).join(tiles, [group, "tr", "tc"], "left_semi")
+    schema = every.select(group, "row", "col", value, "state").schema
+
+    def settle(g: pd.DataFrame) -> pd.DataFrame:
+        r0, c0 = g["tr"].iloc[0] * side, g["tc"].iloc[0] * side
+        g = g.sort_values([value, "row", "col"], ascending=[False, True, True], ignore_index=True)
+        rows, cols, state = g["row"].to_numpy(), g["col"].to_numpy(), g["state"].to_numpy().copy()
+        # How far into the surroundings a peak lies; whoever lies further than d has neighbours that are not seen.
+        beyond = np.maximum.reduce([r0 - rows, rows - (r0 + side), c0 - cols, cols - (c0 + side)])
+        blind, near, met = beyond > d - 1, defaultdict(list), range(-1, 2)
+        at = list(zip((rows // max(d, 1)).astype(int).tolist(), (cols // max(d, 1)).astype(int).tolist(), strict=True))
+        for i, (a, b) in enumerate(at):
+            if state[i] != KEPT:
+                rivals = [state[j] for x in met for y in met for j in near.get((a + x, b + y), ()) if (rows[i] - rows[j]) ** 2 + (cols[i] - cols[j]) ** 2 < d * d]
+                state[i] = OUT if KEPT in rivals else UNSURE if rivals or blind[i] else KEPT
+            if state[i] != OUT:
+                near[a, b].append(i)
+        own = (rows >= r0) & (rows < r0 + side) & (cols >= c0) & (cols < c0 + side) & (g["state"].to_numpy() == UNSURE)
+        return g.assign(state=state).loc[own, schema.names]
+
+    return every.groupBy(group, "tr", "tc").applyInPandas(settle, schema)
 
 
 def split_by_peaks(labels: DataFrame, peaks: DataFrame, value: str, bucket: float) -> DataFrame:
-    """row, col, part: each component's cells go to its nearest peak (of equals the stronger); parts are dense.
+    """row, col, label, part: each component's cells go to its nearest peak (of equals the stronger); parts are dense.
 
-    Components with one peak or none stay whole.
+    Components with one peak or none stay whole. Cells look for peaks of their own component only, in widening buckets.
     """
-    ranked = peaks.withColumn("peak", F.row_number().over(Window.partitionBy("label").orderBy(F.col(value).desc(), "row", "col")))
-    several = ranked.groupBy("label").agg(F.max("peak").alias("peaks"))
-    cells = labels.join(several, "label", "left").withColumn("peaks", F.coalesce("peaks", F.lit(0)))
-    pairs = cells.where("peaks > 1").join(ranked.select("label", "peak", F.col("row").alias("r2"), F.col("col").alias("c2")), "label")
-    d2 = F.pow(F.col("row") - F.col("r2"), 2) + F.pow(F.col("col") - F.col("c2"), 2)
-    near = pairs.groupBy("label", "row", "col").agg(F.min(F.struct(d2.alias("d2"), "peak")).alias("b")).select("label", "row", "col", F.col("b.peak").alias("peak"))
-    both = cells.where("peaks <= 1").select("label", "row", "col", F.lit(0).alias("peak")).unionByName(near)
-    parts = numbered(both.select("label", "peak").distinct(), ["label", "peak"], "part")
-    return both.join(parts, ["label", "peak"]).select("row", "col", "label", "part")
+    rank = F.struct((-F.col(value)).cast("double").alias("v"), F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"))
+    several = checkpointed(peaks.groupBy("label").count().where("count > 1").select("label"))
+    at = [F.col("label").alias("cls"), F.col("col").cast("double").alias("x"), F.col("row").cast("double").alias("y")]
+    cells = labels.join(several, "label", "left_semi").select("row", "col", *at)
+    points = peaks.join(several, "label", "left_semi").select(*at, rank.alias("peak"))
+    d2 = F.pow(F.col("x") - F.col("px"), 2) + F.pow(F.col("y") - F.col("py"), 2)
+    near = vector.nearest_of_group(cells, points, ["row", "col"], bucket, F.struct(d2.alias("d2"), "peak"))
+    split = near.select("row", "col", F.col("cls").alias("label"), F.col("d.peak").alias("peak"))
+    whole = labels.join(several, "label", "left_anti").select("row", "col", "label", F.lit(None).cast(split.schema["peak"].dataType).alias("peak"))
+    both = checkpointed(whole.unionByName(split))
+    parts = numbered(both.select("label", "peak").distinct(), ["label", "peak"], "part").withColumnsRenamed({"label": "l", "peak": "p"})
+    return both.join(parts, (F.col("label") == F.col("l")) & F.col("peak").eqNullSafe(F.col("p"))).select("row", "col", "label", "part")
 
 
 def zones(field: DataFrame, value: str, least_score: float, least_cells: int, peak_px: int) -> DataFrame:

@@ -126,11 +126,9 @@ def nearest_of_classes(targets: DataFrame, points: DataFrame, keys: list[str], c
     """
     pts = checkpointed(points.where(F.col("cls").isin(classes)).select("cls", F.col("x").alias("px"), F.col("y").alias("py")).distinct())
     known = {r["cls"] for r in pts.select("cls").distinct().collect()}  # at most one row a class
-    here = lambda name, width: F.floor(F.col(name) / width).cast("long")
-    around = lambda name, width: F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda o: here(name, width) + o))
     width = float(bucket)
-    near = pts.withColumn("bx", around("px", width)).withColumn("by", around("py", width))
-    own = targets.select(*keys, "x", "y").withColumn("bx", here("x", width)).withColumn("by", here("y", width))
+    near = pts.withColumn("bx", _around("px", width)).withColumn("by", _around("py", width))
+    own = targets.select(*keys, "x", "y").withColumn("bx", _here("x", width)).withColumn("by", _here("y", width))
     d = F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py"))
     found = own.join(near, ["bx", "by"]).withColumn("d", d).where(F.col("d") <= width).groupBy(*keys).agg(*[F.min(F.when(F.col("cls") == c, F.col("d"))).alias(f"dist_{c}") for c in classes])
     first = checkpointed(targets.select(*keys, "x", "y").join(found, keys, "left"))
@@ -140,7 +138,7 @@ def nearest_of_classes(targets: DataFrame, points: DataFrame, keys: list[str], c
         if rest.isEmpty():
             break
         width *= 4
-        rest, got = _nearest_by_boxes(rest, pts, keys, width, here, around, d)
+        rest, got = _nearest_by_boxes(rest, pts, keys, width, d)
         far.append(got)
     else:
         if not rest.isEmpty():
@@ -155,24 +153,55 @@ def nearest_of_classes(targets: DataFrame, points: DataFrame, keys: list[str], c
     return targets.join(out.fillna(NO_FEATURE, [f"dist_{c}" for c in classes]), keys)
 
 
-def _nearest_by_boxes(rest: DataFrame, pts: DataFrame, keys: list[str], width: float, here: Callable, around: Callable, d: Column) -> tuple[DataFrame, DataFrame]:
-    """(what is left, keys with cls and d found within width) of targets (keys, x, y, cls)."""
+def _here(name: str, width: float) -> Column:
+    return F.floor(F.col(name) / width).cast("long")
+
+
+def _around(name: str, width: float) -> Column:
+    return F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda o: _here(name, width) + o))
+
+
+def _nearest_by_boxes(rest: DataFrame, pts: DataFrame, keys: list[str], width: float, best: Column) -> tuple[DataFrame, DataFrame]:
+    """(what is left, keys with cls and d: the least ``best`` of the points within width) of targets (keys, x, y, cls)."""
     side = width / BOXES
-    boxes = pts.withColumn("sx", here("px", side)).withColumn("sy", here("py", side)).groupBy("cls", "sx", "sy").agg(F.min(F.struct("px", "py")).alias("p"))
+    boxes = pts.withColumn("sx", _here("px", side)).withColumn("sy", _here("py", side)).groupBy("cls", "sx", "sy").agg(F.min(F.struct("px", "py")).alias("p"))
     boxes = boxes.withColumn("px", (F.col("sx") + 0.5) * side).withColumn("py", (F.col("sy") + 0.5) * side)
     # A bucket's list: the boxes in it and around it, at most 9 * BOXES * BOXES.
-    lists = boxes.withColumn("bx", around("px", width)).withColumn("by", around("py", width)).groupBy("cls", "bx", "by").agg(F.collect_list(F.struct("sx", "sy", "p")).alias("boxes"))
-    met = rest.withColumn("bx", here("x", width)).withColumn("by", here("y", width)).join(lists, ["cls", "bx", "by"])
+    lists = boxes.withColumn("bx", _around("px", width)).withColumn("by", _around("py", width)).groupBy("cls", "bx", "by").agg(F.collect_list(F.struct("sx", "sy", "p")).alias("boxes"))
+    met = rest.withColumn("bx", _here("x", width)).withColumn("by", _here("y", width)).join(lists, ["cls", "bx", "by"])
     gap = lambda v, low: F.greatest(F.lit(0.0), low - v, v - (low + side))
     bound = F.array_min(F.transform("boxes", lambda b: F.hypot(F.col("x") - b["p"]["px"], F.col("y") - b["p"]["py"])))
-    # The least representable step more than the bound: a box whose edge holds the point must not be lost to rounding.
+    # A little more than the bound: a box whose edge holds the point must not be lost to rounding.
     close = F.filter("boxes", lambda b: F.hypot(gap(F.col("x"), b["sx"] * side), gap(F.col("y"), b["sy"] * side)) <= F.col("bound") * (1 + 1e-12) + 1e-9)
     asked = met.withColumn("bound", bound).select(*keys, "x", "y", "cls", F.explode(close).alias("b")).select(*keys, "x", "y", "cls", F.col("b.sx").alias("sx"), F.col("b.sy").alias("sy"))
-    inside = pts.withColumn("sx", here("px", side)).withColumn("sy", here("py", side))
-    got = checkpointed(asked.join(inside, ["cls", "sx", "sy"]).groupBy(*keys, "cls").agg(F.min(d).alias("d")).where(F.col("d") <= width))
+    inside = pts.withColumn("sx", _here("px", side)).withColumn("sy", _here("py", side))
+    within = F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py")) <= width
+    got = checkpointed(asked.join(inside, ["cls", "sx", "sy"]).where(within).groupBy(*keys, "cls").agg(F.min(best).alias("d")))
     return checkpointed(rest.join(got.select(*keys, "cls"), [*keys, "cls"], "left_anti")), got
 
 
+def nearest_of_group(targets: DataFrame, points: DataFrame, keys: list[str], bucket: float, best: Column, levels: int = 16) -> DataFrame:
+    """keys, cls, d of targets (keys, x, y, cls): the least ``best`` of the points (cls, x, y, others) of the target's own group.
+
+    best is a column of x, y, px, py and the points' further columns that grows with the distance: a
+    struct that starts with it breaks ties. Groups may be of any size; targets of groups without points are left out.
+    """
+    pts = checkpointed(points.withColumnsRenamed({"x": "px", "y": "py"}))
+    rest, width, found = checkpointed(targets.select(*keys, "x", "y", "cls").join(pts.select("cls").distinct(), "cls", "left_semi")), float(bucket), []
+    for _ in range(levels):
+        rest, got = _nearest_by_boxes(rest, pts, keys, width, best)
+        found.append(got)
+        if rest.isEmpty():
+            break
+        width *= 4
+    else:
+        raise ValueError(f"some target lies further than {width / 4} from every point of its group")
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 def polygon_distance(cells: DataFrame, share: str, dist: str) -> Column:
     """0 inside a polygon (share over a half), else the distance to its contour."""
     return F.when(F.col(share) > 0.5, 0.0).otherwise(F.col(dist))

@@ -286,12 +286,12 @@ _REACH = f"""{_MASK}, nb AS (SELECT a.r, a.c, b.r AS r2, b.c AS c2 FROM k a JOIN
   root AS (SELECT r, c, min(ro * 100000 + co) AS root FROM reach GROUP BY r, c)"""
 
 
-@query("components", f"WITH RECURSIVE {_REACH} SELECT r, c, CAST(dense_rank() OVER (ORDER BY root) AS INT) AS label FROM root")
+@query("components", f"WITH RECURSIVE {_REACH} SELECT r, c, CAST(dense_rank() OVER (ORDER BY root) AS BIGINT) AS label FROM root")
 def components(spark, d):
     return graph.labelled_cells(cells(spark, d).where("size > 28")).select(F.col("row").alias("r"), F.col("col").alias("c"), "label")
 
 
-@query("drop_small", f"WITH RECURSIVE {_REACH} SELECT r, c, label FROM (SELECT r, c, CAST(dense_rank() OVER (ORDER BY root) AS INT) AS label, count(*) OVER (PARTITION BY root) AS n FROM root) WHERE n >= 15")
+@query("drop_small", f"WITH RECURSIVE {_REACH} SELECT r, c, label FROM (SELECT r, c, CAST(dense_rank() OVER (ORDER BY root) AS BIGINT) AS label, count(*) OVER (PARTITION BY root) AS n FROM root) WHERE n >= 15")
 def drop_small(spark, d):
     return rc(graph.drop_small(graph.labelled_cells(cells(spark, d).where("size > 28")), 15), "label")
 

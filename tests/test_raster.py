@@ -74,3 +74,47 @@ def test_rings_are_assembled_from_ways_in_any_direction(spark):
     ways = [(1, 0, 0, 0.0, 0.0), (1, 0, 1, 4.0, 0.0), (1, 1, 0, 0.0, 4.0), (1, 1, 1, 4.0, 4.0), (1, 1, 2, 4.0, 0.0), (1, 2, 0, 0.0, 4.0), (1, 2, 1, 0.0, 0.0)]
     rings = vector.assembled_rings(spark.createDataFrame(ways, "relation long, way int, seq int, x double, y double"))
     assert vector.shoelace(rings.select("fid", "seq", "x", "y")).first().area == 16.0
+
+
+def _greedy(peaks, d):
+    kept = []
+    for g, r, c, v in sorted(peaks, key=lambda p: (-p[3], p[1], p[2])):
+        if all(g != h or math.hypot(r - a, c - b) >= d for h, a, b, _ in kept):
+            kept.append((g, r, c, v))
+    return {k[:3] for k in kept}
+
+
+@pytest.mark.parametrize("tile", [1, 4, 64])
+def test_suppression_equals_the_plain_greedy(spark, tile):
+    """Random peaks, a plateau and two groups in one place."""
+    import random
+
+    rng = random.Random(tile)
+    at = rng.sample([(r, c) for r in range(60) for c in range(60)], 500)
+    peaks = [(1, r, c, float(rng.randint(0, 40))) for r, c in at] + [(2, r, c, 1.0) for r in range(20) for c in range(20)]
+    got = graph.suppressed(spark.createDataFrame(peaks, "label int, row int, col int, v double"), "v", 5.0, tile=tile)
+    assert {(r.label, r.row, r.col) for r in got.collect()} == _greedy(peaks, 5.0)
+
+
+def test_falling_ridge_takes_few_rounds(spark, monkeypatch):
+    rounds, settle = [], graph._settled
+    monkeypatch.setattr(graph, "_settled", lambda *a: rounds.append(1) or settle(*a))
+    n = 10_000
+    ridge = spark.range(n).select(F.lit(1).alias("label"), F.lit(3).alias("row"), F.col("id").cast("int").alias("col"), (-F.col("id")).cast("double").alias("v"))
+    assert {r.col for r in graph.suppressed(ridge, "v", 7.0).collect()} == set(range(0, n, 7))
+    assert len(rounds) <= 6
+    assert graph.suppressed(ridge.limit(0), "v", 7.0).count() == 0
+
+
+def test_split_equals_brute_force_on_a_snake_and_a_giant_component(spark):
+    """Peaks far apart, ties, a component without peaks and one with a single peak."""
+    n = 40
+    snake = [(r, c, 1) for r in range(n) for c in range(n) if r % 2 == 0 or c == (n - 1 if r % 4 == 1 else 0)]
+    other = [(r, c, 2) for r in range(100, 104) for c in range(4)] + [(r, c, 3) for r in range(200, 203) for c in range(3)]
+    peaks = [(1, 0, 0, 9.0), (1, 0, 2, 9.0), (1, 38, 39, 5.0), (1, 20, 20, 7.0), (3, 201, 1, 2.0)]
+    labels = spark.createDataFrame(snake + other, "row int, col int, label long")
+    got = {(r.row, r.col): (r.label, r.part) for r in graph.split_by_peaks(labels, spark.createDataFrame(peaks, "label long, row int, col int, v double"), "v", 3.0).collect()}
+    order = sorted((p for p in peaks if p[0] == 1), key=lambda p: (-p[3], p[1], p[2]))
+    owner = lambda r, c: min(range(len(order)), key=lambda i: ((r - order[i][1]) ** 2 + (c - order[i][2]) ** 2, i))
+    want = {(r, c): (1, 1 + owner(r, c)) for r, c, _ in snake} | {(r, c): (x, 3 + x) for r, c, x in other}
+    assert got == want
