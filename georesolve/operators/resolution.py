@@ -24,10 +24,15 @@ DIRECT = 4096
 
 
 def known(c: Column) -> Column:
-    """Null for 0 and blank too: all three mean missing."""
+    """Null for 0 and blank too: all three mean missing. Of numbers; a text may well be 0."""
     return F.when(c.cast("string").isin("", "0", "0.0"), None).otherwise(c)
 
 
+def stated(c: Column) -> Column:
+    """Null for an empty text."""
+    return F.nullif(c, F.lit(""))
+
+
 def packed(bits: Column) -> Column:
     """16 hexadecimal digits of an array of 64 bits (0 or 1)."""
     half = lambda a: F.lpad(F.lower(F.conv(F.array_join(F.slice(bits, a, 32), ""), 2, 16)), 8, "0")
@@ -38,7 +43,7 @@ def hamming(a: Column, b: Column) -> Column:
     """Differing bits of two 16-digit hashes; 999 where one is missing."""
     part = lambda h, at: F.conv(F.substring(h, at, 8), 16, 10).cast("bigint")
     bits = F.bit_count(part(a, 1).bitwiseXOR(part(b, 1))) + F.bit_count(part(a, 9).bitwiseXOR(part(b, 9)))
-    return F.when(known(a).isNull() | known(b).isNull(), NO_HASH).otherwise(bits)
+    return F.when(stated(a).isNull() | stated(b).isNull(), NO_HASH).otherwise(bits)
 
 
 def hash_value(h: Column) -> Column:
@@ -61,14 +66,17 @@ def near_hashes(hashes: DataFrame, key: str, h: str, radius: int = PHOTO_BITS, p
     spans = list(zip(cuts[:-1], cuts[1:], strict=True))
     piece = lambda v, i: F.shiftrightunsigned(v, spans[i][0]).bitwiseAND(F.lit((1 << (spans[i][1] - spans[i][0])) - 1))
     further = [c for c in hashes.columns if c not in (key, h, *within)]
-    rows = hashes.where(known(F.col(h)).isNotNull()).select(F.col(key).alias("k"), hash_value(F.col(h)).alias("v"), *within, *further)
+    rows = hashes.where(stated(F.col(h)).isNotNull()).select(F.col(key).alias("k"), hash_value(F.col(h)).alias("v"), *within, *further)
     # Each row becomes many: an explicit number of partitions is not coalesced for the few bytes there are before.
     rows = rows.repartition(int(hashes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "k")
-    turned = [[sum(1 << i for i in on) for n in range(slack + 1) for on in itertools.combinations(range(b - a), n)] for a, b in spans]
-    probes = [F.struct(F.lit(i).alias("piece"), piece(F.col("v"), i).bitwiseXOR(F.lit(m).cast("bigint")).alias("bits")) for i, ms in enumerate(turned) for m in ms]
+    flips = [F.array(*[F.lit(sum(1 << i for i in on)).cast("bigint") for n in range(slack + 1) for on in itertools.combinations(range(b - a), n)]) for a, b in spans]
+
+    def probes(i: int) -> Column:
+        return F.transform(flips[i], lambda m: F.struct(F.lit(i).alias("piece"), piece(F.col("v"), i).bitwiseXOR(m).alias("bits")))
+
     named = lambda x: [F.col("k").alias(x), F.col("v").alias(f"v{x}"), *within, *[F.col(c).alias(f"{c}_{x}") for c in further]]
     left = rows.select(*named("a"), F.posexplode(F.array(*[piece(F.col("v"), i) for i in range(pieces)])).alias("piece", "bits"))
-    right = rows.select(*named("b"), F.inline(F.array(*probes)))
+    right = rows.select(*named("b"), F.inline(F.flatten(F.array(*map(probes, range(pieces))))))
     met = left.join(right, [*within, "piece", "bits"]).where("a < b")
     met = met if where is None else met.where(where)
     differ = lambda i: F.bit_count(piece(F.col("va"), i).bitwiseXOR(piece(F.col("vb"), i))) > slack
@@ -93,7 +101,7 @@ def photo_best(a: Column, b: Column) -> Column:
 
 def attributes_match(a, b) -> Column:
     """Same commune, both areas within 2 m², rooms equal and plots within 10% where both are known. a, b: name -> Column."""
-    codes = known(a("commune_code")).isNotNull() & known(b("commune_code")).isNotNull()
+    codes = stated(a("commune_code")).isNotNull() & stated(b("commune_code")).isNotNull()
     place = F.when(codes, a("commune_code") == b("commune_code")).otherwise(slug(a("commune_name")) == slug(b("commune_name")))
     area = F.coalesce(F.abs(known(a("area_m2")) - known(b("area_m2"))) <= AREA_M2, F.lit(False))
     rooms = F.coalesce(known(a("rooms")) == known(b("rooms")), F.lit(True))
@@ -113,7 +121,7 @@ def with_shingles(listings: DataFrame) -> DataFrame:
 
 def block(listings: DataFrame) -> tuple[Column, Column]:
     """Place (commune, else its name, else ?) and 10 m² bucket of a listing; only listings of near blocks can be one house."""
-    place = F.coalesce(known(F.col("commune_code")), F.nullif(slug(F.col("commune_name")), F.lit("")), F.lit("?"))
+    place = F.coalesce(stated(F.col("commune_code")), F.nullif(slug(F.col("commune_name")), F.lit("")), F.lit("?"))
     return place, F.floor(known(F.col("area_m2")) / AREA_BLOCK)
 
 
@@ -139,7 +147,7 @@ def photo_pairs(listings: DataFrame, key: str = "key") -> DataFrame:
     """
     place, bucket = block(listings)
     photos = listings.select(F.col(key).alias("k"), place.alias("place"), bucket.alias("bucket"), F.explode("photos").alias("p"))
-    kinds = F.explode(F.array(*[F.struct(F.lit(n).alias("kind"), known(F.col(f"p.{n}")).alias("h")) for n in ("phash", "dhash")])).alias("f")
+    kinds = F.explode(F.array(*[F.struct(F.lit(n).alias("kind"), stated(F.col(f"p.{n}")).alias("h")) for n in ("phash", "dhash")])).alias("f")
     hashes = photos.select("k", "place", "bucket", kinds).select("k", "place", "bucket", "f.kind", "f.h").where("h is not null").distinct()
     sizes = hashes.groupBy("kind", "place").agg((F.count("*") > DIRECT).alias("hot"))
     sized = hashes.join(sizes, ["kind", "place"])

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import slug
-from .resolution import known
+from .resolution import known, stated
 
 KEPT_ON_UPDATE = ["first_seen", "price_first", "place_score", "place_note", "place_zone"]
 VOTES = ["like", "maybe", "pass"]
@@ -167,8 +167,8 @@ def located(listings: DataFrame, geocodes: DataFrame, communes: DataFrame) -> Da
     g = geocodes.select("query", F.col("lat").alias("g_lat"), F.col("lon").alias("g_lon"), F.col("type").alias("g_type"), F.col("citycode").alias("g_code"))
     c = communes.select(F.col("code").alias("c_code"), F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon"))
     out = listings.join(g, F.col("address") == F.col("query"), "left")
-    ok = F.col("g_lat").isNotNull() & (known(F.col("commune_code")).isNull() | (F.col("g_code") == F.col("commune_code")))
-    out = out.withColumn("commune_code", F.coalesce(known(F.col("commune_code")), F.when(ok, F.col("g_code")))).join(c, F.col("commune_code") == F.col("c_code"), "left")
+    ok = F.col("g_lat").isNotNull() & (stated(F.col("commune_code")).isNull() | (F.col("g_code") == F.col("commune_code")))
+    out = out.withColumn("commune_code", F.coalesce(stated(F.col("commune_code")), F.when(ok, F.col("g_code")))).join(c, F.col("commune_code") == F.col("c_code"), "left")
     lat = F.coalesce(known(F.col("lat")), F.when(ok, F.col("g_lat")), F.col("c_lat"))
     lon = F.coalesce(known(F.col("lon")), F.when(ok, F.col("g_lon")), F.col("c_lon"))
     precision = F.when(known(F.col("lat")).isNotNull(), F.col("geo_precision")).when(ok, F.col("g_type")).when(F.col("c_lat").isNotNull(), "commune").otherwise("none")

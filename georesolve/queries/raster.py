@@ -122,7 +122,12 @@ def quantise(spark, d):
     return metrics(spark, d).select("key", geo.quantized(F.col("elev"), 160, 240).alias("q"), geo.quantized_int(F.col("slope_pct")).alias("qi"))
 
 
-@query("colour_ramp")
+def _channel(k: int, name: str) -> str:
+    steps = " ".join(f"WHEN v <= {b}::DOUBLE THEN {ca[k]} + (v - {a}::DOUBLE) / {b - a!r}::DOUBLE * {cb[k] - ca[k]}" for (a, ca), (b, cb) in zip(geo.RAMP, geo.RAMP[1:], strict=False))
+    return f"CAST(round_even(CASE {steps} END, 0) AS INT) AS {name}"
+
+
+@query("colour_ramp", f"WITH {METRICS}, v AS (SELECT key, least(1.0::DOUBLE, greatest(0.0::DOUBLE, elev / 300)) AS v FROM m) SELECT key, " + ", ".join(_channel(k, n) for k, n in enumerate("rgb")) + " FROM (SELECT m.key, CASE WHEN m.elev IS NOT NULL THEN v.v END AS v FROM m JOIN v USING (key))")
 def colour_ramp(spark, d):
     return metrics(spark, d).select("key", geo.ramp_color(F.col("elev") / 300).alias("rgb")).select("key", "rgb.r", "rgb.g", "rgb.b")
 
@@ -163,8 +168,9 @@ def disk_mean(spark, d):
     return rc(focal.disk_mean(cells(spark, d), "z", 3, "m"), F.round("m", 4).alias("m"))
 
 
-_GRAD = f"""{CELLS}, n AS (SELECT r, c, z, lag(z) OVER h AS w, lead(z) OVER h AS e, lag(z) OVER v AS s, lead(z) OVER v AS n FROM g WINDOW h AS (PARTITION BY r ORDER BY c), v AS (PARTITION BY c ORDER BY r)),
+_SLOPES = """n AS (SELECT r, c, z, lag(z) OVER h AS w, lead(z) OVER h AS e, lag(z) OVER v AS s, lead(z) OVER v AS n FROM g WINDOW h AS (PARTITION BY r ORDER BY c), v AS (PARTITION BY c ORDER BY r)),
   gr AS (SELECT r, c, CASE WHEN w IS NULL THEN (e - z) / 200.0::DOUBLE WHEN e IS NULL THEN (z - w) / 200.0::DOUBLE ELSE (e - w) / 400.0::DOUBLE END AS gx, CASE WHEN s IS NULL THEN (n - z) / 200.0::DOUBLE WHEN n IS NULL THEN (z - s) / 200.0::DOUBLE ELSE (n - s) / 400.0::DOUBLE END AS gy FROM n)"""
+_GRAD = f"{CELLS}, {_SLOPES}"
 
 
 @query("slope", f"WITH {_GRAD} SELECT r, c, round(sqrt(gx * gx + gy * gy) * 100, 6) AS slope_pct, round(CASE WHEN sqrt(gx * gx + gy * gy) > 1e-6 THEN gy / sqrt(gx * gx + gy * gy) ELSE 0 END, 6) AS southness FROM gr")
@@ -172,10 +178,18 @@ def slope(spark, d):
     return rc(focal.slope_and_southness(cells(spark, d), "z", 200.0), F.round("slope_pct", 6).alias("slope_pct"), F.round("southness", 6).alias("southness"))
 
 
-@query("terrain_layers")
+_CLAMPED = lambda at, by, end: f"least(greatest({at} + {by}, 0), {end})"
+
+
+@query("terrain_layers", f"""WITH {CELLS}, e AS (SELECT max(r) AS r1, max(c) AS c1 FROM g), o AS (SELECT CAST(d AS INT) AS d FROM range(-25, 26) t(d)),
+  h AS (SELECT g.r, g.c, any_value(g.z) AS z, avg(x.z) FILTER (WHERE abs(d) <= 5) AS a1, avg(x.z) FILTER (WHERE abs(d) <= 15) AS a3, min(x.z) FILTER (WHERE abs(d) <= 10) AS l2, min(x.z) AS l5 FROM g, e, o JOIN g x ON x.r = g.r AND x.c = {_CLAMPED("g.c", "d", "e.c1")} GROUP BY g.r, g.c),
+  t AS (SELECT h.r, h.c, any_value(h.z) AS elev, avg(x.a1) FILTER (WHERE abs(d) <= 5) AS m1, avg(x.a3) FILTER (WHERE abs(d) <= 15) AS m3, min(x.l2) FILTER (WHERE abs(d) <= 10) AS l2, min(x.l5) AS l5 FROM h, e, o JOIN h x ON x.c = h.c AND x.r = {_CLAMPED("h.r", "d", "e.r1")} GROUP BY h.r, h.c),
+  {_SLOPES}, sl AS (SELECT r, c, sqrt(gx * gx + gy * gy) * 100 AS s, CASE WHEN sqrt(gx * gx + gy * gy) > 1e-6 THEN gy / sqrt(gx * gx + gy * gy) ELSE 0 END AS w FROM gr), o2 AS (SELECT CAST(a AS INT) AS dr, CAST(b AS INT) AS dc FROM range(-2, 3) x(a), range(-2, 3) y(b)),
+  sm AS (SELECT a.r, a.c, avg(x.s) AS slope_pct, avg(x.w) AS southness FROM sl a, e, o2 JOIN sl x ON x.r = {_CLAMPED("a.r", "dr", "e.r1")} AND x.c = {_CLAMPED("a.c", "dc", "e.c1")} GROUP BY a.r, a.c)
+  SELECT r, c, elev, round(elev - m1, 4) AS tpi_1km, round(elev - m3, 4) AS tpi_3km, elev - l2 AS rel_elev_2km, elev - l5 AS rel_elev_5km, round(slope_pct, 4) AS slope_pct, round(southness, 4) AS southness FROM t JOIN sm USING (r, c)""")
 def terrain_layers(spark, d):
-    names = ["elev", "tpi_1km", "tpi_3km", "rel_elev_2km", "rel_elev_5km", "slope_pct", "southness"]
-    return rc(focal.terrain(cells(spark, d).select("row", "col", "z"), "z", 200.0, GRID.px), *names)
+    rounded = [F.round(c, 4).alias(c) for c in ("tpi_1km", "tpi_3km", "slope_pct", "southness")]
+    return rc(focal.terrain(cells(spark, d).select("row", "col", "z"), "z", 200.0, GRID.px), "elev", "rel_elev_2km", "rel_elev_5km", *rounded)
 
 
 @query("void_fill", f"""WITH {CELLS}, h AS (SELECT r, c, CASE WHEN key % 4 <> 0 THEN z END AS z FROM g),
@@ -264,26 +278,47 @@ def income_fallback(spark, d):
     return metrics(spark, d).select("key", F.round(layers.income(F.col("income_1km"), F.col("pop_2km"), F.col("elev"), F.col("pop_2km") + 20), 4).alias("income"))
 
 
-@query("feature_classes")
+_IS = {"farm": "p_size % 6 = 0", "vineyard": "p_size % 6 = 1", "forest": "p_size % 6 = 2", "heavy": "p_size % 6 = 3", "industrial": "p_size % 6 = 4", "residential": "p_size % 6 = 5", "rail": "p_partkey % 8 = 4"}
+
+
+@query("feature_classes", "SELECT p_partkey, " + ", ".join(f"{_IS.get(n, 'false')} AS is_{n}" for n in sorted(layers.CLASSES)) + " FROM part")
 def feature_classes(spark, d):
     tags = F.create_map(F.lit("landuse"), F.element_at(F.array(*map(F.lit, ["farmland", "vineyard", "forest", "quarry", "industrial", "residential"])), (F.col("p_size") % 6 + 1).cast("int")), F.lit("railway"), F.when(F.col("p_partkey") % 4 == 0, "rail").otherwise("none"), F.lit("service"), F.when(F.col("p_partkey") % 8 == 0, "yard").otherwise("main"))
     f = table(spark, d, "part").select("p_partkey", tags.alias("tags"))
     return f.select("p_partkey", *[p().alias(f"is_{n}") for n, p in sorted(layers.CLASSES.items())])
 
 
-@query("mercator_resample")
+_FAR = geo.Grid(835000.0, 6580000.0, 5000.0, 200.0)
+_MX, _MY = "(525000.0::DOUBLE + (px + 0.5::DOUBLE) * 250)", "(5835000.0::DOUBLE - (py + 0.5::DOUBLE) * 250)"
+_MLON, _MLAT = f"degrees({_MX} / 6378137.0::DOUBLE)", f"degrees(2 * atan(exp({_MY} / 6378137.0::DOUBLE)) - pi() / 2)"
+
+
+def _l93(lon: str, lat: str) -> tuple[str, str]:
+    t = f"tan(pi() / 4 - radians({lat}) / 2) / pow((1 - {geo._E} * sin(radians({lat}))) / (1 + {geo._E} * sin(radians({lat}))), {geo._E / 2})"
+    r, th = f"({geo._A * geo._F!r}::DOUBLE * pow({t}, {geo._N!r}::DOUBLE))", f"({geo._N!r}::DOUBLE * (radians({lon}) - {geo._LON0!r}::DOUBLE))"
+    return f"700000 + {r} * sin({th})", f"{geo._Y0 + geo._R0!r}::DOUBLE - {r} * cos({th})"
+
+
+@query("mercator_resample", f"""WITH f AS (SELECT CAST(p_partkey // {_FAR.n} AS INT) AS r, CAST(p_partkey % {_FAR.n} AS INT) AS c, CAST((p_size * 7 + p_partkey * 13) % 101 AS DOUBLE) AS v FROM part WHERE p_partkey < {_FAR.n ** 2}),
+  p AS (SELECT CAST(i AS INT) AS px, CAST(j AS INT) AS py FROM range(60) a(i), range(60) b(j)), ll AS (SELECT px, py, {_MLON} AS lon, {_MLAT} AS lat FROM p), xy AS (SELECT px, py, {_l93("lon", "lat")[0]} AS x, {_l93("lon", "lat")[1]} AS y FROM ll),
+  spot AS (SELECT px, py, (y - {_FAR.y0}::DOUBLE) / 200 - 0.5::DOUBLE AS fr, (x - {_FAR.x0}::DOUBLE) / 200 - 0.5::DOUBLE AS fc FROM xy WHERE sqrt((x - 835000) ** 2 + (y - 6580000) ** 2) <= 5000),
+  got AS (SELECT px, py, sum(v * (1 - abs(fr - r)) * (1 - abs(fc - c))) AS v FROM spot, range(2) u(i), range(2) w(j) JOIN f ON r = CAST(floor(fr) AS INT) + i AND c = CAST(floor(fc) AS INT) + j GROUP BY px, py HAVING count(*) = 4)
+  SELECT px, py, round(v, 4) AS v FROM p LEFT JOIN got USING (px, py)""")
 def mercator_resample(spark, d):
-    grid = geo.Grid(835000.0, 6580000.0, 5000.0, 200.0)
-    field = grid.cells(spark).select("row", "col", (F.col("row") * 2.0 + F.col("col")).alias("v"))
-    return vector.to_mercator_pixels(grid, field, "v", (525000.0, 5820000.0, 540000.0, 5835000.0), 60, 60, geo.from_mercator)
+    """A field whose last rows may be missing, as a Web Mercator image: pixels next to a gap stay empty."""
+    k = F.col("p_partkey")
+    field = table(spark, d, "part").where(k < _FAR.n**2).select(F.expr(f"cast(p_partkey div {_FAR.n} as int)").alias("row"), (k % _FAR.n).cast("int").alias("col"), ((F.col("p_size") * 7 + k * 13) % 101).cast("double").alias("v"))
+    image = vector.to_mercator_pixels(_FAR, field, "v", (525000.0, 5820000.0, 540000.0, 5835000.0), 60, 60, geo.from_mercator)
+    return image.select("px", "py", F.round("v", 4).alias("v"))
 
 
 # -- graph and zones -------------------------------------------------------------------------------
 
 _MASK = f"{CELLS}, k AS (SELECT r, c FROM g WHERE size > 28)"
-_REACH = f"""{_MASK}, nb AS (SELECT a.r, a.c, b.r AS r2, b.c AS c2 FROM k a JOIN k b ON abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1),
+_ROOTS = """nb AS (SELECT a.r, a.c, b.r AS r2, b.c AS c2 FROM k a JOIN k b ON abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1),
   reach(r, c, ro, co) AS (SELECT r, c, r, c FROM k UNION SELECT nb.r2, nb.c2, ro, co FROM reach JOIN nb USING (r, c)),
   root AS (SELECT r, c, min(ro * 100000 + co) AS root FROM reach GROUP BY r, c)"""
+_REACH = f"{_MASK}, {_ROOTS}"
 
 
 @query("components", f"WITH RECURSIVE {_REACH} SELECT r, c, CAST(dense_rank() OVER (ORDER BY root) AS BIGINT) AS label FROM root")
@@ -301,7 +336,19 @@ def local_peaks(spark, d):
     return rc(graph.local_peaks(cells(spark, d), "z", 6), "z")
 
 
-@query("peak_zones")
+@query("peak_zones", f"""WITH RECURSIVE {CELLS}, e AS (SELECT max(r) AS r1, max(c) AS c1 FROM g), o AS (SELECT CAST(a AS INT) AS dr, CAST(b AS INT) AS dc FROM range(-3, 4) x(a), range(-3, 4) y(b)),
+  fl AS (SELECT g.r, g.c, avg(h.z) AS f FROM g, e, o JOIN g h ON h.r = least(greatest(g.r + o.dr, 0), e.r1) AND h.c = least(greatest(g.c + o.dc, 0), e.c1) WHERE dr * dr + dc * dc <= 4 GROUP BY g.r, g.c),
+  k AS (SELECT r, c FROM fl WHERE f >= 48), nb AS MATERIALIZED (SELECT a.r, a.c, b.r AS r2, b.c AS c2 FROM k a JOIN k b ON abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1),
+  spread(i, r, c, root) AS (SELECT 0, r, c, r * 100000 + c FROM k UNION ALL SELECT any_value(i) + 1, nb.r, nb.c, min(root) FROM spread JOIN nb ON nb.r2 = spread.r AND nb.c2 = spread.c WHERE i < 400 GROUP BY nb.r, nb.c),
+  root AS (SELECT r, c, root FROM spread WHERE i = 400),
+  lb AS MATERIALIZED (SELECT r, c, label FROM (SELECT r, c, CAST(dense_rank() OVER (ORDER BY root) AS BIGINT) AS label, count(*) OVER (PARTITION BY root) AS n FROM root) WHERE n >= 15),
+  pk AS (SELECT g.r, g.c, any_value(g.f) AS f FROM fl g, o JOIN fl h ON h.r = g.r + o.dr AND h.c = g.c + o.dc GROUP BY g.r, g.c HAVING any_value(g.f) >= max(h.f) - 1e-6),
+  od AS MATERIALIZED (SELECT label, r, c, f, row_number() OVER (ORDER BY f DESC, r, c) AS i FROM pk JOIN lb USING (r, c)),
+  greedy(i, kept) AS (SELECT CAST(0 AS BIGINT), CAST([] AS STRUCT(label BIGINT, r INT, c INT, f DOUBLE)[]) UNION ALL
+    SELECT od.i, CASE WHEN len(list_filter(kept, lambda q: q.label = od.label AND sqrt((q.r - od.r) ** 2 + (q.c - od.c) ** 2) < 6)) = 0 THEN list_append(kept, {{'label': od.label, 'r': od.r, 'c': od.c, 'f': od.f}}) ELSE kept END FROM greedy JOIN od ON od.i = greedy.i + 1),
+  kp AS (SELECT q.* FROM (SELECT unnest(arg_max(kept, i)) AS q FROM greedy)),
+  near AS (SELECT lb.r, lb.c, lb.label, kp.f, kp.r AS pr, kp.c AS pc, row_number() OVER (PARTITION BY lb.r, lb.c ORDER BY (lb.r - kp.r) ** 2 + (lb.c - kp.c) ** 2, kp.f DESC, kp.r, kp.c) AS j FROM lb LEFT JOIN kp ON kp.label = lb.label)
+  SELECT r, c, label, CAST(dense_rank() OVER (ORDER BY label, f DESC, pr, pc) AS BIGINT) AS part FROM near WHERE j = 1""")
 def peak_zones(spark, d):
     """Zones of a smoothed field: components, small ones dropped, split by suppressed peaks."""
     field = focal.smooth(cells(spark, d), "z", 2, "field").select("row", "col", "field")
@@ -379,18 +426,24 @@ def area_lookup(spark, d):
     return zones.named(a, "rea 1").select("sid")
 
 
-@query("click_lookup")
+@query("click_lookup", f"WITH p AS (SELECT c_custkey, CAST((c_custkey * 71) % 10900 - 450 AS DOUBLE) + 829900.25::DOUBLE AS x, CAST((c_custkey * 53) % 10900 - 450 AS DOUBLE) + 6574900.25::DOUBLE AS y FROM customer), b AS (SELECT c_custkey, CAST(floor((y - {_FAR.y0}) / 200) AS INT) AS r, CAST(floor((x - {_FAR.x0}) / 200) AS INT) AS c FROM p) SELECT c_custkey, CASE WHEN ok THEN r END AS r, CASE WHEN ok THEN c END AS c, CASE WHEN ok THEN r * 1000 + c END AS v FROM (SELECT *, r BETWEEN 0 AND {_FAR.n - 1} AND c BETWEEN 0 AND {_FAR.n - 1} AS ok FROM b)")
 def click_lookup(spark, d):
-    """Clicks at cell centres must find their cells again."""
-    grid = geo.Grid(835000.0, 6580000.0, 5000.0, 200.0)
-    cells_ = grid.with_wgs(grid.cells(spark)).select("row", "col", "lon", "lat")
+    """Clicks on the map, some beyond its edge, find their cells again."""
+    k = F.col("c_custkey")
+    lon, lat = geo.to_wgs((k * 71) % 10900 - 450 + 829900.25, (k * 53) % 10900 - 450 + 6574900.25)
     mx, my = geo.mercator(F.col("lon"), F.col("lat"))
-    clicks = cells_.select(F.col("row").alias("r0"), F.col("col").alias("c0"), mx.alias("mx"), my.alias("my"))
-    found = zones.cell_at(clicks, grid, cells_.select("row", "col"))
-    return found.select("r0", "c0", ((F.col("row") == F.col("r0")) & (F.col("col") == F.col("c0"))).alias("same"))
-
-
-@query("census_layers")
+    clicks = table(spark, d, "customer").select(k, lon.alias("lon"), lat.alias("lat")).select("c_custkey", mx.alias("mx"), my.alias("my"))
+    found = zones.cell_at(clicks, _FAR, _FAR.cells(spark).select("row", "col", (F.col("row") * 1000 + F.col("col")).alias("v")))
+    return rc(found, "c_custkey", "v")
+
+
+@query("census_layers", f"""WITH cu AS (SELECT CAST(floor(((c_custkey * 53) % 10000 - {GRID.y0}) / 200) AS INT) AS r, CAST(floor(((c_custkey * 71) % 10000 - {GRID.x0}) / 200) AS INT) AS c, {", ".join(f"CAST((c_custkey * {7 + i}) % 50 AS DOUBLE) AS {n}" for i, n in enumerate(layers.CENSUS))} FROM customer),
+  pc AS (SELECT r, c, {", ".join(f"sum({n}) AS {n}" for n in layers.CENSUS)} FROM cu GROUP BY r, c), ce AS (SELECT CAST(r AS INT) AS r, CAST(c AS INT) AS c FROM range({GRID.n}) a(r), range({GRID.n}) b(c)),
+  o AS (SELECT CAST(a AS INT) AS dr, CAST(b AS INT) AS dc, a * a + b * b AS d2 FROM range(-15, 16) x(a), range(-15, 16) y(b) WHERE a * a + b * b <= 225),
+  s AS (SELECT ce.r, ce.c, {", ".join(f"coalesce(sum({n}) FILTER (WHERE d2 <= 25), 0) AS {n}" for n in layers.CENSUS)}, {" + ".join(f"coalesce(sum({n}) FILTER (WHERE d2 <= 25), 0)" for n in layers.DWELLINGS)} AS dw,
+    coalesce(sum(pop_carr) FILTER (WHERE d2 <= 100), 0) AS pop2, coalesce(sum(pop_carr), 0) AS pop3, coalesce(sum(ind_snv), 0) AS snv3 FROM ce, o LEFT JOIN pc ON pc.r = ce.r + dr AND pc.c = ce.c + dc GROUP BY ce.r, ce.c)
+  SELECT r, c, round(pop_carr, 4) AS pop_1km, round(pop2, 4) AS pop_2km, CASE WHEN pop_carr > 30 THEN round(ind_snv / pop_carr, 4) WHEN pop3 > 30 THEN round(snv3 / pop3, 4) END AS income_1km,
+    {", ".join(f"round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, {a} / greatest({b}, 1e-6))), 4) AS {n}" for a, b, n in (("log_soc", "dw", "social_housing_share_1km"), ("men_pauv", "men", "poor_share_1km"), ("men_mais", "men", "house_share_1km")))}, round(men_surf / greatest(men, 1e-6), 4) AS mean_house_m2 FROM s""")
 def census_layers(spark, d):
     k = F.col("c_custkey")
     fields = [((k * (7 + i)) % 50).cast("double").alias(c) for i, c in enumerate(layers.CENSUS)]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import geo
 from ..functions.geo import Grid
 from ..operators import resolution, store, views
 from ..sources import listings as sources
@@ -215,7 +216,10 @@ def place_cascade(spark, d):
     return store.placed(ls, c, z, m, GRID).select("key", "place_score", "place_note")
 
 
-@query("located")
+@query("located", f"""WITH {LISTINGS}, ls AS (SELECT key, commune_code, 'rue ' || CAST(ord % 80 AS VARCHAR) AS address FROM l),
+  ge AS (SELECT 'rue ' || CAST(i AS VARCHAR) AS address, 46 + i / 100.0::DOUBLE AS glat, 4 + i / 100.0::DOUBLE AS glon, CAST(i % 60 AS VARCHAR) AS gcode FROM range(70) t(i)), co AS (SELECT CAST(i AS VARCHAR) AS code, 45 + i / 100.0::DOUBLE AS clat, 5 + i / 100.0::DOUBLE AS clon FROM range(50) t(i)),
+  j AS (SELECT key, coalesce(commune_code, gcode) AS code, glat, glon, glat IS NOT NULL AND (commune_code IS NULL OR commune_code = gcode) AS ok FROM ls LEFT JOIN ge USING (address))
+  SELECT key, j.code AS commune_code, CASE WHEN ok THEN glat ELSE clat END AS lat, CASE WHEN ok THEN glon ELSE clon END AS lon, CASE WHEN ok THEN 'street' WHEN clat IS NOT NULL THEN 'commune' ELSE 'none' END AS geo_precision FROM j LEFT JOIN co ON co.code = j.code""")
 def located(spark, d):
     o = F.col("ord")
     ls = listings(spark, d).select("key", "commune_code", F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"), F.lit("none").alias("geo_precision"), F.concat(F.lit("rue "), (o % 80).cast("string")).alias("address"))
@@ -401,7 +405,18 @@ def delimited(spark, d):
     return sinks.delimited(table(spark, d, "part").select("p_partkey", "p_name", F.array(F.lit("a"), F.lit("b")).alias("l"), F.when(F.col("p_size") % 2 == 0, "x;y").alias("s")))
 
 
-@query("geojson_cells")
+def _wgs(dx: int, dy: int) -> str:
+    """[lon,lat] of a cell's corner as JSON text: the inverse projection, its latitude by six steps."""
+    vx, vy = f"(x + {dx}::DOUBLE - {geo._X0})", f"({geo._Y0 + geo._R0!r}::DOUBLE - (y + {dy}::DOUBLE))"
+    t = f"pow(sqrt({vx} * {vx} + {vy} * {vy}) / {geo._A * geo._F!r}::DOUBLE, {1 / geo._N!r}::DOUBLE)"
+    step = f"pi() / 2 - 2 * atan({t} * pow((1 - {geo._E} * sin(lat)) / (1 + {geo._E} * sin(lat)), {geo._E / 2}))"
+    lat = f"list_reduce([1, 2, 3, 4, 5, 6], lambda lat, i: {step}, pi() / 2 - 2 * atan({t}))"
+    return f"'[' || CAST(round(degrees(atan2({vx}, {vy}) / {geo._N!r}::DOUBLE + {geo._LON0!r}::DOUBLE), 5) AS VARCHAR) || ',' || CAST(round(degrees({lat}), 5) AS VARCHAR) || ']'"
+
+
+@query("geojson_cells", f"""WITH c AS (SELECT CAST(p_partkey // 50 AS INT) AS row, CAST(p_partkey % 50 AS INT) AS col, 830000.0::DOUBLE + (p_partkey % 50) * 200 AS x, 6570000.0::DOUBLE + (p_partkey // 50) * 200 AS y, CAST(p_size AS DOUBLE) AS score FROM part),
+  k AS (SELECT *, {_wgs(-100, -100)} AS sw, {_wgs(100, -100)} AS se, {_wgs(100, 100)} AS ne, {_wgs(-100, 100)} AS nw FROM c)
+  SELECT row, col, '{{"type":"Feature","properties":{{"score":' || CAST(score AS VARCHAR) || '}},"geometry":{{"type":"Polygon","coordinates":[[' || sw || ',' || se || ',' || ne || ',' || nw || ',' || sw || ']]}}}}' AS feature FROM k""")
 def geojson_cells(spark, d):
     k = F.col("p_partkey")
     c = table(spark, d, "part").select(F.expr("cast(p_partkey div 50 as int)").alias("row"), (k % 50).cast("int").alias("col"), (830000.0 + (k % 50) * 200).alias("x"), (6570000.0 + F.expr("p_partkey div 50") * 200).alias("y"), F.col("p_size").cast("double").alias("score"))
@@ -438,7 +453,7 @@ def api_records(spark, d):
     return sources.api_listings(records, "items", "struct<id:long,price:int,deal:string>", F.col("r.deal") == "SALE", {"id": F.col("r.id"), "price": F.col("r.price")})
 
 
-@query("photo_matches")
+@query("photo_matches", f"WITH {_HEX}, p AS (SELECT vec_id // 3 AS key, list(('0x' || hash)::UBIGINT ORDER BY vec_id) AS photos FROM h GROUP BY vec_id // 3) SELECT a.key AS a, CAST(len(list_filter(a.photos, lambda x: len(list_filter(b.photos, lambda y: bit_count(xor(x, y)) <= 8)) > 0)) AS INT) AS hits, CAST(list_min(flatten(list_transform(a.photos, lambda x: list_transform(b.photos, lambda y: bit_count(xor(x, y)))))) AS INT) AS best FROM p a JOIN p b ON b.key = a.key + 1")
 def photo_matches(spark, d):
     """Photo hits of embeddings' sign hashes, three photos a listing."""
     h = _hashes(spark, d).withColumn("key", F.expr("vec_id div 3"))
