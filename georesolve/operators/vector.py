@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import defaultdict, deque
 from collections.abc import Callable
 
 import numpy as np
@@ -236,38 +237,74 @@ def point_of(node: Column, ring: Column, bounds: Column) -> Column:
     return F.coalesce(node, of_ring, middle)
 
 
-def assembled_rings(pieces: DataFrame, atol: float = 0.5) -> DataFrame:
+def joined_ways(lines: list[np.ndarray], atol: float, rtol: float) -> list[np.ndarray]:
+    """Rings of ways joined end to end: a ring takes the first way left that meets one of its ends, until it closes or none does.
+
+    Ends are filed in a grid as wide as the tolerance, so a joint is a lookup among few ends whatever the number of ways.
+    """
+    ends = np.array([[w[0], w[-1]] for w in lines])
+    slack = atol + rtol * np.abs(ends).max(axis=(0, 1))
+    meets = lambda a, b: bool((np.abs(a - b) <= atol + rtol * np.abs(b)).all())
+    filed, cells = defaultdict(list), np.floor(ends / slack).astype(np.int64)
+    for i, own in enumerate(cells.tolist()):
+        for x, y in dict.fromkeys(map(tuple, own)):
+            filed[x, y].append(i)
+    left = [True] * len(lines)
+
+    def beside(point: np.ndarray) -> list[int]:
+        x, y = np.floor(point / slack).astype(np.int64).tolist()
+        found = []
+        for key in ((x + a, y + b) for a in (-1, 0, 1) for b in (-1, 0, 1)):
+            if key in filed:
+                filed[key] = [i for i in filed[key] if left[i]]
+                found += filed[key]
+        return found
+
+    rings = []
+    for first in range(len(lines)):
+        if not left[first]:
+            continue
+        left[first] = False
+        parts, head, tail = deque([lines[first]]), lines[first][0], lines[first][-1]
+        while not meets(head, tail):
+            for i in sorted({*beside(head), *beside(tail)}):
+                a, b = ends[i]
+                if meets(tail, a):
+                    parts.append(lines[i][1:])
+                    tail = b
+                elif meets(tail, b):
+                    parts.append(lines[i][::-1][1:])
+                    tail = a
+                elif meets(head, b):
+                    parts.appendleft(lines[i][:-1])
+                    head = a
+                elif meets(head, a):
+                    parts.appendleft(lines[i][::-1][:-1])
+                    head = b
+                else:
+                    continue
+                left[i] = False
+                break
+            else:
+                break
+        ring = np.vstack(parts)
+        if len(ring) >= 3:
+            rings.append(ring)
+    return rings
+
+
+def assembled_rings(pieces: DataFrame, atol: float = 0.5, rtol: float = 1e-5) -> DataFrame:
     """relation, fid, seq, x, y: closed rings from a relation's outer ways (relation, way, seq, x, y).
 
-    Ways are joined end to end, in either direction, while ends lie within atol; a ring has at least
-    three vertices; inner rings are not subtracted. One relation is one group, bounded by its ways.
+    Ways are joined end to end, in either direction, while ends lie within atol + rtol times the coordinate; a ring has at least
+    three vertices; inner rings are not subtracted. One relation is one group; its work is linear in its ways.
     """
 
     def assemble(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        lines = [w[["x", "y"]].to_numpy() for _, w in g.sort_values(["way", "seq"]).groupby("way", sort=True)]
-        out, number = [], 0
-        meets = lambda a, b: bool(np.abs(a - b).max() <= atol)
-        while lines:
-            ring = lines.pop(0)
-            while not meets(ring[0], ring[-1]):
-                for i, other in enumerate(lines):
-                    if meets(ring[-1], other[0]):
-                        grown = np.vstack([ring, other[1:]])
-                    elif meets(ring[-1], other[-1]):
-                        grown = np.vstack([ring, other[::-1][1:]])
-                    elif meets(ring[0], other[-1]):
-                        grown = np.vstack([other, ring[1:]])
-                    elif meets(ring[0], other[0]):
-                        grown = np.vstack([other[::-1], ring[1:]])
-                    else:
-                        continue
-                    ring, lines = grown, lines[:i] + lines[i + 1 :]
-                    break
-                else:
-                    break
-            if len(ring) >= 3:
-                out.append(pd.DataFrame({"relation": key[0], "fid": f"{key[0]}/{number}", "seq": range(len(ring)), "x": ring[:, 0], "y": ring[:, 1]}))
-                number += 1
+        g = g.sort_values(["way", "seq"])
+        at = g[["x", "y"]].to_numpy(dtype=float)
+        rings = joined_ways(np.split(at, np.flatnonzero(np.diff(g["way"].to_numpy())) + 1), atol, rtol)
+        out = [pd.DataFrame({"relation": key[0], "fid": f"{key[0]}/{n}", "seq": range(len(r)), "x": r[:, 0], "y": r[:, 1]}) for n, r in enumerate(rings)]
         return pd.concat(out) if out else pd.DataFrame({"relation": [], "fid": [], "seq": [], "x": [], "y": []})
 
     return pieces.groupBy("relation").applyInPandas(assemble, "relation long, fid string, seq int, x double, y double")

@@ -118,3 +118,51 @@ def test_split_equals_brute_force_on_a_snake_and_a_giant_component(spark):
     owner = lambda r, c: min(range(len(order)), key=lambda i: ((r - order[i][1]) ** 2 + (c - order[i][2]) ** 2, i))
     want = {(r, c): (1, 1 + owner(r, c)) for r, c, _ in snake} | {(r, c): (x, 3 + x) for r, c, x in other}
     assert got == want
+
+
+def _joined_one_by_one(lines, atol, rtol):
+    """Each joint looks at every way that is left."""
+    import numpy as np
+
+    meets, rings, lines = lambda a, b: np.allclose(a, b, atol=atol, rtol=rtol), [], list(lines)
+    while lines:
+        ring = lines.pop(0)
+        while not meets(ring[0], ring[-1]):
+            for i, w in enumerate(lines):
+                grown = [w2 for ok, w2 in ((meets(ring[-1], w[0]), lambda: [ring, w[1:]]), (meets(ring[-1], w[-1]), lambda: [ring, w[::-1][1:]]), (meets(ring[0], w[-1]), lambda: [w[:-1], ring]), (meets(ring[0], w[0]), lambda: [w[::-1][:-1], ring])) if ok]
+                if grown:
+                    ring = np.vstack(grown[0]())
+                    lines.pop(i)
+                    break
+            else:
+                break
+        if len(ring) >= 3:
+            rings.append(ring)
+    return rings
+
+
+def test_rings_equal_those_joined_one_by_one_and_grow_linearly():
+    import random
+    import time
+
+    import numpy as np
+
+    def circle(n, per, cx, rng):
+        """A circle of n ways in random order and direction, ends shifted within the tolerance."""
+        t = np.linspace(0, 2 * np.pi, n * per + 1)
+        at = np.column_stack([cx + 5000 * np.cos(t), 6_500_000 + 5000 * np.sin(t)])
+        ways = [at[i * per : (i + 1) * per + 1] + rng.uniform(-0.1, 0.1) for i in range(n)]
+        return [w[::-1] if rng.random() < 0.5 else w for w in ways]
+
+    rng = random.Random(4)
+    for n in (1, 2, 7, 50):
+        ways = circle(n, 5, 0.0, rng) + circle(3, 4, 30_000.0, rng) + [np.array([[90_000.0, 1.0], [90_500.0, 1.0]])]
+        rng.shuffle(ways)
+        for rtol in (0.0, 1e-5):
+            got, want = vector.joined_ways(ways, 0.5, rtol), _joined_one_by_one(ways, 0.5, rtol)
+            assert len(got) == len(want) and all(np.array_equal(a, b) for a, b in zip(got, want, strict=True))
+    ways = circle(50_000, 1, 0.0, rng)
+    rng.shuffle(ways)
+    start = time.time()
+    assert sum(len(r) for r in vector.joined_ways(ways, 0.05, 0.0)) > 0
+    assert time.time() - start < 30
