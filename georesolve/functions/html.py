@@ -72,6 +72,18 @@ def image_urls(html: Column, base: Column | None = None, only: list[str] | None
     return F.array_distinct(kept)
 
 
+def picked(urls: Column, keep, key, most: int) -> Column:
+    """The first URL of each key among those to keep, at most so many."""
+    kept = F.filter(urls, keep)
+    keys = F.transform(kept, key)
+    return F.slice(F.filter(kept, lambda u, i: F.array_position(keys, key(u)) == i + 1), 1, most)
+
+
+def decoded(text: Column) -> Column:
+    """Text with its entities decoded, where it has any."""
+    return F.when(text.contains("&"), unescape(F.when(text.contains("&"), text))).otherwise(text)
+
+
 def photo_key(url: Column) -> Column:
     """A photo's identity: its URL without size parameters and query."""
     return F.regexp_replace(F.regexp_replace(url, r"\?.*$", ""), r"[-_/](?:\d{2,4}x\d{2,4}|w\d{2,4}|h\d{2,4})(?=[./_-])", "")
@@ -83,7 +95,7 @@ def distinct_photos(urls: Column, most: int = 12) -> Column:
     return F.slice(firsts, 1, most)
 
 
-def meta_tags(html: Column, last_wins: bool = False) -> Column:
+def meta_tags(html: Column, last_wins: bool = False, either_order: bool = True) -> Column:
     """Map of og: and twitter: properties, in either order of attributes; the first value wins unless told otherwise."""
     names = r"((?:og|twitter):[\w:]+)"
     one = F.arrays_zip(
@@ -94,7 +106,7 @@ def meta_tags(html: Column, last_wins: bool = False) -> Column:
         F.regexp_extract_all(html, F.lit(rf"""(?i)<meta[^>]+content=["']([^"']*)["'][^>]+(?:property|name)=["']{names}["']"""), F.lit(2)).alias("k"),
         F.regexp_extract_all(html, F.lit(rf"""(?i)<meta[^>]+content=["']([^"']*)["'][^>]+(?:property|name)=["']{names}["']"""), F.lit(1)).alias("v"),
     )
-    all_pairs = F.concat(one, two)
+    all_pairs = F.concat(one, two) if either_order else one
     if last_wins:
         all_pairs = F.reverse(all_pairs)
     keys = F.transform(all_pairs, lambda p: p["k"])
@@ -106,14 +118,15 @@ def clean_title(title: Column) -> Column:
     return F.trim(F.regexp_replace(title, r"\s*[|–—]\s*[^|–—]*$", ""))
 
 
-def description(html: Column, tag: str = "p", least: int = 120, most: int = 4000) -> Column:
-    """The longest block of a tag within bounds, without junk words and with enough full stops; the first of equals.
+def description(html: Column, tag: str = "p", least: int = 120, most: int = 4000, junk: str | None = None) -> Column:
+    """The longest block of a tag (or tags, as a|b) within bounds, without junk words and with enough full stops; the first of equals.
 
-    A block ends at its first closing tag, so nested blocks are cut there.
+    A block ends at its first closing tag, so nested blocks are cut there. Entities are left as they are.
     """
-    blocks = F.transform(F.regexp_extract_all(html, F.lit(rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>"), F.lit(1)), lambda b: F.trim(F.regexp_replace(F.regexp_replace(b, "<[^>]+>", " "), r"(?U)\s+", " ")))
-    junk = "(?iu)" + "|".join(LISTING_JUNK)
-    good = F.filter(blocks, lambda b: (F.length(b) > least) & (F.length(b) < most) & ~b.rlike(junk) & ((F.length(b) - F.length(F.translate(b, ".", ""))) >= F.length(b) / 400))
+    inner = F.regexp_extract_all(html, F.lit(rf"(?is)<({tag})\b[^>]*>(.*?)</\1>"), F.lit(2))
+    blocks = F.transform(inner, lambda b: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(b, UNSEEN, " "), "<[^>]+>", " "), r"(?U)\s+", " ")))
+    unwanted = "(?iu)" + (junk or "|".join(LISTING_JUNK))
+    good = F.filter(blocks, lambda b: (F.length(b) > least) & (F.length(b) < most) & ~b.rlike(unwanted) & ((F.length(b) - F.length(F.translate(b, ".", ""))) >= F.length(b) / 400))
     longest = F.array_max(F.transform(good, F.length))
     return F.coalesce(F.try_element_at(F.filter(good, lambda b: F.length(b) == longest), F.lit(1)), F.lit(""))
 
@@ -141,8 +154,25 @@ def spec_number(text: Column, label: str, high: float = 2000) -> Column:
 
 
 def around(html: Column, link: str, reach: int) -> Column:
-    """The stretches of page around each occurrence of a link pattern."""
-    return F.regexp_extract_all(html, F.lit(rf"(?s)(.{{0,{reach}}}{link}.{{0,{reach}}})"), F.lit(1))
+    """Structs link, window of each occurrence of a link pattern: the page from reach characters before to reach after it.
+
+    Windows follow from positions, so those of neighbouring links overlap and none is used up by another.
+    """
+    page = F.translate(html, "\x01\x02", "")
+    parts = F.split(F.regexp_replace(page, f"({link})", "\x01$1\x02"), "\x01")
+
+    def windows(p: Column) -> Column:
+        sizes = F.transform(p, lambda x: F.length(F.translate(x, "\x02", "")))
+
+        def one(i: Column) -> Column:
+            found = F.substring_index(F.element_at(p, i + 1), "\x02", 1)
+            start = F.aggregate(F.slice(sizes, 1, i), F.lit(1), lambda a, n: a + n)
+            first = F.greatest(F.lit(1), start - reach)
+            return F.struct(found.alias("link"), F.substring(page, first, start + F.length(found) + reach - first).alias("window"))
+
+        return F.when(F.size(p) > 1, F.transform(F.sequence(F.lit(1), F.size(p) - 1), one)).otherwise(F.array().cast("array<struct<link:string,window:string>>"))
+
+    return F.element_at(F.transform(F.array(parts), windows), 1)
 
 
 def data_layer(html: Column, schema: str) -> Column:

@@ -187,6 +187,28 @@ def commune_mentions(text: Column, head: int = 700) -> Column:
     return F.filter(F.transform(F.concat(*named, F.array(lead)), slug), lambda s: s != "")
 
 
+def commune_in_title(title: Column) -> Column:
+    """The part of "... - Commune - 01 - ..." before the first two-digit department; else empty."""
+    parts = F.transform(F.split(title, " - "), lambda p: F.trim(p))
+    at = F.filter(F.sequence(F.lit(1), F.size(parts)), lambda i: (i > 1) & F.element_at(parts, i).rlike(r"^\d{2}$"))
+    return F.coalesce(F.initcap(F.try_element_at(parts, F.try_element_at(at, F.lit(1)) - 1)), F.lit(""))
+
+
+# A name in capitals before a postcode, or alone.
+BEFORE_POSTCODE = r"(?u)\b([A-ZÀ-Ÿ][A-ZÀ-Ÿ' \-]{2,30})\s*\(?\d{5}\)?"
+IN_CAPITALS = r"(?u)\b([A-ZÀ-Ÿ]{3,}(?:[ \-][A-ZÀ-Ÿ]{2,}){0,3})\b"
+NO_COMMUNE = ["CENTURY", "MAISON", "VENTE"]
+
+
+def commune_in_capitals(title: Column, body: Column, head: int = 400) -> Column:
+    """A name in capitals: before a postcode, else alone; of the title, else of the body's head."""
+    found = []
+    for text in (title, F.left(body, F.lit(head))):
+        alone = F.regexp_extract(text, "(?U)" + IN_CAPITALS, 1)
+        found += [F.nullif(F.trim(F.regexp_extract(text, "(?U)" + BEFORE_POSTCODE, 1)), F.lit("")), F.when(~alone.isin("", *NO_COMMUNE), alone)]
+    return F.coalesce(F.initcap(F.lower(F.coalesce(*found))), F.lit(""))
+
+
 def condition_labels(codes: Column, labels: dict[str, str]) -> Column:
     """Comma list of codes to labels; unknown codes stay."""
     table = F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..functions import text as T
 from ..sources import listings as sources
+from ..sources import portals
 from .base import query, table
 
 
@@ -210,3 +212,56 @@ def search_urls(spark, d):
 def spec_number(spark, d):
     text = F.concat(F.lit("Surface habitable : "), _s().cast("string"), F.lit(" m. Prix 12 000 puis "), (45 + _s()).cast("string"), F.lit(" 000"))
     return table(spark, d, "part").select("p_partkey", H.spec_number(text, "surface habitable").alias("v"), H.first_amount(text, 40_000, 2_000_000).alias("amount"))
+
+
+# -- portal forms ------------------------------------------------------------------------------------
+
+_HTML = """<meta property="og:title" content="{title}"><meta property="og:description" content="{about}"><title>{title} - ParuVendu</title><meta name="description" content="maison de {area}m2 au prix de {price} 000€">
+<script>setTargeting('nbpces', ['{rooms}0'])</script><p>Une maison de {area} m² au calme. Vue sur les vignes. Jardin clos. Terrain de 2 500 m². Chauffage au bois. Garage double. Prix {price} 000 €</p>
+https://abc.cloudimg.io/v7/{key}-00000000?ci_sign=1 https://cdn.safti.fr/bien-photo/1/{key}/0a0b0c0d/rn.jpg https://cdn.example.org/{key}-a.jpg?w=10 https://cdn.example.org/{key}-a.jpg?w=20"""
+_URLS = ["https://www.orpi.com/annonce-vente-maison-t4-saint-amour-71570-{key}-00000000", "https://www.safti.fr/annonces/achat/maison/saint-amour-71570/{key}", "https://www.laforet.com/agence-immobiliere/macon/acheter/saint-amour/maison-4-pieces-{key}", "https://www.century21.fr/trouver_logement/detail/{key}/", "https://www.paruvendu.fr/immobilier/vente/maison/{key}A"]
+_FORMS = ["orpi", "safti", "laforet", "century21", "paruvendu"]
+
+
+def _filled(template: str, **values) -> Column:
+    """A template with columns in its places."""
+    out = F.lit(template)
+    for name, value in values.items():
+        out = F.replace(out, F.lit("{" + name + "}"), value.cast("string"))
+    return out
+
+
+def _portal_pages(spark, d):
+    price, area, rooms, key = 100 + _k() % 900, 60 + _k() % 90, 1 + _s() % 9, 10_000_000 + _k()
+    title = F.concat(F.lit("Maison à vendre - "), rooms.cast("string"), F.lit(" pièces - "), area.cast("string"), F.lit(" m2 - Saint Amour - 71 - "), price.cast("string"), F.lit(" 000 €"))
+    at = (_k() % 5 + 1).cast("int")
+    url = F.replace(F.element_at(F.array(*map(F.lit, _URLS)), at), F.lit("{key}"), key.cast("string"))
+    return table(spark, d, "part").select("p_partkey", F.element_at(F.array(*map(F.lit, _FORMS)), at).alias("source"), url.alias("url"), _filled(_HTML, title=title, about=F.lit("court"), area=area, price=price, rooms=rooms, key=key).alias("html"))
+
+
+@query("portal_listings", """WITH p AS (SELECT *, CAST((100 + p_partkey % 900) * 1000 AS INT) AS price, 60 + p_partkey % 90 AS area, CAST(1 + p_size % 9 AS INT) AS rooms, CAST(10000000 + p_partkey AS VARCHAR) AS k, p_partkey % 5 AS f FROM part)
+  SELECT (['orpi', 'safti', 'laforet', 'century21', 'paruvendu'])[f + 1] AS source, (['orpi', 'safti', 'laforet', 'century21', 'paruvendu'])[f + 1] || '/' || k AS page, CASE f WHEN 0 THEN k || '-00000000' WHEN 4 THEN '' ELSE k END AS source_id, price, CAST(area AS DOUBLE) AS area_m2, CASE WHEN f = 0 THEN 4 ELSE rooms END AS rooms,
+    CASE f WHEN 4 THEN '' ELSE 'Saint Amour' END AS commune_name, CASE WHEN f < 2 THEN '71570' ELSE '' END AS postcode, CASE f WHEN 0 THEN 'https://abc.cloudimg.io/v7/' || k || '-00000000?ci_sign=1' WHEN 1 THEN 'https://cdn.safti.fr/bien-photo/1/' || k || '/0a0b0c0d/rn.jpg'
+      WHEN 2 THEN 'https://cdn.safti.fr/bien-photo/1/' || k || '/0a0b0c0d/rn.jpg https://cdn.example.org/' || k || '-a.jpg?w=10' WHEN 3 THEN 'https://cdn.safti.fr/bien-photo/1/' || k || '/0a0b0c0d/rn.jpg https://cdn.example.org/' || k || '-a.jpg?w=10' ELSE '' END AS photos FROM p""")
+def portal_listings(spark, d):
+    """Pages of five portals in one scan."""
+    found = portals.portal_listings(_portal_pages(spark, d).select("source", "url", "html"))
+    page = F.concat(F.col("source"), F.lit("/"), F.regexp_extract("url", r"(\d{8})", 1))
+    return found.select("source", page.alias("page"), "source_id", "price", "area_m2", "rooms", "commune_name", "postcode", F.array_join("photos", " ").alias("photos"))
+
+
+@query("portal_links", """WITH l AS (SELECT s_suppkey AS s, i, i // 2 AS half, (s_suppkey + i * i) % 3 = 0 AS house FROM supplier, range(4) t(i)), h AS (SELECT s, half, bool_or(house) AS any_house FROM l GROUP BY s, half)
+  SELECT 'https://www.century21.fr/trouver_logement/detail/' || CAST(1000000 + l.s * 10 + l.i AS VARCHAR) || '/' AS url FROM l JOIN h USING (s, half) WHERE any_house""")
+def portal_links(spark, d):
+    """Search pages of four links: two near each other, two beyond the reach of those; what is kept is written beside it or its neighbour."""
+    s = F.col("s_suppkey")
+    link = lambda i: [F.lit("<a href='/trouver_logement/detail/"), (1_000_000 + s * 10 + i).cast("string"), F.lit("/'>"), F.when((s + i * i) % 3 == 0, "Maison").otherwise("Garage"), F.lit("</a>"), F.lit("." * (1300 if i == 1 else 5))]
+    pages = table(spark, d, "supplier").select(F.lit("century21").alias("source"), F.concat(*[c for i in range(4) for c in link(i)]).alias("html"))
+    return portals.portal_links(pages).select("url")
+
+
+@query("notary_listings", "SELECT 'https://n.example.org/' || CAST(p_partkey AS VARCHAR) AS url, CAST((100 + p_partkey % 200) * 1000 AS INT) AS price, CAST(50 + p_size AS DOUBLE) AS area_m2, CAST(1 + p_size % 7 AS INT) AS bedrooms, 'Mâcon' AS commune_name FROM part WHERE p_size % 4 <> 0 AND (100 + p_partkey % 200) * 1000 <= 1.15::DOUBLE * 200000 AND 1 + p_size % 7 >= 2")
+def notary_listings(spark, d):
+    item = F.to_json(F.struct(F.when(_s() % 4 == 0, "APP").otherwise("MAI").alias("typeBien"), F.lit("VENTE").alias("typeTransaction"), ((100 + _k() % 200) * 1000).alias("prixAffiche"), (1 + _s() % 7).alias("nbChambres"), (50 + _s()).alias("surface"), F.lit("MACON").alias("localiteNom"), F.concat(F.lit("https://n.example.org/"), _k().cast("string")).alias("urlDetailAnnonceFr")))
+    bodies = table(spark, d, "part").select(F.concat(F.lit('{"annonceResumeDto":['), item, F.lit("]}")).alias("body"))
+    return portals.notary_listings(bodies, 200_000, 2).select("url", "price", "area_m2", "bedrooms", "commune_name")

@@ -11,6 +11,7 @@ from ..functions import html as H
 from ..functions import text as T
 from ..operators.resolution import known
 from ..operators.store import listing_key
+from .portals import portal_listings
 
 #: Adapters by source: pages (url, html) to listings.
 ADAPTERS: dict[str, Callable[[DataFrame], DataFrame]] = {}
@@ -25,12 +26,15 @@ def register(name: str):
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """Listings of all registered sources: pages (source, url, html) go to their source's adapter."""
-    out = None
+    """Listings of all registered sources: pages (source, url, html) go to their source's adapter.
+
+    The portals that have a form are read in one scan; an adapter of its own takes a scan.
+    """
+    out = portal_listings(pages)
     for name, adapter in sorted(ADAPTERS.items()):
         rows = adapter(pages.where(F.col("source") == name).select("url", "html"))
         rows = rows.withColumn("source", F.lit(name)).withColumn("key", listing_key(F.col("source"), F.col("source_id"), F.col("url")))
-        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+        out = out.unionByName(rows, allowMissingColumns=True)
     return out
 
 
