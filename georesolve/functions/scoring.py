@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 NO_LIMIT = 250
@@ -133,6 +133,16 @@ def rule_stats(scored: DataFrame, scoring: Scoring, inside: str = "inside") -> D
     return counts.select(F.explode(F.array(*[F.struct(F.lit(r.key).alias("key"), F.col(f"k{i}").alias("killed"), F.col(f"t{i}").alias("touched")) for i, r in enumerate(rules)])).alias("s")).select("s.*")
 
 
+def rule_report(scored: DataFrame, scoring: Scoring, inside: str = "inside") -> DataFrame:
+    """rank, kind, key, threshold, margin, killed_pct, touched_pct of the cells inside: vetoes first, then by what they kill."""
+    rules = scored.sparkSession.createDataFrame([(i, r.key, r.kind, float(r.threshold), float(r.margin)) for i, r in enumerate(scoring.active(scored.columns))], "i int, key string, kind string, threshold double, margin double")
+    share = lambda c: (F.col(c) * 100.0 / F.col("__n")).alias(f"{c}_pct")
+    counts = rule_stats(scored, scoring, inside).join(F.broadcast(scored.where(inside).agg(F.greatest(F.lit(1), F.count("*")).alias("__n"))))  # one row
+    out = counts.join(F.broadcast(rules), "key").select("kind", "key", "threshold", "margin", "killed", share("killed"), share("touched"), "i")
+    order = Window.orderBy(F.col("kind") != "veto", F.col("killed").desc(), "i")  # as many rows as there are rules
+    return out.withColumn("rank", F.row_number().over(order)).drop("killed", "i")
+
+
 def normalized(value: Column, bad: float, good: float) -> Column:
     """0 at bad to 1 at good, whichever is larger; unknown is 0.35."""
     return F.when(value.isNull(), UNKNOWN_ATTRACTION).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (value.cast("double") - bad) / (good - bad))))

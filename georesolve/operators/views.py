@@ -115,6 +115,18 @@ def counters(status: DataFrame) -> DataFrame:
     return status.select(F.explode(kind).alias("counter")).groupBy("counter").agg(F.count("*").alias("n"))
 
 
+def navigation(status: DataFrame, candidates: DataFrame, person: str) -> DataFrame:
+    """counter, n of one person's menu: those of counters, what waits for the person (mine), what they liked and is no match yet (liked), open duplicate candidates (dups); zeros too."""
+    named = counters(status).select("counter", "n")
+    waits = F.concat(F.lit("waiting:"), F.lit(person))
+    mine = named.where(F.col("counter") == waits).select(F.lit("mine").alias("counter"), "n")
+    liked = status.where(~F.col("matched") & F.array_contains("liked_by", person)).select(F.lit("liked").alias("counter"), F.lit(1).cast("long").alias("n"))
+    dups = candidates.select(F.lit("dups").alias("counter"), F.lit(1).cast("long").alias("n"))
+    always = status.sparkSession.createDataFrame([(c, 0) for c in ("match", "rejected", "mine", "liked", "dups")], "counter string, n long")
+    every = named.unionByName(mine).unionByName(liked).unionByName(dups).unionByName(always)
+    return every.groupBy("counter").agg(F.sum("n").alias("n"))
+
+
 def matched_reviews(reviews: DataFrame, status: DataFrame) -> DataFrame:
     """Reviews after matches: a matched group's status becomes visit."""
     hit = status.where("matched").select(F.col("group_id").alias("key"), F.lit("visit").alias("__v"))

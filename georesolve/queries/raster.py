@@ -59,6 +59,15 @@ def rule_stats(spark, d):
     return scoring.rule_stats(scored(spark, d), SCORING)
 
 
+_SHARES = " UNION ALL ".join(f"SELECT {i} AS i, '{r.kind}' AS kind, '{r.key}' AS key, {float(r.threshold)}::DOUBLE AS threshold, {float(r.margin)}::DOUBLE AS margin, count(*) FILTER (WHERE inside AND p_{r.key} <= 0.001) AS killed, count(*) FILTER (WHERE inside AND p_{r.key} < 1) AS touched, count(*) FILTER (WHERE inside) AS n FROM sc" for i, r in enumerate(_RULES))
+
+
+@query("rule_report", f"WITH {SCORED}, sh AS ({_SHARES}) SELECT CAST(row_number() OVER (ORDER BY kind <> 'veto', killed DESC, i) AS INT) AS rank, kind, key, threshold, margin, round(killed * 100.0::DOUBLE / n, 4) AS killed_pct, round(touched * 100.0::DOUBLE / n, 4) AS touched_pct FROM sh")
+def rule_report(spark, d):
+    r = scoring.rule_report(scored(spark, d), SCORING)
+    return r.select("rank", "kind", "key", "threshold", "margin", F.round("killed_pct", 4).alias("killed_pct"), F.round("touched_pct", 4).alias("touched_pct"))
+
+
 @query("explain_point", f"WITH {SCORED} " + " UNION ALL ".join(f"SELECT key, '{r.key}' AS rule, {r.metric} AS value, {float(r.threshold)}::DOUBLE AS threshold, round(p_{r.key}, 6) AS membership FROM sc" for r in _RULES))
 def explain_point(spark, d):
     return scoring.explained(scored(spark, d), SCORING, ["key"]).select("key", "rule", "value", "threshold", F.round("membership", 6).alias("membership"))

@@ -164,9 +164,12 @@ def decisions_last(spark, d):
     return store.decisions_after(e).drop("ts")
 
 
-@query("people_sync", "SELECT * FROM (VALUES ('P0', true), ('P1', false), ('P2', true), ('P3', true)) t(name, active)")
+@query("people_sync", "WITH o AS (SELECT DISTINCT 'U' || CAST(user_id AS VARCHAR) AS name FROM events), n AS (SELECT DISTINCT 'U' || CAST(c_custkey AS VARCHAR) AS name FROM customer WHERE c_custkey % 3 <> 0) SELECT coalesce(o.name, n.name) AS name, n.name IS NOT NULL AS active FROM o FULL JOIN n ON n.name = o.name")
 def people_sync(spark, d):
-    return store.people_after(people(spark), spark.createDataFrame([("P0",), ("P2",), ("P3",)], "name string"))
+    """Those of the events are stored, two of three customers are listed."""
+    named = lambda t, c: table(spark, d, t).select(F.concat(F.lit("U"), F.col(c).cast("string")).alias("name"), c)
+    stored = named("events", "user_id").select("name").distinct().withColumn("active", F.lit(True))
+    return store.people_after(stored, named("customer", "c_custkey").where("c_custkey % 3 <> 0").select("name"))
 
 
 @query("house_filter", f"WITH {LISTINGS} SELECT key FROM l WHERE coalesce(price <= 1.15 * 220000, true) AND coalesce(area_m2 >= 0.85::DOUBLE * 100, true) AND coalesce(nullif(bedrooms, 0) >= 3, true)")
@@ -423,14 +426,30 @@ def geojson_cells(spark, d):
     return sinks.geojson_features(c, 100.0)
 
 
-@query("whitelist_json", """SELECT '{"green":["c1","c4"],"amber":["c2","c5"],"communes":{"c1":{"status":"green","p90":10.0},"c2":{"status":"amber","p90":20.0},"c4":{"status":"green","p90":40.0},"c5":{"status":"amber","p90":50.0}},"zones":[{"rank":1,"score_max":0.0},{"rank":2,"score_max":5.0}]}' AS whitelist""")
+@query("whitelist_json", """WITH c AS (SELECT 'c' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0') AS code, (['excluded', 'green', 'amber'])[s_suppkey % 3 + 1] AS status, CAST(s_suppkey % 100 AS DOUBLE) AS p90 FROM supplier),
+  k AS (SELECT string_agg('"' || code || '"', ',' ORDER BY code) FILTER (WHERE status = 'green') AS green, string_agg('"' || code || '"', ',' ORDER BY code) FILTER (WHERE status = 'amber') AS amber,
+    string_agg('"' || code || '":{"status":"' || status || '","p90":' || CAST(p90 AS VARCHAR) || '}', ',' ORDER BY code) FILTER (WHERE status <> 'excluded') AS communes FROM c),
+  z AS (SELECT string_agg('{"rank":' || CAST(n_nationkey + 1 AS VARCHAR) || ',"score_max":' || CAST(n_nationkey * 5.0::DOUBLE AS VARCHAR) || '}', ',' ORDER BY n_nationkey) AS zones FROM nation)
+  SELECT '{"green":[' || green || '],"amber":[' || amber || '],"communes":{' || communes || '},"zones":[' || zones || ']}' AS whitelist FROM k, z""")
 def whitelist_json(spark, d):
-    i = F.col("id")
-    c = spark.range(6).select(F.concat(F.lit("c"), i.cast("string")).alias("code"), F.element_at(F.array(*map(F.lit, ["excluded", "green", "amber"])), (i % 3 + 1).cast("int")).alias("status"), (i * 10.0).alias("p90"))
-    z = spark.range(2).select((i + 1).alias("rank"), (i * 5.0).alias("score_max"))
+    k = F.col("s_suppkey")
+    c = table(spark, d, "supplier").select(F.concat(F.lit("c"), F.lpad(k.cast("string"), 9, "0")).alias("code"), F.element_at(F.array(*map(F.lit, ["excluded", "green", "amber"])), (k % 3 + 1).cast("int")).alias("status"), (k % 100).cast("double").alias("p90"))
+    z = table(spark, d, "nation").select((F.col("n_nationkey") + 1).alias("rank"), (F.col("n_nationkey") * 5.0).alias("score_max"))
     return sinks.whitelist(c, z)
 
 
+@query("navigation", f"""WITH {_STATUS}, {LISTINGS}, m AS (SELECT *, len(liked) = 2 AS matched FROM st), w AS (SELECT *, list_filter(['P0', 'P1'], lambda p: NOT list_contains(voted, p)) AS waits FROM m),
+  k AS (SELECT unnest(CASE WHEN matched THEN ['match'] WHEN rejected THEN ['rejected'] ELSE list_transform(waits, lambda p: 'waiting:' || p) END) AS counter FROM w UNION ALL SELECT 'mine' FROM w WHERE NOT matched AND NOT rejected AND list_contains(waits, 'P0')
+    UNION ALL SELECT 'liked' FROM w WHERE NOT matched AND list_contains(liked, 'P0') UNION ALL SELECT 'dups' FROM l x JOIN l y ON y.ord = x.ord + 60 WHERE x.active AND y.active)
+  SELECT counter, coalesce(n, 0) AS n FROM (SELECT counter, count(*) AS n FROM k GROUP BY counter) FULL JOIN (SELECT unnest(['match', 'rejected', 'mine', 'liked', 'dups']) AS counter) USING (counter)""")
+def navigation(spark, d):
+    """One person's menu counters over groups, votes and open candidates."""
+    ls = listings(spark, d)
+    b = ls.select(F.col("key").alias("b"), (F.col("ord") - 60).alias("ord"))
+    c = ls.join(b, "ord").select(F.col("key").alias("a"), "b", (F.col("ord") % 5).cast("int").alias("score"))
+    return views.navigation(_status(spark, d), views.candidate_pairs(c, ls, _photos(spark, d)), "P0")
+
+
 @query("hidden_list", f"WITH {MEMBERS} SELECT group_id, count(*) AS n_listings FROM mb GROUP BY group_id HAVING bool_or(ord % 101 = 0)")
 def hidden_list(spark, d):
     m = _members(spark, d)

@@ -203,9 +203,11 @@ def data_layer(spark, d):
     return sources.data_layer_listings(p).select(F.col("source_id").cast("long").alias("p_partkey"), "price", "rooms")
 
 
-@query("search_urls", "SELECT 'https://www.example.org/' || dept || '?page=' || CAST(page AS VARCHAR) AS url FROM (VALUES ('71'), ('69'), ('01')) t(dept), range(1, 4) p(page)")
+@query("search_urls", "SELECT 'https://www.example.org/' || lpad(CAST(s_suppkey AS VARCHAR), 2, '0') || '?page=' || CAST(page AS VARCHAR) AS url FROM supplier, range(1, 4) p(page) WHERE s_suppkey < 96")
 def search_urls(spark, d):
-    return sources.search_urls(spark, "https://www.example.org/%s?page=%d", ["71", "69", "01"], 3)
+    """Departments are the suppliers with a number of two digits."""
+    departments = table(spark, d, "supplier").where("s_suppkey < 96").select(F.lpad(F.col("s_suppkey").cast("string"), 2, "0").alias("dept"))
+    return sources.search_pages(departments, "https://www.example.org/%s?page=%d", 3)
 
 
 @query("spec_number", "SELECT p_partkey, CASE WHEN p_size > 0 THEN CAST(p_size AS DOUBLE) END AS v, CAST(45000 + p_size * 1000 AS INT) AS amount FROM part")

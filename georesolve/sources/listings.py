@@ -40,8 +40,12 @@ def parsed(pages: DataFrame) -> DataFrame:
 
 def search_urls(spark: SparkSession, template: str, departments: list[str], pages: int) -> DataFrame:
     """url of each search page: departments by pages."""
-    d = spark.createDataFrame([(x,) for x in departments], "dept string")
-    return d.select("dept", F.explode(F.sequence(F.lit(1), F.lit(pages))).alias("page")).select(F.format_string(template, "dept", "page").alias("url"))
+    return search_pages(spark.createDataFrame([(x,) for x in departments], "dept string"), template, pages)
+
+
+def search_pages(departments: DataFrame, template: str, pages: int) -> DataFrame:
+    """url of each search page of departments (dept)."""
+    return departments.select("dept", F.explode(F.sequence(F.lit(1), F.lit(pages))).alias("page")).select(F.format_string(template, "dept", "page").alias("url"))
 
 
 def text_fields(text: Column) -> dict[str, Column]:

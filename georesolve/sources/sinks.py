@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+import json
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.geo import to_wgs
+from ..functions.geo import Grid, to_wgs
 
 
 def geojson_features(cells: DataFrame, half: float, score: str = "score") -> DataFrame:
@@ -59,12 +63,36 @@ def write_field(cells: DataFrame, meta: DataFrame, path: str) -> None:
     meta.write.mode("overwrite").parquet(f"{path}/meta")
 
 
+def read_field(spark: SparkSession, path: str) -> tuple[DataFrame, Grid]:
+    """(cells, grid) of what write_field published."""
+    meta = spark.read.parquet(f"{path}/meta").first()
+    return spark.read.parquet(f"{path}/cells"), Grid(meta["cx"], meta["cy"], meta["radius"], meta["cell"])
+
+
+def grid_meta(spark: SparkSession, grid: Grid) -> DataFrame:
+    """The row of grid parameters that write_field takes."""
+    return spark.createDataFrame([(grid.x0, grid.y0, float(grid.cell), grid.n, float(grid.cx), float(grid.cy), float(grid.radius))], "x0 double, y0 double, cell double, n int, cx double, cy double, radius double")
+
+
+def stored_once(spark: SparkSession, folder: str, parameters: dict, build: Callable[[], DataFrame]) -> DataFrame:
+    """The result of build under a digest of its parameters (inputs' names among them): read if it was stored whole, else computed and stored.
+
+    Spark moves a result's files into place when all are written and marks them, so a run that dies leaves nothing that would be read.
+    """
+    digest = hashlib.sha256(json.dumps(parameters, sort_keys=True, default=str).encode()).hexdigest()
+    path = f"{folder.rstrip('/')}/{digest}"
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def write_zones(zones: DataFrame, path: str) -> None:
     zones.write.mode("overwrite").json(path)
 
 
-def report(zones: DataFrame, communes: DataFrame, top: int = 40) -> str:
-    """Markdown of the best zones and communes; only the rows it prints are fetched."""
+def report(zones: DataFrame, communes: DataFrame, top: int = 40, rules: DataFrame | None = None) -> str:
+    """Markdown of the best zones and communes, and of what each rule kills and touches (scoring.rule_report); only the rows it prints are fetched."""
 
     def part(df: DataFrame, cols: list[str]) -> list[str]:
         lines = ["| " + " | ".join(cols) + " |", "|" + "---|" * len(cols)]
@@ -72,4 +100,5 @@ def report(zones: DataFrame, communes: DataFrame, top: int = 40) -> str:
 
     z = part(zones.orderBy("rank"), [c for c in ("rank", "cells", "area_ha", "score_max", "score_mean") if c in zones.columns])
     c = part(communes.orderBy(F.col("p90").desc_nulls_last(), F.col("cells_good").desc()), [c for c in ("commune", "status", "p90", "best", "cells_good") if c in communes.columns])
-    return "\n".join(["# Zones", "", *z, "", "# Communes", "", *c, ""])
+    r = ["# Rules", "", *part(rules.orderBy("rank"), ["kind", "key", "threshold", "margin", "killed_pct", "touched_pct"]), ""] if rules is not None else []
+    return "\n".join([*r, "# Zones", "", *z, "", "# Communes", "", *c, ""])
