@@ -88,8 +88,10 @@ def metric_cells(spark: SparkSession, grid: Grid, inputs: Inputs) -> DataFrame:
 def landed_inputs(spark: SparkSession, folder: str, grid: Grid, side: int = landed.TILE) -> Inputs:
     """Inputs from the landed files: elevation/ tiles of side samples, features/, census/ and communes/ as JSON."""
     padded = grid.with_wgs(grid.cells(spark, terrain_pad(grid))).select("row", "col", "lon", "lat")
-    elevation = landed.sampled(padded, landed.elevation_tiles(spark, f"{folder}/elevation"), ["row", "col"], side)
-    features = landed.map_features(spark, f"{folder}/features")
+    box = landed.lon_lat_box(spark, grid.bounds(), TERRAIN_PAD + grid.cell)
+    blocks = landed.elevation_blocks(spark, f"{folder}/elevation", box)
+    elevation = landed.sampled_in_blocks(padded, blocks, ["row", "col"], side)
+    features = landed.near_grid(landed.map_features(spark, f"{folder}/features"), grid.bounds())
     ways = landed.feature_lines(features)
     relations = features.where("type = 'relation'").select(F.col("fid").alias("relation"), "tags")
     pieces = vector.assembled_rings(landed.relation_pieces(features)).withColumn("relation", F.concat(F.lit("relation/"), F.col("relation").cast("string")))

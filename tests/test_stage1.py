@@ -87,3 +87,58 @@ def test_landed_files_to_scored_cells(spark, tmp_path):
     assert all(r["southness"] == pytest.approx(1.0, abs=0.01) and r["slope_pct"] == pytest.approx(0.54, abs=0.01) for r in rows.values())
     scored = suitability.scored(cells, config, grid)
     assert scored.where(F.col("field").isNull() | (F.col("feasibility") < 0) | (F.col("feasibility") > 1)).count() == 0
+
+
+def _tile(folder, name, side, z):
+    (folder / f"{name}.hgt").write_bytes(b"".join(struct.pack(">h", z(r, c)) for r in range(side) for c in range(side)))
+
+
+def test_blocks_give_what_single_samples_give(spark, tmp_path, monkeypatch):
+    """At voids, block and tile borders, and beyond the tiles; only blocks of the box are made."""
+    from georesolve.sources import landed
+
+    monkeypatch.setattr(landed, "BLOCK", 8)
+    side, rng = 21, random.Random(2)
+    for name in ("N46E004", "N45E004"):
+        _tile(tmp_path, name, side, lambda r, c: landed.VOID if (r, c) == (5, 7) else rng.randint(-400, 900))
+    at = [(i, 4 + rng.random(), 45 + 2 * rng.random()) for i in range(300)] + [(900 + i, 4 + a / 20, 45 + b / 20) for i, (a, b) in enumerate([(0, 0), (8, 8), (16, 4), (19, 19), (20 - 1e-9, 1e-9), (8, 20), (7.5, 35.5)])] + [(999, 5.5, 46.5)]
+    points = spark.createDataFrame(at, "k int, lon double, lat double")
+    want = {r["k"]: r["z"] for r in landed.sampled(points, landed.elevation_tiles(spark, f"file://{tmp_path}"), ["k"], side).collect()}
+    got = landed.sampled_in_blocks(points, landed.elevation_blocks(spark, f"file://{tmp_path}"), ["k"], side)
+    assert sum(v is None for v in want.values()) >= 2 and {r["k"]: r["z"] if r["z"] is None else pytest.approx(r["z"], abs=1e-9) for r in got.collect()} == want
+    box = (4.0, 46.0, 4.35, 46.35)
+    few = landed.elevation_blocks(spark, f"file://{tmp_path}", box)
+    assert {(r["tile"], r["br"], r["bc"]) for r in few.collect()} == {("N46E004", br, 0) for br in (1, 2)}
+
+
+def test_census_box_reaches_the_scan_and_layers_have_their_own_reach(spark, tmp_path):
+    from georesolve.sources import landed
+
+    squares = [{"geo_point_2d": {"lon": 3 + i / 50, "lat": 45 + j / 50}, **dict.fromkeys(layers.CENSUS, 1.0)} for i in range(100) for j in range(100)]
+    (tmp_path / "c.json").write_text("\n".join(map(json.dumps, squares)))
+    landed.land_census(spark, f"file://{tmp_path}/c.json", f"file://{tmp_path}/ordered", files=8)
+    bounds = Grid(835000.0, 6580000.0, 10_000.0, 200.0).bounds()
+    plain = landed.census(spark, f"file://{tmp_path}/c.json").where(F.col("x").between(bounds[0], bounds[2]) & F.col("y").between(bounds[1], bounds[3]))
+    cut = landed.census(spark, f"file://{tmp_path}/ordered", bounds, ordered=True)
+    assert 0 < cut.count() == plain.count() == landed.census(spark, f"file://{tmp_path}/c.json", bounds).count()
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    plan = landed.census(spark, f"file://{tmp_path}/ordered", bounds, ordered=True)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "GreaterThanOrEqual(lon" in plan and "LessThanOrEqual(lat" in plan
+    # Files hold places that lie close together: few of them have any within the box.
+    files = spark.read.parquet(f"file://{tmp_path}/ordered").groupBy(F.input_file_name()).agg(F.min("lon"), F.max("lon"), F.min("lat"), F.max("lat")).collect()
+    w, s, e, n = landed.lon_lat_box(spark, bounds)
+    assert len(files) > 1 and sum(f[1] <= e and f[2] >= w and f[3] <= n and f[4] >= s for f in files) < len(files)
+    grid = Grid(835000.0, 6580000.0, 1000.0, 200.0)
+    box = landed.lon_lat_box(spark, grid.bounds())
+    east = lambda metres: {"lat": (box[1] + box[3]) / 2, "lon": box[2] + metres / 77_000}
+    (tmp_path / "f.json").write_text(json.dumps({"elements": [
+        {"type": "node", "id": 1, "tags": {"highway": "motorway_junction"}, **east(20_000)},
+        {"type": "node", "id": 2, "tags": {"amenity": "school"}, **east(20_000)},
+        {"type": "node", "id": 3, "tags": {"amenity": "school"}, **east(7_000)},
+        {"type": "way", "id": 4, "tags": {"landuse": "vineyard"}, "geometry": [east(2_000), east(9_000), east(5_000)]},
+        {"type": "way", "id": 5, "tags": {"landuse": "vineyard"}, "geometry": [east(4_000), east(9_000), east(5_000)]},
+        {"type": "node", "id": 6, "tags": {"amenity": "bench"}, **east(0)},
+    ]}))
+    kept = landed.near_grid(landed.map_features(spark, f"file://{tmp_path}/f.json"), grid.bounds())
+    assert {r["fid"] for r in kept.collect()} == {"node/1", "node/3", "way/4"}
