@@ -1,7 +1,9 @@
 """Streaming ingest of listing snapshots, beyond the batch runs: the natural form of a repeated crawl.
 
-Each micro-batch is upserted into the listing table and its price changes are appended. A batch is
-written under its number, so that a batch which runs again after a failure replaces itself.
+Each micro-batch's snapshots are stored under its number, so that a batch which runs again after a failure
+replaces itself; ``current`` and ``price_history`` read them all. With ``tables``, each batch is also merged
+into the stored listing, price and photo tables, where only the buckets of its keys are rewritten and a
+repeated batch changes nothing.
 """
 
 from __future__ import annotations
@@ -11,12 +13,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import store
+from ..operators.tables import Tables
 
 
-def start(snapshots: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+def start(snapshots: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, tables: Tables | None = None) -> StreamingQuery:
     """snapshots: a stream of key, seen_at, price and listing fields."""
 
     def write(batch: DataFrame, number: int) -> None:
+        if tables is not None:
+            tables.put_listings(batch)
         batch.write.mode("overwrite").parquet(f"{path}/snapshots/batch={number}")
 
     return snapshots.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
