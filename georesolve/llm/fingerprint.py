@@ -32,6 +32,8 @@ WORDS = r"[\x21-\x{24F}]{1,64}[^\x21-\x{24F}]?|[^\x21-\x{24F}]"
 SLOTS, TABLES = 8, 3
 #: Digests that a group should have on average, of both documents together.
 GROUP_DIGESTS = 12
+#: Bits of the digest that deal it into groups, at most.
+DEAL_BITS = 31
 RETRIES = (1, 4, 16)
 ROUNDS = 16
 #: Documents of a bucket of neighbouring identifiers, and buckets at most.
@@ -63,9 +65,14 @@ def _check(key: str) -> str:
     return f"hash({key})"
 
 
+def _places(slots: int, table: int) -> str:
+    """The cells of a subtable, each as the bits of the digest that choose it; each subtable reads other bits."""
+    return f"sequence(0L, {(slots - 1) << 10 * table}L, {1 << 10 * table}L)"
+
+
 def _in_cell(key: str, cell: str, slots: int, table: int) -> str:
-    """Whether key belongs to a cell of a subtable; each subtable reads other bits of the digest."""
-    return f"(shiftrightunsigned({key}, {10 * table}) & {slots - 1}) = {cell}"
+    """Whether key belongs to a cell of a subtable, one of _places."""
+    return f"({key} & {(slots - 1) << 10 * table}L) = {cell}"
 
 
 def _changed(digests: str, cell: str, slots: int, table: int, by: int, start: str) -> str:
@@ -78,7 +85,7 @@ def cells_sql(digests: str, slots: int = SLOTS, less: str | None = None) -> str:
     """The table of an array of digests: the cells of its subtables, one after another. less: digests to subtract."""
     empty = "named_struct('n', 0, 'k', 0L, 's', 0)"
     start = lambda t: _changed(less, "cell", slots, t, -1, empty) if less else empty
-    parts = [f"transform(sequence(0L, {slots - 1}L), cell -> {_changed(digests, 'cell', slots, t, 1, start(t))})" for t in range(TABLES)]
+    parts = [f"transform({_places(slots, t)}, cell -> {_changed(digests, 'cell', slots, t, 1, start(t))})" for t in range(TABLES)]
     return f"concat({', '.join(parts)})"
 
 
@@ -90,8 +97,9 @@ def peeled_sql(cells: str, slots: int = SLOTS) -> str:
     """Struct: c (cells left), a, b (digests that only the first or only the second has)."""
     pure = lambda n: f"array_distinct(transform(filter(state.c, x -> x.n = {n} and x.s = {_check('x.k')}), x -> x.k))"
     found = f"named_struct('a', {pure(1)}, 'b', {pure(-1)})"
-    after = lambda t: _changed("found.b", "cell", slots, t, 1, _changed("found.a", "cell", slots, t, -1, "was"))
-    emptied = ", ".join(f"transform(slice(state.c, {t * slots + 1}, {slots}), (was, cell) -> {after(t)})" for t in range(TABLES))
+    taken = lambda t: _changed("found.b", "cell", slots, t, 1, _changed("found.a", "cell", slots, t, -1, "was"))
+    after = lambda t: f"if(was.n = 0 and was.k = 0, was, {taken(t)})"
+    emptied = ", ".join(f"zip_with(slice(state.c, {t * slots + 1}, {slots}), {_places(slots, t)}, (was, cell) -> {after(t)})" for t in range(TABLES))
     ended = "named_struct('c', state.c, 'a', state.a, 'b', state.b, 'live', false)"
     step = let(found, "found", f"if(size(found.a) + size(found.b) = 0, {ended}, named_struct('c', concat({emptied}), 'a', concat(state.a, found.a), 'b', concat(state.b, found.b), 'live', true))")
     start = f"named_struct('c', {cells}, 'a', cast(array() as array<bigint>), 'b', cast(array() as array<bigint>), 'live', true)"
@@ -117,18 +125,15 @@ def _group_difference(a: str, b: str) -> str:
 
 
 def _dealt(digests: str, bits: str) -> str:
-    """Groups by the upper 2 ** bits of the digest, in two steps."""
-    high, low = f"cast(({bits}) div 2 as int)", f"cast(({bits}) - ({bits}) div 2 as int)"
-    first = f"transform(sequence(0, shiftleft(1, {high}) - 1), g -> filter({digests}, key -> pmod(shiftrightunsigned(key, 32), shiftleft(1, {high})) = g))"
-    second = f"transform(sequence(0, shiftleft(1, {low}) - 1), h -> filter(part, key -> pmod(shiftrightunsigned(key, 48), shiftleft(1, {low})) = h))"
-    return f"flatten(transform({first}, part -> {second}))"
+    """2 ** bits groups by the upper bits of the digest: a bit halves every group, so a digest is tested twice a bit."""
+    halves = ", ".join(f"filter(part, key -> (key & bit) {is_} 0L)" for is_ in ("=", "!="))
+    return f"aggregate(slice(sequence(0, {DEAL_BITS - 1}), 1, {bits}), array({digests}), (parts, at) -> {let('shiftleft(4294967296L, at)', 'bit', f'flatten(transform(parts, part -> array({halves})))')})"
 
 
 def difference_sql(a: str, b: str, cells_a: str, cells_b: str) -> str:
     """Struct a, b: the digests that only one document has. a, b: digest arrays, with their tables."""
-    bits = f"cast(greatest(0, ceil(log2((size({a}) + size({b}) + 1) / {GROUP_DIGESTS}.0))) as int)"
-    groups = f"transform(arrays_zip({_dealt(a, bits)} as x, {_dealt(b, bits)} as y), g -> {_group_difference('g.x', 'g.y')})".replace(" as x", "").replace(" as y", "")
-    groups = groups.replace("g.x", "g.`0`").replace("g.y", "g.`1`")
+    bits = f"cast(least({DEAL_BITS}, greatest(0, ceil(log2((size({a}) + size({b}) + 1) / {GROUP_DIGESTS}D)))) as int)"
+    groups = let(bits, "bits", f"zip_with({_dealt(a, 'bits')}, {_dealt(b, 'bits')}, (x, y) -> {_group_difference('x', 'y')})")
     merged = let(groups, "all", "named_struct('a', flatten(transform(all, v -> v.a)), 'b', flatten(transform(all, v -> v.b)))")
     return let(peeled_sql(subtracted_sql(cells_a, cells_b)), "first_try", f"if({_done('first_try')}, {_sides('first_try')}, {merged})")
 
