@@ -1,13 +1,13 @@
 """Packing of documents into training sequences of a fixed number of tokens.
 
 A document is encoded once and cut into pieces of at most ``capacity`` tokens. Pieces are dealt into
-randomised groups of about ``group_docs`` documents; each group is packed on its own by first-fit
-decreasing over a tournament tree of bin capacities, so a group's work and memory are bounded
-whatever the input's size, and groups run in parallel.
+randomised groups of about ``group_pieces`` pieces at most; each group is packed on its own by first-fit
+decreasing over a tournament tree of bin capacities, so a group's work and memory follow its pieces,
+however long or many the documents are, and groups run in parallel.
 
 Defined results: a null text is empty; every document ends with ``end_id``, so an empty one is a
-single piece of one token; repeated rows are packed as often as they occur; a text of any length is
-cut, never dropped.
+single piece of one token; repeated rows are packed as often as they occur: they are counted before they
+are shuffled and travel as a number, ``COPIES`` to a group at a time; a text of any length is cut, never dropped.
 """
 
 from __future__ import annotations
@@ -16,56 +16,75 @@ import math
 import zlib
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import ByteBPE
 from .common import for_python
 
-#: Documents of a group; the last bins of a group stay partly empty, so larger groups pad less.
-GROUP_DOCS = 4096
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+#: Pieces of a group at most, on average; the last bins of a group stay partly empty, so larger groups pad less.
+GROUP_PIECES = 8192
+#: Copies of one piece that are dealt together.
+COPIES = 1024
+PIECE = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+PIECES = ", ".join(f"{c} long" for c in PIECE)
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens."""
 
-    def cut(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, end = ByteBPE.loaded(tokenizer), end_id.to_bytes(4, "little")
+        schema = pa.schema([(c, pa.int64()) for c in PIECE])
         for b in batches:
             out = []
-            for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
+            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 ids = bpe.encode_bytes(text or "") + end
                 n = len(ids) // 4
                 for start in range(0, n, capacity):
                     part = ids[4 * start : 4 * (start + capacity)]
                     out.append((doc_id, start, len(part) // 4, zlib.crc32(part), n))
-            yield pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"]).astype({"doc_id": "Int64"})
+            columns = list(zip(*out, strict=True)) or [()] * len(PIECE)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=schema)
 
     for_python(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(cut, PIECES)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, PIECES)
 
 
-def pack(parts: DataFrame, n_docs: int, capacity: int = 1024, group_docs: int = GROUP_DOCS, seed: int = 7) -> DataFrame:
-    """parts with sequence_id and offset; n_docs: documents in parts, for the number of groups."""
-    n_groups = max(1, math.ceil(n_docs / group_docs))
+def most_pieces(docs: DataFrame, capacity: int = 1024, text_col: str = "text") -> int:
+    """No fewer than the pieces of docs: a token has a byte at least."""
+    tokens = F.octet_length(F.coalesce(F.col(text_col), F.lit(""))) + F.lit(1)
+    return docs.agg(F.sum(F.ceil(tokens / capacity))).first()[0] or 0
 
-    def ffd(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["length", "doc_id", "start"], ascending=[False, True, True], kind="stable")
-        bins, offsets = first_fit_decreasing(group["length"].tolist(), capacity)
-        first = int(group["pack_group"].iloc[0]) << 32
-        return group.drop(columns="pack_group").assign(sequence_id=[first + b for b in bins], offset=offsets)
 
-    # Repeated rows are numbered, so that they spread over groups, the same way however the input is split.
-    same = F.row_number().over(Window.partitionBy("doc_id", "start", "ids_crc32", "doc_tokens").orderBy("length"))
-    dealt = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start", "ids_crc32", same), F.lit(n_groups))
-    return parts.withColumn("pack_group", dealt).groupBy("pack_group").applyInPandas(ffd, f"{PIECES}, sequence_id long, offset long")
+def pack(parts: DataFrame, most: int, capacity: int = 1024, group_pieces: int = GROUP_PIECES, seed: int = 7) -> DataFrame:
+    """parts with sequence_id and offset; most: what parts has no more rows than, for the number of groups."""
+    n_groups, together = max(1, math.ceil(most / group_pieces)), min(COPIES, group_pieces)
 
+    def ffd(group: pa.Table) -> pa.Table:
+        first = group.column("pack_group")[0].as_py() << 32
+        group = group.sort_by([("length", "descending"), *((c, "ascending") for c in PIECE if c != "length"), ("batch", "ascending")])
+        group = group.take(np.repeat(np.arange(len(group)), group.column("copies").to_numpy())).select(PIECE)
+        bins, offsets = first_fit_decreasing(group.column("length").to_pylist(), capacity)
+        sequences = pa.array(first + np.array(bins, dtype=np.int64))
+        return group.append_column("sequence_id", sequences).append_column("offset", pa.array(offsets, pa.int64()))
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0, group_docs: int = GROUP_DOCS) -> DataFrame:
+    alike = parts.groupBy(*PIECE).agg(F.count(F.lit(1)).alias("alike"))
+    batches = alike.withColumn("batch", F.explode(F.sequence(F.lit(0), F.expr(f"(alike - 1) div {together}"))))
+    dealt = batches.select(
+        *PIECE,
+        "batch",
+        F.least(F.lit(together), F.col("alike") - F.col("batch") * together).alias("copies"),
+        F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start", "ids_crc32", "batch"), F.lit(n_groups)).alias("pack_group"),
+    )
+    return dealt.groupBy("pack_group").applyInArrow(ffd, f"{PIECES}, sequence_id long, offset long")
+
+
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    return pack(pieces(docs, tokenizer, capacity, end_id), docs.count(), capacity, group_docs)
+    return pack(pieces(docs, tokenizer, capacity, end_id), most_pieces(docs, capacity), capacity, group_pieces)
 
 
 def first_fit_decreasing(lengths: list[int], capacity: int) -> tuple[list[int], list[int]]:

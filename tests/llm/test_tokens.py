@@ -113,6 +113,19 @@ def test_rollup_counts_once(spark, odd, empty):
     assert ("s", "de", "v1") not in got() and got()["s", "de", "v2"][1] == want["s", "de", "v1"][1] + 1
 
 
+def test_copies_are_packed_as_often_as_they_occur(spark):
+    """Thousands of equal rows without an identifier, beside identifiers that no double holds and one long text."""
+    big = (1 << 53) + 1
+    docs = spark.createDataFrame([(None, None)] * 2500 + [(big, "a b c"), (big + 2, "a b c")] + [(7, "word " * 9000)], "doc_id long, text string")
+    path = tokenizer_path("byte_bpe_50k.tiktoken")
+    rows = packing.pack_documents(docs.repartition(3), path, 1024, 0, 512).collect()
+    assert sum(r.doc_id is None for r in rows) == 2500 and {r.doc_id for r in rows} == {None, big, big + 2, 7}
+    assert packing.most_pieces(docs) >= len(rows) == 2502 + -(-next(r.doc_tokens for r in rows if r.doc_id == 7) // 1024)
+    places = sorted((r.sequence_id, r.offset, r.length) for r in rows)
+    assert all(b[1] == (a[1] + a[2] if a[0] == b[0] else 0) and b[1] + b[2] <= 1024 for a, b in zip(places, places[1:]))
+    assert len({s >> 32 for s, _, _ in places}) > 1
+
+
 def test_sequences_do_not_depend_on_the_split(spark, odd):
     rows = odd.select("doc_id", "text")
     path = tokenizer_path("byte_bpe_50k.tiktoken")
