@@ -181,9 +181,10 @@ def with_next(docs: DataFrame, derived: dict[str, Column] | None = None, more: l
 
     derived: further columns of the text; more: columns of those. Each comes with its next_ column too.
 
-    Rows are dealt into buckets of neighbouring (identifier, text hash), so no task orders more than a
-    bucket, even of rows with one identifier or none; the first row of a bucket is sent to the bucket
-    before it as well. The buckets' ends, at most MAX_BUCKETS pairs of numbers, come from a range
+    Rows are dealt into buckets of neighbouring (identifier, text hash), also those with one identifier or
+    none, and a task orders a bucket; the first row of a bucket is sent to the bucket before it as well.
+    Buckets hold about bucket_docs rows up to MAX_BUCKETS of them (134 million rows) and grow beyond that;
+    rows that repeat both identifier and text share one. The buckets' ends, at most MAX_BUCKETS pairs of numbers, come from a range
     partitioning and reach the tasks as a scalar subquery.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
