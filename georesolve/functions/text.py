@@ -6,6 +6,7 @@ space and accented capitals match. Null and empty texts give null (condition and
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -42,14 +43,18 @@ UNACCENTED = "aaaaaaaaacccdeeeeeeeeeiiiiiiiinnnooooooooorrsssttuuuuuuuuuuyyzzz"
 _OPEN, _NUM, _CLOSE = "\u0001", "\u0003", "\u0002"
 
 
+def bound(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value), with value worked out once however often of names it."""
+    return F.element_at(F.transform(F.array(value), of), 1)
+
+
 def _some(text: Column, value: Column) -> Column:
     """value, but null for a null or empty text."""
     return F.when(text != "", value)
 
 
 def _found(text: Column, pattern: str, group: int = 1) -> Column:
-    got = F.regexp_extract(text, FLAGS + pattern, group)
-    return F.when(got != "", got)
+    return bound(F.regexp_extract(text, FLAGS + pattern, group), lambda got: F.when(got != "", got))
 
 
 def strip_spaces(s: Column) -> Column:
@@ -58,8 +63,7 @@ def strip_spaces(s: Column) -> Column:
 
 def price(text: Column) -> Column:
     raw = F.split(F.translate(strip_spaces(_found(text, PRICE)), ".", ""), ",")[0]
-    value = raw.try_cast("int")
-    return F.when(value.between(10_000, 5_000_000), value)
+    return bound(raw.try_cast("int"), lambda value: F.when(value.between(10_000, 5_000_000), value))
 
 
 def fees_included(text: Column) -> Column:
@@ -68,9 +72,8 @@ def fees_included(text: Column) -> Column:
 
 def number(s: Column) -> Column:
     """A French number: a comma is decimal (dots then group), dots alone group by three."""
-    s = strip_spaces(s)
-    grouped = F.when(s.contains(","), F.replace(F.translate(s, ".", ""), F.lit(","), F.lit("."))).when(s.rlike(r"^\d{1,3}(?:\.\d{3})+$"), F.translate(s, ".", "")).otherwise(s)
-    return grouped.try_cast("double")
+    grouped = lambda s: F.when(s.contains(","), F.replace(F.translate(s, ".", ""), F.lit(","), F.lit("."))).when(s.rlike(r"^\d{1,3}(?:\.\d{3})+$"), F.translate(s, ".", "")).otherwise(s)
+    return bound(strip_spaces(s), grouped).try_cast("double")
 
 
 def area_m2(text: Column) -> Column:
@@ -102,13 +105,13 @@ def land_m2(text: Column) -> Column:
     hectares = F.coalesce(number(_found(text, LAND_HA)), number(_found(text, LAND_AFTER_HA))) * 10_000
     whole = F.coalesce(_found(text, LAND, 0), _found(text, LAND_AFTER, 0))
     value = F.coalesce(number(_found(text, LAND)), number(_found(text, LAND_AFTER)))
-    value = F.when(F.lower(whole).contains("ha"), value * 10_000).otherwise(value)
-    return F.coalesce(hectares, F.when(value.between(50, 500_000), value))
+    scaled = F.when(F.lower(whole).contains("ha"), F.lit(10_000.0)).otherwise(F.lit(1.0))
+    plain = bound(F.struct(value.alias("v"), scaled.alias("by")), lambda f: bound(f["v"] * f["by"], lambda v: F.when(v.between(50, 500_000), v)))
+    return F.coalesce(hectares, plain)
 
 
 def _within(value: Column, low: int, high: int) -> Column:
-    value = value.try_cast("int")
-    return F.when(value.between(low, high), value)
+    return bound(value.try_cast("int"), lambda v: F.when(v.between(low, high), v))
 
 
 def rooms(text: Column) -> Column:

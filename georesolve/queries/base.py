@@ -29,6 +29,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """rows dealt to all cores: a small file of long work is read by one task. An explicit number of partitions is not coalesced."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, key)
+
+
+def held(rows: DataFrame, **columns: Column) -> DataFrame:
+    """rows with columns that are worked out once a row: the generator keeps the optimizer from copying them into each use."""
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def cells(spark: SparkSession, d: str) -> DataFrame:
     """A raster of 50 columns from part: row, col, z and a few metrics."""
     k, s = F.col("p_partkey"), F.col("p_size")

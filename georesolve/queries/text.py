@@ -9,7 +9,7 @@ from ..functions import html as H
 from ..functions import text as T
 from ..sources import listings as sources
 from ..sources import portals
-from .base import query, table
+from .base import held, query, spread, table
 
 
 def _k():
@@ -31,7 +31,7 @@ def phrases(spark, d):
     text = F.concat_ws(
         " ", F.lit("Maison"), (40 + (_k() * 3) % 200).cast("string"), F.lit("m²"), price, extra, F.lit(","), (1 + _s() % 9).cast("string"), F.lit("pièces,"), (1 + _s() % 5).cast("string"), F.lit("chambres, terrain"), (200 + (_k() * 17) % 800).cast("string"), F.lit("m2,"), feat, F.lit(","), state, F.lit(","), dpe
     )
-    return table(spark, d, "part").select(_k().alias("key"), text.alias("t"))
+    return held(spread(table(spark, d, "part").select("p_partkey", "p_size"), "p_partkey"), t=text).select(_k().alias("key"), "t")
 
 
 PHRASES = """ph AS (SELECT p_partkey AS key, concat_ws(' ', 'Maison', CAST(40 + (p_partkey * 3) % 200 AS VARCHAR), 'm²',
@@ -156,7 +156,8 @@ def _page(spark, d):
         F.lit('<html><head><meta property="og:title" content="Maison '), k, F.lit(' | Portail"><meta content="second" name="og:title"><meta property="og:image" content="https://cdn.example.org/a-'), k, F.lit('.jpg"><script type="application/ld+json">'), wrapped,
         F.lit('</script></head><body><img src="/img/b-'), k, F.lit('.png"><img src="//cdn.example.org/c.webp?w=2"><img src="https://x.example.org/logo.png"><p>'), F.repeat(F.lit("Une belle maison au calme. "), F.lit(6)), F.lit("</p></body></html>"),
     )
-    return table(spark, d, "part").select(_k(), F.concat(F.lit("https://www.example.org/annonces/vente-maison-t"), (1 + _s() % 6).cast("string"), F.lit("-cluny-71250-"), k).alias("url"), html.alias("html"))
+    url = F.concat(F.lit("https://www.example.org/annonces/vente-maison-t"), (1 + _s() % 6).cast("string"), F.lit("-cluny-71250-"), k)
+    return held(spread(table(spark, d, "part").select("p_partkey", "p_size"), "p_partkey"), url=url, html=html).select("p_partkey", "url", "html")
 
 
 @query("meta_tags", "SELECT p_partkey, 'Maison ' || CAST(p_partkey AS VARCHAR) || ' | Portail' AS first, 'second' AS last, 'Maison ' || CAST(p_partkey AS VARCHAR) AS title FROM part")
@@ -238,7 +239,9 @@ def _portal_pages(spark, d):
     title = F.concat(F.lit("Maison à vendre - "), rooms.cast("string"), F.lit(" pièces - "), area.cast("string"), F.lit(" m2 - Saint Amour - 71 - "), price.cast("string"), F.lit(" 000 €"))
     at = (_k() % 5 + 1).cast("int")
     url = F.replace(F.element_at(F.array(*map(F.lit, _URLS)), at), F.lit("{key}"), key.cast("string"))
-    return table(spark, d, "part").select("p_partkey", F.element_at(F.array(*map(F.lit, _FORMS)), at).alias("source"), url.alias("url"), _filled(_HTML, title=title, about=F.lit("court"), area=area, price=price, rooms=rooms, key=key).alias("html"))
+    html = _filled(_HTML, title=title, about=F.lit("court"), area=area, price=price, rooms=rooms, key=key)
+    source = F.element_at(F.array(*map(F.lit, _FORMS)), at)
+    return held(spread(table(spark, d, "part").select("p_partkey", "p_size"), "p_partkey"), source=source, url=url, html=html).select("p_partkey", "source", "url", "html")
 
 
 @query("portal_listings", """WITH p AS (SELECT *, CAST((100 + p_partkey % 900) * 1000 AS INT) AS price, 60 + p_partkey % 90 AS area, CAST(1 + p_size % 9 AS INT) AS rooms, CAST(10000000 + p_partkey AS VARCHAR) AS k, p_partkey % 5 AS f FROM part)

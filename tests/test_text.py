@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from georesolve.functions import html as H
 from georesolve.functions import text as T
 
 LISTINGS = [
@@ -47,3 +48,20 @@ def test_slug_and_shingles(spark):
     assert one(spark, "Saint-Étienne / Mâcon!", v=T.slug).v == "saint etienne macon"
     assert one(spark, "un deux", v=T.shingles).v == ["un", "deux"]
     assert one(spark, "a b c d", v=T.shingles).v == ["a b c", "b c d"]
+
+
+def test_rows_of_long_work_are_dealt_to_several_tasks_and_their_pages_built_once(spark, data):
+    from georesolve.queries import text
+
+    for made, column in ((text.phrases, "t"), (text._page, "html"), (text._portal_pages, "html")):
+        rows = made(spark, data)
+        assert rows.rdd.getNumPartitions() > 1
+        used_twice = rows.selectExpr(f"length({column}) a", f"upper({column}) b")
+        assert "Generate" in used_twice._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_first_and_last_of_repeated_tags_and_plots_in_hectares(spark):
+    page = '<meta property="og:title" content="a"><meta content="b" name="og:title"><meta property="og:image" content="i">'
+    rows = spark.createDataFrame([(page, "terrain de 2,5 ha"), ("", "terrain 40 m2"), (None, None), (page, "1 200 m2 de jardin")], "html string, t string")
+    got = rows.select(H.meta_tags(F.col("html")).alias("f"), H.meta_tags(F.col("html"), last_wins=True).alias("l"), T.land_m2(F.col("t")).alias("land")).collect()
+    assert [(r.f, r.l, r.land) for r in got] == [({"og:title": "a", "og:image": "i"}, {"og:title": "b", "og:image": "i"}, 25_000.0), ({}, {}, None), (None, None, None), ({"og:title": "a", "og:image": "i"}, {"og:title": "b", "og:image": "i"}, 1200.0)]
