@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
+from .text import bound
+
 # Markers and words that results depend on.
 UNSEEN = r"(?is)<(script|style|noscript)[^>]*>.*?</\1>"
 BLOCK_ENDS = r"(?i)<br\s*/?>|</p>|</div>|</li>"
@@ -74,9 +76,8 @@ def image_urls(html: Column, base: Column | None = None, only: list[str] | None
 
 def picked(urls: Column, keep, key, most: int) -> Column:
     """The first URL of each key among those to keep, at most so many."""
-    kept = F.filter(urls, keep)
-    keys = F.transform(kept, key)
-    return F.slice(F.filter(kept, lambda u, i: F.array_position(keys, key(u)) == i + 1), 1, most)
+    firsts = lambda kept: bound(F.transform(kept, key), lambda keys: F.filter(kept, lambda u, i: F.array_position(keys, F.element_at(keys, i + 1)) == i + 1))
+    return F.slice(bound(F.filter(urls, keep), firsts), 1, most)
 
 
 def decoded(text: Column) -> Column:
@@ -91,8 +92,7 @@ def photo_key(url: Column) -> Column:
 
 def distinct_photos(urls: Column, most: int = 12) -> Column:
     """The first URL of each photo, at most so many."""
-    firsts = F.filter(urls, lambda u, i: F.array_position(F.transform(urls, photo_key), photo_key(u)) == i + 1)
-    return F.slice(firsts, 1, most)
+    return picked(urls, lambda u: F.lit(True), photo_key, most)
 
 
 def meta_tags(html: Column, last_wins: bool = False, either_order: bool = True) -> Column:
@@ -109,8 +109,9 @@ def meta_tags(html: Column, last_wins: bool = False, either_order: bool = True)
     all_pairs = F.concat(one, two) if either_order else one
     if last_wins:
         all_pairs = F.reverse(all_pairs)
-    keys = F.transform(all_pairs, lambda p: p["k"])
-    return F.map_from_entries(F.filter(all_pairs, lambda p, i: F.array_position(keys, p["k"]) == i + 1))
+    # Bound, as each element of a filter would work out again what its condition names.
+    firsts = lambda pairs: bound(F.transform(pairs, lambda p: p["k"]), lambda keys: F.filter(pairs, lambda p, i: F.array_position(keys, p["k"]) == i + 1))
+    return F.map_from_entries(bound(all_pairs, firsts))
 
 
 def clean_title(title: Column) -> Column:
@@ -127,8 +128,8 @@ def description(html: Column, tag: str = "p", least: int = 120, most: int = 4000
     blocks = F.transform(inner, lambda b: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(b, UNSEEN, " "), "<[^>]+>", " "), r"(?U)\s+", " ")))
     unwanted = "(?iu)" + (junk or "|".join(LISTING_JUNK))
     good = F.filter(blocks, lambda b: (F.length(b) > least) & (F.length(b) < most) & ~b.rlike(unwanted) & ((F.length(b) - F.length(F.translate(b, ".", ""))) >= F.length(b) / 400))
-    longest = F.array_max(F.transform(good, F.length))
-    return F.coalesce(F.try_element_at(F.filter(good, lambda b: F.length(b) == longest), F.lit(1)), F.lit(""))
+    first = lambda g: bound(F.array_max(F.transform(g, F.length)), lambda longest: F.try_element_at(F.filter(g, lambda b: F.length(b) == longest), F.lit(1)))
+    return F.coalesce(bound(good, first), F.lit(""))
 
 
 def listing_url_fields(url: Column, pattern: str, names: list[str]) -> Column:
