@@ -23,13 +23,13 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
     labels = checkpointed(nodes.select("node", F.col("node").alias("root")))
     for _ in range(max_rounds):
         # What a node's root learns from the roots of the node's neighbours.
-        seen = both.join(labels.withColumnsRenamed({"node": "b", "root": "root_b"}), "b").groupBy("a").agg(F.min("root_b").alias("least"))
-        joined = labels.join(seen.withColumnRenamed("a", "node"), "node", "left").withColumn("least", F.least("root", F.coalesce("least", "root")))
+        seen = both.join(labels.withColumnsRenamed({"node": "b", "root": "root_b"}).hint("merge"), "b").groupBy("a").agg(F.min("root_b").alias("least"))
+        joined = labels.join(seen.withColumnRenamed("a", "node").hint("merge"), "node", "left").withColumn("least", F.least("root", F.coalesce("least", "root")))
         hooks = joined.groupBy("root").agg(F.min("least").alias("to")).withColumnRenamed("root", "of")
-        hooked = joined.join(hooks, joined["root"] == hooks["of"]).select("node", F.least("least", "to").alias("root"))
+        hooked = joined.join(hooks.hint("merge"), joined["root"] == hooks["of"]).select("node", F.least("least", "to").alias("root"))
         up = hooked.select(F.col("node").alias("of"), F.col("root").alias("up"))
-        new = checkpointed(hooked.join(up, hooked["root"] == up["of"], "left").select("node", F.coalesce("up", "root").alias("root")))
-        changed = new.join(labels.withColumnRenamed("root", "old"), "node").where("root <> old")
+        new = checkpointed(hooked.join(up.hint("merge"), hooked["root"] == up["of"], "left").select("node", F.coalesce("up", "root").alias("root")))
+        changed = new.join(labels.withColumnRenamed("root", "old").hint("merge"), "node").where("root <> old")
         labels, done = new, changed.isEmpty()
         if done:
             return labels
@@ -154,9 +154,9 @@ def zones(field: DataFrame, value: str, least_score: float, least_cells: int, pe
 def group_edges(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """key, group_id: the key that comes first in its component. nodes: key, ord (unique); links: a, b (keys)."""
     at = nodes.select("key", "ord")
-    edges = links.join(at.withColumnsRenamed({"key": "a", "ord": "oa"}), "a").join(at.withColumnsRenamed({"key": "b", "ord": "ob"}), "b").select(F.col("oa").alias("a"), F.col("ob").alias("b"))
+    edges = links.join(at.withColumnsRenamed({"key": "a", "ord": "oa"}).hint("merge"), "a").join(at.withColumnsRenamed({"key": "b", "ord": "ob"}).hint("merge"), "b").select(F.col("oa").alias("a"), F.col("ob").alias("b"))
     roots = components(at.select(F.col("ord").alias("node")), edges)
-    named = roots.join(at.withColumnRenamed("ord", "node"), "node").join(at.select(F.col("ord").alias("root"), F.col("key").alias("group_id")), "root")
+    named = roots.join(at.withColumnRenamed("ord", "node").hint("merge"), "node").join(at.select(F.col("ord").alias("root"), F.col("key").alias("group_id")).hint("merge"), "root")
     return named.select("key", "group_id")
 
 

@@ -100,3 +100,23 @@ def test_photo_index_and_direct_comparison_agree_with_brute_force(spark, monkeyp
     for direct in (4096, 0):
         monkeypatch.setattr(resolution, "DIRECT", direct)
         assert {tuple(r) for r in resolution.photo_pairs(df).collect()} == want
+
+
+def test_no_side_of_a_pair_join_is_sent_to_the_driver(spark, data):
+    from georesolve.queries.base import QUERIES
+
+    for name in ("blocking", "pair_decision", "near_miss"):
+        plan = QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan, name
+
+
+def test_tiles_of_hashes_find_what_all_pairs_have(spark):
+    import random
+
+    r = random.Random(3)
+    base = [r.getrandbits(63) for _ in range(40)]
+    rows = [(f"k{i % 350:03d}", "phash", "p", None if i % 9 == 0 else i % 11, base[i % 40] ^ sum(1 << b for b in r.sample(range(63), i % 12))) for i in range(700)]
+    got = {tuple(x) for x in resolution._tiled(spark.createDataFrame(rows, "k string, kind string, place string, bucket long, v long"), tile=90).collect()}
+    near = lambda x, y: (x is None and y is None) or (x is not None and y is not None and abs(x - y) <= 2)
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and near(a[3], b[3]) and (a[4] ^ b[4]).bit_count() <= 14}
+    assert got == want
