@@ -39,6 +39,10 @@ class ByteBPE:
             cls._by_path[path] = cls(path)
         return cls._by_path[path]
 
+    def forget(self) -> None:
+        """Empty the store at a task's end: the worker goes on with other stages, which need its memory."""
+        self.store = {}
+
     def encode_bytes(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         if self.cut and "<|" in text:

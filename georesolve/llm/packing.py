@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import ByteBPE
-from .common import for_python
+from .common import for_python, release_memory
 
 #: Pieces of a group at most, on average; the last bins of a group stay partly empty, so larger groups pad less.
 GROUP_PIECES = 8192
@@ -38,16 +38,20 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int =
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, end = ByteBPE.loaded(tokenizer), end_id.to_bytes(4, "little")
         schema = pa.schema([(c, pa.int64()) for c in PIECE])
-        for b in batches:
-            out = []
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                ids = bpe.encode_bytes(text or "") + end
-                n = len(ids) // 4
-                for start in range(0, n, capacity):
-                    part = ids[4 * start : 4 * (start + capacity)]
-                    out.append((doc_id, start, len(part) // 4, zlib.crc32(part), n))
-            columns = list(zip(*out, strict=True)) or [()] * len(PIECE)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=schema)
+        try:
+            for b in batches:
+                out = []
+                for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+                    ids = bpe.encode_bytes(text or "") + end
+                    n = len(ids) // 4
+                    for start in range(0, n, capacity):
+                        part = ids[4 * start : 4 * (start + capacity)]
+                        out.append((doc_id, start, len(part) // 4, zlib.crc32(part), n))
+                columns = list(zip(*out, strict=True)) or [()] * len(PIECE)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=schema)
+        finally:
+            bpe.forget()
+            release_memory()
 
     for_python(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, PIECES)

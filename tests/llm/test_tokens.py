@@ -5,6 +5,7 @@ import pytest
 from odd_rows import ODD, prose
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from georesolve.llm import packing, token_counts, word_bpe
@@ -156,3 +157,17 @@ def test_rollup_survives_replays_and_shrinks(spark):
     assert total() == [(3, 14)]
     r.compact()
     assert total() == [(3, 14)]
+
+
+def test_packing_leaves_no_chunks_in_its_workers(spark, odd):
+    """Workers go on with other stages: what one keeps beyond its task is memory that these lack."""
+    rows = odd.unionByName(odd.withColumn("text", F.concat_ws(" ", *[F.concat(F.lit(f"word{i}x"), F.col("doc_id").cast("string")) for i in range(50)])))
+    assert packing.pieces(rows, tokenizer_path("byte_bpe_50k.tiktoken")).count() > 0
+
+    def left(batches):
+        yield from ({"n": [sum(len(b.store) for b in ByteBPE._by_path.values())]} for _ in batches)
+
+    import pandas as pd
+
+    kept = spark.range(8).repartition(8).mapInPandas(lambda bs: (pd.DataFrame(x) for x in left(bs)), "n long")
+    assert {r.n for r in kept.collect()} == {0}
