@@ -79,27 +79,57 @@ def rasterized(rings: DataFrame, grid: Grid, ss: int = 4, keys: list[str] | None
     return cells.groupBy(*keys, F.floor(F.col("sub") / ss).cast("int").alias("row"), F.floor(F.col("sc") / ss).cast("int").alias("col")).agg((F.count("*") / (ss * ss)).alias("share"))
 
 
-def nearest(targets: DataFrame, points: DataFrame, keys: list[str], bucket: float, carry: str | None = None, levels: int = 12) -> DataFrame:
-    """keys, dist (and the nearest point's carry) of each target x, y; exact.
+#: Rows of a task that joins buckets, and points that a target's own bucket holds at first, on average.
+DEALT, MET = 250_000, 8
+
+
+def _dealt(df: DataFrame, rows: int, *by: str) -> DataFrame:
+    """df in partitions by its number of rows: an explicit number is not coalesced for the few bytes there are before a join."""
+    sc = df.sparkSession.sparkContext
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * sc.defaultParallelism, -(-rows // DEALT)), *by)
+
+
+def _first_width(places: DataFrame, pts: DataFrame, width: float, most: int = 16) -> float:
+    """width, or a quarter of it again and again, so that the buckets of the targets hold MET points on average at most."""
+    for _ in range(most):
+        met = places.groupBy(_here("x", width).alias("bx"), _here("y", width).alias("by")).agg(F.count("*").alias("t"))
+        of = pts.groupBy(_here("px", width).alias("bx"), _here("py", width).alias("by")).agg(F.count("*").alias("p"))
+        mean = met.join(of.hint("merge"), ["bx", "by"]).agg(F.sum(F.col("t") * F.col("p").cast("double")) / F.sum("t")).first()[0]
+        if mean is None or mean <= MET:
+            break
+        width /= 4
+    return width
+
+
+def nearest(targets: DataFrame, points: DataFrame, keys: list[str], bucket: float, carry: str | None = None, levels: int = 28) -> DataFrame:
+    """keys, dist (and the nearest point's carry, the least of equals) of each target x, y; exact.
 
     Targets and points meet in buckets: a target looks at its bucket and the eight around it, which
     hold every point within one bucket's width. Targets that find none so near go on with buckets
-    four times as wide. Points of a bucket are few at first and targets few at last.
+    four times as wide. ``bucket`` is the widest that the first may be: where points lie denser they are narrower,
+    so that points of a bucket are few at first, and targets are few at last. Targets of one place
+    search once, and points of one place are one. Both sides are dealt by the number of their rows.
     """
+    every = checkpointed(targets.select(*keys, "x", "y"))
     pts = checkpointed(points.select(F.col("x").alias("px"), F.col("y").alias("py"), *([F.col(carry).alias("__carry")] if carry else [])))
-    rest, done = targets.select(*keys, "x", "y"), []
-    best = F.min(F.struct("d", *(["__carry"] if carry else [])))
-    picked = lambda df: df.select(*keys, F.col("b.d").alias("dist"), *([F.col("b.__carry").alias(carry)] if carry else []))
-    if pts.isEmpty():
+    n_targets, n_pts = every.count(), pts.count()
+    if not n_pts:
         return targets.select(*keys, F.lit(NO_FEATURE).alias("dist"), *([F.lit(None).cast(points.schema[carry].dataType).alias(carry)] if carry else []))
-    width = float(bucket)
-    for level in range(levels):
-        near3 = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    every, pts = _dealt(every, n_targets, "x", "y"), _dealt(pts, n_pts, "px", "py")
+    pts = checkpointed(pts.groupBy("px", "py").agg(F.min("__carry").alias("__carry")) if carry else pts.distinct())
+    rest, done = checkpointed(every.select("x", "y").distinct()), []
+    best = F.min(F.struct("d", "__carry") if carry else F.col("d"))
+    width = _first_width(rest, pts, float(bucket))
+    near3 = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    for _ in range(levels):
+        rows = 9 * rest.count() + n_pts
         t = rest.withColumn("bx", F.explode(F.transform(near3, lambda o: F.floor(F.col("x") / width) + o))).withColumn("by", F.explode(F.transform(near3, lambda o: F.floor(F.col("y") / width) + o)))
         p = pts.withColumn("bx", F.floor(F.col("px") / width)).withColumn("by", F.floor(F.col("py") / width))
-        found = checkpointed(t.join(p, ["bx", "by"]).withColumn("d", F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py"))).groupBy(*keys).agg(best.alias("b")).where(F.col("b.d") <= width))
-        done.append(picked(found))
-        rest = checkpointed(rest.join(found, keys, "left_anti"))
+        met = _dealt(t, rows, "bx", "by").hint("merge").join(_dealt(p, rows, "bx", "by"), ["bx", "by"])
+        met = met.withColumn("d", F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py"))).where(F.col("d") <= width)
+        found = checkpointed(met.groupBy("x", "y").agg(best.alias("b")))
+        done.append(found)
+        rest = checkpointed(rest.join(found.hint("merge"), ["x", "y"], "left_anti"))
         if rest.isEmpty():
             break
         width *= 4
@@ -108,7 +138,8 @@ def nearest(targets: DataFrame, points: DataFrame, keys: list[str], bucket: floa
     out = done[0]
     for df in done[1:]:
         out = out.unionByName(df)
-    return out
+    got = every.distinct().join(out.hint("merge"), ["x", "y"])
+    return got.select(*keys, *([F.col("b.d").alias("dist"), F.col("b.__carry").alias(carry)] if carry else [F.col("b").alias("dist")]))
 
 
 #: Boxes along a bucket's side, when far targets look for their nearest points.

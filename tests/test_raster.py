@@ -166,3 +166,29 @@ def test_rings_equal_those_joined_one_by_one_and_grow_linearly():
     start = time.time()
     assert sum(len(r) for r in vector.joined_ways(ways, 0.05, 0.0)) > 0
     assert time.time() - start < 30
+
+
+def _frames(monkeypatch):
+    """What the searches materialise, with the plans by which they do."""
+    found, keep = [], vector.checkpointed
+
+    def recorded(df):
+        out = keep(df)
+        found.append((out, df._jdf.queryExecution().executedPlan().toString()))
+        return out
+
+    monkeypatch.setattr(vector, "checkpointed", recorded)
+    return found
+
+
+def test_nearest_searches_once_a_place_and_in_narrower_buckets_where_points_are_dense(spark, monkeypatch):
+    frames = _frames(monkeypatch)
+    t = spark.range(3000).select(F.col("id").alias("k"), (F.col("id") % 3 * 40.0).alias("x"), F.lit(0.0).alias("y"))
+    p = spark.range(3000).select((F.col("id") % 30 * 0.5).alias("x"), F.lit(3.0).alias("y"), F.col("id").alias("c"))
+    got = vector.nearest(t, p, ["k"], 10.0, "c").collect()
+    assert len(got) == 3000 and {(r.k % 3, round(r.dist, 9), r.c) for r in got} == {(0, 3.0, 0), (1, round(math.hypot(25.5, 3), 9), 29), (2, round(math.hypot(65.5, 3), 9), 29)}
+    counts = [f.count() for f, _ in frames if {"px", "py"} <= set(f.columns)]
+    assert counts[-1] == 30 and max(f.count() for f, _ in frames if f.columns == ["x", "y"]) == 3
+    assert not any("Broadcast" in plan for _, plan in frames)
+    rows = t.where("k < 3").select("x", "y")
+    assert vector._first_width(rows, p.select(F.col("x").alias("px"), F.col("y").alias("py")), 10.0) < 10
