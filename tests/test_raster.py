@@ -192,3 +192,13 @@ def test_nearest_searches_once_a_place_and_in_narrower_buckets_where_points_are_
     assert not any("Broadcast" in plan for _, plan in frames)
     rows = t.where("k < 3").select("x", "y")
     assert vector._first_width(rows, p.select(F.col("x").alias("px"), F.col("y").alias("py")), 10.0) < 10
+
+
+def test_voids_are_filled_in_as_many_tasks_as_their_rows_need(spark, monkeypatch):
+    frames = _frames(monkeypatch)
+    g = spark.range(400).select(F.expr("cast(id div 20 as int)").alias("row"), (F.col("id") % 20).cast("int").alias("col"), F.when(F.col("id") % 7 < 3, F.col("id").cast("double")).alias("z"))
+    got = {(r.row, r.col): r.z for r in vector.filled(g, "z", 2.0).collect()}
+    full = [(i // 20, i % 20) for i in range(400) if i % 7 < 3]
+    assert got == {(i // 20, i % 20): float((lambda c: c[1] * 20 + c[2])(min((math.hypot(i // 20 - r, i % 20 - c), r, c) for r, c in full))) for i in range(400)}
+    assert not any("Broadcast" in plan for _, plan in frames)
+    assert any("SortMergeJoin" in plan and "REPARTITION_BY_NUM" in plan for _, plan in frames)
