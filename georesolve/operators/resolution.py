@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import jaccard, shingles, slug
+from ..session import checkpointed
 from .graph import group_edges
 
 # Thresholds of the pair rules.
@@ -20,6 +22,8 @@ NO_HASH = 999
 AREA_BLOCK = 10
 #: Hashes of a place that are compared with their blocks; more are compared in tiles of this size.
 DIRECT = 4096
+#: Compared pairs that cost as much as one key; keys and compared pairs of a task.
+KEY_COST, KEYS, STRANGERS = 20, 250_000, 20_000_000
 #: Listings of a block that one group of a join has on its left side.
 PART = 1024
 
@@ -53,23 +57,44 @@ def hash_value(h: Column) -> Column:
     return F.shiftleft(half(1), 32).bitwiseOR(half(9))
 
 
+def _keys_and_strangers(n: int, radius: int, pieces: int) -> tuple[float, float]:
+    """Keys of n hashes of random bits, and pairs that meet at one."""
+    bits, slack = 64 / pieces, radius // pieces
+    keys = pieces * sum(math.comb(round(bits), i) for i in range(slack + 1))
+    return float(n * keys), n * n * keys / 2**bits
+
+
+def pieces_for(n: int, radius: int) -> int:
+    """The number of pieces with which n hashes cost least: a key is sorted and shuffled, a pair only compared."""
+
+    def cost(pieces: int) -> float:
+        keys, strangers = _keys_and_strangers(n, radius, pieces)
+        return KEY_COST * keys + strangers
+
+    return min((p for p in range(1, radius + 2) if radius // p <= 2), key=lambda p: (cost(p), -p))
+
+
 def near_hashes(hashes: DataFrame, key: str, h: str, radius: int = PHOTO_BITS, pieces: int | None = None, within: tuple[str, ...] = (), where: Column | None = None) -> DataFrame:
     """a, b (a < b), bits: pairs of 16-digit hashes within the radius; of rows that agree in ``within`` only.
 
     The 64 bits are cut into pieces; two hashes within the radius differ in one of them by at most
     radius div pieces bits. One side is filed under its pieces, the other under all pieces so near, and
-    they meet by an equi-join; none is lost, and a pair is taken at the first piece where it meets. By default the
-    pieces must be equal (radius + 1 of them); fewer and longer pieces have more keys a hash and meet far fewer strangers.
+    they meet by an equi-join; none is lost, and a pair is taken at the first piece where it meets. Of radius + 1
+    pieces one is equal; fewer and longer pieces have more keys a hash and meet far fewer strangers. By default the number of
+    hashes decides, and both sides are dealt by what they will meet.
     ``where`` is a condition on the further columns of both rows, named with _a and _b behind.
     """
-    pieces = pieces or radius + 1
+    further = [c for c in hashes.columns if c not in (key, h, *within)]
+    rows = checkpointed(hashes.where(stated(F.col(h)).isNotNull()).select(F.col(key).alias("k"), hash_value(F.col(h)).alias("v"), *within, *further))
+    n, spark = rows.count(), hashes.sparkSession
+    pieces = pieces or pieces_for(n, radius)
+    filed, strangers = _keys_and_strangers(n, radius, pieces)
+    least = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    # Each row becomes many: an explicit number of partitions is not coalesced for the few bytes there are before.
+    rows, parts = rows.repartition(least, "k"), max(least, min(4096, math.ceil(max(filed / KEYS, strangers / STRANGERS))))
     slack, cuts = radius // pieces, [round(i * 64 / pieces) for i in range(pieces + 1)]
     spans = list(zip(cuts[:-1], cuts[1:], strict=True))
     piece = lambda v, i: F.shiftrightunsigned(v, spans[i][0]).bitwiseAND(F.lit((1 << (spans[i][1] - spans[i][0])) - 1))
-    further = [c for c in hashes.columns if c not in (key, h, *within)]
-    rows = hashes.where(stated(F.col(h)).isNotNull()).select(F.col(key).alias("k"), hash_value(F.col(h)).alias("v"), *within, *further)
-    # Each row becomes many: an explicit number of partitions is not coalesced for the few bytes there are before.
-    rows = rows.repartition(int(hashes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "k")
     flips = [F.array(*[F.lit(sum(1 << i for i in on)).cast("bigint") for n in range(slack + 1) for on in itertools.combinations(range(b - a), n)]) for a, b in spans]
 
     def probes(i: int) -> Column:
@@ -78,7 +103,8 @@ def near_hashes(hashes: DataFrame, key: str, h: str, radius: int = PHOTO_BITS, p
     named = lambda x: [F.col("k").alias(x), F.col("v").alias(f"v{x}"), *within, *[F.col(c).alias(f"{c}_{x}") for c in further]]
     left = rows.select(*named("a"), F.posexplode(F.array(*[piece(F.col("v"), i) for i in range(pieces)])).alias("piece", "bits"))
     right = rows.select(*named("b"), F.inline(F.flatten(F.array(*map(probes, range(pieces))))))
-    met = left.join(right, [*within, "piece", "bits"]).where("a < b")
+    on = [*within, "piece", "bits"]
+    met = left.repartition(parts, *on).hint("merge").join(right.repartition(parts, *on), on).where("a < b")
     met = met if where is None else met.where(where)
     differ = lambda i: F.bit_count(piece(F.col("va"), i).bitwiseXOR(piece(F.col("vb"), i))) > slack
     first = F.lit(True)

@@ -1,3 +1,4 @@
+import random
 from pyspark.sql import functions as F
 
 from georesolve.operators import resolution, store
@@ -120,3 +121,19 @@ def test_tiles_of_hashes_find_what_all_pairs_have(spark):
     near = lambda x, y: (x is None and y is None) or (x is not None and y is not None and abs(x - y) <= 2)
     want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and near(a[3], b[3]) and (a[4] ^ b[4]).bit_count() <= 14}
     assert got == want
+
+
+def test_many_hashes_meet_at_fewer_and_longer_pieces(spark, monkeypatch):
+    assert resolution.pieces_for(4_000, 8) == 9 and resolution.pieces_for(1_200_000, 8) == 5
+    strangers = lambda n: resolution._keys_and_strangers(n, 8, resolution.pieces_for(n, 8))[1]
+    assert strangers(1_200_000) < 0.2 * 1_200_000**2 * 9 / 2 ** (64 / 9)
+    rng = random.Random(3)
+    values = [rng.getrandbits(64) for _ in range(20)]
+    values += [v ^ sum(1 << b for b in rng.sample(range(64), n)) for v in values for n in (0, 1, 7, 8, 9)]
+    rows = spark.createDataFrame([(i, f"{v:016x}") for i, v in enumerate(values)] + [(999, None), (998, "")], "k long, h string")
+    near = {(i, j, (values[i] ^ values[j]).bit_count()) for i in range(len(values)) for j in range(i + 1, len(values)) if (values[i] ^ values[j]).bit_count() <= 8}
+    for cost in (20, 0.5, 0.0):  # 9, 5 and 3 pieces
+        monkeypatch.setattr(resolution, "KEY_COST", cost)
+        got = [tuple(r) for r in resolution.near_hashes(rows, "k", "h").collect()]
+        assert len(got) == len(set(got)) and set(got) == near
+    assert resolution.pieces_for(120, 8) == 3
