@@ -6,7 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
@@ -48,15 +48,28 @@ def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     return cut.join(F.broadcast(at), "__part").withColumn(name, (own + F.col("__before")).cast("long")).drop("__part", "__before")
 
 
+def _code(row: Column, col: Column) -> Column:
+    """A cell as one number, in the order of rows and columns."""
+    return F.shiftleft(row.cast("long"), 32) + (col.cast("long") + (1 << 31))
+
+
 def labelled_cells(mask: DataFrame) -> DataFrame:
-    """row, col, label: 8-connected components of the given cells, numbered from 1 by their first cell."""
-    cells = mask.select("row", "col", F.struct(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col")).alias("node"))
-    half = F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in ((0, 1), (1, -1), (1, 0), (1, 1))])
-    moved = cells.select("node", F.explode(half).alias("o")).select(F.col("node").alias("a"), (F.col("node.row") + F.col("o.dr")).alias("row"), (F.col("node.col") + F.col("o.dc")).alias("col"))
-    edges = moved.join(cells, ["row", "col"]).select("a", F.col("node").alias("b"))
-    found = components(cells.select("node"), edges)
+    """row, col, label: 8-connected components of the given cells, numbered from 1 by their first cell.
+
+    Cells that lie side by side in a row are one run from the start, named by its first cell; only runs are linked.
+    """
+    w = Window.partitionBy("row").orderBy("col")
+    cells = mask.select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"))
+    starts = F.coalesce(F.col("col") - F.lag("col").over(w) > 1, F.lit(True))
+    cells = cells.withColumn("run", F.when(starts, _code(F.col("row"), F.col("col"))))
+    cells = checkpointed(cells.withColumn("run", F.last("run", ignorenulls=True).over(w)))
+    below = F.explode(F.array(*[F.lit(dc) for dc in (-1, 0, 1)]))
+    moved = cells.select(F.col("run").alias("a"), F.col("row"), F.col("col"), below.alias("dc")).select("a", _code(F.col("row") + 1, F.col("col") + F.col("dc")).alias("at"))
+    there = cells.select(F.col("run").alias("b"), _code(F.col("row"), F.col("col")).alias("at"))
+    edges = moved.join(there.hint("merge"), "at").select("a", "b")
+    found = components(cells.select(F.col("run").alias("node")).distinct(), edges)
     roots = numbered(found.select("root").distinct(), ["root"], "label")
-    return found.join(roots, "root").select("node.row", "node.col", "label")
+    return cells.join(found.withColumnRenamed("node", "run").hint("merge"), "run").join(roots.hint("merge"), "root").select("row", "col", "label")
 
 
 def drop_small(labels: DataFrame, least: int, label: str = "label") -> DataFrame:
@@ -144,9 +157,10 @@ def split_by_peaks(labels: DataFrame, peaks: DataFrame, value: str, bucket: floa
 
 def zones(field: DataFrame, value: str, least_score: float, least_cells: int, peak_px: int) -> DataFrame:
     """row, col, part: the zones of a smoothed field."""
+    field = checkpointed(field.select("row", "col", value))  # else each use smooths it again
     good = field.where(F.col(value) >= least_score)
     labels = checkpointed(drop_small(labelled_cells(good), least_cells))
-    peaks = local_peaks(field.select("row", "col", value), value, peak_px).join(labels, ["row", "col"])
+    peaks = local_peaks(field, value, peak_px).join(labels, ["row", "col"])
     kept = checkpointed(suppressed(peaks, value, float(peak_px)))
     return split_by_peaks(labels, kept, value, float(peak_px))
 

@@ -202,3 +202,22 @@ def test_voids_are_filled_in_as_many_tasks_as_their_rows_need(spark, monkeypatch
     assert got == {(i // 20, i % 20): float((lambda c: c[1] * 20 + c[2])(min((math.hypot(i // 20 - r, i % 20 - c), r, c) for r, c in full))) for i in range(400)}
     assert not any("Broadcast" in plan for _, plan in frames)
     assert any("SortMergeJoin" in plan and "REPARTITION_BY_NUM" in plan for _, plan in frames)
+
+
+def test_components_link_runs_and_a_field_is_worked_out_once(spark, monkeypatch):
+    handed = []
+    keep = graph.components
+    monkeypatch.setattr(graph, "components", lambda nodes, edges: handed.append((nodes.count(), dict(nodes.dtypes)["node"])) or keep(nodes, edges))
+    cells = {(r, c) for r in range(-3, 9) for c in range(-20, 20) if (r * 7 + c * c) % 5 < 2 or c % 13 == 0}
+    got = {(x.row, x.col): x.label for x in graph.labelled_cells(spark.createDataFrame(sorted(cells), "row int, col int")).collect()}
+    want, n = {}, 0
+    for first in sorted(cells):
+        if first not in want:
+            n, todo = n + 1, [first]
+            while todo:
+                r, c = todo.pop()
+                if (r, c) in cells and (r, c) not in want:
+                    want[r, c] = n
+                    todo += [(r + a, c + b) for a in (-1, 0, 1) for b in (-1, 0, 1)]
+    assert got == want
+    assert handed == [(sum((r, c - 1) not in cells for r, c in cells), "bigint")]
