@@ -24,15 +24,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, drawn, for_python, kept_rows, word_hash
+from .common import WORD, drawn, for_python, kept_rows, releasing, word_hash
 
 #: Labelled documents that a model is fitted on at most (in expectation).
 MAX_DOCS = 20_000
 LONGEST_GRAM = 5
 #: What a word or n-gram that a language doesn't have counts there.
 UNSEEN = 0.5
-#: Numbers that a Python worker keeps of the words it met: one a word and language.
-STORE = 4_000_000
+#: Words that a Python worker keeps with their log frequencies, and numbers (one a word and language) that it keeps of them at most.
+STORE, STORED_NUMBERS = 100_000, 4_000_000
 #: Words whose n-grams a Python worker sums before it hands them on.
 WORDS_TOGETHER = 50_000
 #: Stands for a document among the words that are counted; no word has a space.
@@ -141,8 +141,8 @@ def counted(rows: DataFrame) -> DataFrame:
         own.clear()
 
     for_python(rows.sparkSession)
-    summed = rows.mapInPandas(words, "lang string, w string, n long").groupBy("lang", "w").agg(F.sum("n").alias("n"))
-    return summed.mapInPandas(cut, "lang string, kind int, h long, n long").groupBy("lang", "kind", "h").agg(F.sum("n").alias("n"))
+    summed = rows.mapInPandas(releasing(words), "lang string, w string, n long").groupBy("lang", "w").agg(F.sum("n").alias("n"))
+    return summed.mapInPandas(releasing(cut), "lang string, kind int, h long, n long").groupBy("lang", "kind", "h").agg(F.sum("n").alias("n"))
 
 
 def fit(labelled: DataFrame, max_docs: int = MAX_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
@@ -170,7 +170,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     for_python(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(of, "doc_id long, lang_pred string, score double, n_words long")
+    return rows.mapInPandas(releasing(of), "doc_id long, lang_pred string, score double, n_words long")
 
 
 def keep_identified(docs: DataFrame, model: Model, least_score: float = 0.5, text_col: str = "text") -> DataFrame:
@@ -196,7 +196,7 @@ class Scorer:
         if not m.languages:
             return [(UNDETERMINED, 0.0, 0)] * len(texts)
         found = [letters(t) for t in texts]
-        if len(self.met) * len(m.languages) > STORE:
+        if len(self.met) > min(STORE, STORED_NUMBERS // len(m.languages)):
             self.met, self.logs = {}, self.logs[:0]
         new = list({w for words in found for w in words} - self.met.keys())
         self.met.update(zip(new, range(len(self.met), len(self.met) + len(new)), strict=True))

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, for_python
+from .common import checkpointed, for_python, releasing
 
 #: Fingerprints of a key that one task compares whole; larger keys are cut into parts of this size.
 TILE = 4096
@@ -81,7 +81,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, id_col: str
 
     for_python(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(of, "doc_id long, h long, fp long")
+    return rows.mapInPandas(releasing(of), "doc_id long, h long, fp long")
 
 
 def shingled(docs: DataFrame, shingle: int, seed: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -98,7 +98,7 @@ def shingled(docs: DataFrame, shingle: int, seed: int, id_col: str = "doc_id", t
 
     for_python(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(of, "doc_id long, h long, fp long, node long, size long, bands array<long>, mins binary, low binary")
+    return rows.mapInPandas(releasing(of), "doc_id long, h long, fp long, node long, size long, bands array<long>, mins binary, low binary")
 
 
 #: Odd factors and addends of the MinHash functions: the digests of their numbers.
@@ -199,7 +199,7 @@ def links(fps: DataFrame, radius: int = 4, tile: int = TILE, every: bool = False
         if held:
             yield _framed(held)
 
-    found = sorted_rows.mapInPandas(compared, "a long, b long")
+    found = sorted_rows.mapInPandas(releasing(compared), "a long, b long")
     return found if every else found.distinct()
 
 
@@ -382,7 +382,7 @@ def proposed(met: DataFrame, nodes: DataFrame, roots: DataFrame, radius: int, li
                     yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     for_python(rows.sparkSession, TILE)
-    return dealt.repartition(parts, "key", "p", "q").sortWithinPartitions("key", "p", "q").mapInPandas(compared, "a long, b long").distinct()
+    return dealt.repartition(parts, "key", "p", "q").sortWithinPartitions("key", "p", "q").mapInPandas(releasing(compared), "a long, b long").distinct()
 
 
 def _whole_groups(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -509,7 +509,7 @@ def alike(pairs: DataFrame, sets: DataFrame, likeness: float) -> DataFrame:
 
     for_python(pairs.sparkSession)
     sa, sb = (sets.select(F.col("node").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
-    return pairs.join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb").mapInPandas(of, "a long, b long, ok boolean")
+    return pairs.join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb").mapInPandas(releasing(of), "a long, b long, ok boolean")
 
 
 def shingle_sets(docs: DataFrame, firsts: DataFrame, shingle: int, seed: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -522,7 +522,7 @@ def shingle_sets(docs: DataFrame, firsts: DataFrame, shingle: int, seed: int, id
     for_python(docs.sparkSession)
     text = docs.select(F.col(id_col).cast("long").alias("own"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("own_h"), F.col(text_col).alias("text"))
     named = text.join(firsts, (F.col("own_h") == F.col("h")) & F.col("own").eqNullSafe(F.col("doc_id")))
-    return named.select("node", "text").mapInPandas(of, "node long, s binary").groupBy("node").agg(F.min("s").alias("s"))
+    return named.select("node", "text").mapInPandas(releasing(of), "node long, s binary").groupBy("node").agg(F.min("s").alias("s"))
 
 
 def linked_nodes(docs: DataFrame, nodes: DataFrame, radius: int, likeness: float, shingle: int, seed: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -530,7 +530,8 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, radius: int, likeness: float
     filed = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     shared = filed.groupBy("key").count().where("count > 1").select("key")
     met = checkpointed(filed.join(shared, "key"))
-    roots = docs.sparkSession.createDataFrame([], "node long, root long")
+    # Made by Spark alone: an empty frame from Python rows starts a second set of Python workers on every executor.
+    roots = nodes.sparkSession.range(0).select(F.col("id").alias("node"), F.col("id").alias("root"))
     for k, most in enumerate(PASSES):
         pairs = checkpointed(proposed(met, nodes, roots, radius, likeness, most, k))
         named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "first.doc_id", "first.h"), "node")

@@ -35,7 +35,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpointed, drawn, for_python, kept_rows, word_hash
+from .common import WORD, checkpointed, drawn, for_python, kept_rows, releasing, word_hash
 
 MAX_EXAMPLES, CALIBRATED = 8_000, 1_500
 #: Letters of a stem.
@@ -46,7 +46,7 @@ NEIGHBOURS, PRIOR_WEIGHT = 16, 0.5
 #: Examples of a block, words that are kept as dense rows of a block, queries that are answered together.
 BLOCK, COMMON, TOGETHER = 256, 512, 64
 #: Words whose terms a Python worker keeps, and the longest that lets it keep them.
-STORE, LONGEST_STORED = 300_000, 256
+STORE, LONGEST_STORED = 100_000, 256
 #: Rounding of single-precision sums: bounds are widened by it, and nearer cosines are equal.
 SLACK = 1e-5
 
@@ -218,7 +218,7 @@ def packed(docs: DataFrame, some: DataFrame) -> DataFrame:
 
     for_python(docs.sparkSession)
     # some is bounded by max_examples: 12 bytes a row.
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").mapInPandas(of, "doc_id long, y int, hashes binary, counts binary")
+    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").mapInPandas(releasing(of), "doc_id long, y int, hashes binary, counts binary")
     return rows.groupBy("doc_id").agg(F.min(F.struct("y", "hashes", "counts")).alias("r")).select("doc_id", "r.*")
 
 
@@ -245,7 +245,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, id
             yield pd.DataFrame({"raw": [index.raw(*x) for x in index.nearest(queries, leave_out=places)], "y": b["y"]})
 
     of = rows.where(drawn(F.concat(F.lit("curve"), F.col("doc_id").cast("string")), n, CALIBRATED))
-    points = of.mapInPandas(without_itself, "raw double, y int").collect()
+    points = of.mapInPandas(releasing(without_itself), "raw double, y int").collect()
     return Model(sent, curve_of(np.array([p["raw"] for p in points]), np.array([p["y"] for p in points]), index.rate))
 
 
@@ -261,7 +261,7 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     for_python(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(of, "doc_id long, score double, terms array<string>, evidence array<long>, cosines array<double>")
+    return rows.mapInPandas(releasing(of), "doc_id long, score double, terms array<string>, evidence array<long>, cosines array<double>")
 
 
 def keep_clean(docs: DataFrame, model: Model, reject_at: float = 0.4, text_col: str = "text") -> DataFrame:

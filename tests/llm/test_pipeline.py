@@ -30,3 +30,48 @@ def test_stages_keep_and_drop(spark, tmp_path):
 
 def test_one_query_per_operator():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 14))
+
+
+def test_a_worker_keeps_few_words_and_gives_back_a_task_s_memory():
+    """A worker goes on with the next stages: what it keeps is bounded, whatever the vocabulary, and no batch is a list of texts at once."""
+    import numpy as np
+    import pyarrow as pa
+
+    from georesolve.llm import common, language, toxicity
+
+    class Sent:
+        value = toxicity.Index(np.array([1, 2]), np.array([0.0, 1.0]), np.array([1, 1]), np.array([5, 6], dtype=np.uint64), np.array([1, 1], dtype=np.float32))
+
+    rows = {"kind": np.zeros(0, dtype=np.int64), "h": np.zeros(0, dtype=np.int64), "lang": np.zeros(0, dtype=np.int64), "n": np.zeros(0, dtype=np.int64)}
+    scorers = [toxicity.Scorer(toxicity.Model(Sent, toxicity.Curve())), language.Scorer(language.Model(["a", "b"], [1, 1], rows))]
+    some = ["".join(chr(97 + i // 26**k % 26) for k in range(5)) for i in range(250_000)]
+    for s in scorers:
+        for at in range(0, len(some), 10_000):
+            s.score([" ".join(some[at : at + 10_000])])
+            assert len(s.met) <= 110_000
+
+    sizes, gave = [], []
+
+    class Docs:
+        schema, sparkSession = None, None
+
+        def mapInArrow(self, of, schema):
+            return lambda b: list(of(b))
+
+    old = common.for_python, common.release_memory
+    common.for_python, common.release_memory = lambda s: None, lambda: gave.append(len(sizes))
+    try:
+        batch = pa.RecordBatch.from_pydict({"text": ["x", None, "y"] * 171})
+        out = common.kept_rows(Docs(), "text", lambda: lambda texts: sizes.append(len(texts)) or [t == "y" for t in texts])([batch])
+    finally:
+        common.for_python, common.release_memory = old
+    assert out[0].column("text").to_pylist() == ["y"] * 171 and max(sizes) <= 128 and sum(sizes) == 513 and gave == [len(sizes)]
+
+
+def test_near_copies_need_no_rows_from_the_driver_s_python(spark, monkeypatch):
+    """Rows given by Python start a daemon and workers of their own beside those of the stages."""
+    from georesolve.llm import simhash
+
+    docs = spark.range(40).selectExpr("id as doc_id", "concat_ws(' ', transform(sequence(1, 30), i -> if(i > 28, id div 2, i * 7 + id div 4))) as text").cache()
+    monkeypatch.setattr(type(spark), "createDataFrame", None)
+    assert 0 < simhash.keep_one(docs, radius=14, shingle=2, likeness=0.8).count() < 40
