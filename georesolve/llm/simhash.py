@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, for_python, releasing
+from .common import checkpointed, dropped, for_python, releasing, scratch_path
 
 #: Fingerprints of a key that one task compares whole; larger keys are cut into parts of this size.
 TILE = 4096
@@ -557,9 +557,13 @@ def keep_one(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: int = 42,
     identifier the one whose text has the smaller hash stays; rows alike in both stay together, as exact
     deduplication comes before.
     """
-    rows = checkpointed(shingled(docs, shingle, seed, id_col, text_col))
+    spark = docs.sparkSession
+    shingled(docs, shingle, seed, id_col, text_col).write.parquet(path := scratch_path(spark, "shingled"))
+    wide = spark.read.parquet(path)
+    rows = checkpointed(wide.select("doc_id", "h", "node"))
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
-    nodes = checkpointed(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("bands").alias("bands"), F.min("mins").alias("mins"), F.min("low").alias("low"), F.min(row).alias("first")))
+    nodes = checkpointed(wide.groupBy("node").agg(F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("bands").alias("bands"), F.min("mins").alias("mins"), F.min("low").alias("low"), F.min(row).alias("first")))
+    dropped(spark, path)  # what is compared is kept once, by node
     roots = linked_nodes(docs, nodes, radius, likeness, shingle, seed, id_col, text_col)
     of = checkpointed(nodes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     # Apart from the sum before it, the join of a large component's rows can be split.

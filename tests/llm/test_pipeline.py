@@ -1,3 +1,6 @@
+import time
+from pathlib import Path
+
 import corpus_pipeline
 from odd_rows import prose
 
@@ -75,3 +78,35 @@ def test_near_copies_need_no_rows_from_the_driver_s_python(spark, monkeypatch):
     docs = spark.range(40).selectExpr("id as doc_id", "concat_ws(' ', transform(sequence(1, 30), i -> if(i > 28, id div 2, i * 7 + id div 4))) as text").cache()
     monkeypatch.setattr(type(spark), "createDataFrame", None)
     assert 0 < simhash.keep_one(docs, radius=14, shingle=2, likeness=0.8).count() < 40
+
+
+def shuffle_files(spark):
+    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return {f for d in dirs for f in Path(d.getPath()).rglob("shuffle_*")}
+
+
+def test_a_checkpoint_s_shuffle_files_go_with_it(spark):
+    """They would stay until the driver's garbage collector met their plan: rounds of joins filled the disk."""
+    from georesolve.llm import common
+
+    before, setting = shuffle_files(spark), spark.conf.get(common.SHUFFLES_GO, "false")
+    some = spark.range(1000).selectExpr("id % 10 as k", "id").groupBy("k").count()
+    kept = common.checkpointed(some)
+    end = time.time() + 20
+    while (left := shuffle_files(spark) - before) and time.time() < end:
+        time.sleep(0.2)
+    assert not left and spark.conf.get(common.SHUFFLES_GO, "false") == setting
+    assert sorted(kept.collect()) == sorted(some.collect()) == [(k, 100) for k in range(10)]
+    assert kept.groupBy("count").agg({"k": "max"}).collect() == [(100, 9)]
+
+
+def test_near_copies_keep_what_is_compared_once(spark, monkeypatch):
+    """Least hashes are kept by distinct set of shingles, not by row and again by set; the scratch they came from goes."""
+    from georesolve.llm import common, simhash
+
+    held, keep = [], simhash.checkpointed
+    monkeypatch.setattr(simhash, "checkpointed", lambda df: held.append(df.columns) or keep(df))
+    docs = spark.range(40).selectExpr("id as doc_id", "concat_ws(' ', transform(sequence(1, 30), i -> if(i > 28, id div 2, i * 7 + id div 4))) as text")
+    assert 0 < simhash.keep_one(docs, radius=14, shingle=2, likeness=0.8).count() < 40
+    assert sum("low" in columns for columns in held) == 1
+    assert not list(Path(common.shared_folder(spark).removeprefix("file:")).glob("shingled-*"))
