@@ -19,7 +19,8 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
     Rounds of least neighbours and of halving the way to the root, each a pair of equi-joins, until
     nothing changes; the number of rounds follows the logarithm of the longest chain.
     """
-    both = checkpointed(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    # Not a union, which would work the edges out twice.
+    both = checkpointed(edges.where("a <> b").select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))).distinct())
     labels = checkpointed(nodes.select("node", F.col("node").alias("root")))
     for _ in range(max_rounds):
         # What a node's root learns from the roots of the node's neighbours.

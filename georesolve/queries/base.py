@@ -107,10 +107,11 @@ PHOTOS = """po AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 41 = 0 THEN 'q'
     FROM (SELECT *, {'p': xor(p0, (1::UBIGINT << ((k * 7) % 20)::UBIGINT) - 1::UBIGINT), 'd': CASE WHEN k % 5 <> 0 THEN xor(d0, (1::UBIGINT << ((k * 11) % 23)::UBIGINT) - 1::UBIGINT) END} AS shared FROM pv))"""
 
 
-def listings(spark: SparkSession, d: str) -> DataFrame:
+def listings(spark: SparkSession, d: str, dealt: bool = False) -> DataFrame:
     """Listings from part, with nulls and zeros for what is missing; every 41st has neither commune nor area."""
     k, s = F.col("p_partkey"), F.col("p_size")
-    return table(spark, d, "part").select(
+    part = table(spark, d, "part")
+    return (spread(part, "p_partkey") if dealt else part).select(
         F.concat(F.lit("L"), F.lpad(k.cast("string"), 7, "0")).alias("key"),
         k.alias("ord"),
         F.concat(F.lit("src"), (k % 4).cast("string")).alias("source"),

@@ -53,18 +53,18 @@ _CONFIDENCE = "CASE method WHEN 'photo' THEN least(0.99::DOUBLE, 0.80::DOUBLE +
 
 @query("blocking", f"WITH {_PAIRS} SELECT a, b FROM pr WHERE NOT nowhere")
 def blocking(spark, d):
-    return resolution.blocked_pairs(listings(spark, d))
+    return resolution.blocked_pairs(listings(spark, d, dealt=True))
 
 
 @query("pair_decision", f"WITH {_DECIDED} SELECT a, b, method, round({_CONFIDENCE}, 2) AS confidence, round(tx, 2) AS text_sim FROM dc WHERE method IS NOT NULL")
 def pair_decision(spark, d):
     """Links by photos, by price and text against photos, and by attributes; listings with no place and area by photos alone."""
-    return resolution.linked(listings(spark, d))[0]
+    return resolution.linked(listings(spark, d, dealt=True))[0]
 
 
 @query("near_miss", f"WITH {_DECIDED} SELECT a, b, CASE WHEN best <= 14 THEN 'similar photos' WHEN price THEN 'area, rooms and price agree, photos differ' ELSE 'attributes and text are alike' END AS reason, CASE WHEN best <= 14 THEN 0.5::DOUBLE WHEN price THEN 0.45::DOUBLE ELSE 0.4::DOUBLE END AS score FROM dc WHERE method IS NULL AND (best <= 14 OR attrs AND (price OR tx >= 0.3))")
 def near_miss(spark, d):
-    return resolution.linked(listings(spark, d))[1]
+    return resolution.linked(listings(spark, d, dealt=True))[1]
 
 
 _GROUPED = f"""{_DECIDED}, lk AS (SELECT a, b FROM dc WHERE method IS NOT NULL), ed AS (SELECT a, b FROM lk UNION ALL SELECT b, a FROM lk),
@@ -73,7 +73,7 @@ _GROUPED = f"""{_DECIDED}, lk AS (SELECT a, b FROM dc WHERE method IS NOT NULL),
 
 @query("dedup_groups", f"WITH RECURSIVE {_GROUPED} SELECT key, group_id FROM gp")
 def dedup_groups(spark, d):
-    return resolution.grouped(listings(spark, d))[0]
+    return resolution.grouped(listings(spark, d, dealt=True))[0]
 
 
 _DECISIONS = "dd AS (SELECT 'L' || lpad(CAST(p_partkey AS VARCHAR), 7, '0') AS a, 'L' || lpad(CAST(p_partkey + 60 AS VARCHAR), 7, '0') AS b, CAST(p_partkey % 2 AS INT) AS same FROM part WHERE p_partkey % 25 = 3 AND p_partkey + 60 < (SELECT count(*) FROM part))"
@@ -84,7 +84,7 @@ def manual_override(spark, d):
     k, n = F.col("p_partkey"), table(spark, d, "part").count()
     key = lambda c: F.concat(F.lit("L"), F.lpad(c.cast("string"), 7, "0"))
     dec = table(spark, d, "part").where(f"p_partkey % 25 = 3 and p_partkey + 60 < {n}").select(key(k + 60).alias("a"), key(k).alias("b"), (k % 2).alias("same"))
-    return resolution.grouped(listings(spark, d), dec)[0]
+    return resolution.grouped(listings(spark, d, dealt=True), dec)[0]
 
 
 def _members(spark, d):

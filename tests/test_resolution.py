@@ -137,3 +137,56 @@ def test_many_hashes_meet_at_fewer_and_longer_pieces(spark, monkeypatch):
         got = [tuple(r) for r in resolution.near_hashes(rows, "k", "h").collect()]
         assert len(got) == len(set(got)) and set(got) == near
     assert resolution.pieces_for(120, 8) == 3
+
+
+def _odd_listings(n=160):
+    """Listings of three places and none, with what may be missing or odd."""
+    rng = random.Random(5)
+    words = ["belle", "maison", "au", "calme", "avec", "jardin", "et", "garage"]
+    turned = lambda h: h ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 17)))
+    hashes = [rng.getrandbits(64) for _ in range(9)]
+    some = lambda *of: rng.choice(of)
+    rows = []
+    for i in range(n):
+        own = [(j, some(f"{turned(some(*hashes)):016x}", f"{turned(some(*hashes)):016x}", None, ""), some(f"{turned(some(*hashes)):016x}", None)) for j in range(rng.randint(0, 3))]
+        code, name = some(("1", "Cluny"), ("1", "Cluny"), (None, "1"), ("", "Mâcon"), ("2", None), (None, None))
+        text = some("", "maison", " ".join(rng.sample(words, 6)), " ".join(words[: rng.randint(1, 8)]))
+        rows.append((f"k{i:03d}", i, some(None, 0, 200000, 210000, 230000), some(None, 100.0, 101.5, 109.0, 110.5, 118.0, 121.0, 0.0), some(None, 0, 4, 5), some(None, 0.0, 500.0, 540.0, 600.0, float("nan")), code, name, text, some("", "beau"), some(own, own, None)))
+    return rows
+
+
+def test_tiles_measure_what_joins_do(spark, monkeypatch):
+    from georesolve.operators import pairtiles
+
+    df = spark.createDataFrame(_odd_listings(), SCHEMA)
+    d = spark.createDataFrame([("k003", "k001", 0), ("k007", "k150", 0), ("k020", "k090", 1), ("k001", "k002", 0)], "a string, b string, same int")
+
+    def found():
+        rows = resolution.compared_candidates(df).collect()
+        assert len(rows) == len({(r.a, r.b) for r in rows})
+        # What lies beyond the near-miss limit is not told apart.
+        pairs = {(r.a, r.b): (r.hits, min(r.best_bits, 15), r.attrs, r.price, r.text_sim, r.both_photos) for r in rows}
+        groups, *given = resolution.grouped(df, d)
+        return pairs, [sorted((tuple(r) for r in x.collect()), key=repr) for x in (groups, *given)]
+
+    joined = found()
+    assert len(joined[0]) > 300 and all(len(x) > 10 for x in joined[1])
+    # Some places by joins, some by tiles; all by tiles.
+    for least, tile, block, texts in ((45, 8192, 1 << 18, 1 << 22), (0, 7, 40, 0)):
+        monkeypatch.setattr(resolution, "JOINED", least)
+        for name, value in (("TILE", tile), ("BLOCK", block), ("TEXTS", texts)):
+            monkeypatch.setattr(pairtiles, name, value)
+        assert found() == joined
+
+
+def test_groups_of_a_large_place_take_few_edges(spark, monkeypatch):
+    seen = []
+    whole = resolution.group_edges
+    monkeypatch.setattr(resolution, "JOINED", 100, raising=False)
+    monkeypatch.setattr(resolution, "group_edges", lambda nodes, links: (seen.append(links.count()), whole(nodes, links))[1])
+    rows = [listing(f"a{i:03d}", i, 200000, 100 if i % 2 else 130, []) for i in range(300)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    d = spark.createDataFrame([("a000", "a001", 1), ("a002", "a004", 0)], "a string, b string, same int")
+    for decisions, groups in ((None, {"a000", "a001"}), (d, {"a000"})):
+        assert {r.group_id for r in resolution.grouped(df, decisions)[0].collect()} == groups
+    assert max(seen) <= 300  # all links are 22,350
