@@ -190,3 +190,11 @@ def test_groups_of_a_large_place_take_few_edges(spark, monkeypatch):
     for decisions, groups in ((None, {"a000", "a001"}), (d, {"a000"})):
         assert {r.group_id for r in resolution.grouped(df, decisions)[0].collect()} == groups
     assert max(seen) <= 300  # all links are 22,350
+
+
+def test_a_block_of_thousands_is_shuffled_once(spark):
+    n = 4000
+    of = lambda x: spark.range(n).select(F.format_string("k%06d", "id").alias(x), F.lit("p").alias("place"), F.lit(7).cast("long").alias("bucket"))
+    left, right = resolution._in_parts(of("a"), of("b"), "bucket")
+    assert (left.count(), right.count()) == (n, n)  # each left part takes another copy of the right side
+    assert resolution._met(of("a"), of("b"), "bucket").where("a < b").count() == n * (n - 1) // 2
